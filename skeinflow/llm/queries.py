@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from skeinflow.llm import mixing, quality_rules, sharding, url_filters
+from skeinflow.llm import decontaminate, mixing, quality_rules, sharding, substring_dedup, url_filters, warc
 
 QUERIES = {
     "op1_url_filter": url_filters.op1_url_filter,
+    "op3_warc_round_trip": warc.op3_warc_round_trip,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_extendible_hash_shards": sharding.op5_extendible_hash_shards,
     "op7_host_quality": quality_rules.op7_host_quality,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 ORACLES = {
     "op1_url_filter": url_filters.ORACLE,
+    "op3_warc_round_trip": warc.ORACLE,
+    "op4_decontaminate": decontaminate.ORACLE,
     "op5_extendible_hash_shards": sharding.oracle(),
     "op7_host_quality": quality_rules.ORACLE,
+    "op8_substring_dedup": substring_dedup.ORACLE,
 }
