@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from skeinflow.llm import decontaminate, mixing, quality_rules, sharding, substring_dedup, url_filters, warc
+from skeinflow.llm import decontaminate, mixing, pii, quality_classifier, quality_rules, sharding, substring_dedup, url_filters, warc
 
 QUERIES = {
     "op1_url_filter": url_filters.op1_url_filter,
+    "op2_quality_classifier": quality_classifier.op2_quality_classifier,
     "op3_warc_round_trip": warc.op3_warc_round_trip,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_extendible_hash_shards": sharding.op5_extendible_hash_shards,
+    "op6_personal_data": pii.op6_personal_data,
     "op7_host_quality": quality_rules.op7_host_quality,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op10_mix_sources": mixing.op10_mix_sources,
