@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skeinflow.llm import decontaminate, mixing, pii, quality_classifier, quality_rules, sharding, substring_dedup, url_filters, warc
+from skeinflow.llm import decontaminate, mixing, ngram_join, pii, quality_classifier, quality_rules, sharding, substring_dedup, url_filters, warc
 
 QUERIES = {
     "op1_url_filter": url_filters.op1_url_filter,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_personal_data": pii.op6_personal_data,
     "op7_host_quality": quality_rules.op7_host_quality,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+    "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op5_extendible_hash_shards": sharding.oracle(),
     "op7_host_quality": quality_rules.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
+    "op9_ngram_jaccard": ngram_join.ORACLE,
 }
