@@ -5,10 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_STAGED: list[tuple[SparkSession, str]] = []
+_STAGED: list[tuple[SparkSession, str, str]] = []
+_OWNER = [""]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,10 +26,20 @@ def shared_dir(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, tag: str) -> str:
     """A fresh path below the shared folder, removed when the driver exits or at release()."""
     path = f"{shared_dir(spark)}/skeinflow/{tag}-{uuid.uuid4().hex}"
-    _STAGED.append((spark, path))
+    _STAGED.append((spark, path, _OWNER[-1]))
     return path
 
 
+@contextmanager
+def owner(name: str) -> Iterator[None]:
+    """What is staged within belongs to name, for release()."""
+    _OWNER.append(name)
+    try:
+        yield
+    finally:
+        _OWNER.pop()
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: lineage ends here, and a lost executor costs one read."""
     path = shared_path(df.sparkSession, tag)
@@ -34,14 +47,14 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession | None = None) -> None:
-    """Delete all that staged() wrote (for that session, or for every one)."""
-    for s, path in list(_STAGED):
-        if spark is None or s is spark:
-            _STAGED.remove((s, path))
+def release(spark: SparkSession | None = None, name: str | None = None) -> None:
+    """Delete all that staged() wrote (for that session, or for every one; of that owner, or of all)."""
+    for entry in list(_STAGED):
+        s, path, of = entry
+        if (spark is None or s is spark) and (name is None or of == name):
+            _STAGED.remove(entry)
             try:
-                jvm = s.sparkContext._jvm
-                at = jvm.org.apache.hadoop.fs.Path(path)
+                at = s.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
                 at.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
             except Exception:  # the session is already gone
                 pass

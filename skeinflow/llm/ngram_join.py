@@ -1,11 +1,12 @@
 """Jaccard join of documents on word shingles in metric space, exact, and its components.
 
 Distances of shingle sets (one minus Jaccard) obey the triangle inequality. Almost all pairs of documents share nothing
-and lie at distance one, where no document cuts anything off as a pivot; so the first regions are around virtual
-pivots, parts of documents: a set is dealt to classes by hash, more classes than a linked pair may differ in shingles,
-and sets meet where a whole class is equal (some class must be, by pigeonhole). Sets that meet in turn form regions. In
-a region document pivots do cut: each set belongs to its nearest pivot's Voronoi cell, sets within the triangle
-inequality's window are replicated to the pivot's region, and regions are joined recursively, exactly.
+and lie at distance one, where no document cuts anything off as a pivot. So sets are first freed of those that have too
+many shingles to themselves to be linked with anything, and the first regions are around virtual pivots, parts of
+documents: a set is dealt to classes by hash, more classes than a linked pair may differ in shingles, and sets meet
+where a whole class is equal (some class must be, by pigeonhole). Sets that meet in turn form regions. In a region
+document pivots do cut: each set belongs to its nearest pivot's Voronoi cell, sets within the triangle inequality's
+window are replicated to the pivot's region, and regions are joined recursively, exactly.
 """
 
 from __future__ import annotations
@@ -117,30 +118,119 @@ def _star(signs: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return signs[first], keys[first], edges
 
 
-def candidate_edges(texts: DataFrame, column: str, k: int, percent: int, buckets: int) -> DataFrame:
-    """(a, b): keys of sets that share a signature, as stars. A piece settles its own and sends each signature once,
+def _cuts(a: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of the runs of equal values."""
+    first = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else []
+    return list(zip(first, np.append(first[1:], len(a)) if len(a) else [], strict=True))
 
-    with one key, so a signature that a third of all documents share is a row for each piece at most.
+
+def _batch(rows: list[tuple], names: str, *kinds: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [x.split()[0] for x in names.split(", ")])
+
+
+TOKENS = "bucket int, chunk long, tokens binary, docs binary, spare binary"
+COUNTS = "chunk long, docs binary, counts binary, spare binary"
+
+
+def not_alone(texts: DataFrame, column: str, k: int, percent: int, buckets: int) -> DataFrame:
+    """(node): keys of the sets that may be linked with another one.
+
+    Linked sets x and y have |x without y| <= (100 - p) % of |x|, so a set with more shingles than that of its own
+    is linked with none. Shingles of a part of all hashes, twice that share, are counted, which finds most such sets;
+    the rest are found later. Shingles go out by bucket, those that a piece holds twice once and without a document,
+    and come back as numbers for each piece's documents.
     """
+    part = U(min((1 << 64) - 1, (1 << 64) * 2 * (100 - percent) // 100))
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, column, PIECE):
-            parts: dict[int, np.ndarray] = {}
+            sets: dict[int, np.ndarray] = {}
+            size: list[int] = []
             for piece in pieces(iter([batch]), column):
                 for s in shingle_sets(piece.column(column), k):
-                    if len(s) and (key := set_id(s)[1]) not in parts:
-                        parts[key] = signatures(s, percent)
+                    if len(s) and (key := set_id(s)[1]) not in sets:
+                        sets[key] = s[mix(s ^ U(0x7FB5D329728EA185)) < part]
+                        size.append(len(s))
+            if not sets:
+                continue
+            keys = np.fromiter(sets, np.int64, len(sets))
+            tokens = np.concatenate(list(sets.values()))
+            doc = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets.values()])
+            tokens, first, n = np.unique(tokens, return_index=True, return_counts=True)
+            doc = np.where(n > 1, -1, doc[first]).astype(np.int32)
+            bucket = (mix(tokens) % U(buckets)).astype(np.int64)
+            o = np.argsort(bucket, kind="stable")
+            chunk = int(mix(np.array([mix(keys.view(U)).sum(dtype=U) + U(len(keys))], U))[0].view(np.int64))
+            rows = [(int(bucket[o[a]]), chunk, tokens[o[a:b]].tobytes(), doc[o[a:b]].tobytes(), None) for a, b in _cuts(bucket[o])]
+            rows.append((buckets + chunk % buckets, chunk, None, keys.tobytes(), (np.array(size) * (100 - percent) // 100).astype(np.int32).tobytes()))
+            yield _batch(rows, TOKENS, pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+
+    def count(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks, tokens, docs, out = [], [], [], []
+        for batch in batches:
+            for c, t, d, s in zip(*(batch.column(x).to_pylist() for x in ("chunk", "tokens", "docs", "spare")), strict=True):
+                if t is None:
+                    out.append((c, d, None, s))
+                else:
+                    chunks.append(c), tokens.append(np.frombuffer(t, U)), docs.append(np.frombuffer(d, np.int32))
+        if chunks:
+            of = np.repeat(np.arange(len(chunks)), [len(t) for t in tokens])
+            doc = np.concatenate(docs)
+            _, first, n = np.unique(np.concatenate(tokens), return_index=True, return_counts=True)
+            lone = np.sort(first[n == 1])
+            lone = lone[doc[lone] >= 0]
+            for a, b in _cuts(of[lone]):
+                who, times = np.unique(doc[lone[a:b]], return_counts=True)
+                out.append((chunks[of[lone[a]]], who.astype(np.int32).tobytes(), times.astype(np.int32).tobytes(), None))
+        yield _batch(out, COUNTS, pa.int64(), pa.binary(), pa.binary(), pa.binary())
+
+    def settle(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = spare = np.zeros(0, np.int64)
+        who, times = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for batch in batches:
+            for d, c, s in zip(*(batch.column(x).to_pylist() for x in ("docs", "counts", "spare")), strict=True):
+                if c is None:
+                    keys, spare = np.frombuffer(d, np.int64), np.frombuffer(s, np.int32)
+                else:
+                    who.append(np.frombuffer(d, np.int32)), times.append(np.frombuffer(c, np.int32))
+        lone = np.bincount(np.concatenate(who), np.concatenate(times), len(keys))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[lone <= spare])], ["node"])
+
+    counted = texts.mapInArrow(send, TOKENS).groupBy("bucket").applyInArrow(count, COUNTS)
+    return counted.groupBy("chunk").applyInArrow(settle, "node long")
+
+
+def candidate_edges(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """(a, b): keys of sets (node, elements) that share a signature, as stars. A task settles its own and sends each
+
+    signature once, with one key, so a signature that a third of all sets share is a row for each 16 MB at most.
+    """
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        held = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
             sizes = [len(x) for x in parts.values()]
             if not sum(sizes):
-                continue
+                return
             signs, keys, edges = _star(np.concatenate(list(parts.values())), np.repeat(np.fromiter(parts, np.int64, len(parts)), sizes))
             bucket = (signs % U(buckets)).astype(np.int64)
             o = np.argsort(bucket, kind="stable")
-            cut = np.flatnonzero(np.append(True, bucket[o][1:] != bucket[o][:-1]))
-            rows = [(int(bucket[o[a]]), signs[o[a:b]].tobytes(), keys[o[a:b]].tobytes(), None) for a, b in zip(cut, np.append(cut[1:], len(o)), strict=True)]
+            rows = [(int(bucket[o[a]]), signs[o[a:b]].tobytes(), keys[o[a:b]].tobytes(), None) for a, b in _cuts(bucket[o])]
             if len(edges):
                 rows.append((buckets + int(signs[0] % U(buckets)), None, None, edges.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "signs", "keys", "ends"])
+            yield _batch(rows, SIGNED, pa.int32(), pa.binary(), pa.binary(), pa.binary())
+
+        for batch in batches:
+            for key, raw in zip(batch.column("node").to_pylist(), batch.column("elements"), strict=True):
+                if key not in parts:
+                    parts[key] = signatures(np.frombuffer(raw.as_buffer(), U), percent)
+                    held += len(parts[key])
+                if held > 1 << 20:
+                    yield from flush()
+                    parts, held = {}, 0
+        yield from flush()
 
     def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signs, keys, edges = [], [], [np.zeros((0, 2), np.int64)]
@@ -155,7 +245,7 @@ def candidate_edges(texts: DataFrame, column: str, k: int, percent: int, buckets
         both = np.concatenate(edges)
         yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
-    return texts.mapInArrow(sign, SIGNED).groupBy("bucket").applyInArrow(meet, "a long, b long")
+    return sets.select("node", "elements").mapInArrow(sign, SIGNED).groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
 # --- regions -------------------------------------------------------------------------------------------------------
@@ -192,6 +282,14 @@ class Region:
 
     def _join(self, ids: np.ndarray) -> None:
         eps = 1 - self.percent / 100
+        while len(ids) > 1:
+            # Who has too many shingles to itself here is linked with no one here.
+            row, column = self.part(ids)
+            shared = np.bincount(row[np.bincount(column, minlength=self.columns)[column] > 1], minlength=len(ids))
+            may = 100 * shared >= self.percent * self.size[ids]
+            if may.all():
+                break
+            ids = ids[may]
         if len(ids) <= LEAF:
             return self._all(ids)
         pivots = ids[:: -(-len(ids) // PIVOTS)]
@@ -381,13 +479,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id",
     """
     spark = docs.sparkSession
     n, component, sid, key, elements = own(docs, "n_shingles", "component_id", "__sid", "__key", "__set")
-    # The estimate of the input's size sets only how finely candidates are dealt.
+    # The estimate of the input's size sets only how finely hashes are dealt.
     size = min(1 << 50, int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
-    edges = candidate_edges(docs.select(F.col(quoted(text)).alias("t")), "t", k, percent, min(1 << 20, max(64, size >> 21)))
-    classes = staged(connected_components(edges.distinct()), "classes")
-    bitmaps, bits = _members(classes.select("node"))
+    buckets = min(1 << 20, max(64, size >> 21))
+    may = staged(not_alone(docs.select(F.col(quoted(text)).alias("t")), "t", k, percent, buckets), "may")
+    bitmaps, bits = _members(may)
     rows = staged(_with_sets(docs, text, [n, sid, key, elements], spark.sparkContext.broadcast(bitmaps), bits, k, keep_text), "sets")
     sets = rows.where(F.col(elements).isNotNull()).select(F.col(key).alias("node"), F.col(sid).alias("sid"), F.col(elements).alias("elements"))
+    classes = staged(connected_components(candidate_edges(sets, percent, buckets).distinct()), "classes")
     members = staged(sets.join(classes, "node").dropDuplicates(["node", "sid"]).select("root", "sid", "elements"), "members")
     links = connected_components(region_links(members, percent))
     least = rows.where(F.col(n) > 0).groupBy(F.col(sid).alias("s")).agg(F.min(quoted(ident)).alias("m"))
