@@ -11,7 +11,9 @@ window are replicated to the pivot's region, and regions are joined recursively,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,8 @@ from skeinflow.llm.kernels import Words, mix, pieces, ranges, starts_of, windows
 from skeinflow.llm.sketches import bits_for, maybe_repeated, merged, partial_rows
 
 U = np.uint64
-#: Words of a shingle; per cent of the union that linked sets share; classes that may be empty before empty ones count.
-SHINGLE, PERCENT, SPARE = 3, 90, 2
+#: Words of a shingle; per cent of the union that linked sets share.
+SHINGLE, PERCENT = 3, 90
 #: Bytes of text that a task deals with together; sets that are compared all with all; pivots of a region.
 PIECE, LEAF, PIVOTS = 16 << 20, 256, 8
 #: Bytes of sets of a region beyond which Spark splits it, and rounds in which it tries.
@@ -61,12 +63,23 @@ def set_id(s: np.ndarray) -> tuple[bytes, int]:
 # --- virtual pivots ------------------------------------------------------------------------------------------------
 
 
-def band_of(n: int) -> tuple[int, int]:
-    """(band, size beyond it): bands of sizes 1-9, 10-14, 15-21, ... half as large again each."""
-    b, hi = 0, 10
+def band_of(n: int) -> tuple[int, int, int]:
+    """(band, least size, size beyond it): bands of sizes 1-9, 10-14, 15-21, ... half as large again each."""
+    b, lo, hi = 0, 1, 10
     while n >= hi:
-        b, hi = b + 1, hi + hi // 2
-    return b, hi
+        b, lo, hi = b + 1, hi, hi + hi // 2
+    return b, lo, hi
+
+
+@lru_cache(4096)
+def spare_classes(least: int, apart: int) -> int:
+    """Classes beyond what differences take up, so many that sets of the band rarely have more empty ones."""
+    for spare in range(2, apart + 3):
+        m = apart + 1 + spare
+        empty = m * exp(-least / m)
+        if empty + 4 * sqrt(empty) + 0.5 <= spare:
+            break
+    return spare
 
 
 def most_apart(hi: int, percent: int) -> int:
@@ -77,9 +90,9 @@ def most_apart(hi: int, percent: int) -> int:
 def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Hashes of the set's classes. Linked sets that aren't equal have one in common.
 
-    Sets meet in the band of the larger one: a set signs for its own band and for that of the largest size that it may
-    be linked to. SPARE classes more than differences allow are there, so that an equal class isn't an empty one; a
-    set with more empty classes than that signs for those too.
+    Sets meet in the band of the larger one: a set signs for its own band and for those of the larger sizes that it may
+    be linked to. There are more classes than differences by some to spare, so that among the equal ones is one that
+    isn't empty; a set with more empty classes than those to spare signs for its empty ones too.
     """
     n, out = len(s), []
     if not n:
@@ -87,20 +100,21 @@ def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     top = n * 100 // percent
     bands = {band_of(n), band_of(top)}
     at = band_of(n)
-    while at[1] <= top:
-        at = band_of(at[1])
+    while at[2] <= top:
+        at = band_of(at[2])
         bands.add(at)
-    for band, hi in bands:
+    for band, lo, hi in bands:
         apart = most_apart(hi, percent)
         if not apart:
             continue
-        m = apart + 1 + SPARE
+        spare = spare_classes(max(1, lo * percent // 100), apart)
+        m = apart + 1 + spare
         c = (mix(s ^ U(band + 1)) % U(m)).astype(np.int64)
         value = np.zeros(m, U)
         np.add.at(value, c, mix(s + U(0x632BE59BD9B4E019)))
         count = np.bincount(c, minlength=m)
         sign = mix(value + mix(np.arange(m, dtype=U) + U(band << 32)) + count.astype(U))
-        out.append(sign if (count == 0).sum() > SPARE else sign[count > 0])
+        out.append(sign if (count == 0).sum() > spare else sign[count > 0])
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
@@ -132,27 +146,47 @@ TOKENS = "bucket int, chunk long, tokens binary, docs binary, spare binary"
 COUNTS = "chunk long, docs binary, counts binary, spare binary"
 
 
-def not_alone(texts: DataFrame, column: str, k: int, percent: int, buckets: int) -> DataFrame:
+def sets_of_texts(column: str, k: int) -> Callable:
+    """For not_alone(): pieces of a text column as {key: set}."""
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, np.ndarray]]:
+        for batch in pieces(batches, column, PIECE):
+            yield {set_id(s)[1]: s for piece in pieces(iter([batch]), column) for s in shingle_sets(piece.column(column), k) if len(s)}
+
+    return groups
+
+
+def sets_as_given(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, np.ndarray]]:
+    """For not_alone(): rows (node, elements) as {key: set}, 16 MB or so together."""
+    held, size = {}, 0
+    for batch in batches:
+        for key, raw in zip(batch.column("node").to_pylist(), batch.column("elements"), strict=True):
+            held[key] = np.frombuffer(raw.as_buffer(), U)
+            size += held[key].nbytes
+            if size > PIECE:
+                # The batch's memory isn't ours to keep.
+                yield held
+                held, size = {}, 0
+        held = {k: v.copy() for k, v in held.items()}
+    yield held
+
+
+def not_alone(rows: DataFrame, groups: Callable, percent: int, buckets: int, share: float = 1.0) -> DataFrame:
     """(node): keys of the sets that may be linked with another one.
 
     Linked sets x and y have |x without y| <= (100 - p) % of |x|, so a set with more shingles than that of its own
-    is linked with none. Shingles of a part of all hashes, twice that share, are counted, which finds most such sets;
-    the rest are found later. Shingles go out by bucket, those that a piece holds twice once and without a document,
-    and come back as numbers for each piece's documents.
+    is linked with none. share is the part of all hashes that is counted: of all texts twice (100 - p) % finds most such
+    sets; those left over are counted whole. Shingles go out by bucket, those that a piece holds twice once and without
+    a document, and come back as numbers for each piece's documents.
     """
-    part = U(min((1 << 64) - 1, (1 << 64) * 2 * (100 - percent) // 100))
+    part = U(min((1 << 64) - 1, int((1 << 64) * share)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, column, PIECE):
-            sets: dict[int, np.ndarray] = {}
-            size: list[int] = []
-            for piece in pieces(iter([batch]), column):
-                for s in shingle_sets(piece.column(column), k):
-                    if len(s) and (key := set_id(s)[1]) not in sets:
-                        sets[key] = s[mix(s ^ U(0x7FB5D329728EA185)) < part]
-                        size.append(len(s))
-            if not sets:
+        for whole in groups(batches):
+            if not whole:
                 continue
+            size = [len(s) for s in whole.values()]
+            sets = {key: s[mix(s ^ U(0x7FB5D329728EA185)) <= part] for key, s in whole.items()}
             keys = np.fromiter(sets, np.int64, len(sets))
             tokens = np.concatenate(list(sets.values()))
             doc = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets.values()])
@@ -196,7 +230,7 @@ def not_alone(texts: DataFrame, column: str, k: int, percent: int, buckets: int)
         lone = np.bincount(np.concatenate(who), np.concatenate(times), len(keys))
         yield pa.RecordBatch.from_arrays([pa.array(keys[lone <= spare])], ["node"])
 
-    counted = texts.mapInArrow(send, TOKENS).groupBy("bucket").applyInArrow(count, COUNTS)
+    counted = rows.mapInArrow(send, TOKENS).groupBy("bucket").applyInArrow(count, COUNTS)
     return counted.groupBy("chunk").applyInArrow(settle, "node long")
 
 
@@ -302,45 +336,47 @@ class Region:
             d[:, j] = 1 - shared / (self.size[ids] + self.size[p] - shared)
             self.links += [(int(p), int(x)) for x in ids[self.linked(shared, self.size[ids], self.size[p])] if x != p]
         near, slack = d.min(1), 1e-9
+        regions = [ids[near > FAR]]
         for j in range(len(pivots)):
-            inside = (d[:, j] <= np.minimum(FAR + eps, near + 2 * eps) + slack)
+            inside = d[:, j] <= np.minimum(FAR + eps, near + 2 * eps) + slack
             # What links to the pivot is joined already; it matters only to others, and only within eps of them.
             core = inside & (d[:, j] <= eps - slack)
             shell = inside & ~core
             if shell.any():
-                self._sub(ids[shell | core & (d[:, j] >= d[shell, j].min() - eps - slack)], len(ids))
-        self._sub(ids[near > FAR], len(ids))
-
-    def _sub(self, ids: np.ndarray, before: int) -> None:
-        if len(ids) > 1:
-            self._join(ids) if len(ids) < 0.9 * before else self._all(ids)
+                regions.append(ids[shell | core & (d[:, j] >= d[shell, j].min() - eps - slack)])
+        # Where windows overlap so much that parts cost more than half of the whole, the whole is compared at once.
+        if 2 * sum(len(r) ** 2 for r in regions) > len(ids) ** 2:
+            self._all(ids)
+        else:
+            for r in regions:
+                self._join(r)
 
     def _all(self, ids: np.ndarray) -> None:
-        """All with all, as blocks of matrix products over the shared columns; then a search through what is linked."""
-        n, block = len(ids), 1024
+        """All with all, as blocks of matrix products over the shared columns; labels say what is joined so far."""
+        n = len(ids)
+        if n < 2:
+            return
         row, column = self.part(ids)
         used, column = np.unique(column, return_inverse=True)
         o = np.argsort(column, kind="stable")
         row, column = row[o], column[o]
-        left = np.ones(n, bool)
-        width = max(256, min(len(used), (64 << 20) // (4 * max(1, n))))
+        width, block = max(64, min(len(used), (16 << 20) // n)), max(64, (16 << 20) // n)
         cuts = np.searchsorted(column, np.arange(0, len(used) + width, width))
-        while left.any():
-            frontier = np.flatnonzero(left)[:1]
-            left[frontier] = False
-            while len(frontier) and left.any():
-                rest, some = np.flatnonzero(left), frontier[:block]
-                shared = np.zeros((len(some), len(rest)), np.float32)
-                for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    x = np.zeros((n, width), np.float32)
-                    x[row[lo:hi], column[lo:hi] - i * width] = 1
-                    shared += x[some] @ x[rest].T
-                hit = self.linked(shared.astype(np.int64), self.size[ids[some]][:, None], self.size[ids[rest]][None])
-                found = hit.any(0)
-                via = some[hit.argmax(0)]
-                self.links += [(int(ids[v]), int(ids[r])) for v, r in zip(via[found], rest[found], strict=True)]
-                left[rest[found]] = False
-                frontier = np.concatenate((frontier[block:], rest[found]))
+        size, label = self.size[ids].astype(float), np.arange(n)
+        for at in range(0, n, block):
+            shared = np.zeros((min(block, n - at), n), np.float32)
+            for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                x = np.zeros((n, width), np.float32)
+                x[row[lo:hi], column[lo:hi] - i * width] = 1
+                shared += x[at : at + block] @ x.T
+            hit = self.linked(shared.astype(float), size[at : at + block, None], size[None])
+            for k in np.flatnonzero(hit.sum(1) > 1).tolist():
+                found = label[hit[k]]
+                if (found != found[0]).any():
+                    groups, first = np.unique(found, return_index=True)
+                    mates = np.flatnonzero(hit[k])[first]
+                    self.links += [(int(ids[at + k]), int(ids[m])) for m in mates.tolist() if m != at + k]
+                    label[np.isin(label, groups)] = groups[0]
 
 
 LINK = "a binary, b binary"
@@ -482,10 +518,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id",
     # The estimate of the input's size sets only how finely hashes are dealt.
     size = min(1 << 50, int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
     buckets = min(1 << 20, max(64, size >> 21))
-    may = staged(not_alone(docs.select(F.col(quoted(text)).alias("t")), "t", k, percent, buckets), "may")
+    may = staged(not_alone(docs.select(F.col(quoted(text)).alias("t")), sets_of_texts("t", k), percent, buckets, (100 - percent) / 50), "may")
     bitmaps, bits = _members(may)
     rows = staged(_with_sets(docs, text, [n, sid, key, elements], spark.sparkContext.broadcast(bitmaps), bits, k, keep_text), "sets")
     sets = rows.where(F.col(elements).isNotNull()).select(F.col(key).alias("node"), F.col(sid).alias("sid"), F.col(elements).alias("elements"))
+    # Copies of a set from several pieces are one; sets left out leave others alone, so it is done twice.
+    sets = staged(sets.dropDuplicates(["node", "sid"]), "distinct")
+    for _ in range(2):
+        may = staged(not_alone(sets.select("node", "elements"), sets_as_given, percent, buckets), "may")
+        sets = sets.join(may, "node", "left_semi")
+    sets = staged(sets, "sets")
     classes = staged(connected_components(candidate_edges(sets, percent, buckets).distinct()), "classes")
     members = staged(sets.join(classes, "node").dropDuplicates(["node", "sid"]).select("root", "sid", "elements"), "members")
     links = connected_components(region_links(members, percent))
