@@ -1,21 +1,519 @@
-"""Queries of the library by name, with the SQL that DuckDB checks them against."""
+"""Queries of the library by name, with the SQL that DuckDB checks them against.
+
+Fixture queries are checked against published values, as SQL VALUES; those over the driver's tables against SQL written
+from the definitions.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skeinflow.functions import text
+from skeinflow.operators import algebra, classical, cube, diagrams, grid, khovanov
+from skeinflow.plans import contract, cost, placement
+from skeinflow.sources import derived, fixtures
+from skeinflow.sources.fixtures import values
+from skeinflow.streaming import calibration
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def register(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name or f.__name__] = f
+        if sql is not None:
+            _SQL[name or f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return cube.canonical(cube.jones_polynomial(fixtures.pd_table(spark)))
+
+
+# Published results for the fixtures.
+HISTOGRAM = [("3_1", 0, 3, 1), ("3_1", 1, 2, 3), ("3_1", 2, 1, 3), ("3_1", 3, 2, 1), ("4_1", 0, 3, 1), ("4_1", 1, 2, 4), ("4_1", 2, 1, 5), ("4_1", 2, 3, 1), ("4_1", 3, 2, 4), ("4_1", 4, 3, 1), ("5_1", 0, 5, 1), ("5_1", 1, 4, 5), ("5_1", 2, 3, 10), ("5_1", 3, 2, 10), ("5_1", 4, 1, 5), ("5_1", 5, 2, 1), ("5_2", 0, 3, 1), ("5_2", 1, 2, 5), ("5_2", 2, 1, 7), ("5_2", 2, 3, 3), ("5_2", 3, 2, 9), ("5_2", 3, 4, 1), ("5_2", 4, 3, 5), ("5_2", 5, 4, 1)]
+JONES = {"3_1": (1, [1, 0, 1, -1]), "4_1": (-2, [1, -1, 1, -1, 1]), "5_1": (2, [1, 0, 1, -1, 1, -1]), "5_2": (1, [1, -1, 2, -1, 1, -1])}
+STRUCTURE = [("3_1", 3, 2, -3, 1, 0, 3), ("4_1", 4, 3, 0, 1, 2, 2), ("5_1", 5, 2, -5, 2, 0, 5), ("5_2", 5, 4, -5, 1, 0, 5)]
+KHOVANOV = {
+    "3_1": [(-3, -9), (-3, -7), (-2, -7), (-2, -5), (0, -3), (0, -1)],
+    "4_1": [(-2, -5), (-2, -3), (-1, -3), (-1, -1), (0, -1), (0, 1), (1, 1), (1, 3), (2, 3), (2, 5)],
+    "5_1": [(-5, -15), (-5, -13), (-4, -13), (-4, -11), (-3, -11), (-3, -9), (-2, -9), (-2, -7), (0, -5), (0, -3)],
+    "5_2": [(-5, -13), (-5, -11), (-4, -11), (-4, -9), (-3, -9), (-3, -7), (-2, -7), (-2, -7), (-2, -5), (-2, -5), (-1, -5), (-1, -3), (0, -3), (0, -1)],
+}
+KHOVANOV_Q = {"3_1": [(-3, -9), (-2, -5), (0, -3), (0, -1)], "4_1": [(-2, -5), (-1, -1), (0, -1), (0, 1), (1, 1), (2, 5)], "5_1": [(-5, -15), (-4, -11), (-3, -11), (-2, -7), (0, -5), (0, -3)]}
+BRAID_VALUES = [("3_1", 2, 3, -2, [1, -1, 1]), ("4_1", 2, 5, 0, [1, -3, 1]), ("5_1", 4, 5, -4, [1, -1] * 2 + [1]), ("T(2,7)", 6, 7, -6, [1, -1] * 3 + [1]), ("T(2,15)", 14, 15, -14, [1, -1] * 7 + [1]), ("T(2,25)", 24, 25, -24, [1, -1] * 12 + [1]), ("T(3,4)", 6, 3, -6, [1, -1, 0, 1, 0, -1, 1]), ("T(4,3)", 6, 3, -6, [1, -1, 0, 1, 0, -1, 1]), ("T(4,5)", 12, 5, -8, [1, -1, 0, 0, 1, 0, -1, 0, 1, 0, 0, -1, 1]), ("T(5,4)", 12, 5, -8, [1, -1, 0, 0, 1, 0, -1, 0, 1, 0, 0, -1, 1])]
+STAIRCASE4 = [("staircase4", -3, -3, 1), ("staircase4", -2, -2, 6), ("staircase4", -1, -2, 4), ("staircase4", -1, -1, 6), ("staircase4", 0, -2, 1), ("staircase4", 0, -1, 4), ("staircase4", 0, 0, 1), ("staircase4", 1, -1, 1)]
+HFK = [("staircase3", 0, 0, 1), ("staircase4", 0, 0, 1), ("trefoil", 0, 1, 1), ("trefoil", -1, 0, 1), ("trefoil", -2, -1, 1), ("trefoil mirror", 2, 1, 1), ("trefoil mirror", 1, 0, 1), ("trefoil mirror", 0, -1, 1), ("figure-eight", 1, 1, 1), ("figure-eight", 0, 0, 3), ("figure-eight", -1, -1, 1)]
+
+
+def counted(table: dict[str, list[tuple]]) -> list[tuple]:
+    return [(d, *c, cells.count(c)) for d, cells in table.items() for c in dict.fromkeys(cells)]
+
+
+def typed(rows: list[tuple], names: str, kinds: str) -> str:
+    cols = ", ".join(f"{n}::{k} as {n}" for n, k in zip(names.split(", "), kinds.split(), strict=True))
+    return f"select {cols} from {values(rows, names)}"
+
+
+# --- diagrams ------------------------------------------------------------------------------------------------------
+
+BAD = {"empty": [], "short": [[1, 2, 3]], "gap": [[1, 5, 2, 4], [3, 1, 4, 7], [5, 3, 7, 2]], "from 2": [[2, 3, 3, 2]], "from 0": [[0, 4, 1, 3], [2, 0, 3, 5], [4, 2, 5, 1]]}
+
+
+@register(typed([(d, None) for d in fixtures.PD] + [("empty", "empty"), ("short", "a crossing has four labels"), ("gap", "each label occurs twice, without gaps"), ("from 2", "labels begin at 0 or 1"), ("from 0", None)], "diagram, verdict", "varchar varchar"))
+def pd_validate(spark, sf_dir):
+    return fixtures.pd_table(spark, fixtures.PD | BAD).select("diagram", diagrams.pd_verdict(F.col("pd")).alias("verdict"))
+
+
+@register(typed(STRUCTURE, "diagram, crossings, circles, writhe, genus, n_plus, n_minus", "varchar int int int int int int"))
+def seifert_structure(spark, sf_dir):
+    return diagrams.seifert_structure(fixtures.pd_table(spark))
+
+
+@register(typed(HISTOGRAM, "diagram, ones, circles, n", "varchar int int bigint"))
+def cube_states_histogram(spark, sf_dir):
+    return cube.state_histogram(fixtures.pd_table(spark))
+
+
+@register(f"""
+with h as {values(HISTOGRAM, "diagram, ones, circles, n")}, c as (select diagram, max(ones) as c from h group by 1),
+t as (select h.diagram, c - 2 * ones + 2 * (circles - 1) - 4 * k as exp, n * (case when circles % 2 = 1 then 1 else -1 end) * (factorial((circles - 1)::int) / (factorial(k::int) * factorial((circles - 1 - k)::int))) as v
+  from h join c using (diagram), range(0, 10) r(k) where k < circles)
+select diagram, exp::int as exp, sum(v)::bigint as coef from t group by 1, 2 having sum(v) <> 0""")
+def kauffman_bracket(spark, sf_dir):
+    return cube.kauffman_bracket(fixtures.pd_table(spark))
+
+
+@register(typed([(d, low + i, c) for d, (low, cs) in JONES.items() for i, c in enumerate(cs) if c], "diagram, exp, coef", "varchar int bigint"))
+def jones_polynomial(spark, sf_dir):
+    return cube.jones_polynomial(fixtures.pd_table(spark))
+
+
+@register("""select 'T(2,' || n || ')' as diagram, ((n - 1) / 2 + k)::int as exp, (case when k = 0 then 1 when k % 2 = 0 then 1 else -1 end)::bigint as coef
+from range(3, 14, 2) a(n), range(0, 20) b(k) where k <= n and k <> 1""".replace("(n - 1) / 2", "(n - 1) // 2"))
+def jones_torus_batch(spark, sf_dir):
+    return cube.jones_batch(fixtures.pd_table(spark, {f"T(2,{n})": fixtures.torus_pd(n) for n in range(3, 14, 2)}))
+
+
+# --- braids --------------------------------------------------------------------------------------------------------
+
+NEXT_SQL = f"""letters as ({derived.LETTERS_SQL}),
+lead_ as (select diagram, abs(letter)::int as strand, pos, sign(letter)::int as s, lead(pos) over w as next_pos, lead(sign(letter)::int) over w as s_next from letters window w as (partition by diagram, abs(letter) order by pos)),
+g as (select *, (row_number() over (partition by diagram order by pos) - 1)::int as g from lead_ where next_pos is not null)"""
+MATRIX_SQL = f"""{NEXT_SQL},
+m as (select diagram, g as i, g as j, -s as v from g where s = s_next
+union all select a.diagram, case when a.s_next > 0 then b.g else a.g end, case when a.s_next > 0 then a.g else b.g end, case when a.s_next > 0 then 1 else -1 end from g a join g b on a.diagram = b.diagram and a.strand = b.strand and a.next_pos = b.pos
+union all select a.diagram, a.g, b.g, case when a.pos < b.pos then 1 else -1 end from g a join g b on a.diagram = b.diagram and b.strand = a.strand + 1
+  and ((a.pos < b.pos and b.pos < a.next_pos and a.next_pos < b.next_pos) or (b.pos < a.pos and a.pos < b.next_pos and b.next_pos < a.next_pos)))"""
+
+
+@register(f"with {NEXT_SQL} select diagram, g, strand, pos, next_pos::int as next_pos, s, s_next from g")
+def braid_next_crossing(spark, sf_dir):
+    return classical.next_crossings(derived.order_letters(spark, sf_dir)).select("diagram", "g", "strand", "pos", "next_pos", "s", "s_next")
+
+
+@register(f"with {MATRIX_SQL} select diagram, i::int as i, j::int as j, v::int as v from m")
+def seifert_matrix(spark, sf_dir):
+    return classical.seifert_matrix(derived.order_letters(spark, sf_dir))
+
+
+@register(f"with {MATRIX_SQL} select diagram, i, j, sum(v)::bigint as v from (select diagram, i::int as i, j::int as j, v from m union all select diagram, j, i, v from m) group by 1, 2, 3 having sum(v) <> 0")
+def seifert_symmetrized(spark, sf_dir):
+    return classical.symmetrized(classical.seifert_matrix(derived.order_letters(spark, sf_dir)))
+
+
+@register(typed([(d, x) for d, _, x, _, _ in BRAID_VALUES], "diagram, determinant", "varchar bigint"))
+def knot_determinant(spark, sf_dir):
+    return classical.braid_invariants(fixtures.braid_table(spark)).select("diagram", "determinant")
+
+
+@register(typed([(d, x) for d, _, _, x, _ in BRAID_VALUES], "diagram, signature", "varchar int"))
+def knot_signature(spark, sf_dir):
+    return classical.braid_invariants(fixtures.braid_table(spark)).select("diagram", "signature")
+
+
+@register(typed([(d, i, c) for d, _, _, _, a in BRAID_VALUES for i, c in enumerate(a)], "diagram, exp, coef", "varchar int bigint"))
+def alexander_polynomial(spark, sf_dir):
+    return classical.braid_invariants(fixtures.braid_table(spark)).select("diagram", F.posexplode("alexander").alias("exp", "coef"))
+
+
+@register(f"""with {MATRIX_SQL}, n as (select diagram, count(*) as n from g group by 1),
+s as (select diagram, i, j, sum(v) as v from (select diagram, i, j, v from m union all select diagram, j, i, v from m) group by 1, 2, 3),
+two as (select n.diagram, coalesce(max(v) filter (i = 0 and j = 0), 0) as a, coalesce(max(v) filter (i = 0 and j = 1), 0) as b, coalesce(max(v) filter (i = 1 and j = 1), 0) as d from n left join s using (diagram) where n = 2 group by 1)
+select diagram, 2 as generators, abs(a * d - b * b)::bigint as determinant,
+  (case when a * d - b * b < 0 then 0 when a * d - b * b > 0 then 2 * sign(a) else sign(a + d) end)::int as signature from two""")
+def order_braids_of_genus_one(spark, sf_dir):
+    """Braids of two generators, whose forms have closed formulas."""
+    return classical.braid_invariants(derived.order_braids(spark, sf_dir)).where("generators = 2").select("diagram", "generators", "determinant", "signature")
+
+
+@register()
+def order_braid_invariants(spark, sf_dir):
+    return classical.braid_invariants(derived.order_braids(spark, sf_dir))
+
+
+# --- Khovanov ------------------------------------------------------------------------------------------------------
+
+CHAIN_SQL = f"""chain as (select h.diagram, (ones - n_minus)::int as i, (2 * k - circles + ones + n_plus - 2 * n_minus)::int as j,
+  sum(n * (factorial(circles::int) / (factorial(k::int) * factorial((circles - k)::int))))::bigint as dim
+  from {values(HISTOGRAM, "diagram, ones, circles, n")} h join {values([(r[0], r[5], r[6]) for r in STRUCTURE], "diagram, n_plus, n_minus")} s using (diagram), range(0, 10) r(k) where k <= circles group by 1, 2, 3)"""
+
+
+@register(f"with {CHAIN_SQL} select * from chain")
+def chain_dimensions(spark, sf_dir):
+    return khovanov.chain_dimensions(fixtures.pd_table(spark))
+
+
+@register(f"with {CHAIN_SQL} select diagram, j, sum(case when i % 2 = 0 then dim else -dim end)::bigint as chi from chain group by 1, 2 having chi <> 0")
+def khovanov_euler_characteristic(spark, sf_dir):
+    return khovanov.euler_characteristic(fixtures.pd_table(spark))
+
+
+@register(typed([("3_1", 45), ("4_1", 132), ("5_1", 615), ("5_2", 435)], "diagram, entries", "varchar bigint"))
+def khovanov_boundary_f2(spark, sf_dir):
+    _, bd = khovanov.as_complex(fixtures.pd_table(spark))
+    return bd.where("pmod(v, 2) = 1").groupBy("cx.diagram").agg(F.count("*").alias("entries"))
+
+
+@register(typed([("not a complex", 0, 0, 0, 1)], "cx, deg, col, row, v", "varchar int bigint bigint bigint"))
+def d_squared_f2(spark, sf_dir):
+    _, bd = fixtures.complex_tables(spark)
+    _, kh = khovanov.as_complex(fixtures.pd_table(spark))
+    return algebra.d_squared(bd.union(kh.select(F.to_json("cx"), "deg", "col", "row", F.col("v").cast("long"))))
+
+
+@register("select 'x' as cx, 0 as deg, 0::bigint as col, 0::bigint as row, 0::bigint as v where false")
+def d_squared_q(spark, sf_dir):
+    _, bd = fixtures.complex_tables(spark, fixtures.COMPLEXES_Q)
+    _, kh = khovanov.as_complex(fixtures.pd_table(spark), lee=True)
+    return algebra.d_squared(bd.union(kh.select(F.to_json("cx"), "deg", "col", "row", F.col("v").cast("long"))), "q")
+
+
+@register(typed(counted(KHOVANOV), "diagram, i, j, dim", "varchar int int bigint"))
+def khovanov_f2(spark, sf_dir):
+    return khovanov.khovanov_homology(fixtures.pd_table(spark))
+
+
+@register(typed(counted(KHOVANOV_Q), "diagram, i, j, dim", "varchar int int bigint"))
+def khovanov_q(spark, sf_dir):
+    return khovanov.khovanov_homology(fixtures.pd_table(spark).where("diagram <> '5_2'"), "q")
+
+
+@register(typed([(d, 0, 2) for d in fixtures.PD], "diagram, i, dim", "varchar int bigint"))
+def lee_homology(spark, sf_dir):
+    return khovanov.lee_homology(fixtures.pd_table(spark))
+
+
+@register(typed([("3_1", -2), ("4_1", 0), ("5_1", -4), ("5_2", -2), ("unknot", 0)], "diagram, s", "varchar int"))
+def rasmussen_s(spark, sf_dir):
+    return khovanov.rasmussen_s(fixtures.pd_table(spark, fixtures.PD | {"unknot": []}))
+
+
+# --- algebra -------------------------------------------------------------------------------------------------------
+
+RANKS = {"triangle": ({}, [(0, 0, 0, 1), (0, 0, 1, 1), (0, 1, 1, 1), (0, 1, 2, 1), (0, 2, 0, 1), (0, 2, 2, 1)]), "dependent": ({}, [(0, 0, 0, 1), (0, 0, 2, 1), (0, 1, 1, 1), (0, 1, 2, 1), (0, 2, 0, 2), (0, 2, 1, -1), (0, 2, 2, 1)]), "two": ({}, [(0, 0, 0, 2)])}
+
+
+def _rank_table(spark):
+    rows = [(k, *e) for k, (_, es) in RANKS.items() for e in es]
+    return spark.createDataFrame(rows, "cx string, deg int, col long, row long, v long")
+
+
+@register(typed([("triangle", 0, 2), ("dependent", 0, 2), ("two", 0, 0)], "cx, deg, rank", "varchar int bigint"))
+def f2_rank(spark, sf_dir):
+    return algebra.ranks(_rank_table(spark), "f2")
+
+
+@register(typed([("triangle", 0, 3), ("dependent", 0, 2), ("two", 0, 1)], "cx, deg, rank", "varchar int bigint"))
+def rational_rank(spark, sf_dir):
+    return algebra.ranks(_rank_table(spark), "q")
+
+
+@register(typed([("triangle", 0, 3), ("dependent", 0, 2), ("two", 0, 1)], "cx, deg, rank", "varchar int bigint"))
+def rank_mod_p(spark, sf_dir):
+    return algebra.ranks(_rank_table(spark), f"p{algebra.PRIMES[0]}")
+
+
+@register(typed([("triangle", 0, 0, c) for c in range(3)] + [("two", 0, 0, 0), ("dependent", 0, 0, 1), ("dependent", 0, 0, 2)], "cx, deg, basis, col", "varchar int int bigint"))
+def f2_kernel(spark, sf_dir):
+    return algebra.kernel_basis(_rank_table(spark))
+
+
+@register(typed([("circle", 0, 1), ("circle", 1, 1), ("merge", 0, 1)], "cx, deg, betti", "varchar int bigint"))
+def homology_f2(spark, sf_dir):
+    gen, bd = fixtures.complex_tables(spark)
+    return algebra.homology(gen.where("cx <> 'not a complex'"), bd.where("cx <> 'not a complex'"))
+
+
+@register("select 'x' as cx, 0 as deg, 0::bigint as betti where false")
+def homology_q(spark, sf_dir):
+    return algebra.homology(*fixtures.complex_tables(spark, fixtures.COMPLEXES_Q), "q")
+
+
+@register(typed([("circle", 0, 1), ("circle", 1, 1), ("merge", 0, 1)], "cx, deg, betti", "varchar int bigint"))
+def gaussian_homology(spark, sf_dir):
+    gen, bd = fixtures.complex_tables(spark)
+    return algebra.gaussian_homology(gen.where("cx <> 'not a complex'"), bd.where("cx <> 'not a complex'"))
+
+
+@register(derived.TRADE_SQL)
+def trade_matrix(spark, sf_dir):
+    return derived.trade_matrix(spark, sf_dir)
+
+
+@register()
+def trade_matrix_ranks(spark, sf_dir):
+    m = derived.trade_matrix(spark, sf_dir)
+    f2 = algebra.ranks(m.withColumn("v", F.col("n")), "f2").withColumnRenamed("rank", "rank_f2")
+    return f2.join(algebra.ranks(m, "q_modular").withColumnRenamed("rank", "rank_q"), ["cx", "deg"])
+
+
+# --- grids ---------------------------------------------------------------------------------------------------------
+
+
+def _grids(spark, *names):
+    return fixtures.grid_table(spark, {k: v for k, v in fixtures.GRIDS.items() if k in names} if names else None)
+
+
+@register(typed([(r, i, v) for r, p in enumerate(permutations(range(4))) for i, v in enumerate(p)], "rank, place, value", "bigint int int"))
+def permutation_unrank(spark, sf_dir):
+    """In array expressions: each digit of the factorial number system takes one of what is left."""
+    step = lambda a, i: F.struct(F.filter(a["pool"], lambda v: v != F.get(a["pool"], F.floor(a["rest"] / F.factorial(3 - i)).cast("int"))).alias("pool"), F.concat(a["out"], F.array(F.get(a["pool"], F.floor(a["rest"] / F.factorial(3 - i)).cast("int")))).alias("out"), (a["rest"] % F.factorial(3 - i)).alias("rest"))
+    start = F.struct(F.sequence(F.lit(0), F.lit(3)).alias("pool"), F.array().cast("array<int>").alias("out"), F.col("id").alias("rest"))
+    perm = F.aggregate(F.sequence(F.lit(0), F.lit(3)), start, step, lambda a: a["out"])
+    return spark.range(24).select(F.col("id").alias("rank"), F.posexplode(perm).alias("place", "value"))
+
+
+@register(f"select rank::bigint as rank from {values([(r,) for r in range(24)], 'rank')}")
+def permutation_rank(spark, sf_dir):
+    """Each entry counts the smaller ones after it."""
+    perms = spark.createDataFrame([(list(p),) for p in permutations(range(4))], "p array<int>")
+    digit = F.transform("p", lambda v, i: F.size(F.filter(F.slice("p", i + 1, F.lit(4)), lambda w: w < v)) * F.factorial(3 - i))
+    return perms.select(F.aggregate(digit, F.lit(0).cast("long"), lambda a, x: a + x).alias("rank"))
+
+
+@register(typed(STAIRCASE4, "diagram, m, a, n", "varchar int int bigint"))
+def grading_histogram(spark, sf_dir):
+    return grid.grading_histogram(_grids(spark, "staircase4"))
+
+
+@register(typed([("trefoil", -5, 1), ("trefoil", -4, -5), ("trefoil", -3, 11), ("trefoil", -2, -14), ("trefoil", -1, 11), ("trefoil", 0, -5), ("trefoil", 1, 1)], "diagram, a, chi", "varchar int bigint"))
+def alexander_euler(spark, sf_dir):
+    return grid.alexander_euler(_grids(spark, "trefoil"))
+
+
+@register(typed([("staircase3", 3, 1, 1), ("staircase4", 32, 1, 1), ("trefoil", 150, 1, 1), ("trefoil mirror", 150, 1, 1), ("figure-eight", 1380, 1, 1)], "diagram, entries, drop_m, keeps_a", "varchar bigint int int"))
+def grid_differential(spark, sf_dir):
+    b = grid.grid_boundary(_grids(spark))
+    return b.groupBy("diagram").agg(F.count("*").alias("entries"), F.max(F.col("m") - F.col("m_to")).alias("drop_m"), F.min((F.col("a") == F.col("a_to")).cast("int")).alias("keeps_a"))
+
+
+@register()
+def grid_differential_filtered(spark, sf_dir):
+    return grid.grid_boundary(_grids(spark, "trefoil"), "filtered")
+
+
+@register(typed([("staircase4", -3, -3, 1), ("staircase4", -2, -2, 3), ("staircase4", -1, -1, 3), ("staircase4", 0, 0, 1)], "diagram, m, a, dim", "varchar int int bigint"))
+def grid_poincare(spark, sf_dir):
+    return grid.grid_poincare(_grids(spark, "staircase4"))
+
+
+@register(typed(HFK, "diagram, m, a, rank", "varchar int int bigint"))
+def hfk_hat(spark, sf_dir):
+    return grid.hfk_hat(_grids(spark))
+
+
+@register(typed([("staircase3", 0), ("staircase4", 0), ("trefoil", 1), ("trefoil mirror", 1), ("figure-eight", 1)], "diagram, genus", "varchar int"))
+def seifert_genus(spark, sf_dir):
+    return grid.seifert_genus(_grids(spark))
+
+
+@register(typed([("staircase4", 0), ("trefoil", 1), ("trefoil mirror", -1), ("figure-eight", 0)], "diagram, tau", "varchar int"))
+def tau(spark, sf_dir):
+    return grid.tau(_grids(spark, "staircase4", "trefoil", "trefoil mirror", "figure-eight"))
+
+
+@register(typed([(k, None) for k in fixtures.GRIDS] + [("twice", "not permutations"), ("shared", "two markers in one cell")], "diagram, verdict", "varchar varchar"))
+def grid_validate(spark, sf_dir):
+    g = fixtures.grid_table(spark, fixtures.GRIDS | {"twice": ([0, 0], [1, 1]), "shared": ([0, 1], [0, 1])})
+    return g.select("diagram", grid.grid_verdict(F.col("n"), F.col("o"), F.col("x")).alias("verdict"))
+
+
+# --- text ----------------------------------------------------------------------------------------------------------
+
+
+@register(typed([("K11n34", "11n_34"), ("11a12", "11a_12"), ("10_124", "10_124"), (" 3_1 ", "3_1"), ("K12a1", "12a_1"), ("11n_34", "11n_34"), ("", "")], "raw, name", "varchar varchar"))
+def normalize_names(spark, sf_dir):
+    return spark.createDataFrame([(n,) for n in fixtures.NAMES], "raw string").select("raw", text.normalize_name(F.col("raw")).alias("name"))
+
+
+@register(typed([("3_1 mirror", 0, 1, 1), ("3_1 mirror", 0, 3, 1), ("3_1 mirror", 2, 5, 1), ("3_1 mirror", 3, 9, 1), ("3_1 mirror", 3, 7, 1), ("3_1 mirror", 2, 7, 1), ("unknot", 0, -1, 1), ("unknot", 0, 1, 1)], "diagram, i, j, dim", "varchar int int bigint"))
+def uct_mod2(spark, sf_dir):
+    return text.khovanov_mod2(text.khovanov_rows(fixtures.text_table(spark, fixtures.KH_VECTORS)))
+
+
+@register(typed([("unknot", 0, 1, 1), ("unknot", 0, -1, 1)], "diagram, i, j, dim", "varchar int int bigint"))
+def mirror_table(spark, sf_dir):
+    return text.mirrored(text.khovanov_mod2(text.khovanov_rows(fixtures.text_table(spark, {"unknot": fixtures.KH_VECTORS["unknot"]}))))
+
+
+@register(typed([("trefoil", 1, 1), ("trefoil", 3, 1), ("trefoil", 4, -1), ("figure-eight", -2, 1), ("figure-eight", -1, -1), ("figure-eight", 0, 1), ("figure-eight", 1, -1), ("figure-eight", 2, 1), ("5_2", 1, 1), ("5_2", 2, -1), ("5_2", 3, 2), ("5_2", 4, -1), ("5_2", 5, 1), ("5_2", 6, -1)], "diagram, exp, coef", "varchar int bigint"))
+def laurent_parse(spark, sf_dir):
+    return text.laurent_terms(fixtures.text_table(spark, fixtures.LAURENT))
+
+
+@register(typed([("3_1", 0, 1, 1), ("3_1", 0, 3, 1), ("3_1", 2, 5, 1), ("3_1", 3, 9, 1), ("torsion", 3, 7, 1), ("multiple", -1, -3, 2), ("multiple", 0, -1, 1)], "diagram, i, j, dim", "varchar int int bigint"))
+def khovanov_poly_parse(spark, sf_dir):
+    return text.khovanov_terms(fixtures.text_table(spark, fixtures.KH_POLYNOMIALS))
+
+
+@register(typed([("a", c) for c in (0, 1, 2, 3, 8)] + [("b", 5)] + [("c", c) for c in (0, 1, 4, 5)], "diagram, core", "varchar int"))
+def cpulist_parse(spark, sf_dir):
+    return fixtures.text_table(spark, fixtures.CPULISTS).select("diagram", F.explode(text.cpulist(F.col("text"))).alias("core"))
+
+
+@register(typed([("b", 3), ("a", 4)], "name, n", "varchar int"))
+def floer_roster_filter(spark, sf_dir):
+    rows = [("a", "[[1,1],[1,2],[2,2],[2,3],[3,3],[3,4],[4,4],[4,1]]", "x", "0"), ("b", "[[1,1],[1,2],[2,2],[2,3],[3,3],[3,1]]", "x", "0"), ("c", "", "x", "0"), ("d", "[[1,1],[1,2]]", "does not exist", "0")]
+    t = spark.createDataFrame(rows, "name string, grid string, hfk string, tau string")
+    keep = t.where(text.blank_as_null(F.col("grid")).isNotNull() & text.blank_as_null(F.col("hfk")).isNotNull() & text.blank_as_null(F.col("tau")).isNotNull())
+    return keep.select("name", F.expr("size(from_json(grid, 'array<array<int>>')) div 2").cast("int").alias("n")).where("n <= 8").orderBy("n", "name")
+
+
+# --- plans ---------------------------------------------------------------------------------------------------------
+
+NATION_GEN = "select c_mktsegment as cx, (c_nationkey % 4)::int as deg, count(*) as dim from customer group by 1, 2"
+BLOCK_SQL = f"""gen as ({NATION_GEN}), b as (select g.cx, g.deg, g.dim as cols, coalesce(h.dim, 0) as rows from gen g left join gen h on g.cx = h.cx and h.deg = g.deg + 1),
+c as (select *, case when cols <= 0 or rows <= 0 then 0 else (cols + least(cols, rows)) * ((rows + 63) // 64) * 8 end as bytes, case when cols <= 0 or rows <= 0 then 0 else cols * least(cols, rows) * ((rows + 63) // 64) end as ops from b)"""
+
+
+def _segment_gen(spark, sf_dir):
+    c = derived.read(spark, sf_dir, "customer")
+    return c.groupBy(F.col("c_mktsegment").alias("cx"), F.expr("cast(c_nationkey % 4 as int)").alias("deg")).agg(F.count("*").alias("dim"))
+
+
+@register(f"with {BLOCK_SQL} select cx, deg, cols, rows::bigint as rows, bytes::bigint as bytes, ops::bigint as ops from c")
+def block_cost(spark, sf_dir):
+    return cost.blocks(_segment_gen(spark, sf_dir))
+
+
+@register(f"with {BLOCK_SQL} select cx, sum(cols)::bigint as total_dim, max(bytes)::bigint as peak_bytes, arg_max(deg, (bytes, -deg))::int as peak_deg, sum(ops)::bigint as ops from c group by 1")
+def predicted_size(spark, sf_dir):
+    return cost.predicted_size(_segment_gen(spark, sf_dir))
+
+
+@register(f"with {BLOCK_SQL} select cx, max(bytes)::bigint as peak_bytes, (10 * 1048576 + floor(max(bytes) * 0.5))::bigint as bitint_bytes, (40 * 1048576 + max(bytes))::bigint as unknown_bytes from c group by 1")
+def reduce_host_bytes(spark, sf_dir):
+    s = cost.predicted_size(_segment_gen(spark, sf_dir))
+    return s.select("cx", "peak_bytes", cost.host_bytes(F.col("peak_bytes"), F.lit("bitint")).alias("bitint_bytes"), cost.host_bytes(F.col("peak_bytes"), F.lit("other")).alias("unknown_bytes"))
+
+
+@register(f"with {BLOCK_SQL}, p as (select cx, max(bytes)::bigint as peak_bytes from c group by 1) select cx, peak_bytes, case when peak_bytes <= 65536 and peak_bytes >= 16384 then 'packed-gpu' else 'bitint' end as backend, peak_bytes <= 65536 as fits_gpu from p")
+def route_backend(spark, sf_dir):
+    return cost.routed(cost.predicted_size(_segment_gen(spark, sf_dir)), gpu_bytes=65536, gpu_least=16384).select("cx", "peak_bytes", "backend", "fits_gpu")
+
+
+@register()
+def grading_peaks(spark, sf_dir):
+    return cost.batch_bytes(grid.grading_histogram(_grids(spark, "staircase4", "trefoil")))
+
+
+PATHS = [("fits", 0, "cpu_pinned", 2, 50, 0), ("device", 0, "gpu", 1, 10, 100), ("device", 1, "cpu_unpinned", 4, 10, 0), ("wide", 0, "cpu_pinned", 3, 10, 0), ("big", 0, "cpu_unpinned", 1, 2048, 0), ("big", 1, "cpu_pinned", 1, 2048, 0)]
+
+
+def _machine(spark):
+    return spark.createDataFrame([(0, [0, 1], 100), (1, [2, 3], 200)], "node int, cores array<int>, ram long")
+
+
+def _paths(spark):
+    return spark.createDataFrame(PATHS, "job string, ord int, placement string, cores int, ram long, vram long")
+
+
+@register(typed([("fits", True, 0, None), ("device", True, 1, None), ("wide", False, None, "cpu_pinned exceeds_cores: needs 3 cores, has 2"), ("big", False, None, "cpu_unpinned exceeds_ram: needs 2.0 KiB, has 250 B; cpu_pinned exceeds_ram: needs 2.0 KiB, has 250 B")], "job, feasible, path, gaps", "varchar boolean int varchar"))
+def job_feasibility(spark, sf_dir):
+    gaps = placement.capability_gaps(_paths(spark), _machine(spark), spark.createDataFrame([], "vram long"), 250)
+    return placement.job_feasibility(gaps)
+
+
+@register(typed([(0, 1, 60), (1, 2, 150), (1, 3, 150)], "node, core, free_ram", "int int bigint"))
+def ledger_free(spark, sf_dir):
+    used = spark.createDataFrame([("a", 0, [0], 40, 10), ("b", 1, [], 30, 50)], "job string, node int, cores array<int>, declared long, actual long")
+    f = placement.free_resources(_machine(spark), used)
+    return f.select("node", F.explode("free_cores").alias("core"), "free_ram")
+
+
+PARTS_SQL = "needs as (select distinct 's' || l_suppkey as job, 'p' || l_partkey as dep from lineitem where l_partkey % 50 = 0 and l_quantity > 45)"
+
+
+def _needs(spark, sf_dir):
+    l = derived.read(spark, sf_dir, "lineitem").where("l_partkey % 50 = 0 and l_quantity > 45")
+    return l.select(F.concat(F.lit("s"), "l_suppkey").alias("job"), F.concat(F.lit("p"), "l_partkey").alias("dep")).distinct()
+
+
+@register(f"with {PARTS_SQL}, done as (select distinct dep as job from needs where substr(dep, 2)::int % 100 = 0) select distinct job from needs n where not exists (select 1 from needs m where m.job = n.job and m.dep not in (select job from done))")
+def dag_ready(spark, sf_dir):
+    n = _needs(spark, sf_dir)
+    return placement.ready_jobs(n.select("job").distinct(), n, n.where("cast(substring(dep, 2) as int) % 100 = 0").select(F.col("dep").alias("job")).distinct())
+
+
+@register(f"""with recursive {PARTS_SQL}, sym as (select job as a, dep as b from needs union select dep, job from needs),
+reach as (select a, a as b from sym union select r.a, s.b from reach r join sym s on r.b = s.a) select a as node, min(b) as root from reach group by 1""")
+def dag_components(spark, sf_dir):
+    return placement.lineage_components(_needs(spark, sf_dir))
+
+
+@register("""with x as (select event_type as placement, value / (1 + event_id % 7) as x, row_number() over (partition by event_type order by ts) as k, count(*) over (partition by event_type) as n from events)
+select placement, round(sum(0.3 * pow(0.7, n - k) * x) + max(case when k = 1 then x end) * pow(0.7, max(n)), 6) as rate, max(n)::bigint as n from x group by 1""")
+def ewma_calibration(spark, sf_dir):
+    e = derived.read(spark, sf_dir, "events").select("ts", F.col("event_type").alias("placement"), (1 + F.col("event_id") % 7).alias("cost"), F.col("value").alias("seconds"))
+    return calibration.ewma_rates(e).withColumn("rate", F.round("rate", 6))
+
+
+@register(typed([(50, 0.0, "fresh"), (49, None, "warm"), (10, 10.0, "fresh"), (10, 9.9, "warm")], "vram, seconds, route", "int double varchar"))
+def route_execution(spark, sf_dir):
+    t = spark.createDataFrame([(50, 0.0), (49, None), (10, 10.0), (10, 9.9)], "vram int, seconds double")
+    return t.withColumn("route", placement.execution_route(F.col("vram"), F.lit(100), F.col("seconds"), F.lit(1.0)))
+
+
+@register(typed([("a", "pass"), ("b", "mirror"), ("c", "mismatch")], "diagram, verdict", "varchar varchar"))
+def verdict(spark, sf_dir):
+    s = "diagram string, i int, j int, dim long"
+    native = spark.createDataFrame([("a", 1, 2, 1), ("b", 1, 2, 1), ("b", 0, 1, 1), ("c", 1, 2, 1)], s)
+    return contract.verdicts(native, spark.createDataFrame([("a", 1, 2, 1), ("b", -1, -2, 1), ("b", 0, -1, 1), ("c", 1, 3, 1)], s))
+
+
+@register("""select event_type as tool, 'x' as invariant,
+case min(case when value < 5 then 1 when value < 30 then 2 when value < 90 then 3 else 4 end) when 1 then 'mismatch' when 2 then 'mirror' when 3 then 'pass' else 'oracle' end as verdict from events group by 1""")
+def report_worst_verdict(spark, sf_dir):
+    e = derived.read(spark, sf_dir, "events")
+    v = F.when(F.col("value") < 5, "mismatch").when(F.col("value") < 30, "mirror").when(F.col("value") < 90, "pass").otherwise("oracle")
+    return contract.worst_verdicts(e.select(F.col("event_type").alias("tool"), F.lit("x").alias("invariant"), v.alias("verdict")))
+
+
+@register("""with b as (select event_type as tool, user_id % 50 as d, min(value) as s from events group by 1, 2) select tool, 'x' as invariant, round(quantile_cont(s, 0.5) * 1000, 6) as ms from b group by 1""")
+def median_timing(spark, sf_dir):
+    e = derived.read(spark, sf_dir, "events").select(F.col("event_type").alias("tool"), F.lit("x").alias("invariant"), (F.col("user_id") % 50).alias("diagram"), F.col("value").alias("seconds"))
+    return contract.median_ms(e).withColumn("ms", F.round("ms", 6))
+
+
+@register(typed([("3_1", "jones_polynomial", "[[1,1],[3,1],[4,-1]]", "spark", "pass", True), ("4_1", "jones_polynomial", "[[-2,1],[-1,-1],[0,1],[1,-1],[2,1]]", "spark", "not_available", False)], "diagram, invariant, value, method, known_answer_check, validated", "varchar varchar varchar varchar varchar boolean"))
+def compute_contract(spark, sf_dir):
+    known = spark.createDataFrame([("3_1", "[[1,1],[3,1],[4,-1]]")], "diagram string, value string")
+    return contract.compute(fixtures.pd_table(spark).where("diagram in ('3_1', '4_1')"), "jones_polynomial", known)
+
