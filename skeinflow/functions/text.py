@@ -51,7 +51,7 @@ def mirrored(table: DataFrame) -> DataFrame:
 def laurent_terms(texts: DataFrame, var: str = "t") -> DataFrame:
     """(diagram, exp, coef) of Laurent polynomials in one variable; like terms add up, zeros dropped."""
     clean = F.regexp_replace(F.regexp_replace("text", r"[\s*()]", ""), rf"{var}\^", f"{var}")
-    terms = texts.select("diagram", F.explode(F.regexp_extract_all(clean, F.lit(rf"([+-]?(?:[0-9]*{var}-?[0-9]*|[0-9]+))"), 1)).alias("term")).where("term <> ''")
+    terms = texts.select("diagram", F.explode(F.regexp_extract_all(clean, F.lit(rf"([+-]?(?:[0-9]*{var}(?:-?[0-9]+)?|[0-9]+))"), 1)).alias("term")).where("term <> ''")
     head = F.regexp_extract("term", rf"^([+-]?[0-9]*){var}?", 1)
     coef = F.when(head.isin("", "+"), 1).when(head == "-", -1).otherwise(head.try_cast("int"))
     power = F.regexp_extract("term", rf"{var}(-?[0-9]*)$", 1)
