@@ -92,9 +92,10 @@ def end_of_central(f: Ranged) -> tuple[int, int, int]:
     """(entries, size, offset) of the central directory, from its end record or, where that is full, the ZIP64 one."""
     tail_at = max(0, f.size - 22 - FULL16)
     tail = f.read(tail_at, f.size - tail_at)
-    at = tail.rfind(END)
+    # A comment may hold the signature too: the record's comment ends where the file does.
+    at = tail.rfind(END, 0, len(tail) - 18)
     while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
-        at = tail.rfind(END, 0, at)
+        at = tail.rfind(END, 0, at + 3)
     if at < 0:
         raise ValueError("no end of a central directory: not a ZIP file")
     entries, size, offset = struct.unpack_from("<HII", tail, at + 10)
