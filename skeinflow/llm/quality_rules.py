@@ -10,6 +10,8 @@ from skeinflow.llm.base import own, quoted, staged
 SPACE = r"[\x20\x09-\x0D]+"
 #: Share of failing documents above which a host fails, of any one rule, after shrinking.
 HOST_LIMIT = 0.6
+#: Bytes of host names up to which host verdicts are broadcast; beyond, they are joined by a shuffle.
+MOST_BROADCAST = 16 << 20
 #: Rules that count by host beside the base rules; each over the columns of text_counts().
 SOFT_RULES = {
     "few_words": "n_words < 10",
@@ -84,6 +86,13 @@ def host_verdicts(counted: DataFrame, source: str = "source", limit: float = HOS
     return per.join(F.broadcast(prior)).select("__s", (F.greatest(*worst, F.lit(0.0)) <= limit).alias("__host_ok"))
 
 
+def with_verdicts(counted: DataFrame, source: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
+    """counted with __host_ok: null for a document without a source. Verdicts are broadcast if their size, measured, allows it."""
+    hosts = staged(host_verdicts(counted, source, limit), "hosts")
+    size = hosts.agg(F.sum(F.octet_length("__s") + 16)).first()[0] or 0
+    return counted.join(F.broadcast(hosts) if size <= MOST_BROADCAST else hosts, F.col(quoted(source)) == F.col("__s"), "left").drop("__s")
+
+
 def judge_quality(docs: DataFrame, text: str = "text", source: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept (a taken name gets a _).
 
@@ -92,9 +101,7 @@ def judge_quality(docs: DataFrame, text: str = "text", source: str = "source", l
     Each row of the input is one row of the result; an empty table gives none.
     """
     names = own(docs, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    counted = staged(with_counts(docs, text), "counts")
-    hosts = host_verdicts(counted, source, limit)
-    out = counted.join(hosts, counted[quoted(source)] == hosts["__s"], "left")
+    out = with_verdicts(staged(with_counts(docs, text), "counts"), source, limit)
     failed = F.expr("`__c`.n_words < 10 or 100 * `__c`.n_repeat_words > 20 * `__c`.n_words")
     values = [F.col(f"__c.{n}") for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [failed, ~failed & F.coalesce("__host_ok", F.lit(True))]
     return out.select(*(F.col(quoted(c)) for c in docs.columns), *(v.alias(n) for n, v in zip(names, values, strict=True)))
@@ -103,9 +110,8 @@ def judge_quality(docs: DataFrame, text: str = "text", source: str = "source", l
 def op7_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     counted = staged(with_counts(docs.select("doc_id", "text", "source")).drop("text"), "counts")
-    hosts = host_verdicts(counted)
     failed = F.expr(BASE_FAILED)
-    out = counted.join(hosts, counted["source"] == hosts["__s"], "left").select("doc_id", "__c.*", "__host_ok")
+    out = with_verdicts(counted).select("doc_id", "__c.*", "__host_ok")
     out = out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.coalesce("__host_ok", F.lit(True)))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
