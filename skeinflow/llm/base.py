@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,15 +11,27 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows and bytes of an Arrow batch at most. Texts are long; both ends of a pipe hold a batch, for each core.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 _STAGED: list[tuple[SparkSession, str, str]] = []
 _OWNER = [""]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, unless they are smaller already."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a local one where it is unset, as in tests."""
+    small_batches(spark)
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='skeinflow-')}"
+        local = tempfile.mkdtemp(prefix="skeinflow-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        path = f"file://{local}"
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 

@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinflow.llm.base import own, quoted
+from skeinflow.llm.base import own, quoted, small_batches
 from skeinflow.llm.kernels import ALNUM, Words, pieces, ranges
 
 U = np.uint64
 #: Words of a window; bytes of text in a shard's index; words of the benchmark that one block of phrases holds.
-WINDOW, SHARD, BLOCK_WORDS = 10, 8 << 20, 1 << 20
+WINDOW, SHARD, BLOCK_WORDS = 10, 4 << 20, 1 << 20
 #: One of so many text positions is kept as a sample.
 SAMPLE = 8
 
@@ -236,6 +236,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     Words are compared as 64-bit hashes.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     names = own(docs, "n_words", "hit_spans", "item_ids", "contaminated", "clean_text")
     blocks = [spark.sparkContext.broadcast(b) for b in phrase_blocks(benchmark, item_id, item_text, k)]
     extra = [("n_words", pa.int64()), ("hit_spans", pa.list_(pa.list_(pa.int32()))), ("item_ids", pa.list_(pa.string())), ("contaminated", pa.bool_())] + [("clean_text", pa.string())] * clean

@@ -6,6 +6,7 @@ definitions used here are ASCII, so that bytes of longer UTF-8 sequences never n
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ U = np.uint64
 #: Odd multipliers of the polynomial hashes (bytes to words; words to windows, twice).
 BYTE_BASE, WORD_BASE, WORD_BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 #: Bytes of text that a kernel works on at once. A longer single text is worked on alone.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 #: Words [^\x20\x09-\x0D]+
 SPACED = np.ones(256, bool)
@@ -68,6 +69,14 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def trim() -> None:
+    """Give freed memory back: a worker lives on after its task, beside others."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release:
+        release(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in pieces of at most so many bytes of text, or of one row."""
     for batch in batches:
@@ -79,6 +88,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK) -
             to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    trim()
 
 
 class Words:

@@ -17,7 +17,7 @@ U = np.uint64
 #: Words of a window, and of the part of it that stands for it in the sketch.
 WINDOW, PART = 35, 12
 #: Bytes of text that a task looks at together; keys that it holds before it writes a sketch.
-PIECE, KEYS = 8 << 20, 1 << 21
+PIECE, KEYS = 4 << 20, 1 << 21
 SKETCH = "block int, once binary, more binary"
 FOUND = "bucket int, keys binary, doc binary, pos binary, stop binary, docs binary"
 SPANS = "text_id binary, spans binary"
