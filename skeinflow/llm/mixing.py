@@ -14,6 +14,8 @@ from skeinflow.llm.base import quoted, staged
 #: Words of a block, slots of an output shard, share of all words that is taken, uses of a word at most.
 BLOCK, SLOTS, SHARE, REPEATS = 128, 8192, 1.5, 2
 WEIGHTS = (3.0, 1.0, 2.0)
+#: Spans of slots, one for each shard and source that fills some, that the driver draws at most: shards grow beyond that.
+MOST_SPANS, MOST_SHARDS = 1 << 20, 1 << 12
 #: Buckets that each source's documents are dealt to for running sums.
 BUCKETS = 1024
 #: Sources are a mixture's configuration: their sizes and targets are worked out on the driver.
@@ -105,7 +107,8 @@ def mix_plan(spark: SparkSession, rows: DataFrame, source: str, weights: Sequenc
         table.append((r.s, i, int(r.n), float(g), n, a, b))
     sources = spark.createDataFrame(table, "s string, no int, source_size long, target double, blocks long, a long, b long")
     spans, done = [], [0] * len(table)
-    for shard, counts in enumerate(shard_draws(slots, seed=seed)):
+    per_shard = max(SLOTS, -(-sum(slots) // max(1, min(MOST_SHARDS, MOST_SPANS // max(1, len(table))))))
+    for shard, counts in enumerate(shard_draws(slots, per_shard, seed)):
         for i, c in enumerate(counts):
             if c:
                 spans.append((shard, i, done[i], done[i] + c))
@@ -113,7 +116,10 @@ def mix_plan(spark: SparkSession, rows: DataFrame, source: str, weights: Sequenc
     spans = spark.createDataFrame(spans, "shard int, no int, first long, after long").repartition(max(1, min(len(spans), 1 + sum(slots) // 100_000)))
     # a * j mod n in decimals: both are below 2**63, their product is not.
     spot = (F.col("a").cast("decimal(19,0)") * F.pmod("j", "blocks").cast("decimal(19,0)") + F.col("b")) % F.col("blocks")
-    drawn = spans.join(F.broadcast(sources.select("no", "blocks", "a", "b")), "no").select("shard", "no", "blocks", "a", "b", F.explode(F.sequence("first", F.col("after") - 1)).alias("j"))
+    drawn = spans.join(F.broadcast(sources.select("no", "blocks", "a", "b")), "no")
+    # In two steps, so that no row holds a long array.
+    drawn = drawn.withColumn("from", F.explode(F.sequence("first", F.col("after") - 1, F.lit(1 << 16).cast("long"))))
+    drawn = drawn.select("shard", "no", "blocks", "a", "b", F.explode(F.sequence("from", F.least(F.col("from") + (1 << 16), F.col("after")) - 1)).alias("j"))
     return sources, drawn.select("shard", F.col("j").alias("slot"), "no", spot.cast("long").alias("block"))
 
 
