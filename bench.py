@@ -30,12 +30,13 @@ def main() -> None:
     done = lambda df: df.write.format("noop").mode("overwrite").save()
     braids = derived.order_braids(spark, SF_DIR)
     work = {
-        "jones_batch": (lambda: cube.jones_batch(ladder(spark, COPIES)), 5 * COPIES),
+        "jones_batch": (lambda: cube.jones_batch(ladder(spark, COPIES), remember=False), 5 * COPIES),
         "jones_native": (lambda: cube.jones_polynomial(ladder(spark, 100)), 500),
         "braid_invariants": (lambda: classical.braid_invariants(braids), None),
         "seifert_matrix": (lambda: classical.seifert_matrix(derived.order_letters(spark, SF_DIR)), None),
-        "khovanov_f2": (lambda: khovanov.khovanov_homology(ladder(spark, 20)), 100),
-        "khovanov_q": (lambda: khovanov.khovanov_homology(ladder(spark, 20), "q"), 100),
+        "khovanov_f2_batch": (lambda: khovanov.khovanov_batch(ladder(spark, 400)), 2000),
+        "khovanov_q_batch": (lambda: khovanov.khovanov_batch(ladder(spark, 200), "q"), 1000),
+        "khovanov_f2": (lambda: khovanov.khovanov_homology(ladder(spark, 10)), 50),
         "rasmussen_s": (lambda: khovanov.rasmussen_s(ladder(spark, 5)), 25),
         "hfk_hat": (lambda: grid.hfk_hat(fixtures.grid_table(spark)), len(fixtures.GRIDS)),
         "grid_histogram_n8": (lambda: grid.grading_histogram(fixtures.grid_table(spark, {"staircase8": fixtures.staircase(8)})), 1),

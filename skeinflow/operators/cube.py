@@ -66,8 +66,8 @@ def canonical(poly: DataFrame) -> DataFrame:
 # --- the batch kernel ----------------------------------------------------------------------------------------------
 
 
-def circles_of(pd_code: np.ndarray) -> np.ndarray:
-    """Circles of all 2^c states: states double crossing by crossing, each half joined its own way; labels are columns."""
+def labels_of(pd_code: np.ndarray) -> np.ndarray:
+    """Least arcs (from 0) of all arcs' circles in all 2^c states: states double crossing by crossing, each half joined its own way."""
     c = len(pd_code)
     labels = np.arange(2 * c, dtype=np.int8 if c < 60 else np.int16)[None]
     for a, b, x, d in pd_code - pd_code.min():
@@ -80,19 +80,24 @@ def circles_of(pd_code: np.ndarray) -> np.ndarray:
                 half = np.where(half == hi[:, None], lo[:, None], half)
             halves.append(half)
         labels = np.concatenate(halves)
-    # A circle is counted at its least arc.
-    return (labels == np.arange(2 * c, dtype=labels.dtype)).sum(1)
+    return labels
+
+
+def circles_of(pd_code: np.ndarray) -> np.ndarray:
+    """Circles of all states; each is counted at its least arc."""
+    labels = labels_of(pd_code)
+    return (labels == np.arange(labels.shape[1], dtype=labels.dtype)).sum(1)
 
 
 _PLANS: dict[tuple, dict[int, int]] = {}
 
 
-def jones_of(pd_code: list[list[int]]) -> dict[int, int]:
-    """{exponent: coefficient}; the same code is worked out once by a worker."""
+def jones_of(pd_code: list[list[int]], remember: bool = True) -> dict[int, int]:
+    """{exponent: coefficient}; the same code is worked out once by a worker that remembers."""
     if not pd_code:
         return {0: 1}
     code = tuple(map(tuple, pd_code))
-    if code in _PLANS:
+    if remember and code in _PLANS:
         return _PLANS[code]
     p = np.array(pd_code)
     c, n2 = len(p), 2 * len(p)
@@ -110,17 +115,17 @@ def jones_of(pd_code: list[list[int]]) -> dict[int, int]:
             e = c - 2 * int(b) + 2 * m - 4 * i - 3 * w
             out[e // 4] = out.get(e // 4, 0) + (-1) ** (m + w) * int(table[b, k]) * comb(m, i)
     out = {e: v for e, v in sorted(out.items()) if v}
-    if len(_PLANS) < 4096:
+    if remember and len(_PLANS) < 4096:
         _PLANS[code] = out
     return out
 
 
-def jones_batch(pds: DataFrame) -> DataFrame:
+def jones_batch(pds: DataFrame, remember: bool = True) -> DataFrame:
     """(diagram, exp, coef) by the kernel: no state leaves the worker, nothing is shuffled."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = [(d, e, v) for d, code in zip(batch["diagram"], batch["pd"], strict=True) for e, v in jones_of([list(map(int, x)) for x in code]).items()]
+            got = [(d, e, v) for d, code in zip(batch["diagram"], batch["pd"], strict=True) for e, v in jones_of([list(map(int, x)) for x in code], remember).items()]
             yield pd.DataFrame(got, columns=["diagram", "exp", "coef"])
 
     return pds.select("diagram", "pd").mapInPandas(work, pds.select("diagram", F.lit(0).alias("exp"), F.lit(0).cast("long").alias("coef")).schema)

@@ -30,7 +30,7 @@ def compute(diagrams: DataFrame, invariant: str, known: DataFrame | None = None,
     elif name == "jones_polynomial":
         got = rows(cube.jones_batch(diagrams), "exp", "coef")
     elif name in ("khovanov_homology", "rational_khovanov_homology"):
-        got = rows(khovanov.khovanov_homology(diagrams, "q" if name[0] == "r" else "f2"), "i", "j", "dim")
+        got = rows(khovanov.khovanov_batch(diagrams, "q" if name[0] == "r" else "f2"), "i", "j", "dim")
     elif name == "rasmussen_s":
         got = one(khovanov.rasmussen_s(diagrams), "s")
     elif name == "hfk_hat":

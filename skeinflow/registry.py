@@ -215,6 +215,16 @@ def khovanov_q(spark, sf_dir):
     return khovanov.khovanov_homology(fixtures.pd_table(spark).where("diagram <> '5_2'"), "q")
 
 
+@register(typed(counted(KHOVANOV), "diagram, i, j, dim", "varchar int int bigint"))
+def khovanov_f2_batch(spark, sf_dir):
+    return khovanov.khovanov_batch(fixtures.pd_table(spark))
+
+
+@register(typed(counted(KHOVANOV_Q), "diagram, i, j, dim", "varchar int int bigint"))
+def khovanov_q_batch(spark, sf_dir):
+    return khovanov.khovanov_batch(fixtures.pd_table(spark).where("diagram <> '5_2'"), "q")
+
+
 @register(typed([(d, 0, 2) for d in fixtures.PD], "diagram, i, dim", "varchar int bigint"))
 def lee_homology(spark, sf_dir):
     return khovanov.lee_homology(fixtures.pd_table(spark))

@@ -69,6 +69,12 @@ def test_khovanov_is_a_complex_and_categorifies_jones(spark):
     assert chi == {(r.diagram, r.j): r.chi for r in khovanov.euler_characteristic(pds).collect()}
 
 
+@pytest.mark.parametrize("field", ["f2", "q"])
+def test_khovanov_kernel_agrees(spark, field):
+    pds = fixtures.pd_table(spark, fixtures.PD | {"T(2,7)": fixtures.torus_pd(7), "unknot": []})
+    assert {tuple(r) for r in khovanov.khovanov_batch(pds, field).collect()} == {tuple(r) for r in khovanov.khovanov_homology(pds, field).collect()}
+
+
 def test_torus_grids(spark):
     g = fixtures.grid_table(spark, {"T(2,3)": fixtures.torus_grid(2, 3), "T(2,5)": fixtures.torus_grid(2, 5)})
     hfk = {tuple(r) for r in grid.hfk_hat(g).collect()}
