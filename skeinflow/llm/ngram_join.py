@@ -23,18 +23,20 @@ from pyspark.sql import types as T
 
 from skeinflow.llm.base import own, quoted, staged
 from skeinflow.llm.components import connected_components
-from skeinflow.llm.kernels import Words, mix, pieces, ranges, starts_of, windows
+from skeinflow.llm.kernels import Words, mix, pieces, ranges, trim, windows
 from skeinflow.llm.sketches import bits_for, maybe_repeated, merged, partial_rows
 
 U = np.uint64
+#: Keys of 8 bytes that are broadcast at most; more are joined by a shuffle.
+MOST_BROADCAST = 1 << 20
 #: Words of a shingle; per cent of the union that linked sets share.
 SHINGLE, PERCENT = 3, 90
 #: Bytes of text that a task deals with together; sets that are compared all with all; pivots of a region.
-PIECE, LEAF, PIVOTS = 16 << 20, 256, 8
+PIECE, LEAF, PIVOTS = 4 << 20, 256, 8
 #: Bytes of sets of a region beyond which Spark splits it, and rounds in which it tries.
 REGION_BYTES, ROUNDS = 32 << 20, 6
-#: Sets farther than this from all pivots form a region of their own.
-FAR = 0.8
+#: Shingles in so many sets, and in such a part of them, are common; of common ones so many are told apart at most.
+COMMON, COMMON_PART, MOST_COMMON = 64, 1 / 400, 200_000
 
 
 # --- sets ----------------------------------------------------------------------------------------------------------
@@ -87,19 +89,24 @@ def most_apart(hi: int, percent: int) -> int:
     return 2 * (hi - 1) * (100 - percent) // (100 + percent)
 
 
-def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+def signatures(s: np.ndarray, percent: int = PERCENT, common: np.ndarray | None = None) -> np.ndarray:
     """Hashes of the set's classes. Linked sets that aren't equal have one in common.
 
     Sets meet in the band of the larger one: a set signs for its own band and for those of the larger sizes that it may
     be linked to. There are more classes than differences by some to spare, so that among the equal ones is one that
-    isn't empty; a set with more empty classes than those to spare signs for its empty ones too.
+    isn't empty. Common shingles (sorted hashes) are left out of classes at first: what is left of linked sets differs
+    in no more. A set with more empty classes than those to spare, as its linked ones must have too where only empty
+    classes are equal, signs with all its shingles as well, and then for empty classes too if it must.
     """
     n, out = len(s), []
     if not n:
         return np.zeros(0, U)
+    rare = s
+    if common is not None and len(common):
+        rare = s[common[np.minimum(np.searchsorted(common, s), len(common) - 1)] != s]
     top = n * 100 // percent
-    bands = {band_of(n), band_of(top)}
     at = band_of(n)
+    bands = {at}
     while at[2] <= top:
         at = band_of(at[2])
         bands.add(at)
@@ -109,15 +116,36 @@ def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
             continue
         spare = spare_classes(max(1, lo * percent // 100), apart)
         m = apart + 1 + spare
-        c = (mix(s ^ U(band + 1)) % U(m)).astype(np.int64)
-        value = np.zeros(m, U)
-        np.add.at(value, c, mix(s + U(0x632BE59BD9B4E019)))
-        count = np.bincount(c, minlength=m)
-        sign = mix(value + mix(np.arange(m, dtype=U) + U(band << 32)) + count.astype(U))
-        out.append(sign if (count == 0).sum() > spare else sign[count > 0])
+        for turn, part in enumerate((rare, s)):
+            c = (mix(part ^ U(band + 1)) % U(m)).astype(np.int64)
+            value = np.zeros(m, U)
+            np.add.at(value, c, mix(part + U(0x632BE59BD9B4E019)))
+            count = np.bincount(c, minlength=m)
+            sign = mix(value + mix(np.arange(m, dtype=U) + U(band << 32 | turn << 31)) + count.astype(U))
+            few = (count == 0).sum() <= spare
+            out.append(sign if turn and not few else sign[count > 0])
+            if few:
+                break
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
+def common_shingles(sets: DataFrame) -> np.ndarray:
+    """Sorted hashes of shingles that many sets (node, elements) have. It only spares candidates: any list would do.
+
+    Tasks send what they see four times or more; the most frequent reach the driver, MOST_COMMON at most.
+    """
+
+    def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in sets_as_given(batches):
+            if held:
+                tokens, n = np.unique(np.concatenate(list(held.values())), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[n > 3].view(np.int64)), pa.array(n[n > 3])], ["token", "n"])
+
+    least = max(COMMON, int(sets.count() * COMMON_PART))
+    seen = sets.select("node", "elements").mapInArrow(see, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.sort(np.array([r.token for r in seen.orderBy(F.desc("n"), "token").limit(MOST_COMMON).collect()], np.int64).view(U))
+
+
 SIGNED = "bucket int, signs binary, keys binary, ends binary"
 
 
@@ -157,7 +185,7 @@ def sets_of_texts(column: str, k: int) -> Callable:
 
 
 def sets_as_given(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, np.ndarray]]:
-    """For not_alone(): rows (node, elements) as {key: set}, 16 MB or so together."""
+    """For not_alone(): rows (node, elements) as {key: set}, 4 MB or so together."""
     held, size = {}, 0
     for batch in batches:
         for key, raw in zip(batch.column("node").to_pylist(), batch.column("elements"), strict=True):
@@ -228,18 +256,21 @@ def not_alone(rows: DataFrame, groups: Callable, percent: int, buckets: int, sha
                 else:
                     who.append(np.frombuffer(d, np.int32)), times.append(np.frombuffer(c, np.int32))
         lone = np.bincount(np.concatenate(who), np.concatenate(times), len(keys))
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array(keys[lone <= spare])], ["node"])
 
     counted = rows.mapInArrow(send, TOKENS).groupBy("bucket").applyInArrow(count, COUNTS)
     return counted.groupBy("chunk").applyInArrow(settle, "node long")
 
 
-def candidate_edges(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
+def candidate_edges(sets: DataFrame, percent: int, buckets: int, common: np.ndarray | None = None) -> DataFrame:
     """(a, b): keys of sets (node, elements) that share a signature, as stars. A task settles its own and sends each
 
-    signature once, with one key, so a signature that a third of all sets share is a row for each 16 MB at most.
+    signature once, with one key, so a signature that a third of all sets share is a row for each half million at most.
     """
 
+    shared = sets.sparkSession.sparkContext.broadcast(common)
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, np.ndarray] = {}
         held = 0
@@ -259,9 +290,9 @@ def candidate_edges(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
         for batch in batches:
             for key, raw in zip(batch.column("node").to_pylist(), batch.column("elements"), strict=True):
                 if key not in parts:
-                    parts[key] = signatures(np.frombuffer(raw.as_buffer(), U), percent)
+                    parts[key] = signatures(np.frombuffer(raw.as_buffer(), U), percent, shared.value)
                     held += len(parts[key])
-                if held > 1 << 20:
+                if held > 1 << 19:
                     yield from flush()
                     parts, held = {}, 0
         yield from flush()
@@ -277,6 +308,7 @@ def candidate_edges(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
         if signs:
             edges.append(_star(np.concatenate(signs), np.concatenate(keys))[2])
         both = np.concatenate(edges)
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     return sets.select("node", "elements").mapInArrow(sign, SIGNED).groupBy("bucket").applyInArrow(meet, "a long, b long")
@@ -316,6 +348,8 @@ class Region:
 
     def _join(self, ids: np.ndarray) -> None:
         eps = 1 - self.percent / 100
+        # Sets farther than that from all pivots form a region of their own; within eps of it is still below one.
+        far = 1 - 2 * eps
         while len(ids) > 1:
             # Who has too many shingles to itself here is linked with no one here.
             row, column = self.part(ids)
@@ -336,9 +370,9 @@ class Region:
             d[:, j] = 1 - shared / (self.size[ids] + self.size[p] - shared)
             self.links += [(int(p), int(x)) for x in ids[self.linked(shared, self.size[ids], self.size[p])] if x != p]
         near, slack = d.min(1), 1e-9
-        regions = [ids[near > FAR]]
+        regions = [ids[near > far]]
         for j in range(len(pivots)):
-            inside = d[:, j] <= np.minimum(FAR + eps, near + 2 * eps) + slack
+            inside = d[:, j] <= np.minimum(far + eps, near + 2 * eps) + slack
             # What links to the pivot is joined already; it matters only to others, and only within eps of them.
             core = inside & (d[:, j] <= eps - slack)
             shell = inside & ~core
@@ -360,7 +394,7 @@ class Region:
         used, column = np.unique(column, return_inverse=True)
         o = np.argsort(column, kind="stable")
         row, column = row[o], column[o]
-        width, block = max(64, min(len(used), (16 << 20) // n)), max(64, (16 << 20) // n)
+        width, block = max(64, min(len(used), (4 << 20) // n)), max(64, (4 << 20) // n)
         cuts = np.searchsorted(column, np.arange(0, len(used) + width, width))
         size, label = self.size[ids].astype(float), np.arange(n)
         for at in range(0, n, block):
@@ -383,8 +417,8 @@ LINK = "a binary, b binary"
 
 
 def _join_regions(members: DataFrame, percent: int, total: int) -> DataFrame:
-    """Links of regions that fit into memory; many small ones share a task's group, which holds 16 MB of sets or so."""
-    groups = max(8, total // (16 << 20))
+    """Links of regions that fit into memory; many small ones share a task's group, which holds 8 MB of sets or so."""
+    groups = max(8, total // (8 << 20))
 
     def join(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
@@ -397,6 +431,7 @@ def _join_regions(members: DataFrame, percent: int, total: int) -> DataFrame:
             if b - a > 1:
                 here = sorted(o[a:b].tolist(), key=lambda i: ids[i])
                 out += [(ids[here[x]], ids[here[y]]) for x, y in Region([np.frombuffer(raw[i], U) for i in here], percent).join()]
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], ["a", "b"])
 
     return members.withColumn("g", F.pmod(F.xxhash64("root", F.lit(5)), F.lit(groups))).groupBy("g").applyInArrow(join, LINK)
@@ -414,6 +449,7 @@ def _pivot_round(big: DataFrame, percent: int, no: int) -> DataFrame:
     one = big.groupBy("root", slot.alias("slot")).agg(F.min_by(F.struct("sid", "elements"), F.xxhash64("sid", F.lit(no + 99))).alias("p"))
     pivots = staged(one.groupBy("root").agg(F.collect_list(F.struct("slot", "p.sid", "p.elements")).alias("pivots")), "pivots")
     eps, slack = 1 - percent / 100, 1e-9
+    far = 1 - 2 * eps
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -430,9 +466,9 @@ def _pivot_round(big: DataFrame, percent: int, no: int) -> DataFrame:
                         rows.append((0, None, None, None, r["sid"], p["sid"]))
                 near = min(d)
                 for p, x in zip(r["pivots"], d, strict=True):
-                    if x <= min(FAR + eps, near + 2 * eps) + slack:
+                    if x <= min(far + eps, near + 2 * eps) + slack:
                         rows.append((hash((r["root"], p["slot"], no)) >> 1, r["sid"], r["elements"], x, None, None))
-                if near > FAR:
+                if near > far:
                     rows.append((hash((r["root"], -1, no)) >> 1, r["sid"], r["elements"], 2.0, None, None))
             kinds = (pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(kinds)], [x.split()[0] for x in ROUND.split(", ")])
@@ -504,9 +540,11 @@ def _members(nodes: DataFrame) -> tuple[list[np.ndarray], int]:
     return merged(nodes.mapInArrow(rows, "block int, once binary, more binary"), bits), bits
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id", k: int = SHINGLE, percent: int = PERCENT, keep_text: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id", k: int = SHINGLE, percent: int = PERCENT, keep_text: bool = False, root: str | None = None) -> DataFrame:
     """docs (without the text, unless it is kept) with n_shingles and component_id; a taken name gets a _.
 
+    root names a column for the component itself, by a set of it: where ids repeat, component_id may not tell two apart.
+
     Sets are of distinct shingles of k words [^\\x20\\x09-\\x0D]+ after A-Z is lower-cased; a text of fewer words has its
     whole sequence as one. Sets link when they share `percent` per cent of their union or more, whole texts compared.
     component_id is the least id that links lead to. Null and empty texts have no shingles and no links: they keep
@@ -522,19 +560,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id",
     bitmaps, bits = _members(may)
     rows = staged(_with_sets(docs, text, [n, sid, key, elements], spark.sparkContext.broadcast(bitmaps), bits, k, keep_text), "sets")
     sets = rows.where(F.col(elements).isNotNull()).select(F.col(key).alias("node"), F.col(sid).alias("sid"), F.col(elements).alias("elements"))
-    # Copies of a set from several pieces are one; sets left out leave others alone, so it is done twice.
+    # Copies of a set from several pieces are one from here on, so their shingles count once.
     sets = staged(sets.dropDuplicates(["node", "sid"]), "distinct")
-    for _ in range(2):
-        may = staged(not_alone(sets.select("node", "elements"), sets_as_given, percent, buckets), "may")
-        sets = sets.join(may, "node", "left_semi")
-    sets = staged(sets, "sets")
-    classes = staged(connected_components(candidate_edges(sets, percent, buckets).distinct()), "classes")
-    members = staged(sets.join(classes, "node").dropDuplicates(["node", "sid"]).select("root", "sid", "elements"), "members")
+    may = staged(not_alone(sets.select("node", "elements"), sets_as_given, percent, buckets), "may")
+    # Keys are broadcast if their number, counted, allows it: then no set is shuffled to meet them.
+    sets = staged(sets.join(F.broadcast(may) if may.count() <= MOST_BROADCAST else may, "node", "left_semi"), "sets")
+    classes = staged(connected_components(candidate_edges(sets, percent, buckets, common_shingles(sets)).distinct()), "classes")
+    few = classes.count() <= MOST_BROADCAST
+    members = staged(sets.join(F.broadcast(classes) if few else classes, "node").select("root", "sid", "elements"), "members")
     links = connected_components(region_links(members, percent))
     least = rows.where(F.col(n) > 0).groupBy(F.col(sid).alias("s")).agg(F.min(quoted(ident)).alias("m"))
     named = staged(least.join(links, F.col("s") == F.col("node"), "left").select("s", "m", F.coalesce("root", "s").alias("r")), "named")
     whole = named.groupBy("r").agg(F.min("m").alias("c"))
-    answer = staged(named.join(whole, "r").select("s", "c"), "answer")
+    answer = staged(named.join(whole, "r").select("s", "c", *([F.col("r").alias(root)] if root else [])), "answer")
     out = rows.join(answer, F.col(sid) == F.col("s"), "left")
     return out.withColumn(component, F.when(F.col(n) > 0, F.col("c")).otherwise(F.col(quoted(ident)))).drop("s", "c", sid, key, elements)
 

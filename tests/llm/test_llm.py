@@ -337,7 +337,9 @@ def test_linked_sets_share_a_signature():
         both = len(np.intersect1d(s, t))
         if len(t) and 100 * both >= percent * (n + len(t) - both) and ngram_join.set_id(s) != ngram_join.set_id(t):
             seen += 1
-            assert len(np.intersect1d(ngram_join.signatures(s, percent), ngram_join.signatures(t, percent)))
+            common = np.sort(rng.permutation(np.union1d(s, t))[: int(rng.integers(0, n + 1))])
+            for c in (None, common):
+                assert len(np.intersect1d(ngram_join.signatures(s, percent, c), ngram_join.signatures(t, percent, c)))
     assert seen > 500
 
 
