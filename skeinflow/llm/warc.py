@@ -274,7 +274,8 @@ def read_packages(packages: DataFrame, payloads: bool = True) -> DataFrame:
                         rows, held = [], 0
                 yield _table(rows)
 
-    return packages.select("package").repartition(max(1, packages.rdd.getNumPartitions()), "package").mapInArrow(read, SCHEMA)
+    # A package is a task's work; their list alone would be a partition or two.
+    return packages.select("package").repartition(max(1, min(packages.count(), 1 << 16)), "package").mapInArrow(read, SCHEMA)
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
