@@ -488,6 +488,30 @@ def dag_components(spark, sf_dir):
     return placement.lineage_components(_needs(spark, sf_dir))
 
 
+DAG_SQL = "needs as (select 's' || l_suppkey as job, 'p' || l_partkey as dep from lineitem union select 'n' || s_nationkey, 's' || s_suppkey from supplier)"
+
+
+def _dag(spark, sf_dir):
+    """(job, dep): every nation-supplier and supplier-part edge of the tables."""
+    l, s = derived.read(spark, sf_dir, "lineitem"), derived.read(spark, sf_dir, "supplier")
+    parts = l.select(F.concat(F.lit("s"), "l_suppkey").alias("job"), F.concat(F.lit("p"), "l_partkey").alias("dep"))
+    return parts.union(s.select(F.concat(F.lit("n"), "s_nationkey"), F.concat(F.lit("s"), "s_suppkey"))).distinct()
+
+
+@register(f"""with {DAG_SQL}, jobs as (select job from needs union select dep from needs), done as (select job from jobs where job[1] = 'p' and job[2:]::bigint % 100 = 0)
+select job from jobs where job not in (select job from done) and job not in (select job from needs where dep not in (select job from done))""")
+def dag_ready_whole(spark, sf_dir):
+    n = _dag(spark, sf_dir)
+    jobs = n.select("job").union(n.select("dep")).distinct()
+    return placement.ready_jobs(jobs, n, jobs.where("job like 'p%' and cast(substring(job, 2) as bigint) % 100 = 0"))
+
+
+@register(f"""with recursive {DAG_SQL}, sym as (select job as a, dep as b from needs union select dep, job from needs),
+reach as (select a, a as b from sym union select r.a, s.b from reach r join sym s on r.b = s.a) select a as node, min(b) as root from reach group by 1""")
+def dag_components_whole(spark, sf_dir):
+    return placement.lineage_components(_dag(spark, sf_dir))
+
+
 @register("""with x as (select event_type as placement, value / (1 + event_id % 7) as x, row_number() over (partition by event_type order by ts) as k, count(*) over (partition by event_type) as n from events)
 select placement, round(sum(0.3 * pow(0.7, n - k) * x) + max(case when k = 1 then x end) * pow(0.7, max(n)), 6) as rate, max(n)::bigint as n from x group by 1""")
 def ewma_calibration(spark, sf_dir):
