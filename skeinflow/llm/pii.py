@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +30,15 @@ SPACE = frozenset("\x20\x09\x0a\x0b\x0c\x0d")
 EDGE = "\"'`.,;:!?()[]{}<>|*#$%&"
 #: Rounds of scoring; a pattern's least score and least number of different seeds; smoothing of its score.
 ROUNDS, LEAST_SCORE, LEAST_SEEDS, SMOOTH = 3, 0.8, 3, 1.0
-#: Least characters of an unseen identifier.
+#: Least characters of an unseen identifier as evidence in the first scoring; what is found in slots has no such bound.
 LEAST_CHARS = 8
+#: Bits of the filters that tell workers which patterns to look at; others that pass are taken out by an exact join.
+FILTER_BITS = 1 << 24
+#: A pattern whose seeds are a lesser part of all that stands beside it isn't looked at further: its score is far too low.
+LEAST_PART = 0.1
+#: Words of a slot between two words at most: as many as a base kind has digits.
+SLOT_WORDS = 19
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOUND = "array<struct<kind:tinyint,start:int,stop:int,instance:bigint,patterns:array<bigint>>>"
 
 
@@ -118,6 +129,114 @@ def unseen(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int,
         found = DIGIT.search(text, after)
 
 
+def failed(text: str, start: int, stop: int) -> bool:
+    """Does a base kind's form hold throughout, with its number of digits, although the check doesn't."""
+    if IP.fullmatch(text, start, stop):
+        return True
+    n = sum(c.isdigit() for c in text[start:stop])
+    return bool(16 <= n <= 19 and CARD.fullmatch(text, start, stop) or not 8 <= n <= 15 and PHONE.fullmatch(text, start, stop))
+
+
+class Slots:
+    """What stands beside the patterns of a filter, in any text: words or runs of words, with digits or not.
+
+    hot has the patterns that are looked for, sided the words before and after of those in hot that are pairs.
+    """
+
+    def __init__(self, hot: np.ndarray, sided: np.ndarray):
+        self.hot, self.sided, self.known = hot.tobytes(), sided.tobytes(), {}
+        self.pairs: dict[tuple[str, str], int] = {}
+
+    @staticmethod
+    def _in(bits: bytes, pattern: int) -> int:
+        k = pattern & (FILTER_BITS - 1)
+        return bits[k >> 3] >> (7 - (k & 7)) & 1
+
+    def sides(self, word: str) -> tuple[int, str, str, int, int]:
+        """(bits, left, right, and hashes): is it hot as the word before (1) or after (2), a pair's word before (4) or after (8); its two forms, their patterns."""
+        got = self.known.get(word)
+        if got is None:
+            left, right = word[-40:].lower().strip(EDGE), word[:40].lower().strip(EDGE)
+            l, r = _hash("L", left), _hash("R", right)
+            bits = (self._in(self.hot, l) | self._in(self.sided, l) << 2) * bool(left) | (self._in(self.hot, r) << 1 | self._in(self.sided, r) << 3) * bool(right)
+            got = (bits, left, right, l, r) if bits else (0, "", "", 0, 0)
+            if len(self.known) >= 200_000:
+                self.known.clear()
+            self.known[word] = got
+        return got
+
+    def beside(self, text: str) -> Iterator[int]:
+        """The patterns in hot, each time that a word stands beside one; of pairs, between them."""
+        sides = [self.sides(w) for w in WORD.findall(text)]
+        for i, (bits, left, _, l, r) in enumerate(sides):
+            if bits & 1 and i + 1 < len(sides):
+                yield l
+            if bits & 2 and i:
+                yield r
+            if bits & 4 and i + 2 < len(sides) and sides[i + 2][0] & 8:
+                both = (left, sides[i + 2][2])
+                if both not in self.pairs:
+                    if len(self.pairs) >= 200_000:
+                        self.pairs.clear()
+                    self.pairs[both] = _hash("LR", *both)
+                if self._in(self.hot, self.pairs[both]):
+                    yield self.pairs[both]
+
+    def raw(self, text: str) -> set[tuple[int, int]]:
+        """(start, stop) of slots, whole words but for what a word's = or : cuts off."""
+        words = [m.span() for m in WORD.finditer(text)]
+        sides = [self.sides(text[a:b]) for a, b in words]
+        out, digit = set(), lambda i: DIGIT.search(text, *words[i])
+        ends = lambda i: text[words[i][1] - 1] in ",;.:!?"
+        for i, (bits, left, *_) in enumerate(sides):
+            a, b = words[i]
+            if bits & 1 and i + 1 < len(words):
+                j = i + 1
+                while j + 1 < len(words) and digit(j) and digit(j + 1) and not ends(j):
+                    j += 1
+                out.add((words[i + 1][0], words[j][1]))
+            if bits & 2 and i:
+                j = i - 1
+                while j and digit(j) and digit(j - 1) and not ends(j - 1):
+                    j -= 1
+                out.add((words[j][0], words[i - 1][1]))
+            if bits & 4:
+                for j in range(i + 2, min(i + 2 + SLOT_WORDS, len(words))):
+                    if sides[j][0] & 8 and self._in(self.hot, _hash("LR", left, sides[j][2])):
+                        out.add((words[i + 1][0], words[j - 1][1]))
+                        break
+            for sign in "=:":
+                k = text.find(sign, a + 1, b - 1)
+                if k > 0 and self.sides(text[a : k + 1])[0] & 1:
+                    out.add((k + 1, b))
+        return out
+
+    def places(self, text: str) -> list[tuple[int, int, int, int, list[int]]]:
+        """As places(), of slots that no base span touches, with the patterns in the filter; null patterns have none."""
+        raw = self.raw(text)
+        busy = sorted((a, b) for _, a, b in base_spans(text)) if raw else []
+        tops, most = [a for a, _ in busy], []
+        for _, b in busy:
+            most.append(max(b, most[-1] if most else 0))
+        out = []
+        for a, b in sorted(raw):
+            k = bisect_right(tops, b - 1)
+            start, stop = trimmed(text, a, b)
+            if start < stop and not (k and most[k - 1] > a):
+                patterns = [p for p in patterns_of(text, a, b) if self._in(self.hot, p)]
+                out.append((4 + failed(text, start, stop), start, stop, _hash("id", text[start:stop].lower()), patterns))
+        return out
+
+
+def trimmed(text: str, start: int, stop: int) -> tuple[int, int]:
+    """Without signs at the ends; parentheses that close within stay."""
+    while start < stop and text[start] in EDGE and not (text[start] == "(" and text.find(")", start, stop) > 0):
+        start += 1
+    while stop > start and text[stop - 1] in EDGE and not (text[stop - 1] == ")" and text.find("(", start, stop) >= 0):
+        stop -= 1
+    return start, stop
+
+
 def places(text: str) -> list[tuple[int, int, int, int, list[int]]]:
     """Seeds (kinds 0 to 3), candidates (4) and known negatives (5) of a text, each with its instance and its patterns.
 
@@ -126,20 +245,20 @@ def places(text: str) -> list[tuple[int, int, int, int, list[int]]]:
     base = base_spans(text)
     out = [(k, a, b, _hash(KINDS[k], text[a:b].lower()), patterns_of(text, a, b)) for k, a, b in base]
     for a, b, key in unseen(text, base):
-        failed = any(p.fullmatch(text, a, b) for p in (IP, CARD, PHONE))
-        out.append((4 + failed, a, b, _hash("id", text[a:b].lower()), patterns_of(text, a, b, key)))
+        out.append((4 + failed(text, a, b), a, b, _hash("id", text[a:b].lower()), patterns_of(text, a, b, key)))
     return out
 
 
-def with_places(docs: DataFrame, text: str, name: str) -> DataFrame:
-    """docs without the text, with its places."""
+def with_places(docs: DataFrame, text: str, name: str, filters: Broadcast | None = None) -> DataFrame:
+    """docs without the text, with its places; with filters (of hot and seeded patterns) those of slots."""
     rest = [c for c in docs.columns if c != text]
     item = pa.struct([("kind", pa.int8()), ("start", pa.int32()), ("stop", pa.int32()), ("instance", pa.int64()), ("patterns", pa.list_(pa.int64()))])
     fields = [f.name for f in item]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Slots(*filters.value).places if filters else places
         for piece in pieces(batches, text):
-            got = [[dict(zip(fields, x, strict=True)) for x in places(t or "")] for t in piece.column(text).to_pylist()]
+            got = [[dict(zip(fields, x, strict=True)) for x in of(t or "")] for t in piece.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in rest), pa.array(got, pa.list_(item))], [*rest, name])
 
     return docs.mapInArrow(find, docs.select(*map(quoted, rest)).withColumn(name, F.array().cast(FOUND)).schema)
@@ -168,11 +287,39 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return scores
 
 
+def pattern_filter(patterns: DataFrame) -> np.ndarray:
+    """A bit for each remainder of a pattern, FILTER_BITS in all."""
+    at = patterns.select(F.expr(f"cast(pmod(pattern, {FILTER_BITS}) as int)").alias("k")).distinct().toArrow().column("k").to_numpy()
+    bits = np.zeros(FILTER_BITS, np.uint8)
+    bits[at] = 1
+    return np.packbits(bits)
+
+
+def places_beside(docs: DataFrame, text: str, filters: Broadcast) -> DataFrame:
+    """(pattern, n): how often words stand beside each pattern in the filter."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Slots(*filters.value).beside
+        for piece in pieces(batches, text):
+            got = Counter(x for t in piece.column(text).to_pylist() for x in of(t or ""))
+            yield pa.RecordBatch.from_arrays([pa.array(got.keys(), pa.int64()), pa.array(got.values(), pa.int64())], ["pattern", "n"])
+
+    return docs.select(quoted(text)).mapInArrow(find, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+
+
+def apart(spans: Column) -> Column:
+    """Of spans that overlap the first, of those that begin together the longest."""
+    by_start = F.transform(F.array_sort(F.transform(spans, lambda p: F.struct(p["start"].alias("a"), (-p["stop"]).alias("b"), p["kind"].alias("k")))), lambda p: F.struct(p["k"].alias("kind"), p["a"].alias("start"), (-p["b"]).alias("stop")))
+    none = F.array().cast("array<struct<kind:tinyint,start:int,stop:int>>")
+    return F.aggregate(by_start, none, lambda out, p: F.when(F.coalesce(F.try_element_at(out, F.lit(-1))["stop"] > p["start"], F.lit(False)), out).otherwise(F.concat(out, F.array(p))))
+
+
 def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs (without the text) with base_spans and spans: arrays of struct(kind, start, stop), by kind, then start; a taken name gets a _.
 
-    Base spans are exact. The others are words that a pattern of high confidence points to; they have the kind that it
-    is confident of, or "id". Whole texts are searched; null is empty. Rows with equal texts have equal spans; an empty
+    Base spans are exact. The others are words or runs of words, with digits or not and of any length, that a pattern of
+    high confidence points to; they have the kind that it is confident of, or "id". A first scoring over words with
+    digits tells which patterns are looked at; what stands in their slots anywhere is then scored with the rest. Whole texts are searched; null is empty. Rows with equal texts have equal spans; an empty
     table gives no rows, and one without seeds base spans alone.
     """
     base, spans, found = own(docs, "base_spans", "spans", "__found")
@@ -181,10 +328,24 @@ def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     # Equal texts are one text here: copies don't make a pattern surer.
     each = rows.where(F.size(found) > 0).select("__id", F.explode(found).alias("p")).select("__id", "p.*").distinct()
     edges = staged(each.select(F.explode("patterns").alias("pattern"), "instance", "kind").distinct(), "edges")
+    context, to_all = docs.sparkSession.sparkContext, lambda *x: tuple(map(pattern_filter, x))
+    first = score_patterns(edges).where((F.col("score") >= 0.5) & (F.col("seeds") >= LEAST_SEEDS))
+    first = staged(first.select("pattern").distinct(), "first")
+    pairs = each.where((F.col("kind") < 4) & (F.size("patterns") == 3)).select(F.get("patterns", F.lit(2)).alias("pattern"), F.slice("patterns", 1, 2).alias("of"))
+    sides = lambda of: pairs.join(of, "pattern", "left_semi").select(F.explode("of").alias("pattern"))
+    counts = places_beside(docs, text, context.broadcast(to_all(first, sides(first))))
+    seeds = rows.select(F.explode(F.filter(found, lambda p: p["kind"] < 4)).alias("p")).select(F.explode("p.patterns").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("of"))
+    hot = first.join(seeds, "pattern").join(counts, "pattern", "left").where(F.col("n").isNull() | (F.col("of") >= LEAST_PART * F.col("n")))
+    hot = staged(hot.select("pattern"), "hot")
+    filters = context.broadcast(to_all(hot, sides(hot)))
+    slots = with_places(docs.select("__id", quoted(text)), text, found, filters).where(F.size(found) > 0)
+    slots = staged(slots.select("__id", F.explode(found).alias("p")).select("__id", "p.*").distinct(), "slots")
+    beside = slots.select(F.explode("patterns").alias("pattern"), "instance", "kind")
+    edges = staged(edges.union(beside).distinct().join(hot, "pattern", "left_semi"), "edges")
     sure = score_patterns(edges).where((F.col("score") >= LEAST_SCORE) & (F.col("seeds") >= LEAST_SEEDS))
     sure = staged(sure.groupBy("pattern").agg(F.min_by("kind", F.struct("kind", -F.col("score"))).alias("as")), "sure")
-    new = each.where("kind = 4").select("__id", "start", "stop", F.explode("patterns").alias("pattern")).join(sure, "pattern")
-    new = new.groupBy("__id", "start", "stop").agg(F.min("as").alias("kind")).groupBy(F.col("__id").alias("__n")).agg(F.collect_list(F.struct("kind", "start", "stop")).alias("__new"))
+    new = slots.where("kind = 4").select("__id", "start", "stop", F.explode("patterns").alias("pattern")).join(sure, "pattern")
+    new = new.groupBy("__id", "start", "stop").agg(F.min("as").alias("kind")).groupBy(F.col("__id").alias("__n")).agg(apart(F.collect_list(F.struct("kind", "start", "stop"))).alias("__new"))
     out = rows.join(staged(new, "found"), F.col("__id") == F.col("__n"), "left")
     plain = lambda a: F.transform(a, lambda p: F.struct(p["kind"].alias("kind"), p["start"].alias("start"), p["stop"].alias("stop")))
     seeds = F.array_sort(plain(F.filter(found, lambda p: p["kind"] < 4)))
