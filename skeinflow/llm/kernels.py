@@ -7,14 +7,18 @@ definitions used here are ASCII, so that bytes of longer UTF-8 sequences never n
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-#: Odd multipliers of the polynomial hashes (bytes to words; words to windows, twice).
-BYTE_BASE, WORD_BASE, WORD_BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+#: Odd multipliers: of the steps from eight bytes to the next, of the polynomial hashes of word windows (two).
+LANE, WORD_BASE, WORD_BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+#: Steps of eight bytes that a word is hashed by; longer ones go through BLAKE2.
+LANES = 8
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 #: Bytes of text that a kernel works on at once. A longer single text is worked on alone.
 CHUNK = 1 << 20
 
@@ -35,7 +39,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**k and base**-k modulo 2**64 for k below n, at least."""
     up, down = _POWERS.get(base, (np.ones(1, U), np.ones(1, U)))
     if len(up) < n:
-        n = max(n, CHUNK + 1) if base == BYTE_BASE else n + n // 4
+        n += n // 4
         up, down = np.full(n, base, U), np.full(n, pow(base, -1, 1 << 64), U)
         up[0] = down[0] = 1
         up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
@@ -53,6 +57,27 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes.
+
+    Up to eight bytes it is one-to-one among spans of one length; up to 64 each step mixes eight more into what is there;
+    longer ones are hashed by BLAKE2, so no algebra of a polynomial makes two of them equal.
+    """
+    size = stop - start
+    out = mix(size.astype(U) * U(0x632BE59BD9B4E019) + U(1))
+    lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    live = np.arange(len(start))
+    for k in range(LANES):
+        live = live[size[live] > 8 * k]
+        if not len(live):
+            break
+        lane = lanes[start[live] + 8 * k] & _MASKS[np.minimum(size[live] - 8 * k, 8)]
+        out[live] = mix(out[live] * U(LANE) ^ lane)
+    for i in np.flatnonzero(size > 8 * LANES).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : stop[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -112,11 +137,7 @@ class Words:
         self.ptr = np.searchsorted(self.start, self.off)
         self.count = np.diff(self.ptr)
         if hashed:
-            up, down = powers(BYTE_BASE, n + 1)
-            total = np.zeros(n + 1, U)
-            np.cumsum((self.data + U(1)) * up[:n], out=total[1:])
-            h = (total[self.end] - total[self.start]) * down[self.start]
-            self.hash = mix(h + (self.end - self.start).astype(U) * U(0x632BE59BD9B4E019))
+            self.hash = span_hashes(self.data, self.start, self.end)
 
     def text_of(self) -> np.ndarray:
         """The text that each word is of."""

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinflow.llm.base import own, quoted, staged
-from skeinflow.llm.kernels import BYTE_BASE, mix, pieces, powers, utf8
+from skeinflow.llm.kernels import mix, pieces, span_hashes, utf8
 
 U = np.uint64
 #: Word buckets, dimensions of their vectors, nonzeros of an index vector, words on either side that are context.
@@ -40,10 +40,7 @@ def bucketed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     start, stop = edge[:-1], edge[1:]
     keep = kind[start] > 0 if n else np.zeros(0, bool)
     start, stop = start[keep], stop[keep]
-    up, down = powers(BYTE_BASE, n + 1)
-    total = np.zeros(n + 1, U)
-    np.cumsum((data + U(1)) * up[:n], out=total[1:])
-    return (mix((total[stop] - total[start]) * down[start]) % U(BUCKETS)).astype(np.int64), np.searchsorted(start, off)
+    return (span_hashes(data, start, stop) % U(BUCKETS)).astype(np.int64), np.searchsorted(start, off)
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -204,8 +201,8 @@ def fit_quality(features: DataFrame, labels: DataFrame, ident: str, label: str,
 
     Null ids and labels are left out; an id with several labels has their rounded mean; repeated ids are rows of their own.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col(ident).isNotNull()).groupBy(F.col(ident).alias("__i")).agg((F.avg(label) >= 0.5).cast("int").alias("__y"))
-    rows = features.where(~held_out(F.col(ident))).join(known, F.col(ident) == F.col("__i")).select("__i", F.col(column).alias("x"), "__y")
+    known = labels.select(F.col(quoted(ident)).alias("id"), F.col(quoted(label)).alias("label")).dropna().groupBy(F.col("id").alias("__i")).agg((F.avg("label") >= 0.5).cast("int").alias("__y"))
+    rows = features.select(F.col(quoted(ident)).alias("id"), F.col(column).alias("x")).where(~held_out(F.col("id"))).join(known, F.col("id") == F.col("__i")).select("__i", "x", "__y")
     n = known.where(~held_out(F.col("__i"))).count()
     if n > most:
         rows = rows.where(F.pmod(F.xxhash64("__i", F.lit(11)), F.lit(1 << 20)) < int((1 << 20) * most / n))
@@ -235,6 +232,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", ident:
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document; null and empty texts have a score too, repeated rows the same one, as in score_quality()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return score_quality(docs, labels).select("doc_id", "held_out", "score", "predicted")
