@@ -25,10 +25,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one where it is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir; on a local master, as in tests, one of our own where it is unset."""
     small_batches(spark)
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors share no folder")
         local = tempfile.mkdtemp(prefix="skeinflow-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         path = f"file://{local}"

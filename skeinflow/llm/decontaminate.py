@@ -289,6 +289,7 @@ def _cleaned(column: pa.Array, words: Words, hits: list[np.ndarray | None]) -> p
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document; null texts have no words, items without id or words no windows, as in decontaminate()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])

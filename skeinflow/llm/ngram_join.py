@@ -552,7 +552,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id",
     empty table gives no rows. Shingles are compared as 64-bit hashes.
     """
     spark = docs.sparkSession
-    n, component, sid, key, elements = own(docs, "n_shingles", "component_id", "__sid", "__key", "__set")
+    n, component, sid, key, elements, same, least_id = own(docs, "n_shingles", "component_id", "__sid", "__key", "__set", "__same", "__least")
     # The estimate of the input's size sets only how finely hashes are dealt.
     size = min(1 << 50, int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
     buckets = min(1 << 20, max(64, size >> 21))
@@ -569,15 +569,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id",
     few = classes.count() <= MOST_BROADCAST
     members = staged(sets.join(F.broadcast(classes) if few else classes, "node").select("root", "sid", "elements"), "members")
     links = connected_components(region_links(members, percent))
-    least = rows.where(F.col(n) > 0).groupBy(F.col(sid).alias("s")).agg(F.min(quoted(ident)).alias("m"))
+    least = rows.where(F.col(n) > 0).select(F.col(sid).alias("s"), F.col(quoted(ident)).alias("i")).groupBy("s").agg(F.min("i").alias("m"))
     named = staged(least.join(links, F.col("s") == F.col("node"), "left").select("s", "m", F.coalesce("root", "s").alias("r")), "named")
     whole = named.groupBy("r").agg(F.min("m").alias("c"))
-    answer = staged(named.join(whole, "r").select("s", "c", *([F.col("r").alias(root)] if root else [])), "answer")
-    out = rows.join(answer, F.col(sid) == F.col("s"), "left")
-    return out.withColumn(component, F.when(F.col(n) > 0, F.col("c")).otherwise(F.col(quoted(ident)))).drop("s", "c", sid, key, elements)
+    answer = staged(named.join(whole, "r").select(F.col("s").alias(same), F.col("c").alias(least_id), *([F.col("r").alias(root)] if root else [])), "answer")
+    out = rows.join(answer, F.col(sid) == F.col(same), "left")
+    return out.withColumn(component, F.when(F.col(n) > 0, F.col(least_id)).otherwise(F.col(quoted(ident)))).drop(same, least_id, sid, key, elements)
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document with its component, also where texts are null, empty, repeated; as in near_duplicates()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
 

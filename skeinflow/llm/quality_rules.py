@@ -36,43 +36,45 @@ def text_counts(text: Column) -> dict[str, Column]:
     }
 
 
-def with_counts(docs: DataFrame, text: str = "text", k: int = 5) -> DataFrame:
-    """docs with one struct __c of n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words.
+def with_counts(docs: DataFrame, text: str = "text", k: int = 5, name: str = "__c") -> DataFrame:
+    """docs with one struct, name, of n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words.
 
     Words in k-word windows that a text holds twice or more: sorting finds the repeated windows, n log n whatever the
     text repeats. Only texts that repeat some pay for the sort of windows with their places; places back in order, each
     covers k words or those up to the next one. Windows are compared as 64-bit hashes, within one text only.
     What a lambda looks into is a column of its own, or it would be computed for each element.
     """
-    out = docs.withColumns({f"__t_{name}": v for name, v in text_counts(F.col(quoted(text))).items()})
-    h, w, lines = F.col("__t___hashes"), F.col("__t_windows"), F.col("__t___lines")
+    hashes, line, chars, symbols, window, place, spot = own(docs, "__hashes", "__lines", "word_chars", "n_symbols", "__windows", "__placed", "__places")
+    given = text_counts(F.col(quoted(text)))
+    out = docs.withColumns({name: given[key] for name, key in ((hashes, "__hashes"), (line, "__lines"), (chars, "word_chars"), (symbols, "n_symbols"))})
+    h, w, lines = F.col(hashes), F.col(window), F.col(line)
     none = F.array().cast("array<bigint>")
     each = F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - k, F.lit(0))), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(k))))
-    out = out.withColumn("__t_windows", F.when(F.size(h) < k, none).otherwise(each))
+    out = out.withColumn(window, F.when(F.size(h) < k, none).otherwise(each))
     placed = F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i")))
-    out = out.withColumn("__t_placed", F.when(F.size(F.array_distinct(w)) == F.size(w), F.slice(placed, 1, 0)).otherwise(F.array_sort(placed)))
-    p = F.col("__t_placed")
+    out = out.withColumn(place, F.when(F.size(F.array_distinct(w)) == F.size(w), F.slice(placed, 1, 0)).otherwise(F.array_sort(placed)))
+    p = F.col(place)
     twice = F.filter(p, lambda x, i: F.coalesce(x["w"] == F.when(i > 0, F.get(p, i - 1)["w"]), F.lit(False)) | F.coalesce(x["w"] == F.get(p, i + 1)["w"], F.lit(False)))
-    out = out.withColumn("__t_places", F.sort_array(F.transform(twice, lambda x: x["i"])))
-    at = F.col("__t_places")
+    out = out.withColumn(spot, F.sort_array(F.transform(twice, lambda x: x["i"])))
+    at = F.col(spot)
     repeats = F.aggregate(F.transform(at, lambda x, i: F.least(F.lit(k), F.coalesce(F.get(at, i + 1) - x, F.lit(k)))), F.lit(0), lambda a, x: a + x)
     fields = {
         "n_words": F.size(h),
-        "word_chars": F.col("__t_word_chars"),
-        "n_symbols": F.col("__t_n_symbols"),
+        "word_chars": F.col(chars),
+        "n_symbols": F.col(symbols),
         "n_lines": F.size(lines),
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
         "n_repeat_words": repeats,
     }
-    return out.withColumn("__c", F.struct(*(v.cast("long").alias(name) for name, v in fields.items()))).select(*docs.columns, "__c")
+    return out.withColumn(name, F.struct(*(v.cast("long").alias(field) for field, v in fields.items()))).select(*map(quoted, docs.columns), name)
 
 
-def host_verdicts(counted: DataFrame, source: str = "source", limit: float = HOST_LIMIT, rules: dict[str, str] = SOFT_RULES) -> DataFrame:
-    """(source, host_ok): per host and rule the failure rate, shrunk to a beta prior fitted by moments over all hosts.
+def host_verdicts(counted: DataFrame, source: str = "source", limit: float = HOST_LIMIT, rules: dict[str, str] = SOFT_RULES, counts: str = "__c") -> DataFrame:
+    """(__s, __host_ok), source and verdict: per host and rule the failure rate, shrunk to a beta prior fitted by moments over all hosts.
 
     Hosts count alike in the fit. Where rates don't vary more than chance, the prior is as strong as 1000 documents.
     """
-    per = counted.where(F.col(quoted(source)).isNotNull()).select(F.col(quoted(source)).alias("__s"), "__c.*")
+    per = counted.where(F.col(quoted(source)).isNotNull()).select(F.col(quoted(source)).alias("__s"), f"{counts}.*")
     per = per.groupBy("__s").agg(F.count("*").alias("n"), *(F.sum(F.expr(f"cast({r} as int)")).alias(k) for k, r in rules.items()))
     stats = [s for k in rules for s in (F.avg(F.col(k) / F.col("n")).alias(f"m_{k}"), F.var_pop(F.col(k) / F.col("n")).alias(f"v_{k}"), F.avg(F.col(k) / F.col("n") * (1 - F.col(k) / F.col("n")) / F.col("n")).alias(f"e_{k}"))]
     prior = per.agg(*stats)
@@ -83,14 +85,16 @@ def host_verdicts(counted: DataFrame, source: str = "source", limit: float = HOS
         strength = F.when(between > 1e-12, F.least(F.greatest(m * (1 - m) / between - 1, F.lit(1.0)), F.lit(1000.0))).otherwise(1000.0)
         worst.append((F.col(k) + m * strength) / (F.col("n") + strength))
     # The prior is a single row, by an aggregation without keys; joining it is no join of data with data.
-    return per.join(F.broadcast(prior)).select("__s", (F.greatest(*worst, F.lit(0.0)) <= limit).alias("__host_ok"))
+    return per.crossJoin(F.broadcast(prior)).select("__s", (F.greatest(*worst, F.lit(0.0)) <= limit).alias("__host_ok"))
 
 
-def with_verdicts(counted: DataFrame, source: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """counted with __host_ok: null for a document without a source. Verdicts are broadcast if their size, measured, allows it."""
-    hosts = staged(host_verdicts(counted, source, limit), "hosts")
+def with_verdicts(counted: DataFrame, source: str = "source", limit: float = HOST_LIMIT, counts: str = "__c", name: str = "__host_ok") -> DataFrame:
+    """counted with name, its host's verdict: null for a document without a source. Verdicts are broadcast if their size, measured, allows it."""
+    hosts = staged(host_verdicts(counted, source, limit, counts=counts), "hosts")
     size = hosts.agg(F.sum(F.octet_length("__s") + 16)).first()[0] or 0
-    return counted.join(F.broadcast(hosts) if size <= MOST_BROADCAST else hosts, F.col(quoted(source)) == F.col("__s"), "left").drop("__s")
+    other = own(counted, "__s")[0]
+    hosts = hosts.select(F.col("__s").alias(other), F.col("__host_ok").alias(name))
+    return counted.join(F.broadcast(hosts) if size <= MOST_BROADCAST else hosts, F.col(quoted(source)) == F.col(other), "left").drop(other)
 
 
 def judge_quality(docs: DataFrame, text: str = "text", source: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
@@ -100,14 +104,15 @@ def judge_quality(docs: DataFrame, text: str = "text", source: str = "source", l
     rule or its host's shrunk failure rate exceeds the limit for some rule. A document without a source stands for itself.
     Each row of the input is one row of the result; an empty table gives none.
     """
-    names = own(docs, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    out = with_verdicts(staged(with_counts(docs, text), "counts"), source, limit)
-    failed = F.expr("`__c`.n_words < 10 or 100 * `__c`.n_repeat_words > 20 * `__c`.n_words")
-    values = [F.col(f"__c.{n}") for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [failed, ~failed & F.coalesce("__host_ok", F.lit(True))]
-    return out.select(*(F.col(quoted(c)) for c in docs.columns), *(v.alias(n) for n, v in zip(names, values, strict=True)))
+    *names, c, ok = own(docs, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "__c", "__host_ok")
+    out = with_verdicts(staged(with_counts(docs, text, name=c), "counts"), source, limit, c, ok)
+    failed = F.expr(f"`{c}`.n_words < 10 or 100 * `{c}`.n_repeat_words > 20 * `{c}`.n_words")
+    values = [F.col(f"{c}.{n}") for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [failed, ~failed & F.coalesce(ok, F.lit(True))]
+    return out.select(*(F.col(quoted(x)) for x in docs.columns), *(v.alias(n) for n, v in zip(names, values, strict=True)))
 
 
 def op7_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: null texts have no words and fail, null sources are judged by the document alone, repeats each count."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     counted = staged(with_counts(docs.select("doc_id", "text", "source")).drop("text"), "counts")
     failed = F.expr(BASE_FAILED)

@@ -6,10 +6,12 @@ from skeinflow.llm import decontaminate, mixing, ngram_join, pii, quality_classi
 
 QUERIES = {
     "op1_url_filter": url_filters.op1_url_filter,
+    "url_aliases": url_filters.url_aliases,
     "op2_quality_classifier": quality_classifier.op2_quality_classifier,
     "op3_warc_round_trip": warc.op3_warc_round_trip,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_extendible_hash_shards": sharding.op5_extendible_hash_shards,
+    "shards_of_128_kb": sharding.shards_of_128_kb,
     "op6_personal_data": pii.op6_personal_data,
     "op7_host_quality": quality_rules.op7_host_quality,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
@@ -18,9 +20,11 @@ QUERIES = {
 }
 ORACLES = {
     "op1_url_filter": url_filters.ORACLE,
+    "url_aliases": url_filters.ALIASES,
     "op3_warc_round_trip": warc.ORACLE,
     "op4_decontaminate": decontaminate.ORACLE,
     "op5_extendible_hash_shards": sharding.oracle(),
+    "shards_of_128_kb": sharding.oracle(128 << 10),
     "op7_host_quality": quality_rules.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
     "op9_ngram_jaccard": ngram_join.ORACLE,

@@ -16,6 +16,8 @@ from skeinflow.llm.base import own, quoted, staged
 SHARD_BYTES = 64 << 20
 #: Bits of one hash, and histogram cells that one round gathers: both bounds, whatever the data's size.
 BITS, MOST_CELLS = 60, 1 << 20
+#: Oversized hashes that are broadcast at most; more are joined by a shuffle.
+MOST_BROADCAST = 1 << 20
 LEAF = T.StructType([T.StructField("depth", T.IntegerType()), T.StructField("prefix", T.LongType()), T.StructField("size", T.LongType())])
 
 
@@ -63,18 +65,29 @@ def directory(hashed: DataFrame, limit: int) -> tuple[dict[tuple[int, int], int]
         if depth == BITS:
             return leaves, over
         if over:
-            rows = hashed.join(F.broadcast(hashed.sparkSession.createDataFrame([(c,) for c in over], "c long")), F.shiftright("h", BITS - depth) == F.col("c"), "left_semi")
+            rows = hashed.join(_few(hashed.sparkSession, over, "c"), F.shiftright("h", BITS - depth) == F.col("c"), "left_semi")
     return leaves, []
 
 
-def leaf_of(leaves: dict[tuple[int, int], int]):
-    """A vectorised look-up hash -> (depth, prefix, size) by binary search over where the leaves begin."""
+def _few(spark: SparkSession, hashes: list[int], name: str) -> DataFrame:
+    """Hashes or prefixes that hold more than a shard's bytes each: as many as the data has shards at most. Broadcast while they are few."""
+    table = spark.createDataFrame([(h,) for h in hashes], f"{name} long")
+    return F.broadcast(table) if len(hashes) <= MOST_BROADCAST else table
+
+
+def leaf_of(spark: SparkSession, leaves: dict[tuple[int, int], int]):
+    """A vectorised look-up hash -> (depth, prefix, size) by binary search over where the leaves begin.
+
+    The directory is broadcast as arrays, 28 bytes a leaf: at 64 MB a shard, 100 TB are some 3 million leaves or 90 MB.
+    """
     order = sorted((p << (BITS - d), d, p, n) for (d, p), n in leaves.items()) or [(0, -1, -1, 0)]
-    begin, depth, prefix, size = (np.array([x[i] for x in order], np.int64) for i in range(4))
+    kinds = (np.int64, np.int32, np.int64, np.int64)
+    shared = spark.sparkContext.broadcast(tuple(np.array([x[i] for x in order], k) for i, k in enumerate(kinds)))
 
     def look(h: pd.Series) -> pd.DataFrame:
+        begin, depth, prefix, size = shared.value
         at = np.maximum(np.searchsorted(begin, h.to_numpy(np.int64), "right") - 1, 0)
-        return pd.DataFrame({"depth": depth[at].astype(np.int32), "prefix": prefix[at], "size": size[at]})
+        return pd.DataFrame({"depth": depth[at], "prefix": prefix[at], "size": size[at]})
 
     look.__annotations__ = {"h": pd.Series, "return": pd.DataFrame}
     return F.pandas_udf(look, LEAF)
@@ -88,36 +101,38 @@ def shard_documents(docs: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_i
     (bits/0, bits/1, ...), each within the limit. Only a document that exceeds the limit by itself is over it, alone
     with its copies' pages of one row. Null text has 0 bytes. An empty table gives no rows.
     """
-    shard, depth, size, own_size = own(docs, "shard", "shard_depth", "shard_bytes", "doc_bytes")
+    shard, depth, size, own_size, h, leaf, hot_h = own(docs, "shard", "shard_depth", "shard_bytes", "doc_bytes", "__h", "__leaf", "__hot")
     ident = F.concat(F.coalesce(F.col(quoted(key)).cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(F.col(quoted(text)), F.lit(""))))
-    out = docs.withColumns({"__h": hash_bits(ident), own_size: F.coalesce(F.octet_length(F.col(quoted(text))), F.lit(0)).cast("long")})
+    out = docs.withColumns({h: hash_bits(ident), own_size: F.coalesce(F.octet_length(F.col(quoted(text))), F.lit(0)).cast("long")})
     # Hashes and sizes are looked at several times; the texts are read for them once.
-    hashed = staged(out.select(F.col("__h").alias("h"), F.col(own_size).alias("n")), "hashes")
+    hashed = staged(out.select(F.col(h).alias("h"), F.col(own_size).alias("n")), "hashes")
     leaves, over = directory(hashed, limit)
-    out = out.withColumn("__leaf", leaf_of(leaves)(F.col("__h")))
+    out = out.withColumn(leaf, leaf_of(docs.sparkSession, leaves)(F.col(h)))
     bits = lambda p, d: F.when(d > 0, F.right(F.lpad(F.bin(p), BITS, "0"), d)).otherwise("")
-    spark = docs.sparkSession
-    done = out.withColumns({shard: bits(F.col("__leaf.prefix"), F.col("__leaf.depth")), depth: F.col("__leaf.depth"), size: F.col("__leaf.size")})
+    plain = [*map(quoted, docs.columns), shard, depth, size, own_size]
+    done = out.withColumns({shard: bits(F.col(f"{leaf}.prefix"), F.col(f"{leaf}.depth")), depth: F.col(f"{leaf}.depth"), size: F.col(f"{leaf}.size")})
     if over:
-        hot = F.broadcast(spark.createDataFrame([(h,) for h in over], "oh long"))
-        alike = staged(out.join(hot, F.col("__h") == F.col("oh")).drop("oh"), "alike")
-        done = done.join(hot, F.col("__h") == F.col("oh"), "left_anti").select(*docs.columns, own_size, shard, depth, size)
-        done = done.unionByName(_pages(alike, limit, own_size, shard, depth, size).select(*done.columns))
-    return done.select(*docs.columns, shard, depth, size, own_size)
+        hot = _few(docs.sparkSession, over, hot_h)
+        alike = staged(out.drop(leaf).join(hot, F.col(h) == F.col(hot_h)).drop(hot_h), "alike")
+        done = done.join(hot, F.col(h) == F.col(hot_h), "left_anti").select(*plain)
+        done = done.union(_pages(alike, limit, h, own_size, shard, depth, size).select(*plain))
+    return done.select(*plain)
 
 
-def _pages(alike: DataFrame, limit: int, own_size: str, shard: str, depth: str, size: str) -> DataFrame:
+def _pages(alike: DataFrame, limit: int, h: str, own_size: str, shard: str, depth: str, size: str) -> DataFrame:
     """Rows of one hash each, numbered file by file (their order there is fixed), as many to a page as the limit holds."""
     from pyspark.sql import Window
 
-    rows = alike.withColumns({"__f": F.col("_metadata.file_path"), "__i": F.col("_metadata.row_index")})
-    counts = rows.groupBy("__h", "__f").agg(F.count("*").alias("__c"))
-    before = counts.withColumn("__o", F.sum("__c").over(Window.partitionBy("__h").orderBy("__f").rowsBetween(Window.unboundedPreceding, -1))).drop("__c")
-    rows = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__h", "__f").orderBy("__i")) - 1)
-    rows = rows.join(before, ["__h", "__f"])
+    file, row, before, number = own(alike, "__file", "__row", "__before", "__number")
+    meta = alike.metadataColumn("_metadata")
+    rows = alike.withColumns({file: meta["file_path"], row: meta["row_index"]})
+    counts = rows.groupBy(h, file).agg(F.count("*").alias("c"))
+    earlier = counts.withColumn(before, F.sum("c").over(Window.partitionBy(h).orderBy(file).rowsBetween(Window.unboundedPreceding, -1))).drop("c")
+    rows = rows.withColumn(number, F.row_number().over(Window.partitionBy(h, file).orderBy(row)) - 1)
+    rows = rows.join(earlier, [h, file])
     room = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col(own_size)))
-    page = F.floor((F.col("__r") + F.coalesce("__o", F.lit(0))) / room)
-    name = F.lpad(F.bin("__h"), BITS, "0")
+    page = F.floor((F.col(number) + F.coalesce(before, F.lit(0))) / room)
+    name = F.lpad(F.bin(h), BITS, "0")
     return rows.withColumns({shard: F.concat(name, F.lit("/"), page.cast("string")), depth: F.lit(BITS), size: room * F.col(own_size)})
 
 
@@ -127,10 +142,17 @@ def write_shards(sharded: DataFrame, path: str, shard: str = "shard") -> None:
 
 
 def op5_extendible_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document with its shard; null ids and texts, repeats and empty tables as in shard_documents()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return shard_documents(docs).select("doc_id", "shard", "shard_depth", "shard_bytes", "doc_bytes")
 
 
+def shards_of_128_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over shards so small that buckets split in the smallest tables too."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return shard_documents(docs, 128 << 10).select("doc_id", "shard", "shard_depth", "shard_bytes", "doc_bytes")
+
+
 def oracle(limit: int = SHARD_BYTES) -> str:
     """DuckDB SQL of op5's rows, as long as no rows of one hash exceed the limit."""
     return f"""

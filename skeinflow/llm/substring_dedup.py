@@ -182,24 +182,24 @@ def remove_repeats(docs: DataFrame, text: str = "text", k: int = WINDOW) -> Data
     Windows are compared as 128-bit hashes of 64-bit word hashes.
     """
     spark = docs.sparkSession
-    kept, n_words, n_removed = own(docs, "kept_text", "n_words", "n_removed")
-    marked = docs.withColumn("__id", F.unhex(F.md5(F.coalesce(F.col(quoted(text)), F.lit("")))))
-    texts = marked.select("__id", F.col(quoted(text)).alias("__text"))
+    kept, n_words, n_removed, ident, other, found_spans = own(docs, "kept_text", "n_words", "n_removed", "__id", "__text_id", "__spans")
+    marked = docs.withColumn(ident, F.unhex(F.md5(F.coalesce(F.col(quoted(text)), F.lit("")))))
+    texts = marked.select(F.col(ident).alias("__id"), F.col(quoted(text)).alias("__text"))
     sketches = staged(sketch_texts(texts.select("__text"), "__text", k), "sketch")
     keys = (sketches.agg(F.sum(F.octet_length("once") + F.octet_length("more"))).first()[0] or 0) // 8
     bits = bits_for(keys)
     bitmaps = spark.sparkContext.broadcast(merged(sketches, bits))
     found = _candidates(texts, "__text", "__id", bitmaps, bits, min(1 << 20, max(16, keys // 40_000)), k)
     # Copies of a text report the same spans: equal reports meet before the shuffle.
-    spans = staged(exact_spans(found, k).groupBy("text_id").agg(F.collect_set("spans").alias("__spans")), "spans")
-    joined = marked.join(spans, F.col("__id") == F.col("text_id"), "left").drop("__id", "text_id")
+    spans = staged(exact_spans(found, k).groupBy(F.col("text_id").alias(other)).agg(F.collect_set("spans").alias(found_spans)), "spans")
+    joined = marked.join(spans, F.col(ident) == F.col(other), "left").drop(ident, other)
 
     names = [*docs.columns, kept, n_words, n_removed]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, text, PIECE):
             out, words_n, gone = [], [], []
-            for t, s in zip(piece.column(text).to_pylist(), piece.column("__spans").to_pylist(), strict=True):
+            for t, s in zip(piece.column(text).to_pylist(), piece.column(found_spans).to_pylist(), strict=True):
                 words = (t or "").encode().split()
                 n = len(words)
                 if s:
@@ -210,7 +210,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", k: int = WINDOW) -> Data
                 out.append(b" ".join(words).decode())
                 words_n.append(n)
                 gone.append(n - len(words))
-            rest = [piece.column(i) for i, c in enumerate(piece.schema.names) if c != "__spans"]
+            rest = [piece.column(i) for i, c in enumerate(piece.schema.names) if c != found_spans]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(out, pa.string()), pa.array(words_n, pa.int64()), pa.array(gone, pa.int64())], names)
 
     schema = docs.withColumns({kept: F.lit(""), n_words: F.lit(0).cast("long"), n_removed: F.lit(0).cast("long")}).schema
@@ -218,6 +218,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", k: int = WINDOW) -> Data
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document, also where texts are null, empty, repeated; as in remove_repeats()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = remove_repeats(docs)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -17,7 +17,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinflow.llm.base import quoted, shared_path, staged
+from skeinflow.llm.base import own, quoted, shared_path, staged
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Uncompressed bytes of records after which a package is closed and the next begun.
@@ -214,14 +214,16 @@ class _Unseekable(io.RawIOBase):
 
 
 def dedup_kinds(pages: DataFrame, ident: str = "page_id", payload: str = "html", least: int = 0) -> DataFrame:
-    """pages with __response: the largest id among rows of an equal payload of at least `least` bytes; null for smaller ones.
+    """pages with __response (a taken name gets a _, the last column in any case): the largest id among rows of an equal payload of at least `least` bytes.
 
-    Digests and ids alone are grouped; the join deals rows by digest, and AQE splits a digest that many rows share.
+    Null where the payload is smaller, alone, or has no id among its rows. Digests and ids alone are grouped; the join
+    deals rows by digest, and AQE splits a digest that many rows share.
     """
+    sha, other, response = own(pages, "__sha", "__s", "__response")
     body = F.coalesce(F.col(quoted(payload)), F.lit(""))
-    rows = pages.withColumn("__sha", F.when(F.octet_length(body) >= least, F.sha1(body)))
-    first = rows.where("__sha is not null").groupBy(F.col("__sha").alias("__s")).agg(F.max(quoted(ident)).alias("__response"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
-    return rows.join(first, F.col("__sha") == F.col("__s"), "left").drop("__s", "__sha")
+    rows = pages.withColumn(sha, F.when(F.octet_length(body) >= least, F.sha1(body)))
+    first = rows.where(F.col(sha).isNotNull()).select(F.col(sha).alias(other), F.col(quoted(ident)).alias("i")).groupBy(other).agg(F.max("i").alias(response), F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(first, F.col(sha) == F.col(other), "left").select(*map(quoted, pages.columns), response)
 
 
 def write_packages(pages: DataFrame, folder: str, ident: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> DataFrame:
@@ -230,7 +232,8 @@ def write_packages(pages: DataFrame, folder: str, ident: str = "page_id", url: s
     A task writes files of its own names and reports those it closed, so that what a failed or doubled attempt left
     behind is never read. folder is a URI that executors can write to through Arrow's file systems.
     """
-    rows = dedup_kinds(pages, ident, payload, least).select(F.col(quoted(ident)).cast("string").alias("i"), F.col(quoted(url)).alias("u"), F.col(quoted(payload)).alias("p"), F.col("__response").cast("string").alias("r"))
+    rows = pages.select(F.col(quoted(ident)).alias("i"), F.col(quoted(url)).alias("u"), F.col(quoted(payload)).alias("p"))
+    rows = dedup_kinds(rows, "i", "p", least).select(F.col("i").cast("string").alias("i"), "u", "p", F.col("__response").cast("string").alias("r"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, now = [], None
