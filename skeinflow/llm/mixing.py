@@ -1,25 +1,26 @@
-"""Mixing sources to target weights: fixed-length token blocks, multinomial shard draws, pseudorandom block permutations."""
+"""Mixing sources to target weights: fixed-length word blocks, multinomial shard draws, pseudorandom block permutations."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from math import gcd
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skeinflow.llm.base import quoted, staged
+from skeinflow.llm.base import own, quoted, staged
+from skeinflow.llm.kernels import mix
 
-#: Words of a block, slots of an output shard, share of all words that is taken, uses of a word at most.
+U = np.uint64
+#: Words of a block, slots of an output shard on average, share of all words that is taken, uses of a word at most.
 BLOCK, SLOTS, SHARE, REPEATS = 128, 8192, 1.5, 2
 WEIGHTS = (3.0, 1.0, 2.0)
-#: Spans of slots, one for each shard and source that fills some, that the driver draws at most: shards grow beyond that.
-MOST_SPANS, MOST_SHARDS = 1 << 20, 1 << 12
-#: Buckets that each source's documents are dealt to for running sums.
-BUCKETS = 1024
-#: Sources are a mixture's configuration: their sizes and targets are worked out on the driver.
-MOST_SOURCES = 1_000_000
+#: Slots of a source that a task draws shards for at once; documents of a source that a task sums sizes over.
+RANGE, RUN = 1 << 16, 1 << 16
+#: Sources that are broadcast at most; more are joined by a shuffle.
+MOST_BROADCAST = 100_000
+SLOT = "shard long, slot long, no long, block long"
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], share: float = SHARE, repeats: float = REPEATS) -> list[float]:
@@ -38,119 +39,192 @@ def targets(sizes: Sequence[int], weights: Sequence[float], share: float = SHARE
     return out.tolist()
 
 
-def permutation(source: int, n: int, seed: int = 0) -> tuple[int, int]:
-    """(a, b) of the permutation j -> (a * j + b) mod n of the source's n blocks."""
-    rng = np.random.default_rng([seed, source, n])
-    if n < 3:
-        return 1, int(rng.integers(n)) if n else 0
-    a = int(rng.integers(1, n))
-    while gcd(a, n) > 1:
-        a = a % n + 1
-    return a, int(rng.integers(n))
+def permuted(j: np.ndarray, n: int, key: int) -> np.ndarray:
+    """Where a keyed pseudorandom permutation of 0 ... n - 1 sends j: a Feistel network over the next even number of bits, walked until it is below n."""
+    half = U(max(1, (max(n - 1, 1).bit_length() + 1) // 2))
+    low = (U(1) << half) - U(1)
+    out = j.astype(U)
+    live = np.arange(len(out))
+    while len(live):
+        left, right = out[live] >> half, out[live] & low
+        for step in range(6):
+            left, right = right, left ^ (mix(right + U((key + step * 0x9E3779B97F4A7C15) % (1 << 64))) & low)
+        out[live] = left << half | right
+        live = live[out[live] >= U(n)]
+    return out.astype(np.int64)
 
 
-def shard_draws(slots: Sequence[int], per_shard: int = SLOTS, seed: int = 0) -> list[list[int]]:
-    """For each output shard, how many of its slots each source fills: multinomial draws by what the sources have left.
+def key_of(*parts: int) -> int:
+    """A 64-bit key of some numbers."""
+    h = np.zeros(1, U)
+    for x in parts:
+        h = mix(h + U(x % (1 << 64)) + U(0x9E3779B97F4A7C15))
+    return int(h[0])
 
-    A draw beyond what a source has left is cut to it and drawn again from the others, so that all slots are dealt.
+
+def range_of(key: int, slots: int, shards: int, ranges: int, at: int) -> tuple[int, int]:
+    """(slots before, slots in) range `at` of so many, of a multinomial draw of all slots over the shards, all alike.
+
+    Halves of the ranges share what their whole has by a binomial draw whose seed is the whole's place, so that any task
+    works out any range by itself, and all agree.
     """
-    left, rng, out = np.asarray(slots, np.int64), np.random.default_rng([seed, len(slots)]), []
-    while (total := int(left.sum())) > 0:
-        want, got = min(per_shard, total), np.zeros(len(left), np.int64)
-        while (need := want - int(got.sum())) > 0:
-            p = (left - got) / (left - got).sum()
-            got = np.minimum(got + rng.multinomial(need, p), left)
-        left = left - got
-        out.append(got.tolist())
-    return out
-
-
-def placed(docs: DataFrame, text: str = "text", source: str = "source", ident: str = "doc_id") -> DataFrame:
-    """docs with __size (words) and __at, the words before it in its source's order.
-
-    Order is by hash: documents are dealt to BUCKETS buckets of each source, so that running sums within a bucket and
-    over the buckets' totals give offsets without one source's rows ever meeting in one task. Rows that are alike in
-    id and text are interchangeable.
+    lo, hi, before = 0, ranges, 0
+    while hi - lo > 1:
+        middle = (lo + hi) // 2
+        begin, turn, end = (shards * x // ranges for x in (lo, middle, hi))
+        left = int(np.random.default_rng([key, lo, hi]).binomial(slots, (turn - begin) / (end - begin)))
+        if at < middle:
+            hi, slots = middle, left
+        else:
+            lo, slots, before = middle, slots - left, before + left
+    return before, slots
+
+
+def drawn(key: int, slots: int, blocks: int, shards: int, ranges: int, at: int) -> pd.DataFrame:
+    """Slots of one range: the shard of each, drawn multinomially over the range's shards, and the block that it maps to.
+
+    Slot j of a source is block j of its pass over the source, by that pass's own permutation. ranges are of shards,
+    at most as many as there are shards.
     """
-    size = F.coalesce(F.regexp_count(F.col(quoted(text)), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    key = F.xxhash64(F.col(quoted(ident)), F.lit(7))
-    out = docs.withColumns({"__size": size, "__key": key, "__text": F.xxhash64(F.col(quoted(text)))})
-    out = out.withColumn("__bucket", F.pmod(F.xxhash64("__key", "__text"), F.lit(BUCKETS)).cast("int"))
+    first, n = range_of(key, slots, shards, ranges, at)
+    lo, hi = shards * at // ranges, shards * (at + 1) // ranges
+    shard = np.sort(np.random.default_rng([key, ranges, at, 1]).integers(lo, hi, n))
+    j = np.arange(first, first + n)
+    turn, block = j // max(blocks, 1), np.empty(n, np.int64)
+    for t in np.unique(turn).tolist():
+        block[turn == t] = permuted(j[turn == t] % blocks, blocks, key_of(key, t))
+    return pd.DataFrame({"shard": shard, "slot": j, "block": block})
+
+
+def numbered(rows: DataFrame, source: str, size: str) -> DataFrame:
+    """(s, no, n) of each source and its sum of sizes, numbered by code point, null last."""
+    sizes = staged(rows.groupBy(F.col(quoted(source)).alias("s")).agg(F.sum(size).alias("n")), "sizes")
+    # Row numbers over all sources without one task that holds them: places within sorted parts, and the parts' counts.
+    parts = staged(sizes.orderBy(F.col("s").cast("string").asc_nulls_last()).select("s", "n", F.monotonically_increasing_id().alias("i")), "sorted")
+    part = F.shiftright("i", 33)
+    start, total = [], 0
+    for p, c in sorted(tuple(r) for r in parts.groupBy(part).count().collect()):
+        start.append((p, total))
+        total += c
+    start = rows.sparkSession.createDataFrame(start, "p long, before long")
+    return parts.join(F.broadcast(start), part == F.col("p")).select("s", (F.col("before") + F.col("i").bitwiseAND((1 << 33) - 1)).alias("no"), "n")
+
+
+def with_targets(sources: DataFrame, weights: Sequence[float], share: float, repeats: float = REPEATS) -> DataFrame:
+    """sources (s, no, n) with target, as targets() has it: rounds of sums over the table until none is above its cap."""
+    w = F.get(F.array(*(F.lit(float(x)) for x in weights)), F.pmod("no", F.lit(len(weights))).cast("int"))
+    rows = sources.select("s", "no", "n", w.alias("w"), (F.col("n") * float(repeats)).alias("cap"))
+    total = float(rows.agg(F.sum("n")).first()[0] or 0) * share
+    capped, level = F.lit(False), 0.0
+    while True:
+        open_w, closed, n = rows.agg(F.sum(F.when(~capped, F.col("w"))), F.sum(F.when(capped, F.col("cap"))), F.count(F.when(~capped, 1))).first()
+        rest = total - (closed or 0.0)
+        if not n or not open_w or rest <= 0:
+            break
+        level = rest / open_w
+        above = F.col("w") * level > F.col("cap")
+        if not rows.where(~capped & above).limit(1).count():
+            break
+        # What is above its cap at one level is so at every higher one; levels only rise.
+        capped = above
+    return rows.select("s", "no", "n", F.when(capped, F.col("cap")).otherwise(F.col("w") * level).alias("target"))
+
+
+def placed(docs: DataFrame, text: str = "text", source: str = "source", ident: str = "doc_id", names: Sequence[str] = ("__size", "__at")) -> DataFrame:
+    """docs with the names' columns: words, and the words before a document in its source's order.
+
+    Order is by hash: documents are dealt to buckets of some RUN documents of all, so that running sums within a
+    source's bucket and over the buckets' totals give offsets without one source's rows ever meeting in one task. Rows
+    that are alike in id and text are interchangeable.
+    """
+    size, at = names
+    inner = own(docs.withColumns({size: F.lit(0), at: F.lit(0)}), "__key", "__text", "__bucket", "__source", "__of", "__before", "__in")
+    key, same, bucket, s2, b2, before, within = inner
+    words = F.coalesce(F.regexp_count(F.col(quoted(text)), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    buckets = max(16, docs.count() // RUN)
+    out = docs.withColumns({size: words, key: F.xxhash64(F.col(quoted(ident)), F.lit(7)), same: F.xxhash64(F.col(quoted(text)))})
+    out = out.withColumn(bucket, F.pmod(F.xxhash64(key, same), F.lit(buckets)).cast("long"))
     s = F.col(quoted(source))
-    sums = staged(out.groupBy(s.alias("__s"), "__bucket").agg(F.sum("__size").alias("__n")), "sums")
-    before = sums.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy("__s").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    before = before.select(F.col("__s"), F.col("__bucket").alias("__b"), "__before")
-    within = Window.partitionBy(s, "__bucket").orderBy("__key", "__text", quoted(ident), "__size").rowsBetween(Window.unboundedPreceding, -1)
-    out = out.withColumn("__in", F.coalesce(F.sum("__size").over(within), F.lit(0)))
-    out = out.join(before, s.eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
-    return out.withColumn("__at", F.col("__before") + F.col("__in")).drop("__key", "__text", "__bucket", "__s", "__b", "__before", "__in")
+    sums = staged(out.groupBy(s.alias("s"), F.col(bucket).alias("b")).agg(F.sum(size).alias("n")), "sums")
+    total = staged(sums.groupBy("s", F.floor(F.col("b") / 1024).alias("g")).agg(F.sum("n").alias("n")), "groups")
+    # Buckets in groups, so that no window holds more than a thousand rows of a source but for the groups themselves.
+    group = total.select("s", "g", F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = sums.withColumn("g", F.floor(F.col("b") / 1024)).withColumn("in", F.coalesce(F.sum("n").over(Window.partitionBy("s", "g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    earlier = inside.join(group.toDF("s_", "g_", "before"), F.col("s").eqNullSafe(F.col("s_")) & (F.col("g") == F.col("g_"))).select(F.col("s").alias(s2), F.col("b").alias(b2), (F.col("before") + F.col("in")).alias(before))
+    order = Window.partitionBy(s, bucket).orderBy(key, same, quoted(ident), size).rowsBetween(Window.unboundedPreceding, -1)
+    out = out.withColumn(within, F.coalesce(F.sum(size).over(order), F.lit(0)))
+    out = out.join(earlier, s.eqNullSafe(F.col(s2)) & (F.col(bucket) == F.col(b2)))
+    return out.withColumn(at, F.col(before) + F.col(within)).select(*map(quoted, docs.columns), size, at)
 
 
-def mix_plan(spark: SparkSession, rows: DataFrame, source: str, weights: Sequence[float], share: float, seed: int = 0, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(sources, slots) for rows of placed(): sources (s, no, source_size, target), and the mix itself, a row for each
+def mix_plan(rows: DataFrame, source: str, size: str, weights: Sequence[float], share: float, seed: int = 0, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(sources, slots) for rows of placed(): sources (s, no, n, target), and the mix itself, a row for each
 
     slot: (shard, slot, no, block). Targets are met by whole passes over a source's blocks and a part of one more, to
-    the nearest block. Only sizes by source reach the driver, MOST_SOURCES at most.
+    the nearest block. Each source's slots are dealt to the output shards by a multinomial draw, all shards alike, so a
+    shard holds SLOTS blocks or so and the sources in their target shares. Tasks draw ranges of some RANGE slots.
     """
-    sizes = rows.groupBy(F.col(quoted(source)).alias("s")).agg(F.sum("__size").alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(sizes) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    sizes = sorted(sizes, key=lambda r: (r.s is None, str(r.s).encode("utf-32-be")))
-    goal = targets([r.n for r in sizes], [weights[i % len(weights)] for i in range(len(sizes))], share)
-    table, slots = [], []
-    for i, (r, g) in enumerate(zip(sizes, goal, strict=True)):
-        n = -(-r.n // block)
-        passes = int(g // r.n) if r.n else 0
-        part = min(n, round((g - passes * r.n) / block)) if n else 0
-        a, b = permutation(i, n, seed)
-        slots.append(passes * n + part)
-        table.append((r.s, i, int(r.n), float(g), n, a, b))
-    sources = spark.createDataFrame(table, "s string, no int, source_size long, target double, blocks long, a long, b long")
-    spans, done = [], [0] * len(table)
-    per_shard = max(SLOTS, -(-sum(slots) // max(1, min(MOST_SHARDS, MOST_SPANS // max(1, len(table))))))
-    for shard, counts in enumerate(shard_draws(slots, per_shard, seed)):
-        for i, c in enumerate(counts):
-            if c:
-                spans.append((shard, i, done[i], done[i] + c))
-                done[i] += c
-    spans = spark.createDataFrame(spans, "shard int, no int, first long, after long").repartition(max(1, min(len(spans), 1 + sum(slots) // 100_000)))
-    # a * j mod n in decimals: both are below 2**63, their product is not.
-    spot = (F.col("a").cast("decimal(19,0)") * F.pmod("j", "blocks").cast("decimal(19,0)") + F.col("b")) % F.col("blocks")
-    drawn = spans.join(F.broadcast(sources.select("no", "blocks", "a", "b")), "no")
-    # In two steps, so that no row holds a long array.
-    drawn = drawn.withColumn("from", F.explode(F.sequence("first", F.col("after") - 1, F.lit(1 << 16).cast("long"))))
-    drawn = drawn.select("shard", "no", "blocks", "a", "b", F.explode(F.sequence("from", F.least(F.col("from") + (1 << 16), F.col("after")) - 1)).alias("j"))
-    return sources, drawn.select("shard", F.col("j").alias("slot"), "no", spot.cast("long").alias("block"))
-
-
-def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, text: str = "text", source: str = "source", ident: str = "doc_id", seed: int = 0, block: int = BLOCK) -> DataFrame:
-    """docs with __size, __source_size, __target, and __uses: array<struct<block, first, words, times>> of what the mix takes.
-
-    first and words place a block's part within the document; times is how often the mix takes it. Blocks are joined
-    by index with the slots that drew them. Null and empty texts have no words and are never taken; a null source is a
-    source, last in order; an empty table gives no rows.
+    sources = staged(with_targets(numbered(rows, source, size), weights, share), "sources")
+    blocks, passes = F.ceil(F.col("n") / block).cast("long"), F.when(F.col("n") > 0, F.floor(F.col("target") / F.col("n"))).otherwise(0).cast("long")
+    part = F.least(F.col("blocks"), F.rint((F.col("target") - F.col("passes") * F.col("n")) / block).cast("long"))
+    plan = sources.select("no", "n", "target", blocks.alias("blocks"), passes.alias("passes"))
+    plan = plan.withColumn("slots", F.col("passes") * F.col("blocks") + F.greatest(part, F.lit(0))).where("slots > 0")
+    shards = max(1, -(-int(plan.agg(F.sum("slots")).first()[0] or 0) // SLOTS))
+    ranges = F.least(F.lit(shards), F.ceil(F.col("slots") / RANGE)).cast("long")
+    spans = plan.select("no", "slots", "blocks", ranges.alias("ranges")).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ranges") - 1)))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                yield drawn(key_of(seed, r.no), r.slots, r.blocks, shards, r.ranges, r.at).assign(no=r.no)[["shard", "slot", "no", "block"]]
+
+    return sources, spans.repartition("no", "at").mapInPandas(draw, SLOT)
+
+
+USES = "array<struct<block:bigint,first:bigint,words:bigint,times:bigint,at:array<struct<shard:bigint,slot:bigint>>>>"
+
+
+def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, text: str = "text", source: str = "source", ident: str = "doc_id", seed: int = 0, block: int = BLOCK, names: Sequence[str] | None = None) -> DataFrame:
+    """docs with __size, __source_size, __target, and __uses: what the mix takes, USES (a taken name gets a _; or the four names).
+
+    first and words place a block's part within the document; times is how often the mix takes it, and at has the output
+    shard and slot of each time. Blocks are joined by index with the slots that drew them. Null and empty texts have no
+    words and are never taken; a null source is a source, last in order; repeated rows are documents of their own; an
+    empty table gives no rows.
     """
-    return mix_placed(staged(placed(docs, text, source, ident), "placed"), source, weights, share, seed, block)
+    names = list(names or own(docs, "__size", "__source_size", "__target", "__uses"))
+    at = own(docs.withColumns({n: F.lit(0) for n in names}), "__at")[0]
+    return mix_placed(staged(placed(docs, text, source, ident, (names[0], at)), "placed"), source, weights, share, seed, block, names, at)
 
 
-def mix_placed(rows: DataFrame, source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, seed: int = 0, block: int = BLOCK) -> DataFrame:
+def mix_placed(rows: DataFrame, source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, seed: int = 0, block: int = BLOCK, names: Sequence[str] = ("__size", "__source_size", "__target", "__uses"), at: str = "__at") -> DataFrame:
     """What mix_documents() does, for rows that placed() gave and that were written."""
-    spark = rows.sparkSession
-    sources, slots = mix_plan(spark, rows, source, weights, share, seed, block)
+    size, source_size, target, uses_name = names
+    sources, slots = mix_plan(rows, source, size, weights, share, seed, block)
+    s2, no, n2, a2 = own(rows.withColumns({n: F.lit(0) for n in names}), "__source", "__no", "__n", "__a")
     s = F.col(quoted(source))
-    rows = rows.join(F.broadcast(sources.select("s", "no", "source_size", "target").toDF("__s", "__no", "__source_size", "__target")), s.cast("string").eqNullSafe(F.col("__s"))).drop("__s")
-    times = slots.groupBy("no", "block").agg(F.count("*").alias("times"))
-    whole = rows.where("__size > 0").select("__no", "__at", "__size", F.explode(F.expr(f"sequence(__at div {block}, (__at + __size - 1) div {block})")).alias("block"))
-    part = whole.select("__no", "__at", "block", F.greatest(F.col("block") * block - F.col("__at"), F.lit(0)).alias("first"), F.least((F.col("block") + 1) * block - F.col("__at"), F.col("__size")).alias("after"))
-    used = part.join(times, (part["__no"] == times["no"]) & (part["block"] == times["block"])).select("__no", "__at", F.struct(part["block"], "first", (F.col("after") - F.col("first")).alias("words"), "times").alias("use"))
+    few = sources.select(F.col("s").alias(s2), F.col("no").alias(no), F.col("n").alias(source_size), F.col("target").alias(target))
+    rows = rows.join(F.broadcast(few) if sources.count() <= MOST_BROADCAST else few, s.eqNullSafe(F.col(s2))).drop(s2)
+    times = slots.groupBy(F.col("no").alias("no_"), F.col("block").alias("block_")).agg(F.count("*").alias("times"), F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("at"))
+    given = rows.where(F.col(size) > 0).select(F.col(no).alias("no"), F.col(at).alias("from"), F.col(size).alias("size"))
+    whole = given.withColumn("block", F.explode(F.expr(f"sequence(`from` div {block}, (`from` + size - 1) div {block})")))
+    part = whole.select("no", "from", "block", F.greatest(F.col("block") * block - F.col("from"), F.lit(0)).alias("first"), F.least((F.col("block") + 1) * block - F.col("from"), F.col("size")).alias("after"))
+    used = part.join(times, (F.col("no") == F.col("no_")) & (F.col("block") == F.col("block_"))).select("no", "from", F.struct("block", "first", (F.col("after") - F.col("first")).alias("words"), "times", "at").alias("use"))
     # Where a document with words begins is its own: (source, offset) names it.
-    uses = used.groupBy(F.col("__no").alias("n2"), F.col("__at").alias("a2")).agg(F.sort_array(F.collect_list("use")).alias("__uses"))
-    out = rows.join(uses, (F.col("__no") == F.col("n2")) & (F.col("__at") == F.col("a2")) & (F.col("__size") > 0), "left")
-    return out.drop("n2", "a2", "__no", "__at")
+    uses = used.groupBy(F.col("no").alias(n2), F.col("from").alias(a2)).agg(F.sort_array(F.collect_list("use")).cast(USES).alias(uses_name))
+    out = rows.join(uses, (F.col(no) == F.col(n2)) & (F.col(at) == F.col(a2)) & (F.col(size) > 0), "left")
+    return out.drop(n2, a2, no, at)
+
+
+def output_blocks(mixed: DataFrame, uses: str = "__uses", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The mixture as output shards: (shard, slot, block, first, words) and the kept columns, a row for each part of a drawn block, from mix_documents()."""
+    out = mixed.select(*map(quoted, keep), F.explode(uses).alias("u")).select(*map(quoted, keep), "u.block", "u.first", "u.words", F.explode("u.at").alias("p"))
+    return out.select("p.shard", "p.slot", "block", "first", "words", *map(quoted, keep))
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: null and empty texts have size and taken 0, a null source is a source, repeats are documents of their own."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     mixed = mix_placed(staged(placed(docs).drop("text"), "placed"))
-    taken = F.coalesce(F.aggregate("__uses", F.lit(0).cast("long"), lambda a, u: a + u["words"] * u["times"]), F.lit(0))
+    taken = F.coalesce(F.aggregate("__uses", F.lit(0).cast("long"), lambda a, u: a + u["words"] * F.size(u["at"])), F.lit(0))
     return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken.cast("long").alias("taken"))

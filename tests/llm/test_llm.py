@@ -89,6 +89,68 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
+LONG = ["0"]
+for _ in range(10):
+    LONG = LONG + ["1" if x == "0" else "0" for x in LONG]
+#: Two words whose hash by any polynomial modulo 2**64 is the same: a Thue-Morse word and its complement.
+TWINS = "".join(LONG), "".join("1" if x == "0" else "0" for x in LONG)
+
+
+def test_words_that_polynomials_take_for_equal():
+    for table, lower in ((kernels.SPACED, False), (kernels.ALNUM, True)):
+        a, b = kernels.Words(pa.array([*TWINS]), table, lower).hash.tolist()
+        assert a != b
+    words = [f"{'x' * n}{i}" for n in range(140) for i in range(3)] + ["é" * 40, "é" * 41]
+    h = kernels.Words(pa.array([" ".join(words), *words])).hash
+    assert len(set(h.tolist())) == len(words) and h[: len(words)].tolist() == h[len(words) :].tolist()
+
+
+def test_twins_stay_apart(spark):
+    a, b = TWINS
+    pad = " ".join(f"w{i}" for i in range(34))
+    texts = [f"x y {a}", f"x y {b}", f"{pad} {a}", f"{pad} {b}"]
+    docs = documents(spark, texts)
+    assert {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs).collect()} == dict(enumerate(near(texts, 3, 90)[1]))
+    assert not any(r.n_removed for r in substring_dedup.remove_repeats(docs).collect())
+    bench = spark.createDataFrame([(1, a)], "item_id long, text string")
+    assert [r.contaminated for r in decontaminate.decontaminate(docs, bench).orderBy("doc_id").collect()] == [True, False, True, False]
+
+
+INNER = "s c m r i t g n no id node root text_id n2 a2 oh __i __n __s __c __h __x __y __id __key __set __sid __same __least __leaf __hot __file __row __before __number __text __text_id __spans __hashes __lines __windows __placed __places __t_windows __host_ok __sha __response __rule __node __hit __found __new __size __source_size __target __uses __no __a __at __source __of __in __bucket __again __root size count once more block from".split()
+
+
+@pytest.fixture(scope="module")
+def clashing(docs):
+    return docs.withColumns({n: F.lit("x") for n in INNER})
+
+
+OPERATORS = {
+    "quality": lambda d, spark: quality_classifier.score_quality(d, spark.range(9).selectExpr("id as doc_id", "int(id % 2) as quality")),
+    "passages": lambda d, spark: decontaminate.decontaminate(d, spark.createDataFrame([(1, "THE of")], "item_id long, text string"), clean=True),
+    "shards": lambda d, spark: sharding.shard_documents(d, 3000),
+    "personal": lambda d, spark: pii.find_personal_data(d),
+    "hosts": lambda d, spark: quality_rules.judge_quality(d),
+    "repeats": lambda d, spark: substring_dedup.remove_repeats(d),
+    "near": lambda d, spark: ngram_join.near_duplicates(d),
+    "mixture": lambda d, spark: mixing.mix_documents(d, block=16),
+    "kinds": lambda d, spark: warc.dedup_kinds(d, "doc_id", "text"),
+    "urls": lambda d, spark: url_filters.judge_urls(d.withColumn("url", F.concat(F.lit("http://a.net/es/"), "doc_id")), html="text"),
+}
+
+
+@pytest.mark.parametrize("name", list(OPERATORS))
+def test_names_that_operators_use_themselves(spark, docs, clashing, name):
+    """Extra columns of whatever names pass through, and what the operator adds is as without them, under names of its own."""
+    plain, extra = OPERATORS[name](docs, spark), OPERATORS[name](clashing, spark)
+    assert len({c.lower() for c in extra.columns}) == len(extra.columns)
+    kept, want = [c for c in clashing.columns if c in extra.columns], [c for c in docs.columns if c in plain.columns]
+    assert set(kept) >= {*INNER, *want}
+    added = lambda df, given: [c for c in df.columns if c not in given]
+    rows = lambda df, given: sorted(str([r["doc_id"], *(r[c] for c in added(df, given))]) for r in df.collect())
+    assert rows(extra, kept) == rows(plain, want)
+    assert all(r[c] == "x" for r in extra.select(*INNER).collect() for c in INNER)
+
+
 # --- 1 -------------------------------------------------------------------------------------------------------------
 
 
@@ -110,6 +172,30 @@ def test_url_verdicts(spark):
     assert url_filters.judge_urls(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [10_000, 0])
+def test_edges_that_pages_declare(spark, monkeypatch, most):
+    """Both kinds of links of one page, attributes in either order, references of all kinds; rules in the plan or as a table."""
+    from urllib.parse import urljoin
+
+    monkeypatch.setattr(url_filters, "MOST_RULES", most)
+    both = '<link rel="canonical" href="http://self.org/a/b/page"><meta content="0;url={0}" http-equiv="refresh">'
+    page, refs = "http://self.org/a/b/page?q=1", ["next.html", "?p=2", "../up", "./same", "/root/x?y", "//other.org/z", "http://third.org/", "../../../far/", "..", "#here"]
+    pages = spark.createDataFrame([(i, f"http://self.org/a/b/page?q={i}", both.format(r)) for i, r in enumerate(refs)], "page_id long, url string, html string")
+    edges = {(r.a, r.b) for r in url_filters.alias_edges(pages).collect()}
+    for i, r in enumerate(refs):
+        url = f"http://self.org/a/b/page?q={i}"
+        to = urljoin(url, r)
+        assert (url, "http://self.org/a/b/page") in edges and ((url, to) in edges) == (not r.startswith("#"))
+    # A self-canonical page whose refresh leads to a blocked one.
+    rows = [(1, page, both.format("http://a.net/es/")), (2, "http://b.org/", both.format("sub/").replace("self.org/a/b/page", "b.org/")), (3, "http://b.org/sub/", '<meta http-equiv=refresh content="0;url=//c.net/fr/x">'), (4, None, both), (5, "odd", both.format("x"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filters.judge_urls(pages).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow"}
+    assert {r[0]: r[4] for r in run_sql(url_filters.ORACLE, pages=pages)} == got
+    refs = spark.createDataFrame([(i, f"http://self.org/a/b/page?q={i}", both.format(r.replace("http://third.org", "http://t.net/es"))) for i, r in enumerate(refs)], "page_id long, url string, html string")
+    assert {tuple(r) for r in url_filters.judge_urls(refs).select("page_id", "host", "path", "rule", "verdict").collect()} == set(run_sql(url_filters.ORACLE, pages=refs))
+
+
 # --- 2 -------------------------------------------------------------------------------------------------------------
 
 
@@ -389,11 +475,72 @@ def test_targets():
 
 
 def test_draws_and_permutations():
-    draws = mixing.shard_draws([1000, 3, 0, 500], 64)
-    assert np.sum(draws, 0).tolist() == [1000, 3, 0, 500] and {sum(d) for d in draws[:-1]} == {64}
-    for n in (1, 2, 3, 10, 97, 128):
-        a, b = mixing.permutation(4, n)
-        assert sorted((a * j + b) % n for j in range(n)) == list(range(n))
+    for n in (1, 2, 3, 10, 97, 128, 5000):
+        orders = [mixing.permuted(np.arange(n), n, mixing.key_of(4, turn)).tolist() for turn in range(3)]
+        assert all(sorted(o) == list(range(n)) for o in orders)
+        # No constant step between neighbours, and passes in orders of their own.
+        assert n < 97 or (len({(b - a) % n for a, b in zip(orders[0], orders[0][1:], strict=False)}) > n // 3 and orders[0] != orders[1])
+    for slots, blocks, shards, ranges in ((7, 5, 1, 1), (5000, 3000, 9, 4), (5000, 2500, 40, 40), (3, 2, 50, 1)):
+        parts = [mixing.drawn(17, slots, blocks, shards, ranges, at) for at in range(ranges)]
+        slot = np.concatenate([p["slot"] for p in parts])
+        shard = np.concatenate([p["shard"] for p in parts])
+        block = np.concatenate([p["block"] for p in parts])
+        assert slot.tolist() == list(range(slots)) and (np.diff(shard) >= 0).all() and shard.max() < shards
+        assert all(sorted(block[a : a + blocks].tolist()) == list(range(blocks)) for a in range(0, slots - blocks + 1, blocks))
+        if slots == 5000:
+            n = np.bincount(shard, minlength=shards)
+            assert ((n - slots / shards) ** 2 / (slots / shards)).sum() < 3 * shards
+
+
+def plain_mix(docs, block, share=1.5):
+    """{doc: words taken, repeats counted}, by lists: documents laid end to end in their source's order, blocks counted off."""
+    sizes, order = {}, {}
+    for i, (text, source, at) in docs.items():
+        n = len((text or "").split())
+        sizes[source] = sizes.get(source, 0) + n
+        order.setdefault(source, []).append((at, i, n))
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    goal = mixing.targets([sizes[s] for s in names], [mixing.WEIGHTS[i % 3] for i in range(len(names))], share)
+    out = dict.fromkeys(docs, 0)
+    for no, (s, g) in enumerate(zip(names, goal, strict=True)):
+        line = [i for _, i, n in sorted(order[s], key=lambda x: (x[0], x[2])) for _ in range(n)]
+        blocks = -(-len(line) // block)
+        passes = int(g // len(line)) if line else 0
+        slots = passes * blocks + (min(blocks, round((g - passes * len(line)) / block)) if line else 0)
+        for j in range(slots):
+            b = int(mixing.permuted(np.array([j % blocks]), blocks, mixing.key_of(mixing.key_of(0, no), j // blocks))[0])
+            for i in line[b * block : (b + 1) * block]:
+                out[i] += 1
+    return out, dict(zip(names, goal, strict=True)), sizes
+
+
+def test_mixture_takes_what_the_plain_form_takes(spark, docs):
+    at = {r.doc_id: r["at"] for r in mixing.placed(docs, names=("size", "at")).collect()}
+    want, goal, sizes = plain_mix({r.doc_id: (r.text, r.source, at[r.doc_id]) for r in docs.collect()}, 16)
+    out = mixing.mix_documents(docs, block=16)
+    rows = out.collect()
+    assert {r.doc_id: sum(u.words * len(u["at"]) for u in r["__uses"] or []) for r in rows} == want
+    assert all((r["__source_size"], r["__target"]) == (sizes[r.source], pytest.approx(goal[r.source])) for r in rows)
+    # The shards are the same words, block by block: each slot of a source holds one block, in one shard.
+    parts = mixing.output_blocks(out, keep=("doc_id", "source")).collect()
+    assert sum(p.words for p in parts) == sum(want.values())
+    slots = {}
+    for p in parts:
+        slots.setdefault((p.source, p.slot), set()).add((p.shard, p.block))
+    assert all(len(x) == 1 for x in slots.values()) and all(sum(p.words for p in parts if (p.source, p.slot) == k) <= 16 for k in list(slots)[:20])
+
+
+def test_op10_over_its_tables(spark, docs, tmp_path):
+    docs.select(*(x.split()[0] for x in DOCS.split(", "))).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in mixing.op10_mix_sources(spark, str(tmp_path)).collect()}
+    for r in docs.collect():
+        n = len((r.text or "").split())
+        assert got[r.doc_id]["size"] == n and 0 <= got[r.doc_id].taken <= 2 * n
+    by = {}
+    for r in docs.collect():
+        by.setdefault(r.source, []).append(got[r.doc_id])
+    assert all({x.source_size for x in g} == {sum(x["size"] for x in g)} for g in by.values())
+    assert all(abs(sum(x.taken for x in g) - g[0].target) <= 128 for g in by.values())
 
 
 def test_mixture(spark, docs):
