@@ -18,8 +18,8 @@ U = np.uint64
 BUCKETS, DIMS, NONZEROS, REACH = 1 << 15, 32, 2, 2
 #: Labelled rows that the network is fitted on at most (a sample by hash; everything else covers all data), hidden units.
 MOST_FIT, HIDDEN = 20_000, 48
-#: Blocks in which tasks' sums of vectors are added up.
-BLOCKS = 64
+#: Blocks in which tasks' sums of vectors are added up, and parts of the tasks that are added up first.
+BLOCKS, MEETINGS = 64, 8
 #: Classes of bytes whose runs are words: spaces between words, letters and non-ASCII, digits, other signs.
 CLASSES = np.full(256, 3, np.uint8)
 CLASSES[0x80:] = CLASSES[65:91] = CLASSES[97:123] = 1
@@ -77,10 +77,15 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
         acc = np.zeros(BUCKETS * DIMS // BLOCKS)
         for batch in batches:
             for raw in batch.column("sums"):
-                acc += np.frombuffer(raw.as_py(), np.int32)
+                raw = raw.as_py()
+                # Sums of one task are integers of 32 bits, sums of several doubles.
+                acc += np.frombuffer(raw, np.int32 if len(raw) == 4 * len(acc) else float)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([acc.tobytes()], pa.binary())], ["block", "sums"])
 
-    parts = docs.select(F.col(quoted(text)).alias(text)).mapInArrow(gather, "block int, sums binary").groupBy("block").applyInArrow(add, "block int, sums binary")
+    kind = "block int, sums binary"
+    parts = docs.select(F.col(quoted(text)).alias(text)).mapInArrow(gather, kind)
+    # In two steps, so that a block's sums of all tasks don't meet in one task at once.
+    parts = parts.withColumn("some", F.pmod(F.spark_partition_id(), F.lit(MEETINGS))).groupBy("block", "some").applyInArrow(add, kind).groupBy("block").applyInArrow(add, kind)
     out = np.zeros((BLOCKS, BUCKETS * DIMS // BLOCKS))
     for r in parts.collect():
         out[r.block] = np.frombuffer(r.sums)
@@ -199,13 +204,15 @@ def held_out(doc_id) -> F.col:
 def fit_quality(features: DataFrame, labels: DataFrame, ident: str, label: str, column: str, most: int = MOST_FIT) -> Network:
     """A network from the labelled rows that aren't held out: all of them, or a sample by hash of `most` or so.
 
-    Null ids and labels are left out; an id with several labels has their rounded mean; repeated ids are rows of their own.
+    Null ids and labels are left out; an id with several labels has their rounded mean; an id's different texts are rows of their own.
     """
     known = labels.select(F.col(quoted(ident)).alias("id"), F.col(quoted(label)).alias("label")).dropna().groupBy(F.col("id").alias("__i")).agg((F.avg("label") >= 0.5).cast("int").alias("__y"))
     rows = features.select(F.col(quoted(ident)).alias("id"), F.col(column).alias("x")).where(~held_out(F.col("id"))).join(known, F.col("id") == F.col("__i")).select("__i", "x", "__y")
-    n = known.where(~held_out(F.col("__i"))).count()
+    # Rows that are alike in id and features are one: an id that is repeated a million times is no million rows here.
+    rows = staged(rows.distinct(), "known")
+    n = rows.count()
     if n > most:
-        rows = rows.where(F.pmod(F.xxhash64("__i", F.lit(11)), F.lit(1 << 20)) < int((1 << 20) * most / n))
+        rows = rows.where(F.pmod(F.xxhash64("__i", "x", F.lit(11)), F.lit(1 << 20)) < int((1 << 20) * most / n))
     got = rows.orderBy("__i", "x").toArrow()
     x = np.array(got.column("x").combine_chunks().flatten(), float).reshape(-1, FEATURES)
     return fit(x, np.array(got.column("__y")))

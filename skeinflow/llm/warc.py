@@ -89,7 +89,10 @@ class Ranged:
 
 
 def end_of_central(f: Ranged) -> tuple[int, int, int]:
-    """(entries, size, offset) of the central directory, from its end record or, where that is full, the ZIP64 one."""
+    """(entries, size, offset, shift) of the central directory, from its end record or, where that is full, the ZIP64 one.
+
+    shift is what stands in the file before the ZIP: all offsets that it holds are so much too small.
+    """
     tail_at = max(0, f.size - 22 - FULL16)
     tail = f.read(tail_at, f.size - tail_at)
     # A comment may hold the signature too: the record's comment ends where the file does.
@@ -103,16 +106,24 @@ def end_of_central(f: Ranged) -> tuple[int, int, int]:
     if here >= 20 and (FULL16 == entries or FULL32 in (size, offset)):
         sign, _, where, _ = struct.unpack("<4sIQI", f.read(here - 20, 20))
         if sign == LOCATOR64:
-            sign, *_, entries, size, offset = struct.unpack("<4sQHHIIQQQQ", f.read(where, 56))
-            if sign != END64:
+            # Right before the locator, unless the record has data of its own; the locator's offset may be shifted.
+            for here in (here - 76, where):
+                if 0 <= here <= f.size - 56:
+                    sign, *_, entries, size, offset = struct.unpack("<4sQHHIIQQQQ", f.read(here, 56))
+                    if sign == END64:
+                        break
+            else:
                 raise ValueError("the ZIP64 locator points to no end record")
-    return entries, size, offset
+    shift = here - size - offset
+    if shift < 0 or entries and f.read(offset + shift, 4) != CENTRAL:
+        shift = 0
+    return entries, size, offset, shift
 
 
 def members(f: Ranged) -> dict[str, tuple[int, int, int, int]]:
     """{name: (method, compressed size, size, offset of the local header)} from the central directory."""
-    entries, size, offset = end_of_central(f)
-    raw, at, out = f.read(offset, size), 0, {}
+    entries, size, offset, shift = end_of_central(f)
+    raw, at, out = f.read(offset + shift, size), 0, {}
     for _ in range(entries):
         sign, flags, method, packed, full, n, x, c, where = struct.unpack_from("<4s4xHH8xIIHHH8xI", raw, at)
         if sign != CENTRAL:
@@ -124,7 +135,7 @@ def members(f: Ranged) -> dict[str, tuple[int, int, int, int]]:
             wide[tag], extra = extra[4 : 4 + k], extra[4 + k :]
         big = iter(struct.unpack(f"<{len(wide[1]) // 8}Q", wide[1][: len(wide[1]) // 8 * 8])) if 1 in wide else iter(())
         full, packed, where = (next(big) if v == FULL32 else v for v in (full, packed, where))
-        out[name] = method, packed, full, where
+        out[name] = method, packed, full, where + shift
         at += 46 + n + x + c
     return out
 
@@ -140,29 +151,50 @@ def member_start(f: Ranged, entry: tuple[int, int, int, int]) -> int:
     return where + 30 + n + x
 
 
+def index_lines(f: Ranged, name: str, entry: tuple[int, int, int, int], step: int) -> Iterator[bytes]:
+    """Lines of an index member, streamed; of a gzipped one, member after member."""
+    at, left, rest = member_start(f, entry), entry[2], b""
+    unpack = zlib.decompressobj(31) if name.endswith(".gz") else None
+    while left:
+        part = f.read(at, min(left, step))
+        at, left = at + len(part), left - len(part)
+        if unpack:
+            raw, part = part, b""
+            while raw:
+                part += unpack.decompress(raw)
+                raw = unpack.unused_data
+                if unpack.eof:
+                    unpack = zlib.decompressobj(31)
+        lines = (rest + part).split(b"\n")
+        rest = lines.pop()
+        yield from lines
+    if rest:
+        yield rest
+
+
 def read_package(uri: str, wanted: set[str] | None = None, pattern: str = "archive/", index_bytes: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes]]:
     """Records of a package by its index: each is read by its own range, never the whole member. wanted: record ids.
 
-    The index is streamed, so memory holds a part of it and one record.
+    The index is streamed, so memory holds a part of it and one record. Indexes of other writers may be gzipped, name
+    archives without their folder, give numbers as text, and no record ids: those are then the records' own. Archives
+    are gzip members by record, or not compressed.
     """
     f = Ranged(uri)
     try:
         found = members(f)
         begin = {name: member_start(f, e) for name, e in found.items() if name.startswith(pattern)}
-        for name in sorted(x for x in found if x.startswith("indexes/")):
-            at, left, rest = member_start(f, found[name]), found[name][2], b""
-            while left or rest:
-                part = f.read(at, min(left, index_bytes))
-                at, left = at + len(part), left - len(part)
-                lines = (rest + part).split(b"\n")
-                rest = lines.pop() if left else b""
-                for line in lines:
-                    if not line.strip():
-                        continue
-                    entry = json.loads(line[line.index(b"{") :])
-                    if wanted is None or entry["id"] in wanted:
-                        raw = zlib.decompress(f.read(begin[entry["filename"]] + entry["offset"], entry["length"]), 31)
-                        yield parse_record(raw)
+        for name in sorted(x for x in found if x.startswith("indexes/") and x.endswith((".cdxj", ".cdx", ".cdxj.gz", ".cdx.gz"))):
+            for line in index_lines(f, name, found[name], index_bytes):
+                if b"{" not in line:
+                    continue
+                entry = json.loads(line[line.index(b"{") :])
+                if wanted is not None and "id" in entry and entry["id"] not in wanted:
+                    continue
+                file = entry["filename"]
+                raw = f.read(begin[file if file in begin else pattern + file] + int(entry["offset"]), int(entry["length"]))
+                head, body = parse_record(zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw)
+                if wanted is None or "id" in entry or head["warc-record-id"].strip("<>").removeprefix("urn:uuid:") in wanted:
+                    yield head, body
     finally:
         f.close()
 
@@ -260,15 +292,19 @@ SCHEMA = "page_id string, url string, payload_bytes long, payload_digest string,
 
 
 def read_packages(packages: DataFrame, payloads: bool = True) -> DataFrame:
-    """A row for each record of the packages; a response whose payload isn't what its header says raises."""
+    """A row for each record of the packages; a response whose payload isn't what its header says raises.
+
+    payload_bytes and payload_digest are the record's headers; a record without them has its own payload's.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 rows, held = [], 0
                 for head, body in read_package(uri):
-                    said, size = head["warc-payload-digest"].removeprefix("sha1:"), int(head["warc-payload-length"])
-                    if head["warc-type"] == "response" and (digest_of(body), len(body)) != (said, size):
+                    here = digest_of(body), len(body)
+                    said, size = head.get("warc-payload-digest", f"sha1:{here[0]}").removeprefix("sha1:"), int(head.get("warc-payload-length", here[1]))
+                    if head["warc-type"] == "response" and ":" not in said and here != (said, size):
                         raise ValueError(f"{uri}: the payload of {head['warc-record-id']} is not what its digest says")
                     rows.append((head.get("x-page-id"), head.get("warc-target-uri"), size, said, head["warc-type"], head.get("x-refers-to-page"), body if payloads and head["warc-type"] == "response" else None))
                     held += len(body) if payloads else 200

@@ -287,6 +287,43 @@ def test_records_are_read_by_range(tmp_path):
     assert len(got) == 2 and got[0][1] == np.random.default_rng(7).bytes(20_000) and sum(seen) < 150_000
 
 
+@pytest.mark.parametrize("before", [b"", b"#!/bin/sh stub " * 99])
+@pytest.mark.parametrize("many", [1, 70_000])
+def test_packages_of_another_writer(spark, tmp_path, before, many):
+    """As the format's own tools write them: bare file names, numbers as text, no ids, a gzipped index in blocks, plain records, data before the ZIP."""
+    import gzip
+    import io
+    import json
+    import zipfile
+
+    def one(i, body):
+        block = f"HTTP/1.1 200 OK\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
+        return f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{i}>\r\nWARC-Target-URI: http://h/{i}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    bodies = [f"page {i} ".encode() * 50 for i in range(6)]
+    files, lines = {"data.warc.gz": b"", "plain.warc": b""}, []
+    for i, b in enumerate(bodies):
+        name = "data.warc.gz" if i % 2 else "plain.warc"
+        raw = gzip.compress(one(i, b)) if i % 2 else one(i, b)
+        lines.append(f"h)/{i} 20240101 {json.dumps({'url': f'http://h/{i}', 'filename': name, 'offset': str(len(files[name])), 'length': str(len(raw))})}\n".encode())
+        files[name] += raw
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        for name, raw in files.items():
+            z.writestr(f"archive/{name}", raw)
+        z.writestr("indexes/index.cdx.gz", gzip.compress(b"".join(lines[:4])) + gzip.compress(b"".join(lines[4:])))
+        z.writestr("indexes/index.idx", b"!meta 0 {}")
+        for k in range(many - 1):
+            z.writestr(f"pages/{k}", "")
+    (tmp_path / "x.wacz").write_bytes(before + out.getvalue())
+    uri = f"file://{tmp_path}/x.wacz"
+    assert [b for _, b in warc.read_package(uri, index_bytes=100)] == bodies
+    assert [b for _, b in warc.read_package(uri, {"3"})] == [bodies[3]]
+    if many == 1:
+        got = warc.read_packages(spark.createDataFrame([(uri, 6)], "package string, records long")).collect()
+        assert sorted((r.url, r.payload_bytes, r.payload_digest, r.record_type) for r in got) == [(f"http://h/{i}", len(b), warc.digest_of(b), "response") for i, b in enumerate(bodies)]
+
+
 # --- 4 -------------------------------------------------------------------------------------------------------------
 
 
@@ -454,7 +491,9 @@ def test_regions_join_exactly(monkeypatch):
         assert components(len(sets), links) == components(len(sets), want)
 
 
-def test_large_regions_are_split_by_spark(spark):
+@pytest.mark.parametrize("rounds", [6, 0])
+def test_large_regions_are_split_by_spark(spark, monkeypatch, rounds):
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
     rng = np.random.default_rng(9)
     sets = [*cloud(rng), *cloud(rng)]
     ids = [i.to_bytes(4, "big") for i in range(len(sets))]
