@@ -33,7 +33,7 @@ MOST_BROADCAST = 1 << 20
 SHINGLE, PERCENT = 3, 90
 #: Bytes of text that a task deals with together; sets that are compared all with all; pivots of a region.
 PIECE, LEAF, PIVOTS = 4 << 20, 256, 8
-#: Bytes of sets of a region beyond which Spark splits it, and rounds in which it tries.
+#: Bytes of sets of a region beyond which Spark splits it, and rounds of pivots after which what is still larger is compared in blocks.
 REGION_BYTES, ROUNDS = 32 << 20, 6
 #: Shingles in so many sets, and in such a part of them, are common; of common ones so many are told apart at most.
 COMMON, COMMON_PART, MOST_COMMON = 64, 1 / 400, 200_000
@@ -418,7 +418,7 @@ LINK = "a binary, b binary"
 
 def _join_regions(members: DataFrame, percent: int, total: int) -> DataFrame:
     """Links of regions that fit into memory; many small ones share a task's group, which holds 8 MB of sets or so."""
-    groups = max(8, total // (8 << 20))
+    groups = max(64, total // (8 << 20))
 
     def join(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
@@ -476,6 +476,19 @@ def _pivot_round(big: DataFrame, percent: int, no: int) -> DataFrame:
     return staged(big.join(pivots, "root").mapInArrow(split, ROUND), "round")
 
 
+def _join_blocks(large: DataFrame, percent: int, most: int) -> DataFrame:
+    """Links of regions that pivots don't make smaller, (root, sid, elements, n): parts of half the bytes that fit, each two of them in a task of their own.
+
+    Exact whatever the region looks like; its cost grows with the square of the region's size, spread over tasks.
+    """
+    parts = F.ceil(2 * F.col("n") / most).cast("long")
+    mine = large.withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("parts")))
+    pairs = mine.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    pairs = pairs.select(F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("root"), "sid", "elements")
+    total = pairs.agg(F.sum(F.length("elements"))).first()[0] or 0
+    return _join_regions(pairs, percent, total)
+
+
 def region_links(members: DataFrame, percent: int = PERCENT, most: int = REGION_BYTES) -> DataFrame:
     """(a, b) links among members (root, sid, elements) of each region, enough to connect whatever is linked in it."""
     eps, out = 1 - percent / 100, None
@@ -484,12 +497,14 @@ def region_links(members: DataFrame, percent: int = PERCENT, most: int = REGION_
         total, large = sizes.agg(F.sum("n"), F.max("n")).first()
         if not total:
             break
-        split = no < ROUNDS and large > most
-        fits = sizes.where(F.col("n") <= most) if split else sizes
+        fits = sizes.where(F.col("n") <= most)
         part = _join_regions(members.join(fits.select("root"), "root", "left_semi"), percent, total)
         part = staged(part, "links")
         out = part if out is None else out.union(part)
-        if not split:
+        if large <= most:
+            break
+        if no == ROUNDS:
+            out = out.union(staged(_join_blocks(members.join(sizes.where(F.col("n") > most), "root"), percent, most), "links"))
             break
         rows = _pivot_round(members.join(sizes.where(F.col("n") > most).select("root"), "root", "left_semi"), percent, no)
         out = out.union(rows.where("a is not null").select("a", "b"))
