@@ -33,13 +33,14 @@ def crossing_signs(pd: Column) -> Column:
 
 
 def merged_labels(n2: Column, pairs: Column) -> Column:
-    """For arcs 1 ... n2 the least label of each arc's class, after joining the pairs (struct x, y): a fold, no shuffle."""
+    """For arcs 1 ... n2 (one, where there are no crossings) the least label of each arc's class, after joining the pairs (struct x, y): a fold, no shuffle."""
 
     def join(labels, e):
         a, b = F.get(labels, e["x"] - 1), F.get(labels, e["y"] - 1)
         return F.transform(labels, lambda v: F.when((v == a) | (v == b), F.least(a, b)).otherwise(v))
 
-    return F.aggregate(pairs, F.sequence(F.lit(1), n2), join)
+    # Without crossings there is one arc, a circle.
+    return F.aggregate(pairs, F.sequence(F.lit(1), F.greatest(n2, F.lit(1))), join)
 
 
 def seifert_structure(pds: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinflow.operators.algebra import f2_rank
+from skeinflow.sources.derived import checkpoint_dir
 
 #: Rows beyond which n! states are refused.
 MOST_ROWS = 10
@@ -25,7 +26,7 @@ def grid_verdict(n: Column, o: Column, x: Column) -> Column:
 def from_markers(markers: DataFrame) -> DataFrame:
     """(diagram, n, o, x) of (diagram, r, c) cells, 1-based, two in each row and column: colours alternate along the knot.
 
-    The knot is traced by pointer jumping as a fold over the cells; rows are turned over, which undoes the mirror.
+    The knot is traced cell by cell, one diagram in a task; rows are turned over, which undoes the mirror.
     """
     def trace(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         cells = [(int(r) - 1, int(c) - 1) for r, c in zip(pdf["r"], pdf["c"], strict=True)]
@@ -195,12 +196,28 @@ def divided(poincare: DataFrame, grids: DataFrame) -> DataFrame:
     return q.groupBy("diagram", "m", "a").agg(F.sum("v").alias("rank")).where("rank <> 0")
 
 
+def tensored(hfk: DataFrame, grids: DataFrame) -> DataFrame:
+    """(diagram, m, a, dim): multiplied by (1 + q^-1 t^-1)^(n - 1)."""
+    h = hfk.join(grids.select("diagram", "n"), "diagram").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    table = F.array(*(F.array(*(F.lit(comb(max(n - 1, 0), k)).cast("long") for k in range(MOST_ROWS + 1))) for n in range(MOST_ROWS + 1)))
+    t = h.select("diagram", (F.col("m") - F.col("k")).alias("m"), (F.col("a") - F.col("k")).alias("a"), (F.col("rank") * F.get(F.get(table, F.col("n")), F.col("k"))).alias("v"))
+    return t.groupBy("diagram", "m", "a").agg(F.sum("v").alias("dim")).where("dim <> 0")
+
+
 def hfk_hat(grids: DataFrame) -> DataFrame:
-    """(diagram, m, a, rank), all positive. The quotient is a polynomial, so it ends where the Poincare polynomial does, n - 1 steps up."""
-    p = grid_poincare(grids)
+    """(diagram, m, a, rank), all positive. The quotient is a polynomial, so it ends where the Poincare polynomial does, n - 1 steps up.
+
+    It is multiplied back and compared with the Poincare polynomial: a remainder raises.
+    """
+    checkpoint_dir(grids.sparkSession)
+    p = grid_poincare(grids).checkpoint()
     low = p.groupBy("diagram").agg(F.min("m").alias("low_m"), F.min("a").alias("low_a")).join(grids.select("diagram", "n"), "diagram")
     q = divided(p, grids).join(low, "diagram").where("m >= low_m + n - 1 and a >= low_a + n - 1").select("diagram", "m", "a", "rank")
-    return q.withColumn("rank", F.when(F.col("rank") > 0, F.col("rank")).otherwise(F.raise_error(F.lit("a negative rank"))))
+    q = q.withColumn("rank", F.when(F.col("rank") > 0, F.col("rank")).otherwise(F.raise_error(F.lit("a negative rank"))))
+    both = p.union(tensored(q, grids).select("diagram", "m", "a", -F.col("dim"))).groupBy("diagram", "m", "a").agg(F.sum("dim").alias("left"))
+    rest = both.where("left <> 0").select("diagram").distinct().withColumn("rest", F.lit(True))
+    q = q.join(rest, "diagram", "left")
+    return q.select("diagram", "m", "a", F.when(F.col("rest"), F.raise_error(F.lit("the division leaves a remainder"))).otherwise(F.col("rank")).alias("rank"))
 
 
 def seifert_genus(grids: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinflow.operators.algebra import PRIMES, f2_rank, homology, rational_rank_multimodular
+from skeinflow.operators.algebra import PRIMES, dense_rank, f2_rank, homology, rank_by_primes
 from skeinflow.operators.cube import cube_states, labels_of
 from skeinflow.operators.diagrams import seifert_structure
 
@@ -90,12 +90,12 @@ def as_complex(pds: DataFrame, lee: bool = False) -> tuple[DataFrame, DataFrame]
     return placed, bd.select("cx", "deg", "col", "row", "v", "q_col", "q_row")
 
 
-def khovanov_homology(pds: DataFrame, field: str = "f2") -> DataFrame:
-    """(diagram, i, j, dim) over F2 ("f2") or the rationals ("q"); a diagram without crossings is the unknot."""
+def khovanov_homology(pds: DataFrame, field: str = "f2", verify: bool = False) -> DataFrame:
+    """(diagram, i, j, dim) over F2 ("f2") or the rationals ("q"); a diagram without crossings is the unknot. verify checks the boundary's square."""
     some = pds.where(F.size("pd") > 0)
     placed, bd = as_complex(some)
     gen = placed.groupBy("cx", "deg").agg(F.count("*").alias("dim"))
-    h = homology(gen.withColumn("cx", F.to_json("cx")), bd.withColumn("cx", F.to_json("cx")), "q_modular" if field == "q" else field)
+    h = homology(gen.withColumn("cx", F.to_json("cx")), bd.withColumn("cx", F.to_json("cx")), "q_modular" if field == "q" else field, verify)
     c = F.from_json("cx", "diagram string, j int")
     trivial = pds.where(F.size("pd") == 0).select("diagram", F.lit(0).alias("i"), F.explode(F.array(F.lit(-1), F.lit(1))).alias("j"), F.lit(1).cast("long").alias("dim"))
     return h.select(c["diagram"].alias("diagram"), F.col("deg").alias("i"), c["j"].alias("j"), F.col("betti").alias("dim")).union(trivial)
@@ -105,7 +105,7 @@ def lee_homology(pds: DataFrame) -> DataFrame:
     """(diagram, i, dim): a knot has dimension 2 in degree 0 and nothing else."""
     placed, bd = as_complex(pds, lee=True)
     gen = placed.groupBy("cx", "deg").agg(F.count("*").alias("dim"))
-    h = homology(gen.withColumn("cx", F.to_json("cx")), bd.withColumn("cx", F.to_json("cx")), "q_modular")
+    h = homology(gen.withColumn("cx", F.to_json("cx")), bd.withColumn("cx", F.to_json("cx")), "q_modular", False)
     return h.select(F.from_json("cx", "diagram string")["diagram"].alias("diagram"), F.col("deg").alias("i"), F.col("betti").alias("dim"))
 
 
@@ -118,7 +118,7 @@ def s_of(dim: list[tuple[int, int]], out: list[tuple], into: list[tuple]) -> int
         cols: dict[int, dict[int, int]] = {}
         for c, r, v in entries:
             cols.setdefault(c, {})[r] = v
-        return rational_rank_multimodular(list(cols.values()))
+        return rank_by_primes(list(cols.values()))
 
     all_in = rank((c, r, v) for c, r, v, _, _ in into)
     dims = {}
@@ -195,23 +195,6 @@ def complex_of(code: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return i, j, np.concatenate(edges, 1)
 
 
-def _dense_rank(m: np.ndarray, p: int) -> int:
-    m, rank = m % p, 0
-    for column in range(m.shape[1]):
-        where = np.flatnonzero(m[rank:, column])
-        if not len(where):
-            continue
-        k = rank + where[0]
-        m[[rank, k]] = m[[k, rank]]
-        m[rank] = m[rank] * pow(int(m[rank, column]), p - 2, p) % p
-        rest = rank + where[where > 0] if where[0] == 0 else rank + 1 + np.flatnonzero(m[rank + 1 :, column])
-        m[rest] = (m[rest] - m[rest, column][:, None] * m[rank][None]) % p
-        rank += 1
-        if rank == len(m):
-            break
-    return rank
-
-
 def khovanov_of(code: list[list[int]], field: str = "f2") -> dict[tuple[int, int], int]:
     """{(i, j): dimension}: every quantum grading by itself, F2 by bit masks, Q as the largest rank modulo three primes."""
     if not code:
@@ -237,7 +220,7 @@ def khovanov_of(code: list[list[int]], field: str = "f2") -> dict[tuple[int, int
         else:
             m = np.zeros((size[cell], size[cell + 4096]), np.int64)
             np.add.at(m, (a, b), sign[lo:hi])
-            ranks[cell] = max(_dense_rank(m.copy(), p) for p in PRIMES)
+            ranks[cell] = max(dense_rank(m, p) for p in PRIMES)
     out = {}
     for cell, n in size.items():
         if left := n - ranks[cell] - ranks.get(cell - 4096, 0):

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinflow.functions.text import human_bytes
+from skeinflow.sources.derived import checkpoint_dir
 
 
 def after_margin(n: Column, margin: float) -> Column:
@@ -23,7 +22,7 @@ def capability_gaps(paths: DataFrame, nodes: DataFrame, gpus: DataFrame, cap_byt
     node = nodes.select(F.size("cores").alias("c"), after_margin(F.col("ram"), margin).alias("r"))
     one = node.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("all_cores"), F.coalesce(F.max("c"), F.lit(0)).alias("node_cores"), F.coalesce(F.max("r"), F.lit(0)).alias("node_ram"), F.collect_list(F.struct("c", "r")).alias("each"))
     device = gpus.agg(F.max("vram").alias("best"))
-    p = paths.join(F.broadcast(one)).join(F.broadcast(device))
+    p = paths.crossJoin(F.broadcast(one)).crossJoin(F.broadcast(device))
     gap = lambda axis, needed, available: F.struct(F.lit(axis).alias("axis"), needed.cast("long").alias("needed"), available.cast("long").alias("available"))
     zero, c, ram, vram = F.lit(0), F.col("cores"), F.col("ram"), F.col("vram")
     device_gap = F.when(F.col("best").isNull(), gap("no_device", vram, zero)).when(F.col("best") < vram, gap("exceeds_vram", vram, F.col("best"))).when(F.col("all_cores") < c, gap("exceeds_cores", c, F.col("all_cores"))).when(cap < ram, gap("exceeds_ram", ram, cap))
@@ -67,12 +66,6 @@ def ready_jobs(jobs: DataFrame, needs: DataFrame, done: DataFrame) -> DataFrame:
     return jobs.select("job").join(done.select("job"), "job", "left_anti").join(open_, "job", "left_anti")
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's folder, else one of our own, as in tests."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-
-
 def lineage_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): undirected components of (job, dep), by least labels until nothing changes; checkpoints cut the lineage."""
     checkpoint_dir(edges.sparkSession)
@@ -89,19 +82,43 @@ def lineage_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def cyclic_jobs(jobs: DataFrame, needs: DataFrame, rounds: int = 100) -> DataFrame:
-    """(job): what is left when jobs without unmet needs are taken away again and again; empty for an acyclic graph."""
+def cyclic_jobs(jobs: DataFrame, needs: DataFrame, layers: int = 4) -> DataFrame:
+    """(job): jobs on a cycle or between two; empty for an acyclic graph.
+
+    Jobs without needs, and jobs that nothing needs, are taken away until none is left to take: some layers from either
+    end in each round, as many rounds as the longest chain asks for.
+    """
     checkpoint_dir(needs.sparkSession)
     left = needs.select("job", "dep").distinct().checkpoint()
-    for _ in range(rounds):
-        rest = left.join(left.select(F.col("job").alias("dep")).distinct(), "dep", "left_semi").select("job", "dep").checkpoint()
-        n, m = left.count(), rest.count()
-        left = rest
-        if n == m:
+    n = left.count()
+    while n:
+        for _ in range(layers):
+            left = left.join(left.select(F.col("job").alias("dep")).distinct(), "dep", "left_semi")
+            left = left.join(left.select(F.col("dep").alias("job")).distinct(), "job", "left_semi").select("job", "dep")
+        left = left.checkpoint()
+        before, n = n, left.count()
+        if n == before:
             break
     return left.select("job").distinct()
 
 
+def graph_verdicts(jobs: DataFrame, needs: DataFrame) -> DataFrame:
+    """(job, verdict) of jobs that keep a graph from running: declared twice, a need that nobody declares, part of a cycle."""
+    twice = jobs.groupBy("job").count().where("count > 1").select("job", F.lit("declared twice").alias("verdict"))
+    dangling = needs.join(jobs.select(F.col("job").alias("dep")), "dep", "left_anti").select("job", F.concat(F.lit("needs "), F.col("dep"), F.lit(", which is not declared")).alias("verdict")).distinct()
+    return twice.union(dangling).union(cyclic_jobs(jobs, needs).withColumn("verdict", F.lit("part of a cycle")))
+
+
+def dependents(needs: DataFrame) -> DataFrame:
+    """(job, n): how many jobs need each one."""
+    return needs.select("job", "dep").distinct().groupBy(F.col("dep").alias("job")).agg(F.count("*").alias("n"))
+
+
+def committed(allocations: DataFrame) -> DataFrame:
+    """(node, jobs, cores, ram) that allocations hold of each node: of memory the larger of declared and actual."""
+    return allocations.groupBy("node").agg(F.count("*").alias("jobs"), F.sum(F.size("cores")).alias("cores"), F.sum(F.greatest("declared", "actual")).cast("long").alias("ram"))
+
+
 def execution_route(vram: Column, budget: Column, seconds: Column, overhead: Column, part: float = 0.5, times: float = 10.0) -> Column:
     """fresh where a job takes half the device or ten times the overhead, else warm; no calibration holds the time rule off."""
     fresh = (vram >= part * budget) | F.coalesce(seconds >= times * overhead, F.lit(False))

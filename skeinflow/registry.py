@@ -56,7 +56,7 @@ KHOVANOV = {
     "5_1": [(-5, -15), (-5, -13), (-4, -13), (-4, -11), (-3, -11), (-3, -9), (-2, -9), (-2, -7), (0, -5), (0, -3)],
     "5_2": [(-5, -13), (-5, -11), (-4, -11), (-4, -9), (-3, -9), (-3, -7), (-2, -7), (-2, -7), (-2, -5), (-2, -5), (-1, -5), (-1, -3), (0, -3), (0, -1)],
 }
-KHOVANOV_Q = {"3_1": [(-3, -9), (-2, -5), (0, -3), (0, -1)], "4_1": [(-2, -5), (-1, -1), (0, -1), (0, 1), (1, 1), (2, 5)], "5_1": [(-5, -15), (-4, -11), (-3, -11), (-2, -7), (0, -5), (0, -3)]}
+KHOVANOV_Q = {"3_1": [(-3, -9), (-2, -5), (0, -3), (0, -1)], "4_1": [(-2, -5), (-1, -1), (0, -1), (0, 1), (1, 1), (2, 5)], "5_1": [(-5, -15), (-4, -11), (-3, -11), (-2, -7), (0, -5), (0, -3)], "5_2": [(-5, -13), (-4, -9), (-3, -9), (-2, -7), (-2, -5), (-1, -3), (0, -3), (0, -1)]}
 BRAID_VALUES = [("3_1", 2, 3, -2, [1, -1, 1]), ("4_1", 2, 5, 0, [1, -3, 1]), ("5_1", 4, 5, -4, [1, -1] * 2 + [1]), ("T(2,7)", 6, 7, -6, [1, -1] * 3 + [1]), ("T(2,15)", 14, 15, -14, [1, -1] * 7 + [1]), ("T(2,25)", 24, 25, -24, [1, -1] * 12 + [1]), ("T(3,4)", 6, 3, -6, [1, -1, 0, 1, 0, -1, 1]), ("T(4,3)", 6, 3, -6, [1, -1, 0, 1, 0, -1, 1]), ("T(4,5)", 12, 5, -8, [1, -1, 0, 0, 1, 0, -1, 0, 1, 0, 0, -1, 1]), ("T(5,4)", 12, 5, -8, [1, -1, 0, 0, 1, 0, -1, 0, 1, 0, 0, -1, 1])]
 STAIRCASE4 = [("staircase4", -3, -3, 1), ("staircase4", -2, -2, 6), ("staircase4", -1, -2, 4), ("staircase4", -1, -1, 6), ("staircase4", 0, -2, 1), ("staircase4", 0, -1, 4), ("staircase4", 0, 0, 1), ("staircase4", 1, -1, 1)]
 HFK = [("staircase3", 0, 0, 1), ("staircase4", 0, 0, 1), ("trefoil", 0, 1, 1), ("trefoil", -1, 0, 1), ("trefoil", -2, -1, 1), ("trefoil mirror", 2, 1, 1), ("trefoil mirror", 1, 0, 1), ("trefoil mirror", 0, -1, 1), ("figure-eight", 1, 1, 1), ("figure-eight", 0, 0, 3), ("figure-eight", -1, -1, 1)]
@@ -212,7 +212,7 @@ def khovanov_f2(spark, sf_dir):
 
 @register(typed(counted(KHOVANOV_Q), "diagram, i, j, dim", "varchar int int bigint"))
 def khovanov_q(spark, sf_dir):
-    return khovanov.khovanov_homology(fixtures.pd_table(spark).where("diagram <> '5_2'"), "q")
+    return khovanov.khovanov_homology(fixtures.pd_table(spark), "q")
 
 
 @register(typed(counted(KHOVANOV), "diagram, i, j, dim", "varchar int int bigint"))
@@ -222,12 +222,22 @@ def khovanov_f2_batch(spark, sf_dir):
 
 @register(typed(counted(KHOVANOV_Q), "diagram, i, j, dim", "varchar int int bigint"))
 def khovanov_q_batch(spark, sf_dir):
-    return khovanov.khovanov_batch(fixtures.pd_table(spark).where("diagram <> '5_2'"), "q")
+    return khovanov.khovanov_batch(fixtures.pd_table(spark), "q")
 
 
-@register(typed([(d, 0, 2) for d in fixtures.PD], "diagram, i, dim", "varchar int bigint"))
+@register(typed([(d, 0, 2) for d in [*fixtures.PD, "unknot"]], "diagram, i, dim", "varchar int bigint"))
 def lee_homology(spark, sf_dir):
-    return khovanov.lee_homology(fixtures.pd_table(spark))
+    return khovanov.lee_homology(fixtures.pd_table(spark, fixtures.PD | {"unknot": []}))
+
+
+@register(typed([("jones", 0, None, 1), ("khovanov", 0, -1, 1), ("khovanov", 0, 1, 1), ("chain", 0, -1, 1), ("chain", 0, 1, 1)], "what, i, j, n", "varchar int int bigint"))
+def unknot_without_crossings(spark, sf_dir):
+    """The empty code is one circle."""
+    t = fixtures.pd_table(spark, {"unknot": []})
+    none = F.lit(None).cast("int").alias("j")
+    out = cube.jones_polynomial(t).select(F.lit("jones").alias("what"), F.col("exp").alias("i"), none, F.col("coef").alias("n"))
+    out = out.union(khovanov.khovanov_homology(t).select(F.lit("khovanov"), "i", "j", "dim"))
+    return out.union(khovanov.chain_dimensions(t).select(F.lit("chain"), "i", "j", "dim"))
 
 
 @register(typed([("3_1", -2), ("4_1", 0), ("5_1", -4), ("5_2", -2), ("unknot", 0)], "diagram, s", "varchar int"))
@@ -271,6 +281,12 @@ def homology_f2(spark, sf_dir):
     return algebra.homology(gen.where("cx <> 'not a complex'"), bd.where("cx <> 'not a complex'"))
 
 
+@register(typed([(k, "the boundary's square is not zero" if k == "not a complex" else None) for k in fixtures.COMPLEXES] + [("beyond", "an entry is beyond the generators")], "cx, verdict", "varchar varchar"))
+def complex_verdicts(spark, sf_dir):
+    """Which complexes homology() refuses."""
+    return algebra.complex_verdicts(*fixtures.complex_tables(spark, fixtures.COMPLEXES | {"beyond": ({0: 1, 1: 1}, [(0, 0, 1)])}))
+
+
 @register("select 'x' as cx, 0 as deg, 0::bigint as betti where false")
 def homology_q(spark, sf_dir):
     return algebra.homology(*fixtures.complex_tables(spark, fixtures.COMPLEXES_Q), "q")
@@ -323,9 +339,14 @@ def grading_histogram(spark, sf_dir):
     return grid.grading_histogram(_grids(spark, "staircase4"))
 
 
-@register(typed([("trefoil", -5, 1), ("trefoil", -4, -5), ("trefoil", -3, 11), ("trefoil", -2, -14), ("trefoil", -1, 11), ("trefoil", 0, -5), ("trefoil", 1, 1)], "diagram, a, chi", "varchar int bigint"))
+#: Homology of a grid of n rows is HFK by (1 + q^-1 t^-1)^(n - 1), and its Euler characteristic the Alexander polynomial by (1 - t^-1)^(n - 1).
+GRID_SQL = f"""h as {values(HFK, "diagram, m, a, rank")}, n as {values([(k, len(o)) for k, (o, _) in fixtures.GRIDS.items()], "diagram, n")},
+p as (select diagram, m - k as m, a - k as a, sum(rank * (factorial((n - 1)::int) / (factorial(k::int) * factorial((n - 1 - k)::int)))) as dim from h join n using (diagram), range(0, 10) r(k) where k < n group by 1, 2, 3)"""
+
+
+@register(f"with {GRID_SQL} select diagram, a::int as a, sum(case when m % 2 = 0 then dim else -dim end)::bigint as chi from p group by 1, 2 having chi <> 0")
 def alexander_euler(spark, sf_dir):
-    return grid.alexander_euler(_grids(spark, "trefoil"))
+    return grid.alexander_euler(_grids(spark))
 
 
 @register(typed([("staircase3", 3, 1, 1), ("staircase4", 32, 1, 1), ("trefoil", 150, 1, 1), ("trefoil mirror", 150, 1, 1), ("figure-eight", 1380, 1, 1)], "diagram, entries, drop_m, keeps_a", "varchar bigint int int"))
@@ -339,9 +360,9 @@ def grid_differential_filtered(spark, sf_dir):
     return grid.grid_boundary(_grids(spark, "trefoil"), "filtered")
 
 
-@register(typed([("staircase4", -3, -3, 1), ("staircase4", -2, -2, 3), ("staircase4", -1, -1, 3), ("staircase4", 0, 0, 1)], "diagram, m, a, dim", "varchar int int bigint"))
+@register(f"with {GRID_SQL} select diagram, m::int as m, a::int as a, dim::bigint as dim from p")
 def grid_poincare(spark, sf_dir):
-    return grid.grid_poincare(_grids(spark, "staircase4"))
+    return grid.grid_poincare(_grids(spark))
 
 
 @register(typed(HFK, "diagram, m, a, rank", "varchar int int bigint"))
@@ -354,9 +375,9 @@ def seifert_genus(spark, sf_dir):
     return grid.seifert_genus(_grids(spark))
 
 
-@register(typed([("staircase4", 0), ("trefoil", 1), ("trefoil mirror", -1), ("figure-eight", 0)], "diagram, tau", "varchar int"))
+@register(typed([("staircase3", 0), ("staircase4", 0), ("trefoil", 1), ("trefoil mirror", -1), ("figure-eight", 0)], "diagram, tau", "varchar int"))
 def tau(spark, sf_dir):
-    return grid.tau(_grids(spark, "staircase4", "trefoil", "trefoil mirror", "figure-eight"))
+    return grid.tau(_grids(spark))
 
 
 @register(typed([(k, None) for k in fixtures.GRIDS] + [("twice", "not permutations"), ("shared", "two markers in one cell")], "diagram, verdict", "varchar varchar"))
@@ -468,26 +489,6 @@ def ledger_free(spark, sf_dir):
     return f.select("node", F.explode("free_cores").alias("core"), "free_ram")
 
 
-PARTS_SQL = "needs as (select distinct 's' || l_suppkey as job, 'p' || l_partkey as dep from lineitem where l_partkey % 50 = 0 and l_quantity > 45)"
-
-
-def _needs(spark, sf_dir):
-    l = derived.read(spark, sf_dir, "lineitem").where("l_partkey % 50 = 0 and l_quantity > 45")
-    return l.select(F.concat(F.lit("s"), "l_suppkey").alias("job"), F.concat(F.lit("p"), "l_partkey").alias("dep")).distinct()
-
-
-@register(f"with {PARTS_SQL}, done as (select distinct dep as job from needs where substr(dep, 2)::int % 100 = 0) select distinct job from needs n where not exists (select 1 from needs m where m.job = n.job and m.dep not in (select job from done))")
-def dag_ready(spark, sf_dir):
-    n = _needs(spark, sf_dir)
-    return placement.ready_jobs(n.select("job").distinct(), n, n.where("cast(substring(dep, 2) as int) % 100 = 0").select(F.col("dep").alias("job")).distinct())
-
-
-@register(f"""with recursive {PARTS_SQL}, sym as (select job as a, dep as b from needs union select dep, job from needs),
-reach as (select a, a as b from sym union select r.a, s.b from reach r join sym s on r.b = s.a) select a as node, min(b) as root from reach group by 1""")
-def dag_components(spark, sf_dir):
-    return placement.lineage_components(_needs(spark, sf_dir))
-
-
 DAG_SQL = "needs as (select 's' || l_suppkey as job, 'p' || l_partkey as dep from lineitem union select 'n' || s_nationkey, 's' || s_suppkey from supplier)"
 
 
@@ -500,7 +501,7 @@ def _dag(spark, sf_dir):
 
 @register(f"""with {DAG_SQL}, jobs as (select job from needs union select dep from needs), done as (select job from jobs where job[1] = 'p' and job[2:]::bigint % 100 = 0)
 select job from jobs where job not in (select job from done) and job not in (select job from needs where dep not in (select job from done))""")
-def dag_ready_whole(spark, sf_dir):
+def dag_ready(spark, sf_dir):
     n = _dag(spark, sf_dir)
     jobs = n.select("job").union(n.select("dep")).distinct()
     return placement.ready_jobs(jobs, n, jobs.where("job like 'p%' and cast(substring(job, 2) as bigint) % 100 = 0"))
@@ -508,10 +509,20 @@ def dag_ready_whole(spark, sf_dir):
 
 @register(f"""with recursive {DAG_SQL}, sym as (select job as a, dep as b from needs union select dep, job from needs),
 reach as (select a, a as b from sym union select r.a, s.b from reach r join sym s on r.b = s.a) select a as node, min(b) as root from reach group by 1""")
-def dag_components_whole(spark, sf_dir):
+def dag_components(spark, sf_dir):
     return placement.lineage_components(_dag(spark, sf_dir))
 
 
+@register("select 'c' || c_custkey as job, 'part of a cycle' as verdict from customer where c_custkey between 1 and 3 union all select 'x', 'needs y, which is not declared' union all select 'x', 'declared twice'")
+def job_graph_verdicts(spark, sf_dir):
+    """A tree of all suppliers, a cycle of three, a job declared twice with a need that nobody declares."""
+    s = derived.read(spark, sf_dir, "supplier").select("s_suppkey")
+    tree = s.select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("job"), F.expr("concat('s', cast(s_suppkey div 2 as string))").alias("dep"))
+    needs = tree.where("dep <> 's0'").union(spark.createDataFrame([("c1", "c2"), ("c2", "c3"), ("c3", "c1"), ("x", "y")], "job string, dep string"))
+    jobs = tree.select("job").union(spark.createDataFrame([("c1",), ("c2",), ("c3",), ("x",), ("x",)], "job string"))
+    return placement.graph_verdicts(jobs, needs)
+
+
 @register("""with x as (select event_type as placement, value / (1 + event_id % 7) as x, row_number() over (partition by event_type order by ts) as k, count(*) over (partition by event_type) as n from events)
 select placement, round(sum(0.3 * pow(0.7, n - k) * x) + max(case when k = 1 then x end) * pow(0.7, max(n)), 6) as rate, max(n)::bigint as n from x group by 1""")
 def ewma_calibration(spark, sf_dir):

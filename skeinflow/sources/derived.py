@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def checkpoint_dir(spark: SparkSession) -> None:
+    """The cluster's folder, else, on a local master as in tests, one of our own."""
+    if not spark.sparkContext.getCheckpointDir():
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors share no folder")
+        spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp())
+
+
 def order_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(diagram, pos, letter): a braid for each order, a letter for each of its lines in a total order."""
     from pyspark.sql import Window

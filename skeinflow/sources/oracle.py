@@ -28,8 +28,14 @@ def looked_up(table: DataFrame, names: DataFrame) -> DataFrame:
     return out.withColumn("name", F.when(F.col("name").isNull(), F.raise_error(F.concat(F.lit("unknown knot: "), F.col("diagram")))).otherwise(F.col("name"))).drop("__name")
 
 
+def _there(column: str):
+    """The column's text; a blank one raises."""
+    c = blank_as_null(F.col(column))
+    return F.when(c.isNull(), F.raise_error(F.concat(F.lit(f"no {column} of "), F.col("diagram")))).otherwise(c)
+
+
 def pd_codes(rows: DataFrame) -> DataFrame:
-    return rows.select("diagram", parse_nested(F.col("pd_notation")).alias("pd"))
+    return rows.select("diagram", parse_nested(_there("pd_notation")).alias("pd"))
 
 
 def braid_words(rows: DataFrame) -> DataFrame:
@@ -43,14 +49,14 @@ def grid_markers(rows: DataFrame) -> DataFrame:
 
 
 def hfk_ranks(rows: DataFrame) -> DataFrame:
-    """(diagram, m, a, rank) of [r,A,M; ...] vectors; equal cells add up."""
-    v = rows.select("diagram", F.explode(F.split(F.regexp_replace(blank_as_null(F.col("hfk_polynomial_vector")), r"[\[\]{}\s]", ""), ";")).alias("t"))
+    """(diagram, m, a, rank) of [r,A,M; ...] vectors; of equal cells the last one holds."""
+    v = rows.select("diagram", F.posexplode(F.split(F.regexp_replace(blank_as_null(F.col("hfk_polynomial_vector")), r"[\[\]{}\s]", ""), ";")).alias("k", "t"))
     p = F.split("t", ",")
-    return v.select("diagram", p[2].cast("int").alias("m"), p[1].cast("int").alias("a"), p[0].cast("long").alias("r")).groupBy("diagram", "m", "a").agg(F.sum("r").alias("rank"))
+    return v.select("diagram", p[2].cast("int").alias("m"), p[1].cast("int").alias("a"), p[0].cast("long").alias("r"), "k").groupBy("diagram", "m", "a").agg(F.max_by("r", "k").alias("rank"))
 
 
 def tau_values(rows: DataFrame) -> DataFrame:
-    return rows.select("diagram", F.trim("ozsvath_szabo_tau_invariant").cast("int").alias("tau"))
+    return rows.select("diagram", _there("ozsvath_szabo_tau_invariant").cast("int").alias("tau"))
 
 
 def known_answers(rows: DataFrame, invariant: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Job graphs over whole tables, on small ones whose rows the filter of dag_ready and dag_components leaves out."""
+"""Job graphs over every row of small tables, against union-find and plain Python."""
 
 from skeinflow import registry
 
@@ -28,12 +28,12 @@ def test_components_of_every_row(spark, tmp_path):
         a, b = top(a), top(b)
         root[max(a, b)] = min(a, b)
     want = {x: top(x) for x in root}
-    got = {r.node: r.root for r in registry.queries()["dag_components_whole"](spark, tables(spark, tmp_path)).collect()}
+    got = {r.node: r.root for r in registry.queries()["dag_components"](spark, tables(spark, tmp_path)).collect()}
     assert got == want and len(set(want.values())) == 4
 
 
 def test_ready_of_every_row(spark, tmp_path):
     done = {"p100", "p200", "p300"}
     want = {j for e in edges() for j in e if j not in done and all(dep in done for job, dep in edges() if job == j)}
-    got = [r.job for r in registry.queries()["dag_ready_whole"](spark, tables(spark, tmp_path)).collect()]
+    got = [r.job for r in registry.queries()["dag_ready"](spark, tables(spark, tmp_path)).collect()]
     assert sorted(got) == sorted(want) and {"s1", "s4", "s6", "p3"} <= want

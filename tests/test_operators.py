@@ -44,7 +44,7 @@ def test_rank_tiers_agree():
         cols = [{r: rng.choice([-2, -1, 1, 2]) for r in range(12) if rng.random() < 0.3} for _ in range(rng.randint(0, 14))]
         masks = [sum(1 << r for r, x in c.items() if x % 2) for c in cols]
         assert algebra.f2_rank(masks) == algebra.f2_rank_sets([r for r, x in c.items() if x % 2] for c in cols)
-        assert algebra.rational_rank(cols) == algebra.rational_rank_multimodular(cols)
+        assert algebra.rational_rank(cols) == algebra.rank_by_primes(cols)
         basis = algebra.f2_kernel(masks)
         assert len(basis) == len(masks) - algebra.f2_rank(masks)
         for who in basis:
@@ -127,6 +127,40 @@ def test_cycles(spark):
     assert {r.job for r in placement.cyclic_jobs(jobs, spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a")], "job string, dep string")).collect()} >= {"a", "b"}
 
 
+def test_long_chains_are_no_cycles(spark):
+    chain = spark.createDataFrame([(f"j{i}", f"j{i + 1}") for i in range(130)], "job string, dep string")
+    assert placement.cyclic_jobs(chain.select("job"), chain).count() == 0
+
+
+def test_what_is_no_complex_raises(spark):
+    gen, bd = fixtures.complex_tables(spark)
+    for f in (algebra.homology, algebra.gaussian_homology):
+        with pytest.raises(PySparkException, match="square"):
+            f(gen, bd).collect()
+    with pytest.raises(PySparkException, match="negative"):
+        algebra.homology(gen, bd, verify=False).collect()
+    with pytest.raises(ValueError):
+        algebra.gaussian_homology(gen, bd, "f3")
+
+
+def test_unknot(spark):
+    t = fixtures.pd_table(spark, {"u": []})
+    assert [tuple(r) for r in cube.jones_polynomial(t).collect()] == [tuple(r) for r in cube.jones_batch(t).collect()] == [("u", 0, 1)]
+    assert [tuple(r) for r in khovanov.lee_homology(t).collect()] == [("u", 0, 2)]
+
+
+def test_determinants_and_modular_ranks():
+    rng = random.Random(8)
+    for n in range(7):
+        m = [[rng.randint(-9, 9) * 10 ** rng.randint(0, 5) for _ in range(n)] for _ in range(n)]
+        plain = lambda a: 1 if not a else sum((-1) ** j * a[0][j] * plain([r[:j] + r[j + 1 :] for r in a[1:]]) for j in range(len(a)))
+        assert classical.determinant_of(m) == plain(m)
+    assert classical.determinant_of([[0, 1], [1, 0]]) == -1 and classical.determinant_of([[1, 2], [2, 4]]) == 0
+    for _ in range(60):
+        cols = [{r: rng.choice([-3, -1, 1, 2, 5]) for r in range(10) if rng.random() < rng.choice([0.1, 0.4])} for _ in range(rng.randint(0, 12))]
+        assert algebra.modular_rank(cols, algebra.PRIMES[0]) == algebra.rational_rank(cols)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(f"2024-01-01 00:{i:02d}:00", "gpu" if i % 3 else "cpu", float(i % 4), i / 7) for i in range(40)]
     log = spark.createDataFrame(rows, "t string, placement string, cost double, seconds double").selectExpr("cast(t as timestamp) as ts", "placement", "cost", "seconds")
