@@ -16,8 +16,8 @@ U = np.uint64
 #: Words of a block, slots of an output shard on average, share of all words that is taken, uses of a word at most.
 BLOCK, SLOTS, SHARE, REPEATS = 128, 8192, 1.5, 2
 WEIGHTS = (3.0, 1.0, 2.0)
-#: Slots of a source that a task draws shards for at once; documents of a source that a task sums sizes over.
-RANGE, RUN = 1 << 16, 1 << 16
+#: Slots of a source that a task draws shards for at once; documents of all for a bucket of running sums, and buckets at least.
+RANGE, RUN, BUCKETS = 1 << 16, 1 << 16, 1024
 #: Sources that are broadcast at most; more are joined by a shuffle.
 MOST_BROADCAST = 100_000
 SLOT = "shard long, slot long, no long, block long"
@@ -141,7 +141,7 @@ def placed(docs: DataFrame, text: str = "text", source: str = "source", ident: s
     inner = own(docs.withColumns({size: F.lit(0), at: F.lit(0)}), "__key", "__text", "__bucket", "__source", "__of", "__before", "__in")
     key, same, bucket, s2, b2, before, within = inner
     words = F.coalesce(F.regexp_count(F.col(quoted(text)), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    buckets = max(16, docs.count() // RUN)
+    buckets = max(BUCKETS, docs.count() // RUN)
     out = docs.withColumns({size: words, key: F.xxhash64(F.col(quoted(ident)), F.lit(7)), same: F.xxhash64(F.col(quoted(text)))})
     out = out.withColumn(bucket, F.pmod(F.xxhash64(key, same), F.lit(buckets)).cast("long"))
     s = F.col(quoted(source))
@@ -209,10 +209,11 @@ def mix_placed(rows: DataFrame, source: str = "source", weights: Sequence[float]
     given = rows.where(F.col(size) > 0).select(F.col(no).alias("no"), F.col(at).alias("from"), F.col(size).alias("size"))
     whole = given.withColumn("block", F.explode(F.expr(f"sequence(`from` div {block}, (`from` + size - 1) div {block})")))
     part = whole.select("no", "from", "block", F.greatest(F.col("block") * block - F.col("from"), F.lit(0)).alias("first"), F.least((F.col("block") + 1) * block - F.col("from"), F.col("size")).alias("after"))
-    used = part.join(times, (F.col("no") == F.col("no_")) & (F.col("block") == F.col("block_"))).select("no", "from", F.struct("block", "first", (F.col("after") - F.col("first")).alias("words"), "times", "at").alias("use"))
+    # Both joins are of data with data: sorted, never broadcast, whatever the compressed size of a side.
+    used = part.join(times.hint("merge"), (F.col("no") == F.col("no_")) & (F.col("block") == F.col("block_"))).select("no", "from", F.struct("block", "first", (F.col("after") - F.col("first")).alias("words"), "times", "at").alias("use"))
     # Where a document with words begins is its own: (source, offset) names it.
     uses = used.groupBy(F.col("no").alias(n2), F.col("from").alias(a2)).agg(F.sort_array(F.collect_list("use")).cast(USES).alias(uses_name))
-    out = rows.join(uses, (F.col(no) == F.col(n2)) & (F.col(at) == F.col(a2)) & (F.col(size) > 0), "left")
+    out = rows.join(uses.hint("merge"), (F.col(no) == F.col(n2)) & (F.col(at) == F.col(a2)) & (F.col(size) > 0), "left")
     return out.drop(n2, a2, no, at)
 
 
