@@ -15,7 +15,7 @@ from skeinflow.sources import derived, fixtures
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-#: The published ladder's diagrams are of 3 to 8 crossings; these are as many crossings, in as many copies.
+#: The published ladder's diagrams have 3 to 8 crossings, these 3 to 7: rates are a little flattered.
 COPIES = 4000
 
 
