@@ -113,7 +113,7 @@ def jones_of(pd_code: list[list[int]], remember: bool = True) -> dict[int, int]:
         m = int(k) - 1
         for i in range(m + 1):
             e = c - 2 * int(b) + 2 * m - 4 * i - 3 * w
-            out[e // 4] = out.get(e // 4, 0) + (-1) ** (m + w) * int(table[b, k]) * comb(m, i)
+            out[e // 4] = out.get(e // 4, 0) + (-1) ** ((m + w) % 2) * int(table[b, k]) * comb(m, i)
     out = {e: v for e, v in sorted(out.items()) if v}
     if remember and len(_PLANS) < 4096:
         _PLANS[code] = out

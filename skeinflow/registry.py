@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skeinflow.functions import text
 from skeinflow.operators import algebra, classical, cube, diagrams, grid, khovanov
-from skeinflow.plans import contract, cost, placement
+from skeinflow.plans import agreement, contract, cost, placement
 from skeinflow.sources import derived, fixtures
 from skeinflow.sources.fixtures import values
 from skeinflow.streaming import calibration
@@ -562,3 +562,84 @@ def compute_contract(spark, sf_dir):
     known = spark.createDataFrame([("3_1", "[[1,1],[3,1],[4,-1]]")], "diagram string, value string")
     return contract.compute(fixtures.pd_table(spark).where("diagram in ('3_1', '4_1')"), "jones_polynomial", known)
 
+
+
+# --- agreement with other tools ------------------------------------------------------------------------------------
+
+#: What tools print, made up for the fixtures' published values.
+PRINTED = {
+    "3_1": "Loading\nJONES {1: 1, 3: 1, 4: -1}\nALEXANDER {-1: -1, 0: 1, 1: -1}\nSIGNATURE -2\nDETERMINANT 3\nKHOVANOV {(-3, -9): (0,), (-2, -7): (2,), (-2, -5): (0,), (0, -3): (0,), (0, -1): (0,)}",
+    "4_1": "JONES {9: 9}\nJONES {-2: 1, -1: -1, 0: 1, 1: -1, 2: 1}\r\nSIGNATURE 0\nALEXANDER {0: 1, 1: -3, 2: 1}\nKHOVANOV {(2, 5): (0, 4, 3)}\nEND",
+    "5_1": "JONES {-2: 1, -4: 1, -5: -1, -6: 1, -7: -1, 3: 0}\nALEXANDER {0: 1, 1: -1, 2: 2, 3: -1, 4: 1}",
+}
+FIELDS = [(d, line.split(" ", 1)[0], line.split(" ", 1)[1]) for d, t in PRINTED.items() for line in t.splitlines() if " " in line and "9: 9}" not in line]
+
+
+def _printed(spark, tag=None):
+    f = agreement.tagged_fields(fixtures.text_table(spark, PRINTED))
+    return f.where(F.col("tag") == tag) if tag else f
+
+
+@register(typed(FIELDS, "diagram, tag, value", "varchar varchar varchar"))
+def tagged_fields(spark, sf_dir):
+    return _printed(spark)
+
+
+@register(typed([("3_1", -3, -9, 1, 0), ("3_1", -2, -7, 0, 1), ("3_1", -2, -5, 1, 0), ("3_1", 0, -3, 1, 0), ("3_1", 0, -1, 1, 0), ("4_1", 2, 5, 1, 1)], "diagram, i, j, free, even", "varchar int int int int"))
+def cell_fields(spark, sf_dir):
+    return agreement.cell_fields(_printed(spark, "KHOVANOV"))
+
+
+@register(typed([("3_1", "pass", "pass"), ("4_1", "pass", "pass"), ("5_1", "mirror", "mismatch"), ("5_2", "mismatch", None)], "diagram, jones, alexander", "varchar varchar varchar"))
+def printed_verdicts(spark, sf_dir):
+    """Polynomials as this library has them against printed ones; 5_2 isn't printed, and has no braid here."""
+    jones = agreement.jones_verdicts(cube.jones_batch(fixtures.pd_table(spark)), agreement.polynomial_fields(_printed(spark, "JONES")))
+    own = classical.braid_invariants(fixtures.braid_table(spark).where("diagram in ('3_1', '4_1', '5_1')")).select("diagram", F.posexplode("alexander").alias("exp", "coef"))
+    alexander = agreement.alexander_verdicts(own, agreement.polynomial_fields(_printed(spark, "ALEXANDER")))
+    return jones.withColumnRenamed("verdict", "jones").join(alexander.withColumnRenamed("verdict", "alexander"), "diagram", "left")
+
+
+@register(typed([("a", "x: 2", "q + q^3*t^2", None), ("b", "", None, 7), ("c", None, "q", None), ("d", None, None, None), ("3_1", None, None, 3)], "diagram, field, polynomial, strands", "varchar varchar varchar int"))
+def tool_lines(spark, sf_dir):
+    """One reader of each kind over the same texts."""
+    texts = {"a": "time 3\ns-invariant : x: 2 \ns-invariant: 5\n q^9 \n q + q^3*t^2\t\nq = 1", "b": "s-invariant:", "c": "no s-invariant\nq", "d": "", "3_1": "t + 1"}
+    names = F.when(F.col("diagram") == "b", "7_1").when(F.col("diagram") == "c", "8_1").when(F.col("diagram") == "d", "1_1").otherwise(F.col("diagram"))
+    t = fixtures.text_table(spark, texts)
+    return t.select("diagram", agreement.field_after_colon(F.col("text"), "s-invariant").alias("field"), agreement.last_polynomial(F.col("text")).alias("polynomial"), agreement.torus_strands(names).alias("strands"))
+
+
+@register(typed([("3_1", 1, 1), ("3_1", 3, 1), ("3_1", 4, -1), ("mirror", -1, 1), ("mirror", -3, 1), ("mirror", -4, -1)], "diagram, exp, coef", "varchar int bigint"))
+def root_exponents(spark, sf_dir):
+    """A Jones polynomial in the root of t, and its mirror."""
+    p = agreement.halved_exponents(text.laurent_terms(fixtures.text_table(spark, {"3_1": "x^2 + x^6 - x^8"}), "x"))
+    return p.union(agreement.negated_exponents(p).withColumn("diagram", F.lit("mirror")))
+
+
+def _order_terms(spark, sf_dir):
+    """A polynomial for each order: the line's number is the exponent, what it sells is the coefficient."""
+    l = derived.read(spark, sf_dir, "lineitem")
+    return l.groupBy(F.col("l_orderkey").alias("diagram"), F.col("l_linenumber").cast("int").alias("exp")).agg((1 + F.sum("l_partkey")).cast("long").alias("coef"))
+
+
+@register("select l_orderkey as diagram, case l_orderkey % 3 when 0 then 'pass' when 1 then 'mirror' else 'mismatch' end as verdict from lineitem group by l_orderkey")
+def jones_agreement(spark, sf_dir):
+    """Orders' polynomials against themselves, negated in a third of the orders, changed in another."""
+    native = _order_terms(spark, sf_dir)
+    kind = F.col("diagram") % 3
+    oracle = native.withColumns({"exp": F.when(kind == 1, -F.col("exp")).otherwise(F.col("exp")), "coef": F.when(kind == 2, F.col("coef") + 1).otherwise(F.col("coef"))})
+    return agreement.jones_verdicts(native, oracle)
+
+
+@register("select l_orderkey as diagram, case when l_orderkey % 5 = 4 and count(distinct l_linenumber) > 1 then 'mismatch' else 'pass' end as verdict from lineitem group by l_orderkey")
+def alexander_agreement(spark, sf_dir):
+    """Orders' polynomials against themselves times a unit; in a fifth of the orders each exponent is doubled too, which only a lone term survives."""
+    native = _order_terms(spark, sf_dir)
+    sign = F.when(F.col("diagram") % 2 == 0, 1).otherwise(-1)
+    oracle = native.withColumns({"exp": F.when(F.col("diagram") % 5 == 4, 2 * F.col("exp")).otherwise(F.col("exp")) + F.col("diagram") % 7 - 3, "coef": sign * F.col("coef")})
+    return agreement.alexander_verdicts(native, oracle)
+
+
+@register("select s_suppkey as diagram, case when s_nationkey - 12 = s_suppkey % 25 - 12 then 'pass' when s_nationkey - 12 = 12 - s_suppkey % 25 then 'mirror' else 'mismatch' end as verdict from supplier")
+def scalar_agreement(spark, sf_dir):
+    s = derived.read(spark, sf_dir, "supplier")
+    return agreement.scalar_verdicts(s.select(F.col("s_suppkey").alias("diagram"), (F.col("s_nationkey") - 12).alias("value")), s.select(F.col("s_suppkey").alias("diagram"), (F.col("s_suppkey") % 25 - 12).alias("value")))
