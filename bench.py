@@ -15,12 +15,12 @@ from skeinflow.sources import derived, fixtures
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-#: The published ladder's diagrams have 3 to 8 crossings, these 3 to 7: rates are a little flattered.
+#: Copies of each diagram of the published ladder.
 COPIES = 4000
 
 
 def ladder(spark: SparkSession, copies: int):
-    pds = fixtures.pd_table(spark, fixtures.PD | {"T(2,7)": fixtures.torus_pd(7)})
+    pds = fixtures.pd_table(spark, fixtures.LADDER)
     return pds.crossJoin(spark.range(copies, numPartitions=int(CPUS))).select(F.concat("diagram", F.lit("/"), "id").alias("diagram"), "pd")
 
 
@@ -30,14 +30,14 @@ def main() -> None:
     done = lambda df: df.write.format("noop").mode("overwrite").save()
     braids = derived.order_braids(spark, SF_DIR)
     work = {
-        "jones_batch": (lambda: cube.jones_batch(ladder(spark, COPIES), remember=False), 5 * COPIES),
-        "jones_native": (lambda: cube.jones_polynomial(ladder(spark, 100)), 500),
+        "jones_batch": (lambda: cube.jones_batch(ladder(spark, COPIES), remember=False), 6 * COPIES),
+        "jones_native": (lambda: cube.jones_polynomial(ladder(spark, 100)), 600),
         "braid_invariants": (lambda: classical.braid_invariants(braids), None),
         "seifert_matrix": (lambda: classical.seifert_matrix(derived.order_letters(spark, SF_DIR)), None),
-        "khovanov_f2_batch": (lambda: khovanov.khovanov_batch(ladder(spark, 400)), 2000),
-        "khovanov_q_batch": (lambda: khovanov.khovanov_batch(ladder(spark, 200), "q"), 1000),
-        "khovanov_f2": (lambda: khovanov.khovanov_homology(ladder(spark, 10)), 50),
-        "rasmussen_s": (lambda: khovanov.rasmussen_s(ladder(spark, 5)), 25),
+        "khovanov_f2_batch": (lambda: khovanov.khovanov_batch(ladder(spark, 400)), 2400),
+        "khovanov_q_batch": (lambda: khovanov.khovanov_batch(ladder(spark, 200), "q"), 1200),
+        "khovanov_f2": (lambda: khovanov.khovanov_homology(ladder(spark, 10)), 60),
+        "rasmussen_s": (lambda: khovanov.rasmussen_s(ladder(spark, 5)), 30),
         "hfk_hat": (lambda: grid.hfk_hat(fixtures.grid_table(spark)), len(fixtures.GRIDS)),
         "grid_histogram_n8": (lambda: grid.grading_histogram(fixtures.grid_table(spark, {"staircase8": fixtures.staircase(8)})), 1),
     }

@@ -220,7 +220,12 @@ def khovanov_of(code: list[list[int]], field: str = "f2") -> dict[tuple[int, int
         else:
             m = np.zeros((size[cell], size[cell + 4096]), np.int64)
             np.add.at(m, (a, b), sign[lo:hi])
-            ranks[cell] = max(dense_rank(m, p) for p in PRIMES)
+            # What comes in is a cycle, so that it and the rank make the whole dimension at most: a prime that reaches it is enough.
+            most = min(m.shape[1], size[cell] - ranks.get(cell - 4096, 0))
+            for p in PRIMES:
+                ranks[cell] = max(ranks[cell], dense_rank(m, p))
+                if ranks[cell] == most:
+                    break
     out = {}
     for cell, n in size.items():
         if left := n - ranks[cell] - ranks.get(cell - 4096, 0):

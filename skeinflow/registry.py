@@ -111,6 +111,25 @@ def jones_torus_batch(spark, sf_dir):
     return cube.jones_batch(fixtures.pd_table(spark, {f"T(2,{n})": fixtures.torus_pd(n) for n in range(3, 14, 2)}))
 
 
+#: Published for the ladder's larger diagrams: lowest exponent and coefficients of Jones, s.
+LADDER_JONES = {"6_2": (-1, [1, -1, 2, -2, 2, -2, 1]), "7_4": (1, [1, -2, 3, -2, 3, -2, 1, -1]), "8_19": (3, [1, 0, 1, 0, 0, -1])}
+
+
+@register(typed([(d, low + i, c) for d, (low, cs) in LADDER_JONES.items() for i, c in enumerate(cs) if c], "diagram, exp, coef", "varchar int bigint"))
+def jones_ladder(spark, sf_dir):
+    return cube.jones_batch(fixtures.pd_table(spark, {d: fixtures.LADDER[d] for d in LADDER_JONES}))
+
+
+@register(f"""with p as (select diagram, exp, sum(coef)::bigint as coef from {values([(d, low + i, c) for d, (low, cs) in (JONES | LADDER_JONES).items() if d in fixtures.LADDER for i, c in enumerate(cs)], "diagram, exp, coef")} group by 1, 2),
+u as (select diagram, 2 * exp + k as j, coef from p, (values (-1), (1)) t(k))
+select diagram, (-j)::int as j, sum(coef)::bigint as chi from u group by 1, 2 having chi <> 0""")
+def khovanov_ladder_euler(spark, sf_dir):
+    """The graded Euler characteristic of homology over Q is the Jones polynomial times that of a circle."""
+    h = khovanov.khovanov_batch(fixtures.pd_table(spark, fixtures.LADDER), "q")
+    sign = F.when(F.pmod("i", F.lit(2)) == 0, 1).otherwise(-1)
+    return h.groupBy("diagram", "j").agg(F.sum(sign * F.col("dim")).alias("chi")).where("chi <> 0")
+
+
 # --- braids --------------------------------------------------------------------------------------------------------
 
 NEXT_SQL = f"""letters as ({derived.LETTERS_SQL}),

@@ -11,6 +11,12 @@ PD = {
     "5_1": [[2, 8, 3, 7], [4, 10, 5, 9], [6, 2, 7, 1], [8, 4, 9, 3], [10, 6, 1, 5]],
     "5_2": [[1, 5, 2, 4], [3, 9, 4, 8], [5, 1, 6, 10], [7, 3, 8, 2], [9, 7, 10, 6]],
 }
+#: The diagrams that published timings are over: 3 to 8 crossings.
+LADDER = {k: PD[k] for k in ("3_1", "4_1", "5_2")} | {
+    "6_2": [[1, 8, 2, 9], [3, 11, 4, 10], [5, 1, 6, 12], [7, 2, 8, 3], [9, 7, 10, 6], [11, 5, 12, 4]],
+    "7_4": [[2, 10, 3, 9], [4, 12, 5, 11], [6, 14, 7, 13], [8, 4, 9, 3], [10, 2, 11, 1], [12, 8, 13, 7], [14, 6, 1, 5]],
+    "8_19": [[4, 2, 5, 1], [8, 4, 9, 3], [9, 15, 10, 14], [5, 13, 6, 12], [13, 7, 14, 6], [11, 1, 12, 16], [15, 11, 16, 10], [2, 8, 3, 7]],
+}
 BRAIDS = {"3_1": [1, 1, 1], "4_1": [1, -2, 1, -2], "5_1": [1] * 5, "T(2,7)": [1] * 7, "T(2,15)": [1] * 15, "T(2,25)": [1] * 25, "T(3,4)": [1, 2] * 4, "T(4,3)": [1, 2, 3] * 3, "T(4,5)": [1, 2, 3] * 5, "T(5,4)": [1, 2, 3, 4] * 4}
 #: Grids: the column of the O and of the X in each row.
 GRIDS = {
