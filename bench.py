@@ -37,6 +37,7 @@ def main() -> None:
         "khovanov_f2_batch": (lambda: khovanov.khovanov_batch(ladder(spark, 400)), 2400),
         "khovanov_q_batch": (lambda: khovanov.khovanov_batch(ladder(spark, 200), "q"), 1200),
         "khovanov_f2": (lambda: khovanov.khovanov_homology(ladder(spark, 10)), 60),
+        "rasmussen_batch": (lambda: khovanov.rasmussen_batch(ladder(spark, 400)), 2400),
         "rasmussen_s": (lambda: khovanov.rasmussen_s(ladder(spark, 5)), 30),
         "hfk_hat": (lambda: grid.hfk_hat(fixtures.grid_table(spark)), len(fixtures.GRIDS)),
         "grid_histogram_n8": (lambda: grid.grading_histogram(fixtures.grid_table(spark, {"staircase8": fixtures.staircase(8)})), 1),

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinflow.operators.algebra import PRIMES, dense_rank, f2_rank, homology, rank_by_primes
+from skeinflow.operators.algebra import PRIMES, dense_rank, f2_pivots, homology, prefix_ranks, rank_by_primes
 from skeinflow.operators.cube import cube_states, labels_of
 from skeinflow.operators.diagrams import seifert_structure
 
@@ -49,25 +49,24 @@ def boundary(pds: DataFrame, lee: bool = False) -> DataFrame:
     an equi-join of states, a row for each edge of the cube, before generators multiply.
     """
     g = generators(pds)
-    states = cube_states(pds).select("diagram", F.col("state").alias("to_state"), F.array_sort(F.array_distinct("labels")).alias("to_roots"))
+    states = cube_states(pds).select("diagram", F.col("state").alias("to_state"), F.col("labels").alias("to_labels"), F.array_sort(F.array_distinct("labels")).alias("to_roots"))
     e = g.withColumn("k", F.explode(F.expr("filter(sequence(0, cast(arcs / 2 as int) - 1), k -> state & shiftleft(1L, k) = 0)")))
     e = e.withColumn("to_state", F.expr("state | shiftleft(1L, k)")).join(states, ["diagram", "to_state"])
     e = e.withColumns({"gone": F.array_except("roots", "to_roots"), "new": F.array_except("to_roots", "roots")})
     sign = F.expr("1 - 2 * (bit_count(state & (shiftleft(1L, k) - 1)) % 2)")
     # Merge: a least arc vanishes into the one that its circle joins. Split: one appears out of the circle it was of.
-    labels = cube_states(pds).select("diagram", F.col("state").alias("to_state"), F.col("labels").alias("to_labels"))
-    e = e.join(labels, ["diagram", "to_state"]).withColumn("s", sign)
+    e = e.withColumn("s", sign)
     bit = lambda mask, arc: F.expr(f"{mask} & shiftleft(1L, {arc} - 1)") != 0
     without = lambda a, b: F.expr(f"minus & ~(shiftleft(1L, {a} - 1) | shiftleft(1L, {b} - 1))")
     plus_bit = lambda base, arc: base.bitwiseOR(F.expr(f"shiftleft(1L, {arc} - 1)"))
-    merge = e.where("size(gone) = 1 and size(new) = 0").withColumn("b", F.col("gone")[0]).withColumn("a", F.expr("element_at(to_labels, b)"))
+    merge = e.where("size(gone) = 1 and size(new) = 0").withColumn("b", F.get("gone", F.lit(0))).withColumn("a", F.expr("element_at(to_labels, b)"))
     x, y = bit("minus", "a"), bit("minus", "b")
     base = without("a", "b")
     out = F.when(~x & ~y, base).when(x != y, plus_bit(base, "a"))
     if lee:
         out = F.coalesce(out, base)
     merged = merge.withColumn("to_minus", out).where("to_minus is not null")
-    split = e.where("size(new) = 1 and size(gone) = 0").withColumn("b", F.col("new")[0]).withColumn("a", F.expr("element_at(labels, b)"))
+    split = e.where("size(new) = 1 and size(gone) = 0").withColumn("b", F.get("new", F.lit(0))).withColumn("a", F.expr("element_at(labels, b)"))
     base = without("a", "b")
     both = F.array(plus_bit(plus_bit(base, "a"), "b"))
     apart = F.array(plus_bit(base, "a"), plus_bit(base, "b"))
@@ -148,55 +147,66 @@ def rasmussen_s(pds: DataFrame) -> DataFrame:
 # --- the batch kernel: a diagram's whole complex in one worker, for many small diagrams -----------------------------
 
 
-def _moved(masks: np.ndarray, pairs: list[tuple[int, int]]) -> np.ndarray:
-    """Bits of masks moved from place to place."""
-    out = np.zeros_like(masks)
-    for p, q in pairs:
-        out |= ((masks >> p) & 1) << q
-    return out
+#: Crossings beyond which the kernel refuses: a state and its signs are one 64-bit key.
+MOST_KERNEL = 20
+
 
+def complex_of(code: list[list[int]], lee: bool = False, degrees: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j) of all generators, and edges (source, target, sign), as arrays; with degrees only of these (first, last).
 
-def complex_of(code: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j) of all generators, and edges (source, target, sign), as arrays: masks of a state's circles are worked on together."""
+    A generator is its state and a mask over arcs, as in generators(), in the order of both; one pass over all generators
+    for each crossing.
+    """
     d = np.array(code)
     d = d - d.min()
     c, n2 = len(d), 2 * len(d)
+    if c > MOST_KERNEL:
+        raise ValueError(f"{c} crossings; at most {MOST_KERNEL} fit a kernel's keys")
     w = int(np.where(d[:, 3] == (d[:, 1] + 1) % n2, 1, -1).sum())
     plus, minus = (c + w) // 2, (c - w) // 2
-    labels = labels_of(d).astype(int)
-    roots = [np.flatnonzero(x == np.arange(n2)).tolist() for x in labels]
-    first = np.concatenate(([0], np.cumsum([1 << len(r) for r in roots])))
-    ones = np.bitwise_count(np.arange(1 << c, dtype=np.uint64)).astype(int)
-    i, j = (np.empty(first[-1], np.int64) for _ in range(2))
-    edges = []
-    for s, r in enumerate(roots):
-        masks = np.arange(1 << len(r))
-        i[first[s] : first[s + 1]] = ones[s] - minus
-        j[first[s] : first[s + 1]] = len(r) - 2 * np.bitwise_count(masks.astype(np.uint64)).astype(int) + ones[s] + plus - 2 * minus
-        for k in range(c):
-            if s >> k & 1:
-                continue
-            t = s | 1 << k
-            sign = -1 if (s & ((1 << k) - 1)).bit_count() % 2 else 1
-            gone, new = set(r) - set(roots[t]), set(roots[t]) - set(r)
-            b = next(iter(gone or new))
-            a = int(labels[t][b] if gone else labels[s][b])
-            at, to = {x: p for p, x in enumerate(r)}, {x: p for p, x in enumerate(roots[t])}
-            base = _moved(masks, [(at[x], to[x]) for x in r if x in to and x not in (a, b)])
-            x = (masks >> at[a]) & 1
-            if gone:
-                y = (masks >> at[b]) & 1
-                live = x + y < 2
-                parts = [(masks[live], (base | (x | y) << to[a])[live])]
-            else:
-                both, one = x == 1, x == 0
-                parts = [(masks[both], base[both] | 1 << to[a] | 1 << to[b]), (masks[one], base[one] | 1 << to[a]), (masks[one], base[one] | 1 << to[b])]
-            edges += [np.stack((first[s] + u, first[t] + v, np.full(len(u), sign))) for u, v in parts]
-    return i, j, np.concatenate(edges, 1)
+    labels = labels_of(d).astype(np.int64)
+    root = labels == np.arange(n2)
+    ones = np.bitwise_count(np.arange(1 << c, dtype=np.uint64)).astype(np.int64)
+    circles = root.sum(1)
+    states = np.arange(1 << c)
+    if degrees:
+        states = states[(ones - minus >= degrees[0]) & (ones - minus <= degrees[1])]
+    n = 1 << circles[states]
+    state = np.repeat(states, n)
+    pick = np.arange(len(state)) - np.repeat(np.cumsum(n) - n, n)
+    before = np.cumsum(root, 1) - root
+    mask = np.zeros(len(state), np.int64)
+    for arc in range(n2):
+        mask |= (((pick >> before[state, arc]) & 1) * root[state, arc]) << arc
+    key = state << n2 | mask
+    i = ones[state] - minus
+    j = circles[state] - 2 * np.bitwise_count(pick.astype(np.uint64)).astype(np.int64) + ones[state] + plus - 2 * minus
+    sources, targets, signs = [], [], []
+    for k, (a, b, x, _) in enumerate(d):
+        src = np.flatnonzero((state >> k & 1 == 0) & (i < degrees[1] if degrees else True))
+        s, m = state[src], mask[src]
+        t = s | 1 << k
+        sign = 1 - 2 * (np.bitwise_count((s & ((1 << k) - 1)).astype(np.uint64)).astype(np.int64) % 2)
+        p, q = labels[s, a], labels[s, b]
+        # Two circles merge into the one of the lesser arc; of one that splits, one keeps it.
+        merge = p != q
+        lo, hi = np.minimum(p, q), np.maximum(p, q)
+        y, z = labels[t, a], labels[t, x]
+        lo, hi = np.where(merge, lo, np.minimum(y, z)), np.where(merge, hi, np.maximum(y, z))
+        low, high = np.left_shift(1, lo), np.left_shift(1, hi)
+        base, one, two = m & ~(low | high), m & low != 0, m & high != 0
+        parts = [(merge & ~(one & two), base | np.where(one | two, low, 0)), (~merge & one, base | low | high), (~merge & ~one, base | low), (~merge & ~one, base | high)]
+        if lee:
+            parts += [(merge & one & two, base), (~merge & one, base)]
+        for live, out in parts:
+            sources.append(src[live])
+            targets.append(np.searchsorted(key, t[live] << n2 | out[live]))
+            signs.append(sign[live])
+    return i, j, np.stack([np.concatenate(e) for e in (sources, targets, signs)])
 
 
 def khovanov_of(code: list[list[int]], field: str = "f2") -> dict[tuple[int, int], int]:
-    """{(i, j): dimension}: every quantum grading by itself, F2 by bit masks, Q as the largest rank modulo three primes."""
+    """{(i, j): dimension}: every quantum grading by itself, F2 by bit masks, Q by what F2 leaves open and the largest rank modulo three primes."""
     if not code:
         return {(0, 1): 1, (0, -1): 1}
     i, j, (src, dst, sign) = complex_of(code)
@@ -208,32 +218,80 @@ def khovanov_of(code: list[list[int]], field: str = "f2") -> dict[tuple[int, int
     size = dict(zip(cells.tolist(), count.tolist(), strict=True))
     e = np.argsort(key[src], kind="stable")
     src, dst, sign = src[e], dst[e], sign[e]
-    ranks = dict.fromkeys(size, 0)
     edge_cells, cut = np.unique(key[src], return_index=True)
-    for cell, lo, hi in zip(edge_cells.tolist(), cut, np.append(cut[1:], len(src)), strict=True):
-        a, b = place[src[lo:hi]], place[dst[lo:hi]]
-        if field == "f2":
-            columns = [0] * size[cell]
-            for u, v in zip(a.tolist(), b.tolist(), strict=True):
-                columns[u] ^= 1 << v
-            ranks[cell] = f2_rank(columns)
-        else:
-            m = np.zeros((size[cell], size[cell + 4096]), np.int64)
-            np.add.at(m, (a, b), sign[lo:hi])
-            # What comes in is a cycle, so that it and the rank make the whole dimension at most: a prime that reaches it is enough.
-            most = min(m.shape[1], size[cell] - ranks.get(cell - 4096, 0))
-            for p in PRIMES:
-                ranks[cell] = max(ranks[cell], dense_rank(m, p))
-                if ranks[cell] == most:
-                    break
+    entries = {cell: slice(lo, hi) for cell, lo, hi in zip(edge_cells.tolist(), cut.tolist(), [*cut[1:].tolist(), len(src)], strict=True)}
+    ranks, pivots = dict.fromkeys(size, 0), {}
+    for cell, at in sorted(entries.items()):
+        columns = [0] * size[cell]
+        for u, v in zip(place[src[at]].tolist(), place[dst[at]].tolist(), strict=True):
+            columns[u] ^= 1 << v
+        # The square is zero: generators that pivots of the boundary before stand at add nothing to this rank.
+        gone = pivots.get(cell - 4096, ())
+        pivots[cell] = f2_pivots((u, x) for u, x in enumerate(columns) if u not in gone)
+        ranks[cell] = len(pivots[cell])
+    left = {cell: n - ranks[cell] - ranks.get(cell - 4096, 0) for cell, n in size.items()}
+    if field != "f2":
+        more = {}
+        for cell, at in entries.items():
+            # A rank over Q is that over F2 at least, and exceeds it by what is left on both sides at most. Pivots over F2
+            # are independent over Q too, so that generators of those on either side add nothing here either.
+            if most := min(left[cell], left.get(cell + 4096, 0)):
+                m = np.zeros((size[cell], size[cell + 4096]), np.int64)
+                np.add.at(m, (place[src[at]], place[dst[at]]), sign[at])
+                m = np.delete(m, list(pivots.get(cell - 4096, ())), 0)
+                m = np.delete(m, list(pivots.get(cell + 4096, {}).values()), 1)
+                for p in PRIMES:
+                    more[cell] = max(more.get(cell, 0), dense_rank(m, p) - ranks[cell])
+                    if more[cell] == most:
+                        break
+        for cell, n in more.items():
+            left[cell] -= n
+            left[cell + 4096] -= n
     out = {}
-    for cell, n in size.items():
-        if left := n - ranks[cell] - ranks.get(cell - 4096, 0):
+    for cell, n in left.items():
+        if n:
             degree = (cell + 2048) // 4096
-            out[degree, cell - 4096 * degree] = left
+            out[degree, cell - 4096 * degree] = n
     return out
 
 
+def rasmussen_of(code: list[list[int]]) -> int:
+    """s of a knot from Lee's complex between degrees -1 and 1: one elimination in the filtration's order on each side has the ranks of all levels."""
+    if not code:
+        return 0
+    i, j, (src, dst, sign) = complex_of(code, lee=True, degrees=(-1, 1))
+    at = {d: np.flatnonzero(i == d)[np.argsort(j[i == d], kind="stable")] for d in (-1, 0, 1)}
+    place = np.empty(len(i), np.int64)
+    for rows in at.values():
+        place[rows] = np.arange(len(rows))
+    q, n = j[at[0]], len(at[0])
+    out, into = np.zeros((n, len(at[1])), np.int64), np.zeros((n, len(at[-1])), np.int64)
+    leaves = i[src] == 0
+    # Sources from the highest level down; targets from the lowest up.
+    np.add.at(out, (n - 1 - place[src[leaves]], place[dst[leaves]]), sign[leaves])
+    np.add.at(into, (place[dst[~leaves]], place[src[~leaves]]), sign[~leaves])
+    above, under = (np.max([prefix_ranks(m, p) for p in PRIMES], axis=0) for m in (out, into))
+    dims = {}
+    for k in np.unique(q).tolist():
+        below = int((q < k).sum())
+        dims[k] = n - below - int(above[n - below]) - int(under[n] - under[below])
+    levels = [max((k for k, x in dims.items() if x >= least), default=None) for least in (1, 2)]
+    if None in levels or levels[0] != levels[1] + 2:
+        raise ArithmeticError("the filtration's levels are not two apart: not a knot")
+    return levels[1] + 1
+
+
+def rasmussen_batch(pds: DataFrame) -> DataFrame:
+    """(diagram, s), as rasmussen_s(), without a shuffle: for many diagrams of a dozen crossings or fewer."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            s = [rasmussen_of([list(map(int, x)) for x in code]) for code in batch["pd"]]
+            yield pd.DataFrame({"diagram": batch["diagram"], "s": np.array(s, np.int32)})
+
+    return pds.select("diagram", "pd").mapInPandas(work, pds.select("diagram", F.lit(0).alias("s")).schema)
+
+
 def khovanov_batch(pds: DataFrame, field: str = "f2") -> DataFrame:
     """(diagram, i, j, dim), as khovanov_homology(), without a shuffle: for many diagrams of a dozen crossings or fewer."""
 

@@ -32,7 +32,7 @@ def compute(diagrams: DataFrame, invariant: str, known: DataFrame | None = None,
     elif name in ("khovanov_homology", "rational_khovanov_homology"):
         got = rows(khovanov.khovanov_batch(diagrams, "q" if name[0] == "r" else "f2"), "i", "j", "dim")
     elif name == "rasmussen_s":
-        got = one(khovanov.rasmussen_s(diagrams), "s")
+        got = one(khovanov.rasmussen_batch(diagrams), "s")
     elif name == "hfk_hat":
         got = rows(grid.hfk_hat(diagrams), "m", "a", "rank")
     elif name == "seifert_genus":

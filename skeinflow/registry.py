@@ -172,19 +172,32 @@ def alexander_polynomial(spark, sf_dir):
     return classical.braid_invariants(fixtures.braid_table(spark)).select("diagram", F.posexplode("alexander").alias("exp", "coef"))
 
 
-@register(f"""with {MATRIX_SQL}, n as (select diagram, count(*) as n from g group by 1),
-s as (select diagram, i, j, sum(v) as v from (select diagram, i, j, v from m union all select diagram, j, i, v from m) group by 1, 2, 3),
-two as (select n.diagram, coalesce(max(v) filter (i = 0 and j = 0), 0) as a, coalesce(max(v) filter (i = 0 and j = 1), 0) as b, coalesce(max(v) filter (i = 1 and j = 1), 0) as d from n left join s using (diagram) where n = 2 group by 1)
-select diagram, 2 as generators, abs(a * d - b * b)::bigint as determinant,
-  (case when a * d - b * b < 0 then 0 when a * d - b * b > 0 then 2 * sign(a) else sign(a + d) end)::int as signature from two""")
-def order_braids_of_genus_one(spark, sf_dir):
-    """Braids of two generators, whose forms have closed formulas."""
-    return classical.braid_invariants(derived.order_braids(spark, sf_dir)).where("generators = 2").select("diagram", "generators", "determinant", "signature")
-
-
-@register()
+#: Determinants by Faddeev and LeVerrier's recursion: of V + V^T, whose roots are real, so that changes of sign count the positive ones,
+#: and of V - 512 V^T, whose digits in base 512 are the Alexander polynomial's coefficients.
+BASE_POWERS = "[" + ", ".join(f"{512**k}::hugeint" for k in range(14)) + "]"
+BRAID_SQL = f"""with recursive {MATRIX_SQL}, orders_ as (select l_orderkey as diagram from lineitem group by 1), size as (select o.diagram, count(g.g)::int as n from orders_ o left join g using (diagram) group by 1),
+cells as (select diagram, i, j, sum(v) as v, sum(w) as w from (select diagram, i::int as i, j::int as j, v, 0 as w from m union all select diagram, j, i, 0, v from m) group by 1, 2, 3),
+grid as (select n.diagram, n.n, r.i, c.j, coalesce(v, 0) as v, coalesce(w, 0) as w from size n, range(13) r(i), range(13) c(j) left join cells on cells.diagram = n.diagram and cells.i = r.i and cells.j = c.j where r.i < n.n and c.j < n.n),
+rows_ as (select diagram, n, i, t, list((v - t * w)::hugeint order by j) as r from grid, (values (-1), (512)) x(t) group by 1, 2, 3, 4),
+f as (select diagram, n, t, 0 as k, list(r order by i) as a, [[0::hugeint for y in r] for r in list(r order by i)] as mm, 1::hugeint as c, [1::hugeint] as cs from rows_ group by 1, 2, 3
+  union all select diagram, n, t, k + 1, a, mm, (-list_sum([list_sum([a[i][l] * mm[l][i] for l in range(1, n + 1)]) for i in range(1, n + 1)]) // (k + 1))::hugeint as c,
+    list_append(cs, (-list_sum([list_sum([a[i][l] * mm[l][i] for l in range(1, n + 1)]) for i in range(1, n + 1)]) // (k + 1))::hugeint)
+  from (select diagram, n, t, k, a, cs, [[list_sum([a[i][l] * mm[l][j] for l in range(1, n + 1)])::hugeint + case when i = j then c else 0 end for j in range(1, n + 1)] for i in range(1, n + 1)] as mm from f where k < n)),
+done as (select diagram, n, t, cs, [x for x in cs if x <> 0] as nz, case when n % 2 = 0 then cs[n + 1] else -cs[n + 1] end as det from f where k = n),
+signs as (select diagram, abs(det)::bigint as determinant, len([1 for q in range(1, len(nz)) if sign(nz[q]) <> sign(nz[q + 1])]) as up, n, cs from done where t = -1),
+digits as (select diagram, [((det + list_sum([256 * b for b in {BASE_POWERS}[:n + 1]])) // {BASE_POWERS}[k]) % 512 - 256 for k in range(1, n + 2)] as d from done where t = 512),
+span as (select diagram, d, list_min([k for k in range(1, len(d) + 1) if d[k] <> 0]) as lo, list_max([k for k in range(1, len(d) + 1) if d[k] <> 0]) as hi from digits)
+select z.diagram, z.n as generators, coalesce(determinant, 1)::bigint as determinant,
+  coalesce(2 * up - (z.n - (n_zero)), 0)::int as signature,
+  (case when z.n = 0 then [1] when lo is null then [0] else [case when d[lo] < 0 then -y else y end for y in d[lo:hi]] end)::varchar as alexander
+from size z left join (select *, (case when list_max([k for k in range(1, len(cs) + 1) if cs[k] <> 0]) is null then 0 else len(cs) - list_max([k for k in range(1, len(cs) + 1) if cs[k] <> 0]) end) as n_zero from signs) using (diagram) left join span using (diagram)"""
+
+
+@register(BRAID_SQL)
 def order_braid_invariants(spark, sf_dir):
-    return classical.braid_invariants(derived.order_braids(spark, sf_dir))
+    """Determinant, signature and Alexander polynomial (as text) of every order's braid."""
+    got = classical.braid_invariants(derived.order_braids(spark, sf_dir))
+    return got.select("diagram", "generators", "determinant", "signature", F.concat(F.lit("["), F.array_join("alexander", ", "), F.lit("]")).alias("alexander"))
 
 
 # --- Khovanov ------------------------------------------------------------------------------------------------------
@@ -264,6 +277,25 @@ def rasmussen_s(spark, sf_dir):
     return khovanov.rasmussen_s(fixtures.pd_table(spark, fixtures.PD | {"unknot": []}))
 
 
+@register(typed([("3_1", -2), ("4_1", 0), ("5_2", -2), ("6_2", -2), ("7_4", -2), ("8_19", -6), ("unknot", 0)], "diagram, s", "varchar int"))
+def rasmussen_batch(spark, sf_dir):
+    return khovanov.rasmussen_batch(fixtures.pd_table(spark, fixtures.LADDER | {"unknot": []}))
+
+
+@register("""select 'T(2,' || n || ')' as diagram, i::int as i, j::int as j, dim::bigint as dim from range(3, 12, 2) a(n),
+  lateral (select 0 as i, 2 - n as j, 1 as dim union all select 0, -n, 1
+    union all select -2 * k, 2 - n - 4 * k, 1 from range(1, 10) b(k) where 2 * k < n
+    union all select -2 * k - 1, -2 - n - 4 * k, 1 from range(1, 10) b(k) where 2 * k < n) c""")
+def khovanov_torus_batch(spark, sf_dir):
+    """Closed formulas of the torus knots on two strands, over Q."""
+    return khovanov.khovanov_batch(fixtures.pd_table(spark, {f"T(2,{n})": fixtures.torus_pd(n) for n in range(3, 12, 2)}), "q")
+
+
+@register("select 'T(2,' || n || ')' as diagram, (1 - n)::int as s from range(3, 14, 2) a(n)")
+def rasmussen_torus_batch(spark, sf_dir):
+    return khovanov.rasmussen_batch(fixtures.pd_table(spark, {f"T(2,{n})": fixtures.torus_pd(n) for n in range(3, 14, 2)}))
+
+
 # --- algebra -------------------------------------------------------------------------------------------------------
 
 RANKS = {"triangle": ({}, [(0, 0, 0, 1), (0, 0, 1, 1), (0, 1, 1, 1), (0, 1, 2, 1), (0, 2, 0, 1), (0, 2, 2, 1)]), "dependent": ({}, [(0, 0, 0, 1), (0, 0, 2, 1), (0, 1, 1, 1), (0, 1, 2, 1), (0, 2, 0, 2), (0, 2, 1, -1), (0, 2, 2, 1)]), "two": ({}, [(0, 0, 0, 2)])}
@@ -322,7 +354,16 @@ def trade_matrix(spark, sf_dir):
     return derived.trade_matrix(spark, sf_dir)
 
 
-@register()
+#: Ranks by elimination without division, modulo 2 of the counts and modulo a prime of the signed ones.
+TRADE_RANKS_SQL = f"""with recursive t as ({derived.TRADE_SQL}), cells as (select cx, deg, col, r.row, p, sum(case when t.row <> r.row then 0 when p = 2 then n else v end) % p as x from t, range(5) r(row), (values (2), (1000003)) q(p) group by cx, deg, col, r.row, p),
+cols as (select cx, deg, col, p, list(x::bigint order by row) as c from cells group by cx, deg, col, p),
+e as (select cx, deg, p, 0 as k, 0 as rank, list(c) as m from cols group by cx, deg, p
+  union all select cx, deg, p, k + 1, rank + (top is not null)::int, case when top is null then m else [[(v[i] * top[k + 1] - v[k + 1] * top[i]) % p for i in range(1, 6)] for v in m] end
+  from (select *, [v for v in m if v[k + 1] % p <> 0][1] as top from e where k < 5))
+select cx, deg, max(rank) filter (p = 2)::bigint as rank_f2, max(rank) filter (p > 2)::bigint as rank_q from e where k = 5 group by 1, 2"""
+
+
+@register(TRADE_RANKS_SQL)
 def trade_matrix_ranks(spark, sf_dir):
     m = derived.trade_matrix(spark, sf_dir)
     f2 = algebra.ranks(m.withColumn("v", F.col("n")), "f2").withColumnRenamed("rank", "rank_f2")
@@ -374,9 +415,24 @@ def grid_differential(spark, sf_dir):
     return b.groupBy("diagram").agg(F.count("*").alias("entries"), F.max(F.col("m") - F.col("m_to")).alias("drop_m"), F.min((F.col("a") == F.col("a_to")).cast("int")).alias("keeps_a"))
 
 
-@register()
+#: States as permutations, gradings by counting pairs of points and markers, rectangles cell by cell on the torus.
+STATES_SQL = f"""grids as {values([(k, len(o), o, x) for k, (o, x) in fixtures.GRIDS.items()], "diagram, n, o, x")},
+perms as (select diagram, n, o, x, []::int[] as l from grids union all select diagram, n, o, x, list_append(l, v::int) from perms, range(10) r(v) where len(l) < n and v < n and not list_contains(l, v::int)),
+levels as (select diagram, n, o, x, l, row_number() over (partition by diagram order by l) - 1 as rank,
+  list_sum([len([1 for j in range(i + 1, n + 1) if l[i] < l[j]]) - len([1 for j in range(i, n + 1) if l[i] <= o[j]]) - len([1 for j in range(i + 1, n + 1) if o[i] < l[j]]) + len([1 for j in range(i + 1, n + 1) if o[i] < o[j]]) for i in range(1, n + 1)]) + 1 as m,
+  list_sum([len([1 for j in range(i + 1, n + 1) if l[i] < l[j]]) - len([1 for j in range(i, n + 1) if l[i] <= x[j]]) - len([1 for j in range(i + 1, n + 1) if x[i] < l[j]]) + len([1 for j in range(i + 1, n + 1) if x[i] < x[j]]) for i in range(1, n + 1)]) + 1 as m_x
+  from perms where len(l) = n),
+states as (select *, (m - m_x - (n - 1)) // 2 as a from levels)"""
+
+
+@register(f"""with recursive {STATES_SQL},
+swaps as (select s.*, i, j, (j - i + n) % n as high, (l[j] - l[i] + n) % n as wide from states s, range(1, 11) p(i), range(1, 11) q(j) where i <= n and j <= n and i <> j),
+empty as (select *, [case when k = least(i, j) then l[greatest(i, j)] when k = greatest(i, j) then l[least(i, j)] else l[k] end for k in range(1, n + 1)] as y from swaps
+  where len([1 for d in range(0, high) if (o[(i - 1 + d) % n + 1] - l[i] + n) % n < wide or (d > 0 and (l[(i - 1 + d) % n + 1] - l[i] + n) % n < wide)]) = 0),
+odd as (select diagram, m, a, rank, y from empty group by all having count(*) % 2 = 1)
+select e.diagram, e.m::int as m, e.a::int as a, e.rank, t.rank as target, t.m::int as m_to, t.a::int as a_to from odd e join states t on t.diagram = e.diagram and t.l = e.y""")
 def grid_differential_filtered(spark, sf_dir):
-    return grid.grid_boundary(_grids(spark, "trefoil"), "filtered")
+    return grid.grid_boundary(_grids(spark), "filtered")
 
 
 @register(f"with {GRID_SQL} select diagram, m::int as m, a::int as a, dim::bigint as dim from p")
@@ -479,9 +535,12 @@ def route_backend(spark, sf_dir):
     return cost.routed(cost.predicted_size(_segment_gen(spark, sf_dir)), gpu_bytes=65536, gpu_least=16384).select("cx", "peak_bytes", "backend", "fits_gpu")
 
 
-@register()
+@register(f"""with recursive {STATES_SQL}, h as (select diagram, a, m, count(*) as cols from states group by all),
+b as (select diagram, a, m, cols, coalesce((select t.cols from h t where t.diagram = h.diagram and t.a = h.a and t.m = h.m - 1), 0) as rows from h),
+p as (select diagram, a, max(case when rows = 0 then 0 else (cols + least(cols, rows)) * ((rows + 63) // 64) * 8 end) as peak from b group by 1, 2)
+select diagram, sum(peak)::bigint as all_bytes, max(peak)::bigint as floor_bytes from p group by 1""")
 def grading_peaks(spark, sf_dir):
-    return cost.batch_bytes(grid.grading_histogram(_grids(spark, "staircase4", "trefoil")))
+    return cost.batch_bytes(grid.grading_histogram(_grids(spark)))
 
 
 PATHS = [("fits", 0, "cpu_pinned", 2, 50, 0), ("device", 0, "gpu", 1, 10, 100), ("device", 1, "cpu_unpinned", 4, 10, 0), ("wide", 0, "cpu_pinned", 3, 10, 0), ("big", 0, "cpu_unpinned", 1, 2048, 0), ("big", 1, "cpu_pinned", 1, 2048, 0)]

@@ -54,6 +54,25 @@ def test_rank_tiers_agree():
             assert total == 0
 
 
+def test_prefix_ranks():
+    rng = random.Random(7)
+    for _ in range(30):
+        rows = [[rng.choice([0, 0, 0, -2, -1, 1, 3]) for _ in range(9)] for _ in range(rng.randint(0, 12))]
+        got = algebra.prefix_ranks(np.array(rows, np.int64).reshape(len(rows), 9), algebra.PRIMES[0]).tolist()
+        assert got == [algebra.rational_rank([dict(enumerate(r)) for r in rows[:k]]) for k in range(len(rows) + 1)]
+
+
+def test_kernels_agree_with_tables(spark):
+    pds = fixtures.pd_table(spark, {d: fixtures.PD[d] for d in ("3_1", "4_1")} | {"6_2": fixtures.LADDER["6_2"]})
+    for tables, batch in ((khovanov.rasmussen_s(pds), khovanov.rasmussen_batch(pds)), (khovanov.khovanov_homology(pds, "q"), khovanov.khovanov_batch(pds, "q"))):
+        assert {tuple(r) for r in tables.collect()} == {tuple(r) for r in batch.collect()}
+
+
+def test_crossings_beyond_a_kernel():
+    with pytest.raises(ValueError):
+        khovanov.rasmussen_of(fixtures.torus_pd(23))
+
+
 def test_kernel_and_native_jones_agree(spark):
     pds = fixtures.pd_table(spark, fixtures.PD | {"T(2,9)": fixtures.torus_pd(9)})
     a, b = ({tuple(r) for r in f(pds).collect()} for f in (cube.jones_polynomial, cube.jones_batch))
