@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skeinflow.llm import decontaminate, mixing, ngram_join, pii, quality_classifier, quality_rules, sharding, substring_dedup, url_filters, warc
+from skeinflow.llm import decontaminate, filter_audit, mixing, ngram_join, pii, quality_classifier, quality_rules, sharding, substring_dedup, url_filters, warc
 
 QUERIES = {
     "op1_url_filter": url_filters.op1_url_filter,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
 ORACLES = {
     "op1_url_filter": url_filters.ORACLE,
@@ -28,4 +29,5 @@ ORACLES = {
     "op7_host_quality": quality_rules.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
     "op9_ngram_jaccard": ngram_join.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
 }
