@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skeinflow.llm import decontaminate, filter_audit, merkle, mixing, ngram_join, pii, quality_classifier, quality_rules, sharding, substring_dedup, url_filters, warc
+from skeinflow.llm import decontaminate, filter_audit, merkle, mixing, near_vectors, ngram_join, pii, quality_classifier, quality_rules, sharding, substring_dedup, url_filters, warc
 
 QUERIES = {
     "op1_url_filter": url_filters.op1_url_filter,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
     "op10_mix_sources": mixing.op10_mix_sources,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_embedding_links": near_vectors.op12_embedding_links,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 ORACLES = {
@@ -31,5 +32,6 @@ ORACLES = {
     "op8_substring_dedup": substring_dedup.ORACLE,
     "op9_ngram_jaccard": ngram_join.ORACLE,
     "op11_filter_audit": filter_audit.ORACLE,
+    "op12_embedding_links": near_vectors.ORACLE,
     "op13_merkle_manifest": merkle.ORACLE,
 }
