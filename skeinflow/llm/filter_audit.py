@@ -46,7 +46,8 @@ def with_copies(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:
     """
     k, least = own(rows, "__key", "__least")
     several = rows.groupBy(F.col(quoted(key)).alias(k)).agg(F.min(quoted(order)).alias(least), F.count("*").alias("__n")).where("__n > 1").drop("__n")
-    out = rows.join(several, F.col(quoted(key)) == F.col(k), "left")
+    # Written: with an exchange of its own on either side, a hot key's rows can be split.
+    out = rows.join(staged(several, "copies"), F.col(quoted(key)) == F.col(k), "left")
     return out.withColumn(name, F.coalesce(F.col(quoted(order)) > F.col(least), F.lit(False))).drop(k, least)
 
 
