@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinflow.llm.base import own, quoted, small_batches
-from skeinflow.llm.kernels import ALNUM, Words, pieces, ranges
+from skeinflow.llm.base import own, quoted, small_batches, staged
+from skeinflow.llm.kernels import ALNUM, Words, pieces, ranges, word_key
 
 U = np.uint64
 #: Words of a window; bytes of text in a shard's index; words of the benchmark that one block of phrases holds.
-WINDOW, SHARD, BLOCK_WORDS = 10, 4 << 20, 1 << 20
+WINDOW, SHARD, BLOCK_WORDS = 10, 4 << 20, 1 << 18
+#: Bytes of phrases that are broadcast at once.
+BROADCAST = 64 << 20
 #: One of so many text positions is kept as a sample.
 SAMPLE = 8
 
@@ -138,8 +141,8 @@ class FMIndex:
 class Phrases:
     """A block of benchmark windows: vocabulary of word hashes, distinct windows by length, the items that each is of."""
 
-    def __init__(self, items: list[str], texts: list[str], k: int = WINDOW):
-        w = Words(pa.array(texts, pa.large_string()), ALNUM, lower=True)
+    def __init__(self, items: list[str], texts: list[str], k: int = WINDOW, key: bytes | None = None):
+        w = Words(pa.array(texts, pa.large_string()), ALNUM, lower=True, key=key)
         self.vocabulary = np.unique(w.hash)
         self.hint = np.zeros(1 << 16, bool)
         self.hint[self.vocabulary >> U(48)] = True
@@ -164,18 +167,37 @@ class Phrases:
         return out
 
 
-def phrase_blocks(benchmark: DataFrame, item_id: str, text: str, k: int, most: int = BLOCK_WORDS) -> Iterator[Phrases]:
-    """The benchmark in blocks of bounded size, streamed; items without an id or words have no phrases."""
-    items, texts, held = [], [], 0
-    rows = benchmark.select(F.col(quoted(item_id)).cast("string"), F.col(quoted(text))).where(F.col(quoted(item_id)).isNotNull() & F.col(quoted(text)).isNotNull())
-    for i, t in rows.toLocalIterator():
-        items.append(i), texts.append(t)
-        held += len(t) // 4 + 1
-        if held >= most:
-            yield Phrases(items, texts, k)
-            items, texts, held = [], [], 0
-    if items:
-        yield Phrases(items, texts, k)
+def phrase_blocks(benchmark: DataFrame, item_id: str, text: str, k: int, key: bytes, most: int = BLOCK_WORDS) -> DataFrame:
+    """(block, size, phrases): the benchmark in blocks of about so many words at most, each made in a task: a pickled Phrases.
+
+    Items without an id or words have no phrases; repeated items are one. An item is in one block, whatever its length.
+    """
+    rows = benchmark.select(F.col(quoted(item_id)).cast("string").alias("item"), F.col(quoted(text)).alias("text")).where("item is not null and text is not null").distinct()
+    rows = staged(rows, "items")
+    blocks = max(1, -(-int(rows.agg(F.sum(F.length("text") / 4 + 1)).first()[0] or 0) // most))
+
+    def make(key_: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, texts = [], []
+        for batch in batches:
+            items += batch.column("item").to_pylist()
+            texts += batch.column("text").to_pylist()
+        made = pickle.dumps(Phrases(items, texts, k, key))
+        yield pa.RecordBatch.from_arrays([pa.array([key_[0].as_py()], pa.int64()), pa.array([len(made)], pa.int64()), pa.array([made], pa.binary())], ["block", "size", "phrases"])
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks).cast("long")))
+    return staged(dealt.groupBy("block").applyInArrow(make, "block long, size long, phrases binary"), "phrases")
+
+
+def _passes(blocks: DataFrame, most: int) -> list[list[int]]:
+    """Numbers of the blocks that are broadcast together: of so many bytes at most, or one block."""
+    out, room = [], 0
+    for r in blocks.select("block", "size").orderBy("block").collect():
+        if not out or r.size > room:
+            out.append([])
+            room = most
+        out[-1].append(r.block)
+        room -= r.size
+    return out
 
 
 def occurrences(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
@@ -224,7 +246,24 @@ def _merge(spans: np.ndarray) -> np.ndarray:
     return np.stack((spans[new, 0], reach[np.append(np.flatnonzero(new)[1:] - 1, len(spans) - 1)]), 1)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = WINDOW, clean: bool = False) -> DataFrame:
+def _searched(piece: pa.RecordBatch, words: Words, blocks: list[Phrases]) -> tuple[list[np.ndarray | None], list[set[str]]]:
+    """For each text of a shard the words hit, as merged spans (None: none), and the items of the windows found."""
+    spans: list[list[np.ndarray]] = [[] for _ in range(piece.num_rows)]
+    items: list[set[str]] = [set() for _ in range(piece.num_rows)]
+    for block in blocks:
+        start, stop, of = occurrences(words, block)
+        doc = np.searchsorted(words.ptr, start, "right") - 1
+        for d, i in zip(doc.tolist(), of, strict=True):
+            items[d].update(i)
+        o = np.argsort(doc, kind="stable")
+        both = np.stack((start, stop), 1)[o]
+        cut = np.flatnonzero(np.append(True, doc[o][1:] != doc[o][:-1])) if len(o) else []
+        for lo, hi in zip(cut, np.append(cut[1:], len(o)) if len(o) else [], strict=True):
+            spans[doc[o[lo]]].append(both[lo:hi])
+    return [_merge(np.concatenate(x)) if x else None for x in spans], items
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = WINDOW, clean: bool = False, most: int = BROADCAST) -> DataFrame:
     """docs with n_words, hit_spans (array of [first word, word after], merged), item_ids (array, sorted), contaminated.
 
     With clean, also clean_text: the text without its hit words and what stands between them; a taken name gets a _.
@@ -232,46 +271,74 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     of a shorter one; items without words or id have none; repeated items count once. Null text has no words, no hits
     and a null clean_text. Documents never cross a shard; an empty table gives no rows, an empty benchmark no hits.
 
-    The benchmark is streamed in blocks of bounded size, each broadcast; shards pass through all blocks in one stage.
-    Words are compared as 64-bit hashes.
+    Blocks of phrases are made in tasks and broadcast, up to `most` bytes of them. Shards pass through all in one stage; a
+    benchmark beyond that takes more passes over the texts, each of which writes what it found by text, to be joined.
+    Words are compared as 64-bit hashes under a key of the run.
     """
-    spark = docs.sparkSession
+    spark, key = docs.sparkSession, word_key()
     small_batches(spark)
     names = own(docs, "n_words", "hit_spans", "item_ids", "contaminated", "clean_text")
-    blocks = [spark.sparkContext.broadcast(b) for b in phrase_blocks(benchmark, item_id, item_text, k)]
+    blocks = phrase_blocks(benchmark, item_id, item_text, k, key)
+    passes = _passes(blocks, most)
     extra = [("n_words", pa.int64()), ("hit_spans", pa.list_(pa.list_(pa.int32()))), ("item_ids", pa.list_(pa.string())), ("contaminated", pa.bool_())] + [("clean_text", pa.string())] * clean
-    columns = docs.columns + names[: len(extra)]
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    plain = docs.columns
+    columns = plain + names[: len(extra)]
+
+    def loaded(numbers: list[int]):
+        rows = blocks.where(F.col("block").isin(numbers)).select("phrases").collect()
+        return spark.sparkContext.broadcast([pickle.loads(r.phrases) for r in rows])
+
+    def with_hits(piece: pa.RecordBatch, words: Words, hits: list[np.ndarray | None], items: list[set[str]]) -> pa.RecordBatch:
+        out = [pa.array(words.count, pa.int64())]
+        out.append(pa.array([[] if h is None else (h - words.ptr[i]).tolist() for i, h in enumerate(hits)], extra[1][1]))
+        out.append(pa.array([sorted(x) for x in items], extra[2][1]))
+        out.append(pa.array([h is not None for h in hits], pa.bool_()))
+        if clean:
+            out.append(_cleaned(piece.column(text), words, hits))
+        return pa.RecordBatch.from_arrays([*(piece.column(c) for c in plain), *out], columns)
+
+    empty = {"n_words": F.lit(0).cast("long"), "hit_spans": F.array().cast("array<array<int>>"), "item_ids": F.array().cast("array<string>"), "contaminated": F.lit(False), "clean_text": F.lit(None).cast("string")}
+    schema = docs.withColumns({name: empty[key_] for name, (key_, _) in zip(names, extra, strict=False)}).schema
+    if len(passes) <= 1:
+        held = loaded(passes[0] if passes else [])
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for piece in pieces(batches, text, SHARD):
+                words = Words(piece.column(text), ALNUM, lower=True, key=key)
+                yield with_hits(piece, words, *_searched(piece, words, held.value))
+
+        return docs.mapInArrow(find, schema)
+
+    ident, of, spans, named = own(docs, "__id", "__of", "__spans", "__items")
+    marked = docs.withColumn(ident, F.unhex(F.substring(F.sha2(F.coalesce(F.col(quoted(text)), F.lit("")), 256), 1, 32)))
+    found = None
+    for numbers in passes:
+        held = loaded(numbers)
+
+        def note(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for piece in pieces(batches, "__text", SHARD):
+                words = Words(piece.column("__text"), ALNUM, lower=True, key=key)
+                hits, items = _searched(piece, words, held.value)
+                hit = [i for i, h in enumerate(hits) if h is not None]
+                raw = [(hits[i] - words.ptr[i]).astype(np.int32).tobytes() for i in hit]
+                yield pa.RecordBatch.from_arrays([piece.column("__id").take(pa.array(hit, pa.int64())), pa.array(raw, pa.binary()), pa.array([sorted(items[i]) for i in hit], pa.list_(pa.string()))], ["id", "spans", "items"])
+
+        part = marked.select(F.col(ident).alias("__id"), F.col(quoted(text)).alias("__text")).mapInArrow(note, "id binary, spans binary, items array<string>")
+        # Copies of a text are one row from here on.
+        part = staged(part.distinct(), "hits")
+        held.destroy()
+        found = part if found is None else found.union(part)
+    each = found.groupBy(F.col("id").alias(of)).agg(F.collect_list("spans").alias(spans), F.flatten(F.collect_list("items")).alias(named))
+    joined = marked.join(staged(each, "hits"), F.col(ident) == F.col(of), "left").drop(ident, of)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, text, SHARD):
-            words = Words(piece.column(text), ALNUM, lower=True)
-            n = piece.num_rows
-            spans: list[list[np.ndarray]] = [[] for _ in range(n)]
-            items: list[set[str]] = [set() for _ in range(n)]
-            for block in blocks:
-                start, stop, of = occurrences(words, block.value)
-                doc = np.searchsorted(words.ptr, start, "right") - 1
-                for d, i in zip(doc.tolist(), of, strict=True):
-                    items[d].update(i)
-                o = np.argsort(doc, kind="stable")
-                both = np.stack((start, stop), 1)[o]
-                cut = np.flatnonzero(np.append(True, doc[o][1:] != doc[o][:-1])) if len(o) else []
-                for lo, hi in zip(cut, np.append(cut[1:], len(o)) if len(o) else [], strict=True):
-                    spans[doc[o[lo]]].append(both[lo:hi])
-            hits = [_merge(np.concatenate(x)) if x else None for x in spans]
-            out = [pa.array(words.count, pa.int64())]
-            out.append(pa.array([[] if h is None else (h - words.ptr[i]).tolist() for i, h in enumerate(hits)], extra[1][1]))
-            out.append(pa.array([sorted(x) for x in items], extra[2][1]))
-            out.append(pa.array([h is not None for h in hits], pa.bool_()))
-            if clean:
-                out.append(_cleaned(piece.column(text), words, hits))
-            yield pa.RecordBatch.from_arrays([*piece.columns, *out], columns)
-
-    def add(df: DataFrame) -> DataFrame:
-        empty = {"n_words": F.lit(0).cast("long"), "hit_spans": F.array().cast("array<array<int>>"), "item_ids": F.array().cast("array<string>"), "contaminated": F.lit(False), "clean_text": F.lit(None).cast("string")}
-        return df.withColumns({name: empty[key] for name, (key, _) in zip(names, extra, strict=False)})
-
-    return docs.mapInArrow(find, add(docs).schema)
+            words, hits = Words(piece.column(text), ALNUM, lower=True, hashed=False), []
+            for first, raw in zip(words.ptr.tolist(), piece.column(spans).to_pylist(), strict=False):
+                hits.append(_merge(np.frombuffer(b"".join(raw), np.int32).reshape(-1, 2).astype(np.int64) + first) if raw else None)
+            yield with_hits(piece, words, hits, [set(x or ()) for x in piece.column(named).to_pylist()])
+
+    return joined.mapInArrow(gather, schema)
 
 
 def _cleaned(column: pa.Array, words: Words, hits: list[np.ndarray | None]) -> pa.Array:

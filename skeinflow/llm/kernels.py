@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import ctypes
 import hashlib
+import secrets
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +80,45 @@ def span_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.nda
     return out
 
 
+def word_key() -> bytes:
+    """A secret for one run of an operator: whoever writes the texts can't know which words would collide under it."""
+    return secrets.token_bytes(16)
+
+
+@lru_cache(16)
+def _factors(key: bytes) -> np.ndarray:
+    """Factors of four multilinear hashes: for each a constant, one for the length and two for every eight bytes."""
+    n = 4 * (2 + 2 * LANES)
+    stream = b"".join(hashlib.blake2b(i.to_bytes(8, "little"), key=key).digest() for i in range(-(-n // 8)))
+    return np.frombuffer(stream, "<u8")[:n].reshape(4, -1).copy()
+
+
+def keyed_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, key: bytes, halves: int = 1) -> list[np.ndarray]:
+    """One or two 64-bit hashes of each span of bytes, under a secret key.
+
+    Each half is two multilinear hashes of 32 bits: any two given spans of up to 64 bytes are equal in one with a chance
+    of 2**-32 over the keys, in a half with 2**-64, in both with 2**-128, whatever the spans are. Longer spans go
+    through BLAKE2 with the key.
+    """
+    size, factors = (stop - start), _factors(key)[: 2 * halves]
+    sums = [f[0] + f[1] * size.astype(U) for f in factors]
+    lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    live, low = None, U(0xFFFFFFFF)
+    for k in range(LANES):
+        live = np.flatnonzero(size > 8 * k) if live is None else live[size[live] > 8 * k]
+        if not len(live):
+            break
+        lane = lanes[start[live] + 8 * k] & _MASKS[np.minimum(size[live] - 8 * k, 8)]
+        for s, f in zip(sums, factors, strict=True):
+            s[live] += f[2 + 2 * k] * (lane & low) + f[3 + 2 * k] * (lane >> U(32))
+    out = [(sums[2 * h] & ~low) | (sums[2 * h + 1] >> U(32)) for h in range(halves)]
+    for i in np.flatnonzero(size > 8 * LANES).tolist():
+        digest = hashlib.blake2b(data[start[i] : stop[i]].tobytes(), key=key, digest_size=16).digest()
+        for h in range(halves):
+            out[h][i] = int.from_bytes(digest[8 * h : 8 * h + 8], "little")
+    return out
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -117,9 +158,12 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK) -
 
 
 class Words:
-    """Words of the texts of a piece: byte bounds, 64-bit hashes; ptr[i]:ptr[i + 1] are the words of text i."""
+    """Words of the texts of a piece: byte bounds, 64-bit hashes; ptr[i]:ptr[i + 1] are the words of text i.
+
+    With a key, the hashes are keyed_hashes(), and hash_2 is the second half if two are asked for.
+    """
 
-    def __init__(self, column: pa.Array, table: np.ndarray = SPACED, lower: bool = False, hashed: bool = True):
+    def __init__(self, column: pa.Array, table: np.ndarray = SPACED, lower: bool = False, hashed: bool = True, key: bytes | None = None, halves: int = 1):
         self.data, self.off = utf8(column)
         if lower:
             self.data = LOWER[self.data]
@@ -136,7 +180,10 @@ class Words:
         self.end = np.flatnonzero(inside & ~after) + 1
         self.ptr = np.searchsorted(self.start, self.off)
         self.count = np.diff(self.ptr)
-        if hashed:
+        if hashed and key:
+            self.hash, *rest = keyed_hashes(self.data, self.start, self.end, key, halves)
+            self.hash_2 = rest[0] if rest else None
+        elif hashed:
             self.hash = span_hashes(self.data, self.start, self.end)
 
     def text_of(self) -> np.ndarray:

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from skeinflow.llm.base import own, quoted, staged
 from skeinflow.llm.components import connected_components
-from skeinflow.llm.kernels import Words, mix, pieces, ranges, trim, windows
+from skeinflow.llm.kernels import Words, mix, pieces, ranges, trim, windows, word_key
 from skeinflow.llm.sketches import bits_for, maybe_repeated, merged, partial_rows
 
 U = np.uint64
@@ -42,9 +42,9 @@ COMMON, COMMON_PART, MOST_COMMON = 64, 1 / 400, 200_000
 # --- sets ----------------------------------------------------------------------------------------------------------
 
 
-def shingle_sets(column: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
+def shingle_sets(column: pa.Array, k: int = SHINGLE, secret: bytes | None = None) -> list[np.ndarray]:
     """The sorted distinct k-word shingle hashes of each text; of fewer words the whole sequence as one; else empty."""
-    w = Words(column, lower=True)
+    w = Words(column, lower=True, key=secret)
     g = windows(w.hash, k)
     out = []
     short = {n: windows(w.hash, n) for n in set(w.count[w.count < k].tolist()) if n}
@@ -174,12 +174,12 @@ TOKENS = "bucket int, chunk long, tokens binary, docs binary, spare binary"
 COUNTS = "chunk long, docs binary, counts binary, spare binary"
 
 
-def sets_of_texts(column: str, k: int) -> Callable:
+def sets_of_texts(column: str, k: int, secret: bytes) -> Callable:
     """For not_alone(): pieces of a text column as {key: set}."""
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, np.ndarray]]:
         for batch in pieces(batches, column, PIECE):
-            yield {set_id(s)[1]: s for piece in pieces(iter([batch]), column) for s in shingle_sets(piece.column(column), k) if len(s)}
+            yield {set_id(s)[1]: s for piece in pieces(iter([batch]), column) for s in shingle_sets(piece.column(column), k, secret) if len(s)}
 
     return groups
 
@@ -517,7 +517,7 @@ def region_links(members: DataFrame, percent: int = PERCENT, most: int = REGION_
 # --- the join ------------------------------------------------------------------------------------------------------
 
 
-def _with_sets(docs: DataFrame, text: str, names: list[str], bitmaps, bits: int, k: int, keep_text: bool) -> DataFrame:
+def _with_sets(docs: DataFrame, text: str, names: list[str], bitmaps, bits: int, k: int, secret: bytes, keep_text: bool) -> DataFrame:
     """docs with n, sid, key and, for the first of equal sets of a piece whose key is a candidate's, the set."""
     rest = [c for c in docs.columns if keep_text or c != text]
 
@@ -525,7 +525,7 @@ def _with_sets(docs: DataFrame, text: str, names: list[str], bitmaps, bits: int,
         for batch in pieces(batches, text, PIECE):
             seen: set[bytes] = set()
             for piece in pieces(iter([batch]), text):
-                sets = shingle_sets(piece.column(text), k)
+                sets = shingle_sets(piece.column(text), k, secret)
                 ids = [set_id(s) for s in sets]
                 keys = np.array([i[1] for i in ids], np.int64)
                 member = maybe_repeated(mix(keys.view(U)), bitmaps.value, bits)
@@ -564,16 +564,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id",
     whole sequence as one. Sets link when they share `percent` per cent of their union or more, whole texts compared.
     component_id is the least id that links lead to. Null and empty texts have no shingles and no links: they keep
     their own id. Repeated ids and rows are rows of their own; null ids are never the least unless all are null; an
-    empty table gives no rows. Shingles are compared as 64-bit hashes.
+    empty table gives no rows. Shingles are compared as 64-bit hashes of words hashed under a key of the run.
     """
     spark = docs.sparkSession
     n, component, sid, key, elements, same, least_id = own(docs, "n_shingles", "component_id", "__sid", "__key", "__set", "__same", "__least")
     # The estimate of the input's size sets only how finely hashes are dealt.
     size = min(1 << 50, int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
     buckets = min(1 << 20, max(64, size >> 21))
-    may = staged(not_alone(docs.select(F.col(quoted(text)).alias("t")), sets_of_texts("t", k), percent, buckets, (100 - percent) / 50), "may")
+    secret = word_key()
+    may = staged(not_alone(docs.select(F.col(quoted(text)).alias("t")), sets_of_texts("t", k, secret), percent, buckets, (100 - percent) / 50), "may")
     bitmaps, bits = _members(may)
-    rows = staged(_with_sets(docs, text, [n, sid, key, elements], spark.sparkContext.broadcast(bitmaps), bits, k, keep_text), "sets")
+    rows = staged(_with_sets(docs, text, [n, sid, key, elements], spark.sparkContext.broadcast(bitmaps), bits, k, secret, keep_text), "sets")
     sets = rows.where(F.col(elements).isNotNull()).select(F.col(key).alias("node"), F.col(sid).alias("sid"), F.col(elements).alias("elements"))
     # Copies of a set from several pieces are one from here on, so their shingles count once.
     sets = staged(sets.dropDuplicates(["node", "sid"]), "distinct")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinflow.llm.base import own, quoted, staged
-from skeinflow.llm.kernels import WORD_BASE, WORD_BASE_2, Words, mix, pieces, sliding, starts_of, windows
+from skeinflow.llm.kernels import WORD_BASE, WORD_BASE_2, Words, mix, pieces, sliding, starts_of, windows, word_key
 from skeinflow.llm.sketches import bits_for, maybe_repeated, merged, partial_rows
 
 U = np.uint64
@@ -42,7 +42,7 @@ def window_parts(words: Words, k: int = WINDOW, part: int = PART) -> tuple[np.nd
     return least, ok, g[(most == g)]
 
 
-def sketch_texts(texts: DataFrame, column: str, k: int = WINDOW) -> DataFrame:
+def sketch_texts(texts: DataFrame, column: str, key: bytes, k: int = WINDOW) -> DataFrame:
     """Partial sketches of all texts' window parts."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,7 +54,7 @@ def sketch_texts(texts: DataFrame, column: str, k: int = WINDOW) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], ["block", "once", "more"])
 
         for piece in pieces(batches, column):
-            keys = window_parts(Words(piece.column(column)), k, min(PART, k))[2]
+            keys = window_parts(Words(piece.column(column), key=key), k, min(PART, k))[2]
             held.append(keys)
             size += len(keys)
             if size > KEYS:
@@ -94,7 +94,7 @@ def candidate_rows(words: Words, ids: list[bytes], bitmaps: list[np.ndarray], bi
     if not len(at):
         return []
     k1 = windows(words.hash, k, WORD_BASE)[at]
-    k2 = windows(mix(words.hash ^ U(0x5851F42D4C957F2D)), k, WORD_BASE_2)[at]
+    k2 = windows(words.hash_2, k, WORD_BASE_2)[at]
     doc = np.searchsorted(words.ptr, at, "right") - 1
     pos = at - words.ptr[doc]
     o = np.lexsort((k2, k1))
@@ -121,10 +121,10 @@ def candidate_rows(words: Words, ids: list[bytes], bitmaps: list[np.ndarray], bi
     return out
 
 
-def _candidates(texts: DataFrame, column: str, ident: str, bitmaps, bits: int, buckets: int, k: int) -> DataFrame:
+def _candidates(texts: DataFrame, column: str, ident: str, key: bytes, bitmaps, bits: int, buckets: int, k: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, column, PIECE):
-            rows = candidate_rows(Words(piece.column(column)), piece.column(ident).to_pylist(), bitmaps.value, bits, buckets, k)
+            rows = candidate_rows(Words(piece.column(column), key=key, halves=2), piece.column(ident).to_pylist(), bitmaps.value, bits, buckets, k)
             if rows:
                 kinds = [pa.int32()] + [pa.binary()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [x.split()[0] for x in FOUND.split(", ")])
@@ -179,17 +179,18 @@ def remove_repeats(docs: DataFrame, text: str = "text", k: int = WINDOW) -> Data
     Words are [^\\x20\\x09-\\x0D]+. A word goes if some window of k words over it starts anywhere else too, in any row or
     at another place of its own; windows are judged on the input. Rows with equal texts are treated alike. Null and
     empty texts have no words and an empty kept_text; texts under k words lose none; an empty table gives no rows.
-    Windows are compared as 128-bit hashes of 64-bit word hashes.
+    Windows are compared as 128-bit hashes, each half made of a half of the words' 128-bit hashes under a key of the run.
     """
     spark = docs.sparkSession
     kept, n_words, n_removed, ident, other, found_spans = own(docs, "kept_text", "n_words", "n_removed", "__id", "__text_id", "__spans")
-    marked = docs.withColumn(ident, F.unhex(F.md5(F.coalesce(F.col(quoted(text)), F.lit("")))))
+    marked = docs.withColumn(ident, F.unhex(F.substring(F.sha2(F.coalesce(F.col(quoted(text)), F.lit("")), 256), 1, 32)))
     texts = marked.select(F.col(ident).alias("__id"), F.col(quoted(text)).alias("__text"))
-    sketches = staged(sketch_texts(texts.select("__text"), "__text", k), "sketch")
-    keys = (sketches.agg(F.sum(F.octet_length("once") + F.octet_length("more"))).first()[0] or 0) // 8
-    bits = bits_for(keys)
+    key = word_key()
+    sketches = staged(sketch_texts(texts.select("__text"), "__text", key, k), "sketch")
+    parts = (sketches.agg(F.sum(F.octet_length("once") + F.octet_length("more"))).first()[0] or 0) // 8
+    bits = bits_for(parts)
     bitmaps = spark.sparkContext.broadcast(merged(sketches, bits))
-    found = _candidates(texts, "__text", "__id", bitmaps, bits, min(1 << 20, max(16, keys // 40_000)), k)
+    found = _candidates(texts, "__text", "__id", key, bitmaps, bits, min(1 << 20, max(16, parts // 40_000)), k)
     # Copies of a text report the same spans: equal reports meet before the shuffle.
     spans = staged(exact_spans(found, k).groupBy(F.col("text_id").alias(other)).agg(F.collect_set("spans").alias(found_spans)), "spans")
     joined = marked.join(spans, F.col(ident) == F.col(other), "left").drop(ident, other)

@@ -96,17 +96,52 @@ for _ in range(10):
 TWINS = "".join(LONG), "".join("1" if x == "0" else "0" for x in LONG)
 
 
-def test_words_that_polynomials_take_for_equal():
+#: Two words whose unkeyed hash, by invertible steps of eight bytes, is the same.
+STEPS = "abcdefghijklmnop", "pezxw8yrb0m80o27"
+
+
+def colliding_words(rng, n=1 << 17):
+    """Two words of 16 signs with equal unkeyed hashes: the first eight bytes at will, the next eight solved for."""
+    signs = np.frombuffer(bytes(range(0x21, 0x7F)), np.uint8)
+    first = signs[rng.integers(0, len(signs), (n, 8))].copy().view("<u8")[:, 0]
+    begin = kernels.mix(np.full(1, 16, np.uint64) * np.uint64(0x632BE59BD9B4E019) + np.uint64(1))
+    after = kernels.mix(begin * np.uint64(kernels.LANE) ^ first) * np.uint64(kernels.LANE)
+    last = after[0] ^ after ^ np.frombuffer(b"abcdefgh", "<u8")[0]
+    ok = np.flatnonzero(np.isin(last.view(np.uint8).reshape(-1, 8), signs).all(1))[:2]
+    return tuple((first[i].tobytes() + last[i].tobytes()).decode() for i in ok)
+
+
+def test_words_that_other_hashes_take_for_equal():
+    found = colliding_words(np.random.default_rng(3))
+    for a, b in (STEPS, found):
+        assert a != b and len(set(kernels.Words(pa.array([a, b])).hash.tolist())) == 1
     for table, lower in ((kernels.SPACED, False), (kernels.ALNUM, True)):
-        a, b = kernels.Words(pa.array([*TWINS]), table, lower).hash.tolist()
-        assert a != b
-    words = [f"{'x' * n}{i}" for n in range(140) for i in range(3)] + ["é" * 40, "é" * 41]
-    h = kernels.Words(pa.array([" ".join(words), *words])).hash
-    assert len(set(h.tolist())) == len(words) and h[: len(words)].tolist() == h[len(words) :].tolist()
+        for pair in (TWINS, STEPS) + ((found,) if table is kernels.SPACED else ()):
+            w = kernels.Words(pa.array([*pair]), table, lower, key=kernels.word_key(), halves=2)
+            assert len(set(w.hash.tolist())) == len(set(w.hash_2.tolist())) == 2
 
 
-def test_twins_stay_apart(spark):
-    a, b = TWINS
+def test_keyed_hashes():
+    words = [f"{'x' * n}{i}" for n in range(140) for i in range(3)] + ["é" * 40, "é" * 41]
+    key = kernels.word_key()
+    w = kernels.Words(pa.array([" ".join(words), *words]), key=key, halves=2)
+    for h in (w.hash, w.hash_2):
+        assert len(set(h.tolist())) == len(words) and h[: len(words)].tolist() == h[len(words) :].tolist()
+        assert len(set((h >> np.uint64(32)).tolist()) | set((h & np.uint64(0xFFFFFFFF)).tolist())) > len(words)
+    assert not set(w.hash.tolist()) & set(w.hash_2.tolist())
+    # The same under the same key, whatever stands around a word; another key has nothing in common.
+    assert kernels.Words(pa.array(words[::-1]), key=key).hash.tolist() == w.hash[: len(words)][::-1].tolist()
+    assert not set(kernels.Words(pa.array(words), key=kernels.word_key()).hash.tolist()) & set(w.hash.tolist())
+    # By hand: one half of "abc", a span of one lane.
+    f = kernels._factors(key)
+    low = int.from_bytes(b"abc", "little")
+    sums = [(int(x[0]) + 3 * int(x[1]) + int(x[2]) * low) % (1 << 64) for x in f[:2]]
+    assert kernels.Words(pa.array(["abc"]), key=key).hash.tolist() == [sums[0] >> 32 << 32 | sums[1] >> 32]
+
+
+@pytest.mark.parametrize("pair", [TWINS, STEPS])
+def test_twins_stay_apart(spark, pair):
+    a, b = pair
     pad = " ".join(f"w{i}" for i in range(34))
     texts = [f"x y {a}", f"x y {b}", f"{pad} {a}", f"{pad} {b}"]
     docs = documents(spark, texts)
@@ -343,17 +378,18 @@ def test_decontaminate(spark, docs, monkeypatch):
     items = [(1, texts[6]), (22, "THE of"), (3, texts[9]), (None, "one"), (5, None), (6, "..."), (22, "the OF"), (8, prose(12)), (9, "w7 w8 w9 w10 w11 w12 w13 w14 w15 w16 w17")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = [hits(t, items) for t in texts]
-    for blocks in (1 << 20, 20):
-        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", blocks)
-        gen = decontaminate.phrase_blocks
-        monkeypatch.setattr(decontaminate, "phrase_blocks", lambda b, i, t, k, most=blocks, gen=gen: gen(b, i, t, k, most))
-        got = {r.doc_id: r for r in decontaminate.decontaminate(docs, bench, clean=True).collect()}
+    gen = decontaminate.phrase_blocks
+    for blocks, most in ((1 << 20, 1 << 20), (20, 1 << 20), (20, 1), (20, 3000)):
+        monkeypatch.setattr(decontaminate, "phrase_blocks", lambda b, i, t, k, key, most=blocks: gen(b, i, t, k, key, most))
+        got = {r.doc_id: r for r in decontaminate.decontaminate(docs, bench, clean=True, most=most).collect()}
         for i, (n, hit, ids) in enumerate(want):
             r = got[i]
             assert (r.n_words_, sorted(j for a, b in r.hit_spans for j in range(a, b)), r.item_ids, r.contaminated) == (n, sorted(hit), ids, bool(hit))
             assert r.hit_spans == sorted(r.hit_spans) and (r.clean_text == texts[i] if not hit else len(r.clean_text) < len(texts[i]))
     assert decontaminate.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.decontaminate(empty(spark), bench).count() == 0
+    assert decontaminate.decontaminate(empty(spark), bench, most=1).count() == 0
+    assert gen(bench, "item_id", "text", 10, b"key", 20).count() > 1
 
 
 # --- 5 -------------------------------------------------------------------------------------------------------------
