@@ -721,3 +721,6 @@ def alexander_agreement(spark, sf_dir):
 def scalar_agreement(spark, sf_dir):
     s = derived.read(spark, sf_dir, "supplier")
     return agreement.scalar_verdicts(s.select(F.col("s_suppkey").alias("diagram"), (F.col("s_nationkey") - 12).alias("value")), s.select(F.col("s_suppkey").alias("diagram"), (F.col("s_suppkey") % 25 - 12).alias("value")))
+
+
+from skeinflow import table_queries  # noqa: E402, F401  registers more queries

@@ -54,3 +54,60 @@ def trade_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TRADE_SQL = """select c_mktsegment as cx, 0 as deg, c_nationkey::bigint as col, (ascii(substring(o_orderpriority, 1, 1)) - 49)::bigint as row,
   count(*) as n, sum(case when o_totalprice > 150000 then 1 else -1 end)::bigint as v from orders join customer on o_custkey = c_custkey group by 1, 3, 4"""
+
+
+#: Vertices of a customer's complex; edges and triangles are numbered by their vertices in a fixed order.
+VERTICES = 8
+
+
+def order_simplices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cx, a, b, c), a < b < c or null: the vertices, edges and triangles of a complex for each customer.
+
+    An order spans the simplex of its suppliers' nations modulo VERTICES; a customer's complex is what its orders span,
+    up to triangles. So every face of a simplex is there, and the boundary's square is zero.
+    """
+    lines, orders, supplier = (read(spark, sf_dir, t) for t in ("lineitem", "orders", "supplier"))
+    seen = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(supplier, lines.l_suppkey == supplier.s_suppkey)
+    sets = seen.groupBy(F.col("o_custkey").alias("cx"), "o_orderkey").agg(F.array_sort(F.collect_set(F.col("s_nationkey") % VERTICES)).alias("v")).select("cx", "v").distinct()
+    a = sets.select("cx", "v", F.explode("v").alias("a"))
+    later = lambda x: F.filter("v", lambda y: y > F.col(x))
+    b = a.select("cx", "v", "a", F.explode(later("a")).alias("b"))
+    c = b.select("cx", "a", "b", F.explode(later("b")).alias("c"))
+    none = F.lit(None).cast("int")
+    out = a.select("cx", "a", none.alias("b"), none.alias("c")).union(b.select("cx", "a", "b", none)).union(c)
+    return out.distinct()
+
+
+def order_complexes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(gen, bd) of the customers' cochain complexes: vertices in degree 0, edges in 1, triangles in 2, numbered within each."""
+    from pyspark.sql import Window
+
+    s = order_simplices(spark, sf_dir)
+    deg = F.when(F.col("b").isNull(), 0).when(F.col("c").isNull(), 1).otherwise(2)
+    s = s.withColumn("deg", deg).withColumn("n", F.row_number().over(Window.partitionBy("cx", "deg").orderBy("a", "b", "c")).cast("long") - 1)
+    gen = s.groupBy("cx", "deg").agg(F.count("*").alias("dim"))
+    v = s.where("deg = 0").select("cx", F.col("a").alias("x"), F.col("n").alias("col"))
+    e = s.where("deg = 1").select("cx", "a", "b", "n")
+    up = e.select("cx", F.col("n").alias("row"), F.explode(F.array(F.struct(F.col("b").alias("x"), F.lit(1).alias("v")), F.struct(F.col("a").alias("x"), F.lit(-1).alias("v")))).alias("s"))
+    first = v.join(up.select("cx", "row", "s.*"), ["cx", "x"]).select("cx", F.lit(0).alias("deg"), "col", "row", F.col("v").cast("long").alias("v"))
+    t = s.where("deg = 2").select("cx", F.col("n").alias("row"), "a", "b", "c")
+    side = lambda x, y, sign: F.struct(F.col(x).alias("a"), F.col(y).alias("b"), F.lit(sign).alias("v"))
+    up = t.select("cx", "row", F.explode(F.array(side("b", "c", 1), side("a", "c", -1), side("a", "b", 1))).alias("s")).select("cx", "row", "s.*")
+    second = e.withColumnRenamed("n", "col").join(up, ["cx", "a", "b"]).select("cx", F.lit(1).alias("deg"), "col", "row", F.col("v").cast("long").alias("v"))
+    return gen, first.union(second)
+
+
+#: Tables v, e and t (cx, and the simplex's vertices) as SQL.
+SIMPLICES_SQL = f"""o as (select distinct o_custkey as cx, o_orderkey, s_nationkey % {VERTICES} as v from lineitem join orders on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey),
+  v as (select distinct cx, v as a from o), e as (select distinct x.cx, x.v as a, y.v as b from o x join o y on x.o_orderkey = y.o_orderkey and x.v < y.v),
+  t as (select distinct x.cx, x.v as a, y.v as b, z.v as c from o x join o y on x.o_orderkey = y.o_orderkey and x.v < y.v join o z on x.o_orderkey = z.o_orderkey and y.v < z.v)"""
+
+
+def part_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cx, seed, cols, rows, density): a seeded random matrix for each part, its shape by the part's size, its density by the brand."""
+    p = read(spark, sf_dir, "part")
+    share = (F.expr("ascii(substring(p_brand, -1, 1)) % 8") + 1) / 16
+    return p.select(F.col("p_partkey").alias("cx"), F.col("p_partkey").alias("seed"), (10 + F.col("p_size") % 31).alias("cols"), (20 + F.col("p_size")  % 41).alias("rows"), share.alias("density"))
+
+
+PART_MATRICES_SQL = "select p_partkey as cx, p_partkey as seed, 10 + p_size % 31 as cols, 20 + p_size % 41 as rows, (ascii(p_brand[-1:]) % 8 + 1) / 16.0 as density from part"
