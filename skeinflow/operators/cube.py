@@ -10,19 +10,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinflow.operators.diagrams import crossing_signs, from_one, merged_labels
+from skeinflow.operators.diagrams import checked, crossing_signs, from_one, merged_labels
 
-#: Crossings beyond which a diagram's states are not enumerated.
-MOST_CROSSINGS = 24
+#: Crossings beyond which a diagram's states are not enumerated; states that are dealt out together.
+MOST_CROSSINGS, SPAN = 24, 4096
 
 
 def cube_states(pds: DataFrame) -> DataFrame:
     """(diagram, state, labels): a row for each of 2^c resolutions; labels[a - 1] is the least arc of a's circle.
 
-    Bit k of state is crossing k: 0 joins (b, c), (d, a); 1 joins (a, b), (c, d). Rows are dealt out before the fold.
+    Bit k of state is crossing k: 0 joins (b, c), (d, a); 1 joins (a, b), (c, d). States are dealt out in spans before the
+    fold. A code that is no knot's raises, and so do more than MOST_CROSSINGS crossings.
     """
-    d = pds.withColumn("pd", from_one(F.col("pd")))
-    states = d.select("diagram", "pd", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, size(pd)) - 1"))).alias("state"))
+    many = F.raise_error(F.concat_ws(" ", F.lit("diagram"), F.col("diagram").cast("string"), F.lit("has"), F.size("pd").cast("string"), F.lit(f"crossings; at most {MOST_CROSSINGS} are enumerated"))).cast("long")
+    d = checked(pds.select("diagram", "pd")).withColumn("all", F.when(F.size("pd") > MOST_CROSSINGS, many).otherwise(F.expr("shiftleft(1L, size(pd))")))
+    spans = d.select("diagram", "pd", "all", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1, F.lit(SPAN).cast("long"))).alias("first")).repartition("diagram", "first")
+    states = spans.select("diagram", "pd", F.explode(F.sequence("first", F.least(F.col("first") + SPAN, F.col("all")) - 1)).alias("state"))
 
     def pairs(c, k):
         one = F.expr("state").bitwiseAND(F.pow(F.lit(2), k).cast("long")) != 0

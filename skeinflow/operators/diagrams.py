@@ -32,6 +32,16 @@ def crossing_signs(pd: Column) -> Column:
     return F.transform(pd, lambda c: F.when(F.get(c, 3) == F.pmod(F.get(c, 1), n2) + 1, 1).when(F.get(c, 1) == F.pmod(F.get(c, 3), n2) + 1, -1))
 
 
+def checked(pds: DataFrame) -> DataFrame:
+    """pds with labels from 1; a code that is no knot's raises. Without crossings it is the unknot's."""
+    pd, name = F.col("pd"), F.coalesce(F.col("diagram").cast("string"), F.lit("null"))
+    one = from_one(pd)
+    along = F.forall(one, lambda c: F.get(c, 2) == F.get(c, 0) % (2 * F.size(one)) + 1) & F.forall(crossing_signs(one), lambda s: s.isNotNull())
+    wrong = F.when(pd.isNull(), "null").when(F.size(pd) > 0, F.coalesce(pd_verdict(pd), F.when(~along, "labels do not follow one strand")))
+    fine = F.when(wrong.isNull(), F.when(F.size(pd) > 0, one).otherwise(pd)).otherwise(F.raise_error(F.concat(F.lit("diagram "), name, F.lit(": "), wrong)).cast("array<array<int>>").cast(pds.schema["pd"].dataType))
+    return pds.withColumn("pd", fine)
+
+
 def merged_labels(n2: Column, pairs: Column) -> Column:
     """For arcs 1 ... n2 (one, where there are no crossings) the least label of each arc's class, after joining the pairs (struct x, y): a fold, no shuffle."""
 

@@ -7,10 +7,11 @@ from math import comb, factorial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinflow.operators.algebra import f2_rank
+from skeinflow.operators.packed import first_independent, leads_by_tables, pack, sparse_rank
 from skeinflow.sources.derived import checkpoint_dir
 
 #: Rows beyond which n! states are refused.
@@ -20,7 +21,7 @@ MOST_ROWS = 10
 def grid_verdict(n: Column, o: Column, x: Column) -> Column:
     """Null where o and x are permutations of 0 ... n - 1 that never share a cell."""
     full = F.sequence(F.lit(0), n - 1)
-    return F.when((F.array_sort(o) != full) | (F.array_sort(x) != full), "not permutations").when(F.exists(F.arrays_zip(o.alias("o"), x.alias("x")), lambda c: c["o"] == c["x"]), "two markers in one cell")
+    return F.when(n.isNull() | o.isNull() | x.isNull() | (n < 1), "no markers").when((F.array_sort(o) != full) | (F.array_sort(x) != full), "not permutations").when(F.exists(F.arrays_zip(o.alias("o"), x.alias("x")), lambda c: c["o"] == c["x"]), "two markers in one cell")
 
 
 def from_markers(markers: DataFrame) -> DataFrame:
@@ -121,8 +122,10 @@ def _empty(states: np.ndarray, lo: int, hi: int, avoid: list[list[int]]) -> np.n
 
 
 def _blocks(grids: DataFrame, parts: int = 64) -> DataFrame:
-    """Ranks 0 ... n! - 1 of each grid, in spans that are dealt out."""
-    g = grids.select("diagram", "n", "o", "x", F.when(F.col("n") > MOST_ROWS, F.raise_error(F.concat(F.lit("too many states: n = "), F.col("n").cast("string")))).otherwise(F.factorial("n")).alias("all"))
+    """Ranks 0 ... n! - 1 of each grid, in spans that are dealt out; what is no grid, or too large, raises."""
+    wrong = F.coalesce(grid_verdict(F.col("n"), F.col("o"), F.col("x")), F.when(F.col("n") > MOST_ROWS, F.concat(F.lit("too many states: n = "), F.col("n").cast("string"))))
+    n = F.when(wrong.isNull(), F.col("n")).otherwise(F.raise_error(F.concat(F.lit("grid "), F.coalesce(F.col("diagram").cast("string"), F.lit("null")), F.lit(": "), wrong)).cast("int"))
+    g = grids.select("diagram", n.alias("n"), "o", "x").withColumn("all", F.factorial("n"))
     step = F.greatest(F.lit(512).cast("long"), F.ceil(F.col("all") / parts))
     return g.select("diagram", "n", "o", "x", "all", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1, step)).alias("first"), step.alias("step")).repartition("diagram", "first")
 
@@ -152,6 +155,52 @@ def grid_states(grids: DataFrame, targets: str | None = None) -> DataFrame:
     return _blocks(grids).mapInPandas(work, schema)
 
 
+def grid_maps(grids: DataFrame, kind: str) -> DataFrame:
+    """(diagram, m, a, n, ranks, indptr, targets): of each span the states of each grading, by rank, and their differentials as compressed columns.
+
+    Integers of four bytes; targets are ranks. A row for a span and grading crosses the shuffle, not one for a state.
+    """
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for g in batch.itertuples():
+                n, o, x = int(g.n), [int(v) for v in g.o], [int(v) for v in g.x]
+                r = np.arange(g.first, min(g.all, g.first + g.step))
+                s = unranked(r, n)
+                m, a = gradings(s, o, x)
+                hits = []
+                for i, j, hit in rectangles(s, [o, x] if kind == "hat" else [o]):
+                    t = s[hit]
+                    t[:, [i, j]] = t[:, [j, i]]
+                    hits.append((np.flatnonzero(hit), ranked(t)))
+                col, row = (np.concatenate(h) for h in zip(*hits, strict=True)) if hits else (np.zeros(0, np.int64),) * 2
+                # Columns by grading, entries by column.
+                order = np.lexsort((np.arange(len(r)), m, a))
+                place = np.empty(len(r), np.int64)
+                place[order] = np.arange(len(r))
+                by = np.argsort(place[col], kind="stable")
+                ptr = np.concatenate(([0], np.cumsum(np.bincount(place[col], minlength=len(r)))))
+                row, m, a, r = row[by].astype("<i4"), m[order], a[order], r[order].astype("<i4")
+                cut = np.flatnonzero(np.append(True, (m[1:] != m[:-1]) | (a[1:] != a[:-1])))
+                rows = [(g.diagram, int(m[lo]), int(a[lo]), hi - lo, r[lo:hi].tobytes(), (ptr[lo : hi + 1] - ptr[lo]).astype("<i4").tobytes(), row[ptr[lo] : ptr[hi]].tobytes()) for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(r)], strict=True)]
+                yield pd.DataFrame(rows, columns=["diagram", "m", "a", "n", "ranks", "indptr", "targets"])
+
+    blocks = _blocks(grids)
+    empty = F.lit(None).cast("binary")
+    schema = blocks.select("diagram", F.lit(0).alias("m"), F.lit(0).alias("a"), F.lit(0).cast("long").alias("n"), empty.alias("ranks"), empty.alias("indptr"), empty.alias("targets")).schema
+    return blocks.mapInPandas(work, schema)
+
+
+def _columns(indptr: pa.ListScalar, targets: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    """(indptr, targets) of a map out of those of its spans."""
+    ptr, total = [np.zeros(1, np.int64)], 0
+    for p in indptr:
+        p = np.frombuffer(p.as_buffer(), "<i4").astype(np.int64)
+        ptr.append(p[1:] + total)
+        total += int(p[-1])
+    return np.concatenate(ptr), np.concatenate([np.frombuffer(x.as_buffer(), "<i4") for x in targets]).astype(np.int64)
+
+
 def grading_histogram(grids: DataFrame) -> DataFrame:
     """(diagram, m, a, n): partial sums where states are made."""
     return grid_states(grids).groupBy("diagram", "m", "a").agg(F.count("*").alias("n"))
@@ -172,20 +221,25 @@ def grid_boundary(grids: DataFrame, kind: str = "hat") -> DataFrame:
 
 
 def grid_poincare(grids: DataFrame) -> DataFrame:
-    """(diagram, m, a, dim): homology of the hat differential. It keeps A, so that each (diagram, A) is a group of its own."""
+    """(diagram, m, a, dim): homology of the hat differential. It keeps A and lowers M by one, so that each grading has one map out and one in.
 
-    def reduce(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        place, count = {}, {}
-        for r, m in zip(pdf["rank"], pdf["m"], strict=True):
-            place[int(r)] = count.setdefault(int(m), 0)
-            count[int(m)] += 1
-        rank = {}
-        for m, part in pdf.groupby("m"):
-            rank[int(m)] = f2_rank(sum(1 << place[int(t)] for t in ts) for ts in part["targets"])
-        rows = [(key[0], m, key[1], n - rank.get(m, 0) - rank.get(m + 1, 0)) for m, n in count.items()]
-        return pd.DataFrame([r for r in rows if r[3]], columns=["diagram", "m", "a", "dim"])
+    A task has one grading's map as compressed columns; targets need no places of their own to count a rank.
+    """
+    spans = F.array_sort(F.collect_list(F.struct("ranks", "indptr", "targets")))
+    maps = grid_maps(grids, "hat").groupBy("diagram", "m", "a").agg(F.sum("n").alias("n"), spans.alias("s")).select("diagram", "m", "a", "n", "s.indptr", "s.targets")
 
-    return grid_states(grids, "hat").groupBy("diagram", "a").applyInPandas(reduce, "diagram string, m int, a int, dim long")
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                ptr, targets = _columns(batch.column("indptr")[i], batch.column("targets")[i])
+                out.append(sparse_rank(np.repeat(np.arange(len(ptr) - 1), np.diff(ptr)), targets))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("diagram", "m", "a", "n")), pa.array(out, pa.int64())], ["diagram", "m", "a", "n", "rank"])
+
+    r = maps.mapInArrow(reduce, maps.select("diagram", "m", "a", "n", F.lit(0).cast("long").alias("rank")).schema)
+    each = F.explode(F.array(F.struct(F.col("m").alias("m"), (F.col("n") - F.col("rank")).alias("d")), F.struct((F.col("m") - 1).alias("m"), (-F.col("rank")).alias("d"))))
+    out = r.select("diagram", "a", each.alias("x")).groupBy("diagram", F.col("x.m").alias("m"), "a").agg(F.sum("x.d").alias("dim")).where("dim <> 0")
+    return out.withColumn("dim", F.when(F.col("dim") > 0, F.col("dim")).otherwise(F.raise_error(F.lit("a negative dimension: not a complex")).cast("long"))).select("diagram", "m", "a", "dim")
 
 
 def divided(poincare: DataFrame, grids: DataFrame) -> DataFrame:
@@ -216,7 +270,8 @@ def hfk_hat(grids: DataFrame) -> DataFrame:
     q = q.withColumn("rank", F.when(F.col("rank") > 0, F.col("rank")).otherwise(F.raise_error(F.lit("a negative rank"))))
     both = p.union(tensored(q, grids).select("diagram", "m", "a", -F.col("dim"))).groupBy("diagram", "m", "a").agg(F.sum("dim").alias("left"))
     rest = both.where("left <> 0").select("diagram").distinct().withColumn("rest", F.lit(True))
-    q = q.join(rest, "diagram", "left")
+    # Full: a diagram whose quotient is cut to nothing has no row of it, but has a remainder.
+    q = q.join(rest, "diagram", "full")
     return q.select("diagram", "m", "a", F.when(F.col("rest"), F.raise_error(F.lit("the division leaves a remainder"))).otherwise(F.col("rank")).alias("rank"))
 
 
@@ -227,31 +282,45 @@ def seifert_genus(grids: DataFrame) -> DataFrame:
 def tau(grids: DataFrame) -> DataFrame:
     """(diagram, tau): the least A at which the filtered complex has a cycle in degree 0 that is no boundary.
 
-    Only degrees -1, 0 and 1 are looked at, one group for each grid.
+    Two maps, each in a task of its own: out of degree 0, with its states by (A, rank), the columns independent of those
+    before them tell the cycles of every level at once; into it, an echelon form's leading rows tell the boundaries.
     """
-    s = grid_states(grids, "filtered").where("m between -1 and 1")
-
-    def level(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        a = dict(zip(pdf["rank"].tolist(), pdf["a"].tolist(), strict=True))
-        place: dict[int, dict[int, int]] = {}
-        for m, part in pdf.groupby("m"):
-            place[int(m)] = {r: i for i, r in enumerate(part.sort_values(["a", "rank"])["rank"].tolist())}
-        def column(ts, m: int) -> int:
-            return sum(1 << place[m][int(t)] for t in ts if int(t) in place.get(m, {}))
-        zero, one = (pdf[pdf["m"] == m].sort_values(["a", "rank"]) for m in (0, 1))
-        into = [column(ts, 0) for ts in one["targets"]]
-        ins = f2_rank(into)
-        out = [column(ts, -1) for ts in zero["targets"]]
-        if len(zero) - f2_rank(out) - ins != 1:
-            raise ArithmeticError(f"{key[0]}: homology in degree 0 is not of dimension one")
-        levels = sorted(set(zero["a"].tolist()))
-        for k in levels:
-            n = int((zero["a"] <= k).sum())
-            cycles = n - f2_rank(out[:n])
-            # Boundaries within the first n generators: all, less those that stick out above.
-            if cycles > ins - f2_rank(v >> n for v in into):
-                return pd.DataFrame({"diagram": [key[0]], "tau": [int(k)]})
-        del a
-        raise ArithmeticError(f"{key[0]}: no level")
-
-    return s.groupBy("diagram").applyInPandas(level, "diagram string, tau int")
+    checkpoint_dir(grids.sparkSession)
+    s = grid_maps(grids, "filtered").where("m in (0, 1)").checkpoint()
+    spans = F.array_sort(F.collect_list(F.struct("m", "a", "ranks", "indptr", "targets")))
+    whole = s.where("m = 0").select("*", F.explode(F.array(F.lit("out"), F.lit("into"))).alias("kind")).union(s.where("m = 1").withColumn("kind", F.lit("into")))
+    maps = whole.groupBy("diagram", "kind").agg(spans.alias("s")).select("diagram", "kind", *(F.col(f"s.{c}").alias(c) for c in ("m", "a", "ranks", "indptr", "targets")))
+
+    def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                m, a = (batch.column(c)[i].values.to_numpy() for c in ("m", "a"))
+                ranks = [np.frombuffer(x.as_buffer(), "<i4").astype(np.int64) for x in batch.column("ranks")[i]]
+                zero = np.flatnonzero(m == 0)
+                state = np.concatenate([ranks[k] for k in zero])
+                of = np.repeat(a[zero], [len(ranks[k]) for k in zero])
+                order = np.lexsort((state, of))
+                parts = zero if batch.column("kind")[i].as_py() == "out" else np.flatnonzero(m == 1)
+                ptr, targets = _columns(*(pa.scalar([batch.column(c)[i][int(k)].as_py() for k in parts], pa.list_(pa.binary())) for c in ("indptr", "targets"))) if len(parts) else (np.zeros(1, np.int64), np.zeros(0, np.int64))
+                if batch.column("kind")[i].as_py() == "out":
+                    # Columns by (A, rank).
+                    size = np.diff(ptr)[order]
+                    take = np.repeat(ptr[:-1][order] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                    _, row = np.unique(targets[take], return_inverse=True)
+                    some = first_independent(np.concatenate(([0], np.cumsum(size))), row, int(row.max()) + 1 if len(row) else 0)
+                else:
+                    by_rank = np.argsort(state[order])
+                    row = by_rank[np.searchsorted(state[order], targets, sorter=by_rank)] if len(targets) else targets
+                    some = leads_by_tables(pack(ptr, row, len(state)))
+                levels, n = np.unique(of, return_counts=True)
+                ends = np.cumsum(n)
+                below = np.searchsorted(np.sort(some), ends)
+                k = len(levels)
+                yield pa.RecordBatch.from_arrays([batch.column("diagram").take(pa.array([i] * k)), batch.column("kind").take(pa.array([i] * k)), pa.array(levels.astype(np.int32)), pa.array(ends), pa.array(below)], ["diagram", "kind", "a", "states", "pivots"])
+
+    found = maps.mapInArrow(level, maps.select("diagram", "kind", F.lit(0).alias("a"), F.lit(0).cast("long").alias("states"), F.lit(0).cast("long").alias("pivots")).schema)
+    pivots = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("pivots")))
+    levels = found.groupBy("diagram", "a").agg((F.max("states") - pivots("out") - pivots("into")).alias("new"))
+    out = levels.groupBy("diagram").agg(F.min(F.when(F.col("new") > 0, F.col("a"))).alias("tau"), F.max_by("new", "a").alias("last"))
+    wrong = F.raise_error(F.concat(F.col("diagram").cast("string"), F.lit(": homology in degree 0 is not of dimension one"))).cast("int")
+    return out.select("diagram", F.when(F.col("last") == 1, F.col("tau")).otherwise(wrong).alias("tau"))
