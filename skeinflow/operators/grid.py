@@ -78,6 +78,38 @@ def ranked(states: np.ndarray) -> np.ndarray:
     return out
 
 
+def states_of(ranks: DataFrame) -> DataFrame:
+    """(diagram, n, rank) with state array<int>, the permutation of that rank; a rank outside 0 ... n! - 1 raises."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = pd.Series([None] * len(batch), dtype=object)
+            for n, part in batch.reset_index(drop=True).groupby("n"):
+                r = part["rank"].to_numpy()
+                if len(r) and (r.min() < 0 or r.max() >= factorial(int(n))):
+                    raise ValueError(f"a rank is outside 0 ... {n}! - 1")
+                out[part.index] = list(unranked(r, int(n)))
+            yield batch.assign(state=out.to_numpy())
+
+    return ranks.select("diagram", "n", "rank").mapInPandas(work, ranks.select("diagram", "n", "rank", F.array().cast("array<int>").alias("state")).schema)
+
+
+def ranks_of(states: DataFrame) -> DataFrame:
+    """(diagram, n, state) with rank; what is no permutation of 0 ... n - 1 raises."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = np.zeros(len(batch), np.int64)
+            for n, part in batch.reset_index(drop=True).groupby("n"):
+                s = np.array([np.asarray(x) for x in part["state"]]).reshape(len(part), -1)
+                if s.shape[1] != n or (np.sort(s, 1) != np.arange(n)).any():
+                    raise ValueError("a state is no permutation")
+                out[part.index] = ranked(s)
+            yield batch.assign(rank=out)
+
+    return states.select("diagram", "n", "state").mapInPandas(work, states.select("diagram", "n", "state", F.lit(0).cast("long").alias("rank")).schema)
+
+
 def gradings(states: np.ndarray, o: list[int], x: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """(Maslov, Alexander) of each state, in doubled integer coordinates: markers stand half a cell up and right of lattice points."""
     n = states.shape[1]

@@ -7,7 +7,6 @@ from the definitions.
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,11 +23,13 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def register(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+def register(sql: str | None = None, name: str | None = None, names=None, key: str = "diagram", table: str = "supplier") -> Callable[[Query], Query]:
+    """names: the objects that sql speaks of, which the query deals to the rows of a table; see derived.dealt()."""
+
     def add(f: Query) -> Query:
         _QUERIES[name or f.__name__] = f
         if sql is not None:
-            _SQL[name or f.__name__] = sql
+            _SQL[name or f.__name__] = derived.dealt_sql(sql, names, key, table) if names is not None else sql
         return f
 
     return add
@@ -66,6 +67,21 @@ def counted(table: dict[str, list[tuple]]) -> list[tuple]:
     return [(d, *c, cells.count(c)) for d, cells in table.items() for c in dict.fromkeys(cells)]
 
 
+def _pds(spark, sf_dir, pds=None, table="supplier"):
+    pds = fixtures.PD if pds is None else pds
+    return derived.turned_diagrams(derived.dealt(spark, sf_dir, fixtures.pd_table(spark, pds), list(pds), table=table))
+
+
+def _braids(spark, sf_dir, table="customer"):
+    return derived.turned_braids(derived.dealt(spark, sf_dir, fixtures.braid_table(spark), list(fixtures.BRAIDS), table=table))
+
+
+def _complex(spark, sf_dir, complexes):
+    """(gen, bd) of complexes, dealt."""
+    gen, bd = fixtures.complex_tables(spark, complexes)
+    return derived.dealt(spark, sf_dir, gen, list(complexes), "cx").drop("turn"), derived.dealt(spark, sf_dir, bd, list(complexes), "cx").drop("turn")
+
+
 def typed(rows: list[tuple], names: str, kinds: str) -> str:
     cols = ", ".join(f"{n}::{k} as {n}" for n, k in zip(names.split(", "), kinds.split(), strict=True))
     return f"select {cols} from {values(rows, names)}"
@@ -76,56 +92,56 @@ def typed(rows: list[tuple], names: str, kinds: str) -> str:
 BAD = {"empty": [], "short": [[1, 2, 3]], "gap": [[1, 5, 2, 4], [3, 1, 4, 7], [5, 3, 7, 2]], "from 2": [[2, 3, 3, 2]], "from 0": [[0, 4, 1, 3], [2, 0, 3, 5], [4, 2, 5, 1]]}
 
 
-@register(typed([(d, None) for d in fixtures.PD] + [("empty", "empty"), ("short", "a crossing has four labels"), ("gap", "each label occurs twice, without gaps"), ("from 2", "labels begin at 0 or 1"), ("from 0", None)], "diagram, verdict", "varchar varchar"))
+@register(typed([(d, None) for d in fixtures.PD] + [("empty", "empty"), ("short", "a crossing has four labels"), ("gap", "each label occurs twice, without gaps"), ("from 2", "labels begin at 0 or 1"), ("from 0", None)], "diagram, verdict", "varchar varchar"), names=[*fixtures.PD, *BAD], table="customer")
 def pd_validate(spark, sf_dir):
-    return fixtures.pd_table(spark, fixtures.PD | BAD).select("diagram", diagrams.pd_verdict(F.col("pd")).alias("verdict"))
+    return derived.dealt(spark, sf_dir, fixtures.pd_table(spark, fixtures.PD | BAD), [*fixtures.PD, *BAD], table="customer").select("diagram", diagrams.pd_verdict(F.col("pd")).alias("verdict"))
 
 
-@register(typed(STRUCTURE, "diagram, crossings, circles, writhe, genus, n_plus, n_minus", "varchar int int int int int int"))
+@register(typed(STRUCTURE, "diagram, crossings, circles, writhe, genus, n_plus, n_minus", "varchar int int int int int int"), names=fixtures.PD, table="customer")
 def seifert_structure(spark, sf_dir):
-    return diagrams.seifert_structure(fixtures.pd_table(spark))
+    return diagrams.seifert_structure(_pds(spark, sf_dir, table="customer"))
 
 
-@register(typed(HISTOGRAM, "diagram, ones, circles, n", "varchar int int bigint"))
+@register(typed(HISTOGRAM, "diagram, ones, circles, n", "varchar int int bigint"), names=fixtures.PD)
 def cube_states_histogram(spark, sf_dir):
-    return cube.state_histogram(fixtures.pd_table(spark))
+    return cube.state_histogram(_pds(spark, sf_dir))
 
 
 @register(f"""
 with h as {values(HISTOGRAM, "diagram, ones, circles, n")}, c as (select diagram, max(ones) as c from h group by 1),
 t as (select h.diagram, c - 2 * ones + 2 * (circles - 1) - 4 * k as exp, n * (case when circles % 2 = 1 then 1 else -1 end) * (factorial((circles - 1)::int) / (factorial(k::int) * factorial((circles - 1 - k)::int))) as v
   from h join c using (diagram), range(0, 10) r(k) where k < circles)
-select diagram, exp::int as exp, sum(v)::bigint as coef from t group by 1, 2 having sum(v) <> 0""")
+select diagram, exp::int as exp, sum(v)::bigint as coef from t group by 1, 2 having sum(v) <> 0""", names=fixtures.PD)
 def kauffman_bracket(spark, sf_dir):
-    return cube.kauffman_bracket(fixtures.pd_table(spark))
+    return cube.kauffman_bracket(_pds(spark, sf_dir))
 
 
-@register(typed([(d, low + i, c) for d, (low, cs) in JONES.items() for i, c in enumerate(cs) if c], "diagram, exp, coef", "varchar int bigint"))
+@register(typed([(d, low + i, c) for d, (low, cs) in JONES.items() for i, c in enumerate(cs) if c], "diagram, exp, coef", "varchar int bigint"), names=fixtures.PD)
 def jones_polynomial(spark, sf_dir):
-    return cube.jones_polynomial(fixtures.pd_table(spark))
+    return cube.jones_polynomial(_pds(spark, sf_dir))
 
 
 @register("""select 'T(2,' || n || ')' as diagram, ((n - 1) / 2 + k)::int as exp, (case when k = 0 then 1 when k % 2 = 0 then 1 else -1 end)::bigint as coef
-from range(3, 14, 2) a(n), range(0, 20) b(k) where k <= n and k <> 1""".replace("(n - 1) / 2", "(n - 1) // 2"))
+from range(3, 14, 2) a(n), range(0, 20) b(k) where k <= n and k <> 1""".replace("(n - 1) / 2", "(n - 1) // 2"), names=[f"T(2,{n})" for n in range(3, 14, 2)], table="customer")
 def jones_torus_batch(spark, sf_dir):
-    return cube.jones_batch(fixtures.pd_table(spark, {f"T(2,{n})": fixtures.torus_pd(n) for n in range(3, 14, 2)}))
+    return cube.jones_batch(_pds(spark, sf_dir, {f"T(2,{n})": fixtures.torus_pd(n) for n in range(3, 14, 2)}, "customer"))
 
 
 #: Published for the ladder's larger diagrams: lowest exponent and coefficients of Jones, s.
 LADDER_JONES = {"6_2": (-1, [1, -1, 2, -2, 2, -2, 1]), "7_4": (1, [1, -2, 3, -2, 3, -2, 1, -1]), "8_19": (3, [1, 0, 1, 0, 0, -1])}
 
 
-@register(typed([(d, low + i, c) for d, (low, cs) in LADDER_JONES.items() for i, c in enumerate(cs) if c], "diagram, exp, coef", "varchar int bigint"))
+@register(typed([(d, low + i, c) for d, (low, cs) in LADDER_JONES.items() for i, c in enumerate(cs) if c], "diagram, exp, coef", "varchar int bigint"), names=list(LADDER_JONES), table="customer")
 def jones_ladder(spark, sf_dir):
-    return cube.jones_batch(fixtures.pd_table(spark, {d: fixtures.LADDER[d] for d in LADDER_JONES}))
+    return cube.jones_batch(_pds(spark, sf_dir, {d: fixtures.LADDER[d] for d in LADDER_JONES}, table="customer"))
 
 
 @register(f"""with p as (select diagram, exp, sum(coef)::bigint as coef from {values([(d, low + i, c) for d, (low, cs) in (JONES | LADDER_JONES).items() if d in fixtures.LADDER for i, c in enumerate(cs)], "diagram, exp, coef")} group by 1, 2),
 u as (select diagram, 2 * exp + k as j, coef from p, (values (-1), (1)) t(k))
-select diagram, (-j)::int as j, sum(coef)::bigint as chi from u group by 1, 2 having chi <> 0""")
+select diagram, (-j)::int as j, sum(coef)::bigint as chi from u group by 1, 2 having chi <> 0""", names=list(fixtures.LADDER), table="customer")
 def khovanov_ladder_euler(spark, sf_dir):
     """The graded Euler characteristic of homology over Q is the Jones polynomial times that of a circle."""
-    h = khovanov.khovanov_batch(fixtures.pd_table(spark, fixtures.LADDER), "q")
+    h = khovanov.khovanov_batch(_pds(spark, sf_dir, fixtures.LADDER, table="customer"), "q")
     sign = F.when(F.pmod("i", F.lit(2)) == 0, 1).otherwise(-1)
     return h.groupBy("diagram", "j").agg(F.sum(sign * F.col("dim")).alias("chi")).where("chi <> 0")
 
@@ -157,19 +173,19 @@ def seifert_symmetrized(spark, sf_dir):
     return classical.symmetrized(classical.seifert_matrix(derived.order_letters(spark, sf_dir)))
 
 
-@register(typed([(d, x) for d, _, x, _, _ in BRAID_VALUES], "diagram, determinant", "varchar bigint"))
+@register(typed([(d, x) for d, _, x, _, _ in BRAID_VALUES], "diagram, determinant", "varchar bigint"), names=fixtures.BRAIDS, table="customer")
 def knot_determinant(spark, sf_dir):
-    return classical.braid_invariants(fixtures.braid_table(spark)).select("diagram", "determinant")
+    return classical.braid_invariants(_braids(spark, sf_dir)).select("diagram", "determinant")
 
 
-@register(typed([(d, x) for d, _, _, x, _ in BRAID_VALUES], "diagram, signature", "varchar int"))
+@register(typed([(d, x) for d, _, _, x, _ in BRAID_VALUES], "diagram, signature", "varchar int"), names=fixtures.BRAIDS, table="customer")
 def knot_signature(spark, sf_dir):
-    return classical.braid_invariants(fixtures.braid_table(spark)).select("diagram", "signature")
+    return classical.braid_invariants(_braids(spark, sf_dir)).select("diagram", "signature")
 
 
-@register(typed([(d, i, c) for d, _, _, _, a in BRAID_VALUES for i, c in enumerate(a)], "diagram, exp, coef", "varchar int bigint"))
+@register(typed([(d, i, c) for d, _, _, _, a in BRAID_VALUES for i, c in enumerate(a)], "diagram, exp, coef", "varchar int bigint"), names=fixtures.BRAIDS, table="customer")
 def alexander_polynomial(spark, sf_dir):
-    return classical.braid_invariants(fixtures.braid_table(spark)).select("diagram", F.posexplode("alexander").alias("exp", "coef"))
+    return classical.braid_invariants(_braids(spark, sf_dir)).select("diagram", F.posexplode("alexander").alias("exp", "coef"))
 
 
 #: Determinants by Faddeev and LeVerrier's recursion: of V + V^T, whose roots are real, so that changes of sign count the positive ones,
@@ -207,146 +223,148 @@ CHAIN_SQL = f"""chain as (select h.diagram, (ones - n_minus)::int as i, (2 * k -
   from {values(HISTOGRAM, "diagram, ones, circles, n")} h join {values([(r[0], r[5], r[6]) for r in STRUCTURE], "diagram, n_plus, n_minus")} s using (diagram), range(0, 10) r(k) where k <= circles group by 1, 2, 3)"""
 
 
-@register(f"with {CHAIN_SQL} select * from chain")
+@register(f"with {CHAIN_SQL} select * from chain", names=fixtures.PD)
 def chain_dimensions(spark, sf_dir):
-    return khovanov.chain_dimensions(fixtures.pd_table(spark))
+    return khovanov.chain_dimensions(_pds(spark, sf_dir))
 
 
-@register(f"with {CHAIN_SQL} select diagram, j, sum(case when i % 2 = 0 then dim else -dim end)::bigint as chi from chain group by 1, 2 having chi <> 0")
+@register(f"with {CHAIN_SQL} select diagram, j, sum(case when i % 2 = 0 then dim else -dim end)::bigint as chi from chain group by 1, 2 having chi <> 0", names=fixtures.PD)
 def khovanov_euler_characteristic(spark, sf_dir):
-    return khovanov.euler_characteristic(fixtures.pd_table(spark))
+    return khovanov.euler_characteristic(_pds(spark, sf_dir))
 
 
-@register(typed([("3_1", 45), ("4_1", 132), ("5_1", 615), ("5_2", 435)], "diagram, entries", "varchar bigint"))
+@register(typed([("3_1", 45), ("4_1", 132), ("5_1", 615), ("5_2", 435)], "diagram, entries", "varchar bigint"), names=fixtures.PD)
 def khovanov_boundary_f2(spark, sf_dir):
-    _, bd = khovanov.as_complex(fixtures.pd_table(spark))
+    _, bd = khovanov.as_complex(_pds(spark, sf_dir))
     return bd.where("pmod(v, 2) = 1").groupBy("cx.diagram").agg(F.count("*").alias("entries"))
 
 
-@register(typed([("not a complex", 0, 0, 0, 1)], "cx, deg, col, row, v", "varchar int bigint bigint bigint"))
+@register(typed([("not a complex", 0, 0, 0, 1)], "cx, deg, col, row, v", "varchar int bigint bigint bigint"), names=fixtures.COMPLEXES, key="cx")
 def d_squared_f2(spark, sf_dir):
-    _, bd = fixtures.complex_tables(spark)
-    _, kh = khovanov.as_complex(fixtures.pd_table(spark))
+    _, bd = _complex(spark, sf_dir, fixtures.COMPLEXES)
+    _, kh = khovanov.as_complex(_pds(spark, sf_dir))
     return algebra.d_squared(bd.union(kh.select(F.to_json("cx"), "deg", "col", "row", F.col("v").cast("long"))))
 
 
 @register("select 'x' as cx, 0 as deg, 0::bigint as col, 0::bigint as row, 0::bigint as v where false")
 def d_squared_q(spark, sf_dir):
-    _, bd = fixtures.complex_tables(spark, fixtures.COMPLEXES_Q)
-    _, kh = khovanov.as_complex(fixtures.pd_table(spark), lee=True)
+    _, bd = _complex(spark, sf_dir, fixtures.COMPLEXES_Q)
+    _, kh = khovanov.as_complex(_pds(spark, sf_dir), lee=True)
     return algebra.d_squared(bd.union(kh.select(F.to_json("cx"), "deg", "col", "row", F.col("v").cast("long"))), "q")
 
 
-@register(typed(counted(KHOVANOV), "diagram, i, j, dim", "varchar int int bigint"))
+@register(typed(counted(KHOVANOV), "diagram, i, j, dim", "varchar int int bigint"), names=fixtures.PD)
 def khovanov_f2(spark, sf_dir):
-    return khovanov.khovanov_homology(fixtures.pd_table(spark))
+    return khovanov.khovanov_homology(_pds(spark, sf_dir))
 
 
-@register(typed(counted(KHOVANOV_Q), "diagram, i, j, dim", "varchar int int bigint"))
+@register(typed(counted(KHOVANOV_Q), "diagram, i, j, dim", "varchar int int bigint"), names=fixtures.PD)
 def khovanov_q(spark, sf_dir):
-    return khovanov.khovanov_homology(fixtures.pd_table(spark), "q")
+    return khovanov.khovanov_homology(_pds(spark, sf_dir), "q")
 
 
-@register(typed(counted(KHOVANOV), "diagram, i, j, dim", "varchar int int bigint"))
+@register(typed(counted(KHOVANOV), "diagram, i, j, dim", "varchar int int bigint"), names=fixtures.PD, table="customer")
 def khovanov_f2_batch(spark, sf_dir):
-    return khovanov.khovanov_batch(fixtures.pd_table(spark))
+    return khovanov.khovanov_batch(_pds(spark, sf_dir, table="customer"))
 
 
-@register(typed(counted(KHOVANOV_Q), "diagram, i, j, dim", "varchar int int bigint"))
+@register(typed(counted(KHOVANOV_Q), "diagram, i, j, dim", "varchar int int bigint"), names=fixtures.PD, table="customer")
 def khovanov_q_batch(spark, sf_dir):
-    return khovanov.khovanov_batch(fixtures.pd_table(spark), "q")
+    return khovanov.khovanov_batch(_pds(spark, sf_dir, table="customer"), "q")
 
 
-@register(typed([(d, 0, 2) for d in [*fixtures.PD, "unknot"]], "diagram, i, dim", "varchar int bigint"))
+@register(typed([(d, 0, 2) for d in [*fixtures.PD, "unknot"]], "diagram, i, dim", "varchar int bigint"), names=[*fixtures.PD, "unknot"])
 def lee_homology(spark, sf_dir):
-    return khovanov.lee_homology(fixtures.pd_table(spark, fixtures.PD | {"unknot": []}))
+    return khovanov.lee_homology(_pds(spark, sf_dir, fixtures.PD | {"unknot": []}))
 
 
-@register(typed([("jones", 0, None, 1), ("khovanov", 0, -1, 1), ("khovanov", 0, 1, 1), ("chain", 0, -1, 1), ("chain", 0, 1, 1)], "what, i, j, n", "varchar int int bigint"))
+@register(typed([("jones", 0, None, 1), ("khovanov", 0, -1, 1), ("khovanov", 0, 1, 1), ("chain", 0, -1, 1), ("chain", 0, 1, 1)], "what, i, j, n", "varchar int int bigint"), names={"jones": 0, "khovanov": 0, "chain": 0}, key="what")
 def unknot_without_crossings(spark, sf_dir):
     """The empty code is one circle."""
-    t = fixtures.pd_table(spark, {"unknot": []})
-    none = F.lit(None).cast("int").alias("j")
-    out = cube.jones_polynomial(t).select(F.lit("jones").alias("what"), F.col("exp").alias("i"), none, F.col("coef").alias("n"))
-    out = out.union(khovanov.khovanov_homology(t).select(F.lit("khovanov"), "i", "j", "dim"))
-    return out.union(khovanov.chain_dimensions(t).select(F.lit("chain"), "i", "j", "dim"))
+    t = _pds(spark, sf_dir, {"unknot": []})
+    none, what = F.lit(None).cast("int").alias("j"), lambda x: F.regexp_replace("diagram", "unknot", x).alias("what")
+    out = cube.jones_polynomial(t).select(what("jones"), F.col("exp").alias("i"), none, F.col("coef").alias("n"))
+    out = out.union(khovanov.khovanov_homology(t).select(what("khovanov"), "i", "j", "dim"))
+    return out.union(khovanov.chain_dimensions(t).select(what("chain"), "i", "j", "dim"))
 
 
-@register(typed([("3_1", -2), ("4_1", 0), ("5_1", -4), ("5_2", -2), ("unknot", 0)], "diagram, s", "varchar int"))
+@register(typed([("3_1", -2), ("4_1", 0), ("5_1", -4), ("5_2", -2), ("unknot", 0)], "diagram, s", "varchar int"), names=[*fixtures.PD, "unknot"])
 def rasmussen_s(spark, sf_dir):
-    return khovanov.rasmussen_s(fixtures.pd_table(spark, fixtures.PD | {"unknot": []}))
+    return khovanov.rasmussen_s(_pds(spark, sf_dir, fixtures.PD | {"unknot": []}))
 
 
-@register(typed([("3_1", -2), ("4_1", 0), ("5_2", -2), ("6_2", -2), ("7_4", -2), ("8_19", -6), ("unknot", 0)], "diagram, s", "varchar int"))
+@register(typed([("3_1", -2), ("4_1", 0), ("5_2", -2), ("6_2", -2), ("7_4", -2), ("8_19", -6), ("unknot", 0)], "diagram, s", "varchar int"), names=[*fixtures.LADDER, "unknot"], table="customer")
 def rasmussen_batch(spark, sf_dir):
-    return khovanov.rasmussen_batch(fixtures.pd_table(spark, fixtures.LADDER | {"unknot": []}))
+    return khovanov.rasmussen_batch(_pds(spark, sf_dir, fixtures.LADDER | {"unknot": []}, table="customer"))
 
 
 @register("""select 'T(2,' || n || ')' as diagram, i::int as i, j::int as j, dim::bigint as dim from range(3, 12, 2) a(n),
   lateral (select 0 as i, 2 - n as j, 1 as dim union all select 0, -n, 1
     union all select -2 * k, 2 - n - 4 * k, 1 from range(1, 10) b(k) where 2 * k < n
-    union all select -2 * k - 1, -2 - n - 4 * k, 1 from range(1, 10) b(k) where 2 * k < n) c""")
+    union all select -2 * k - 1, -2 - n - 4 * k, 1 from range(1, 10) b(k) where 2 * k < n) c""", names=[f"T(2,{n})" for n in range(3, 12, 2)])
 def khovanov_torus_batch(spark, sf_dir):
     """Closed formulas of the torus knots on two strands, over Q."""
-    return khovanov.khovanov_batch(fixtures.pd_table(spark, {f"T(2,{n})": fixtures.torus_pd(n) for n in range(3, 12, 2)}), "q")
+    return khovanov.khovanov_batch(_pds(spark, sf_dir, {f"T(2,{n})": fixtures.torus_pd(n) for n in range(3, 12, 2)}), "q")
 
 
-@register("select 'T(2,' || n || ')' as diagram, (1 - n)::int as s from range(3, 14, 2) a(n)")
+@register("select 'T(2,' || n || ')' as diagram, (1 - n)::int as s from range(3, 14, 2) a(n)", names=[f"T(2,{n})" for n in range(3, 14, 2)], table="customer")
 def rasmussen_torus_batch(spark, sf_dir):
-    return khovanov.rasmussen_batch(fixtures.pd_table(spark, {f"T(2,{n})": fixtures.torus_pd(n) for n in range(3, 14, 2)}))
+    return khovanov.rasmussen_batch(_pds(spark, sf_dir, {f"T(2,{n})": fixtures.torus_pd(n) for n in range(3, 14, 2)}, "customer"))
 
 
 # --- algebra -------------------------------------------------------------------------------------------------------
 
+COMPLEXES_BEYOND = fixtures.COMPLEXES | {"beyond": ({0: 1, 1: 1}, [(0, 0, 1)])}
+COMPLEXES_OVER_Q = fixtures.COMPLEXES_Q | {k: fixtures.COMPLEXES[k] for k in ("merge", "circle")}
 RANKS = {"triangle": ({}, [(0, 0, 0, 1), (0, 0, 1, 1), (0, 1, 1, 1), (0, 1, 2, 1), (0, 2, 0, 1), (0, 2, 2, 1)]), "dependent": ({}, [(0, 0, 0, 1), (0, 0, 2, 1), (0, 1, 1, 1), (0, 1, 2, 1), (0, 2, 0, 2), (0, 2, 1, -1), (0, 2, 2, 1)]), "two": ({}, [(0, 0, 0, 2)])}
 
 
-def _rank_table(spark):
+def _rank_table(spark, sf_dir):
     rows = [(k, *e) for k, (_, es) in RANKS.items() for e in es]
-    return spark.createDataFrame(rows, "cx string, deg int, col long, row long, v long")
+    return derived.dealt(spark, sf_dir, spark.createDataFrame(rows, "cx string, deg int, col long, row long, v long"), RANKS, "cx", "customer").drop("turn")
 
 
-@register(typed([("triangle", 0, 2), ("dependent", 0, 2), ("two", 0, 0)], "cx, deg, rank", "varchar int bigint"))
+@register(typed([("triangle", 0, 2), ("dependent", 0, 2), ("two", 0, 0)], "cx, deg, rank", "varchar int bigint"), names=RANKS, key="cx", table="customer")
 def f2_rank(spark, sf_dir):
-    return algebra.ranks(_rank_table(spark), "f2")
+    return algebra.ranks(_rank_table(spark, sf_dir), "f2")
 
 
-@register(typed([("triangle", 0, 3), ("dependent", 0, 2), ("two", 0, 1)], "cx, deg, rank", "varchar int bigint"))
+@register(typed([("triangle", 0, 3), ("dependent", 0, 2), ("two", 0, 1)], "cx, deg, rank", "varchar int bigint"), names=RANKS, key="cx", table="customer")
 def rational_rank(spark, sf_dir):
-    return algebra.ranks(_rank_table(spark), "q")
+    return algebra.ranks(_rank_table(spark, sf_dir), "q")
 
 
-@register(typed([("triangle", 0, 3), ("dependent", 0, 2), ("two", 0, 1)], "cx, deg, rank", "varchar int bigint"))
+@register(typed([("triangle", 0, 3), ("dependent", 0, 2), ("two", 0, 1)], "cx, deg, rank", "varchar int bigint"), names=RANKS, key="cx", table="customer")
 def rank_mod_p(spark, sf_dir):
-    return algebra.ranks(_rank_table(spark), f"p{algebra.PRIMES[0]}")
+    return algebra.ranks(_rank_table(spark, sf_dir), f"p{algebra.PRIMES[0]}")
 
 
-@register(typed([("triangle", 0, 0, c) for c in range(3)] + [("two", 0, 0, 0), ("dependent", 0, 0, 1), ("dependent", 0, 0, 2)], "cx, deg, basis, col", "varchar int int bigint"))
+@register(typed([("triangle", 0, 0, c) for c in range(3)] + [("two", 0, 0, 0), ("dependent", 0, 0, 1), ("dependent", 0, 0, 2)], "cx, deg, basis, col", "varchar int int bigint"), names=RANKS, key="cx", table="customer")
 def f2_kernel(spark, sf_dir):
-    return algebra.kernel_basis(_rank_table(spark))
+    return algebra.kernel_basis(_rank_table(spark, sf_dir))
 
 
-@register(typed([("circle", 0, 1), ("circle", 1, 1), ("merge", 0, 1)], "cx, deg, betti", "varchar int bigint"))
+@register(typed([("circle", 0, 1), ("circle", 1, 1), ("merge", 0, 1)], "cx, deg, betti", "varchar int bigint"), names=fixtures.COMPLEXES, key="cx")
 def homology_f2(spark, sf_dir):
-    gen, bd = fixtures.complex_tables(spark)
-    return algebra.homology(gen.where("cx <> 'not a complex'"), bd.where("cx <> 'not a complex'"))
+    gen, bd = _complex(spark, sf_dir, fixtures.COMPLEXES)
+    return algebra.homology(gen.where("cx not like 'not a complex%'"), bd.where("cx not like 'not a complex%'"))
 
 
-@register(typed([(k, "the boundary's square is not zero" if k == "not a complex" else None) for k in fixtures.COMPLEXES] + [("beyond", "an entry is beyond the generators")], "cx, verdict", "varchar varchar"))
+@register(typed([(k, "the boundary's square is not zero" if k == "not a complex" else None) for k in fixtures.COMPLEXES] + [("beyond", "an entry is beyond the generators")], "cx, verdict", "varchar varchar"), names=COMPLEXES_BEYOND, key="cx")
 def complex_verdicts(spark, sf_dir):
     """Which complexes homology() refuses."""
-    return algebra.complex_verdicts(*fixtures.complex_tables(spark, fixtures.COMPLEXES | {"beyond": ({0: 1, 1: 1}, [(0, 0, 1)])}))
+    return algebra.complex_verdicts(*_complex(spark, sf_dir, COMPLEXES_BEYOND))
 
 
-@register("select 'x' as cx, 0 as deg, 0::bigint as betti where false")
+@register(typed([("circle", 0, 1), ("circle", 1, 1), ("merge", 0, 1)], "cx, deg, betti", "varchar int bigint"), names=COMPLEXES_OVER_Q, key="cx")
 def homology_q(spark, sf_dir):
-    return algebra.homology(*fixtures.complex_tables(spark, fixtures.COMPLEXES_Q), "q")
+    return algebra.homology(*_complex(spark, sf_dir, COMPLEXES_OVER_Q), "q")
 
 
-@register(typed([("circle", 0, 1), ("circle", 1, 1), ("merge", 0, 1)], "cx, deg, betti", "varchar int bigint"))
+@register(typed([("circle", 0, 1), ("circle", 1, 1), ("merge", 0, 1)], "cx, deg, betti", "varchar int bigint"), names=fixtures.COMPLEXES, key="cx")
 def gaussian_homology(spark, sf_dir):
-    gen, bd = fixtures.complex_tables(spark)
-    return algebra.gaussian_homology(gen.where("cx <> 'not a complex'"), bd.where("cx <> 'not a complex'"))
+    gen, bd = _complex(spark, sf_dir, fixtures.COMPLEXES)
+    return algebra.gaussian_homology(gen.where("cx not like 'not a complex%'"), bd.where("cx not like 'not a complex%'"))
 
 
 @register(derived.TRADE_SQL)
@@ -373,30 +391,39 @@ def trade_matrix_ranks(spark, sf_dir):
 # --- grids ---------------------------------------------------------------------------------------------------------
 
 
-def _grids(spark, *names):
-    return fixtures.grid_table(spark, {k: v for k, v in fixtures.GRIDS.items() if k in names} if names else None)
+GRIDS_AND_NONE = fixtures.GRIDS | {"twice": ([0, 0], [1, 1]), "shared": ([0, 1], [0, 1])}
+
 
+def _grids(spark, sf_dir, *names):
+    some = {k: v for k, v in fixtures.GRIDS.items() if not names or k in names}
+    return derived.turned_grids(derived.dealt(spark, sf_dir, fixtures.grid_table(spark, some), some))
 
-@register(typed([(r, i, v) for r, p in enumerate(permutations(range(4))) for i, v in enumerate(p)], "rank, place, value", "bigint int int"))
+
+def _ranked_parts(spark, sf_dir):
+    """A permutation of 4, 5 or 6 for each part, by rank."""
+    n = F.lit(4) + (F.col("p_partkey") % 3).cast("int")
+    return derived.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("diagram"), n.alias("n"), (F.col("p_partkey") * 7919 % F.factorial(n)).alias("rank"))
+
+
+#: Permutations of 4, 5 and 6 in lexicographic order.
+PERMS_SQL = """perms as (select n, []::int[] as l from range(4, 7) t(n) union all select n, list_append(l, v::int) from perms, range(6) r(v) where len(l) < n and v < n and not list_contains(l, v::int)),
+  numbered as (select n, l, row_number() over (partition by n order by l) - 1 as rank from perms where len(l) = n),
+  p as (select p_partkey as diagram, 4 + p_partkey % 3 as n, p_partkey * 7919 % factorial((4 + p_partkey % 3)::int)::bigint as rank from part)"""
+
+
+@register(f"with recursive {PERMS_SQL} select diagram, (i - 1)::int as place, l[i] as value from p join numbered using (n, rank), range(1, 7) r(i) where i <= n")
 def permutation_unrank(spark, sf_dir):
-    """In array expressions: each digit of the factorial number system takes one of what is left."""
-    step = lambda a, i: F.struct(F.filter(a["pool"], lambda v: v != F.get(a["pool"], F.floor(a["rest"] / F.factorial(3 - i)).cast("int"))).alias("pool"), F.concat(a["out"], F.array(F.get(a["pool"], F.floor(a["rest"] / F.factorial(3 - i)).cast("int")))).alias("out"), (a["rest"] % F.factorial(3 - i)).alias("rest"))
-    start = F.struct(F.sequence(F.lit(0), F.lit(3)).alias("pool"), F.array().cast("array<int>").alias("out"), F.col("id").alias("rest"))
-    perm = F.aggregate(F.sequence(F.lit(0), F.lit(3)), start, step, lambda a: a["out"])
-    return spark.range(24).select(F.col("id").alias("rank"), F.posexplode(perm).alias("place", "value"))
+    return grid.states_of(_ranked_parts(spark, sf_dir)).select("diagram", F.posexplode("state").alias("place", "value"))
 
 
-@register(f"select rank::bigint as rank from {values([(r,) for r in range(24)], 'rank')}")
+@register(f"with recursive {PERMS_SQL} select diagram, n::int as n, rank from p")
 def permutation_rank(spark, sf_dir):
-    """Each entry counts the smaller ones after it."""
-    perms = spark.createDataFrame([(list(p),) for p in permutations(range(4))], "p array<int>")
-    digit = F.transform("p", lambda v, i: F.size(F.filter(F.slice("p", i + 1, F.lit(4)), lambda w: w < v)) * F.factorial(3 - i))
-    return perms.select(F.aggregate(digit, F.lit(0).cast("long"), lambda a, x: a + x).alias("rank"))
+    return grid.ranks_of(grid.states_of(_ranked_parts(spark, sf_dir))).select("diagram", "n", "rank")
 
 
-@register(typed(STAIRCASE4, "diagram, m, a, n", "varchar int int bigint"))
+@register(typed(STAIRCASE4, "diagram, m, a, n", "varchar int int bigint"), names=["staircase4"])
 def grading_histogram(spark, sf_dir):
-    return grid.grading_histogram(_grids(spark, "staircase4"))
+    return grid.grading_histogram(_grids(spark, sf_dir, "staircase4"))
 
 
 #: Homology of a grid of n rows is HFK by (1 + q^-1 t^-1)^(n - 1), and its Euler characteristic the Alexander polynomial by (1 - t^-1)^(n - 1).
@@ -404,14 +431,14 @@ GRID_SQL = f"""h as {values(HFK, "diagram, m, a, rank")}, n as {values([(k, len(
 p as (select diagram, m - k as m, a - k as a, sum(rank * (factorial((n - 1)::int) / (factorial(k::int) * factorial((n - 1 - k)::int)))) as dim from h join n using (diagram), range(0, 10) r(k) where k < n group by 1, 2, 3)"""
 
 
-@register(f"with {GRID_SQL} select diagram, a::int as a, sum(case when m % 2 = 0 then dim else -dim end)::bigint as chi from p group by 1, 2 having chi <> 0")
+@register(f"with {GRID_SQL} select diagram, a::int as a, sum(case when m % 2 = 0 then dim else -dim end)::bigint as chi from p group by 1, 2 having chi <> 0", names=fixtures.GRIDS)
 def alexander_euler(spark, sf_dir):
-    return grid.alexander_euler(_grids(spark))
+    return grid.alexander_euler(_grids(spark, sf_dir))
 
 
-@register(typed([("staircase3", 3, 1, 1), ("staircase4", 32, 1, 1), ("trefoil", 150, 1, 1), ("trefoil mirror", 150, 1, 1), ("figure-eight", 1380, 1, 1)], "diagram, entries, drop_m, keeps_a", "varchar bigint int int"))
+@register(typed([("staircase3", 3, 1, 1), ("staircase4", 32, 1, 1), ("trefoil", 150, 1, 1), ("trefoil mirror", 150, 1, 1), ("figure-eight", 1380, 1, 1)], "diagram, entries, drop_m, keeps_a", "varchar bigint int int"), names=fixtures.GRIDS)
 def grid_differential(spark, sf_dir):
-    b = grid.grid_boundary(_grids(spark))
+    b = grid.grid_boundary(_grids(spark, sf_dir))
     return b.groupBy("diagram").agg(F.count("*").alias("entries"), F.max(F.col("m") - F.col("m_to")).alias("drop_m"), F.min((F.col("a") == F.col("a_to")).cast("int")).alias("keeps_a"))
 
 
@@ -432,66 +459,72 @@ empty as (select *, [case when k = least(i, j) then l[greatest(i, j)] when k = g
 odd as (select diagram, m, a, rank, y from empty group by all having count(*) % 2 = 1)
 select e.diagram, e.m::int as m, e.a::int as a, e.rank, t.rank as target, t.m::int as m_to, t.a::int as a_to from odd e join states t on t.diagram = e.diagram and t.l = e.y""")
 def grid_differential_filtered(spark, sf_dir):
-    return grid.grid_boundary(_grids(spark), "filtered")
+    return grid.grid_boundary(fixtures.grid_table(spark), "filtered")
 
 
-@register(f"with {GRID_SQL} select diagram, m::int as m, a::int as a, dim::bigint as dim from p")
+@register(f"with {GRID_SQL} select diagram, m::int as m, a::int as a, dim::bigint as dim from p", names=fixtures.GRIDS)
 def grid_poincare(spark, sf_dir):
-    return grid.grid_poincare(_grids(spark))
+    return grid.grid_poincare(_grids(spark, sf_dir))
 
 
-@register(typed(HFK, "diagram, m, a, rank", "varchar int int bigint"))
+@register(typed(HFK, "diagram, m, a, rank", "varchar int int bigint"), names=fixtures.GRIDS)
 def hfk_hat(spark, sf_dir):
-    return grid.hfk_hat(_grids(spark))
+    return grid.hfk_hat(_grids(spark, sf_dir))
 
 
-@register(typed([("staircase3", 0), ("staircase4", 0), ("trefoil", 1), ("trefoil mirror", 1), ("figure-eight", 1)], "diagram, genus", "varchar int"))
+@register(typed([("staircase3", 0), ("staircase4", 0), ("trefoil", 1), ("trefoil mirror", 1), ("figure-eight", 1)], "diagram, genus", "varchar int"), names=fixtures.GRIDS)
 def seifert_genus(spark, sf_dir):
-    return grid.seifert_genus(_grids(spark))
+    return grid.seifert_genus(_grids(spark, sf_dir))
 
 
-@register(typed([("staircase3", 0), ("staircase4", 0), ("trefoil", 1), ("trefoil mirror", -1), ("figure-eight", 0)], "diagram, tau", "varchar int"))
+@register(typed([("staircase3", 0), ("staircase4", 0), ("trefoil", 1), ("trefoil mirror", -1), ("figure-eight", 0)], "diagram, tau", "varchar int"), names=fixtures.GRIDS)
 def tau(spark, sf_dir):
-    return grid.tau(_grids(spark))
+    return grid.tau(_grids(spark, sf_dir))
 
 
-@register(typed([(k, None) for k in fixtures.GRIDS] + [("twice", "not permutations"), ("shared", "two markers in one cell")], "diagram, verdict", "varchar varchar"))
+@register(typed([(k, None) for k in fixtures.GRIDS] + [("twice", "not permutations"), ("shared", "two markers in one cell")], "diagram, verdict", "varchar varchar"), names=GRIDS_AND_NONE, table="customer")
 def grid_validate(spark, sf_dir):
-    g = fixtures.grid_table(spark, fixtures.GRIDS | {"twice": ([0, 0], [1, 1]), "shared": ([0, 1], [0, 1])})
+    g = derived.dealt(spark, sf_dir, fixtures.grid_table(spark, GRIDS_AND_NONE), GRIDS_AND_NONE, table="customer")
     return g.select("diagram", grid.grid_verdict(F.col("n"), F.col("o"), F.col("x")).alias("verdict"))
 
 
 # --- text ----------------------------------------------------------------------------------------------------------
 
 
-@register(typed([("K11n34", "11n_34"), ("11a12", "11a_12"), ("10_124", "10_124"), (" 3_1 ", "3_1"), ("K12a1", "12a_1"), ("11n_34", "11n_34"), ("", "")], "raw, name", "varchar varchar"))
+#: What stands before a part's number, and in the normalised name.
+NAME_PARTS = [("K11n", "11n_"), ("11a", "11a_"), ("10_", "10_"), (" 3_", "3_"), ("K12a", "12a_"), ("11n_", "11n_"), ("", "")]
+
+
+@register(f"select raw || p_partkey || ' ' as raw, name || p_partkey as name from part join (values {', '.join(f"('{r}', '{n}', {i})" for i, (r, n) in enumerate(NAME_PARTS))}) v(raw, name, i) on p_partkey % {len(NAME_PARTS)} = i")
 def normalize_names(spark, sf_dir):
-    return spark.createDataFrame([(n,) for n in fixtures.NAMES], "raw string").select("raw", text.normalize_name(F.col("raw")).alias("name"))
+    front = F.get(F.array(*(F.lit(r) for r, _ in NAME_PARTS)), F.col("p_partkey") % len(NAME_PARTS))
+    raw = derived.read(spark, sf_dir, "part").select(F.concat(front, F.col("p_partkey"), F.lit(" ")).alias("raw"))
+    return raw.select("raw", text.normalize_name(F.col("raw")).alias("name"))
 
 
-@register(typed([("3_1 mirror", 0, 1, 1), ("3_1 mirror", 0, 3, 1), ("3_1 mirror", 2, 5, 1), ("3_1 mirror", 3, 9, 1), ("3_1 mirror", 3, 7, 1), ("3_1 mirror", 2, 7, 1), ("unknot", 0, -1, 1), ("unknot", 0, 1, 1)], "diagram, i, j, dim", "varchar int int bigint"))
+@register(typed([("3_1 mirror", 0, 1, 1), ("3_1 mirror", 0, 3, 1), ("3_1 mirror", 2, 5, 1), ("3_1 mirror", 3, 9, 1), ("3_1 mirror", 3, 7, 1), ("3_1 mirror", 2, 7, 1), ("unknot", 0, -1, 1), ("unknot", 0, 1, 1)], "diagram, i, j, dim", "varchar int int bigint"), names=fixtures.KH_VECTORS, table="customer")
 def uct_mod2(spark, sf_dir):
-    return text.khovanov_mod2(text.khovanov_rows(fixtures.text_table(spark, fixtures.KH_VECTORS)))
+    return text.khovanov_mod2(text.khovanov_rows(derived.dealt(spark, sf_dir, fixtures.text_table(spark, fixtures.KH_VECTORS), fixtures.KH_VECTORS, table="customer").drop("turn")))
 
 
-@register(typed([("unknot", 0, 1, 1), ("unknot", 0, -1, 1)], "diagram, i, j, dim", "varchar int int bigint"))
+@register(typed([("unknot", 0, 1, 1), ("unknot", 0, -1, 1)], "diagram, i, j, dim", "varchar int int bigint"), names=["unknot"], table="customer")
 def mirror_table(spark, sf_dir):
-    return text.mirrored(text.khovanov_mod2(text.khovanov_rows(fixtures.text_table(spark, {"unknot": fixtures.KH_VECTORS["unknot"]}))))
+    return text.mirrored(text.khovanov_mod2(text.khovanov_rows(derived.dealt(spark, sf_dir, fixtures.text_table(spark, {"unknot": fixtures.KH_VECTORS["unknot"]}), ["unknot"], table="customer").drop("turn"))))
 
 
-@register(typed([("trefoil", 1, 1), ("trefoil", 3, 1), ("trefoil", 4, -1), ("figure-eight", -2, 1), ("figure-eight", -1, -1), ("figure-eight", 0, 1), ("figure-eight", 1, -1), ("figure-eight", 2, 1), ("5_2", 1, 1), ("5_2", 2, -1), ("5_2", 3, 2), ("5_2", 4, -1), ("5_2", 5, 1), ("5_2", 6, -1)], "diagram, exp, coef", "varchar int bigint"))
+@register(typed([("trefoil", 1, 1), ("trefoil", 3, 1), ("trefoil", 4, -1), ("figure-eight", -2, 1), ("figure-eight", -1, -1), ("figure-eight", 0, 1), ("figure-eight", 1, -1), ("figure-eight", 2, 1), ("5_2", 1, 1), ("5_2", 2, -1), ("5_2", 3, 2), ("5_2", 4, -1), ("5_2", 5, 1), ("5_2", 6, -1)], "diagram, exp, coef", "varchar int bigint"), names=fixtures.LAURENT, table="customer")
 def laurent_parse(spark, sf_dir):
-    return text.laurent_terms(fixtures.text_table(spark, fixtures.LAURENT))
+    return text.laurent_terms(derived.dealt(spark, sf_dir, fixtures.text_table(spark, fixtures.LAURENT), fixtures.LAURENT, table="customer").drop("turn"))
 
 
-@register(typed([("3_1", 0, 1, 1), ("3_1", 0, 3, 1), ("3_1", 2, 5, 1), ("3_1", 3, 9, 1), ("torsion", 3, 7, 1), ("multiple", -1, -3, 2), ("multiple", 0, -1, 1)], "diagram, i, j, dim", "varchar int int bigint"))
+@register(typed([("3_1", 0, 1, 1), ("3_1", 0, 3, 1), ("3_1", 2, 5, 1), ("3_1", 3, 9, 1), ("torsion", 3, 7, 1), ("multiple", -1, -3, 2), ("multiple", 0, -1, 1)], "diagram, i, j, dim", "varchar int int bigint"), names=fixtures.KH_POLYNOMIALS, table="customer")
 def khovanov_poly_parse(spark, sf_dir):
-    return text.khovanov_terms(fixtures.text_table(spark, fixtures.KH_POLYNOMIALS))
+    return text.khovanov_terms(derived.dealt(spark, sf_dir, fixtures.text_table(spark, fixtures.KH_POLYNOMIALS), fixtures.KH_POLYNOMIALS, table="customer").drop("turn"))
 
 
-@register(typed([("a", c) for c in (0, 1, 2, 3, 8)] + [("b", 5)] + [("c", c) for c in (0, 1, 4, 5)], "diagram, core", "varchar int"))
+@register(typed([("a", c) for c in (0, 1, 2, 3, 8)] + [("b", 5)] + [("c", c) for c in (0, 1, 4, 5)], "diagram, core", "varchar int"), names=fixtures.CPULISTS, table="customer")
 def cpulist_parse(spark, sf_dir):
-    return fixtures.text_table(spark, fixtures.CPULISTS).select("diagram", F.explode(text.cpulist(F.col("text"))).alias("core"))
+    return derived.dealt(spark, sf_dir, fixtures.text_table(spark, fixtures.CPULISTS), fixtures.CPULISTS, table="customer").drop("turn").select("diagram", F.explode(text.cpulist(F.col("text"))).alias("core"))
 
 
 @register(typed([("b", 3), ("a", 4)], "name, n", "varchar int"))
@@ -653,27 +686,27 @@ PRINTED = {
 FIELDS = [(d, line.split(" ", 1)[0], line.split(" ", 1)[1]) for d, t in PRINTED.items() for line in t.splitlines() if " " in line and "9: 9}" not in line]
 
 
-def _printed(spark, tag=None):
-    f = agreement.tagged_fields(fixtures.text_table(spark, PRINTED))
+def _printed(spark, sf_dir, tag=None, names=PRINTED):
+    f = agreement.tagged_fields(derived.dealt(spark, sf_dir, fixtures.text_table(spark, PRINTED), names).drop("turn"))
     return f.where(F.col("tag") == tag) if tag else f
 
 
-@register(typed(FIELDS, "diagram, tag, value", "varchar varchar varchar"))
+@register(typed(FIELDS, "diagram, tag, value", "varchar varchar varchar"), names=PRINTED)
 def tagged_fields(spark, sf_dir):
-    return _printed(spark)
+    return _printed(spark, sf_dir)
 
 
-@register(typed([("3_1", -3, -9, 1, 0), ("3_1", -2, -7, 0, 1), ("3_1", -2, -5, 1, 0), ("3_1", 0, -3, 1, 0), ("3_1", 0, -1, 1, 0), ("4_1", 2, 5, 1, 1)], "diagram, i, j, free, even", "varchar int int int int"))
+@register(typed([("3_1", -3, -9, 1, 0), ("3_1", -2, -7, 0, 1), ("3_1", -2, -5, 1, 0), ("3_1", 0, -3, 1, 0), ("3_1", 0, -1, 1, 0), ("4_1", 2, 5, 1, 1)], "diagram, i, j, free, even", "varchar int int int int"), names=PRINTED)
 def cell_fields(spark, sf_dir):
-    return agreement.cell_fields(_printed(spark, "KHOVANOV"))
+    return agreement.cell_fields(_printed(spark, sf_dir, "KHOVANOV"))
 
 
-@register(typed([("3_1", "pass", "pass"), ("4_1", "pass", "pass"), ("5_1", "mirror", "mismatch"), ("5_2", "mismatch", None)], "diagram, jones, alexander", "varchar varchar varchar"))
+@register(typed([("3_1", "pass", "pass"), ("4_1", "pass", "pass"), ("5_1", "mirror", "mismatch"), ("5_2", "mismatch", None)], "diagram, jones, alexander", "varchar varchar varchar"), names=fixtures.PD)
 def printed_verdicts(spark, sf_dir):
     """Polynomials as this library has them against printed ones; 5_2 isn't printed, and has no braid here."""
-    jones = agreement.jones_verdicts(cube.jones_batch(fixtures.pd_table(spark)), agreement.polynomial_fields(_printed(spark, "JONES")))
-    own = classical.braid_invariants(fixtures.braid_table(spark).where("diagram in ('3_1', '4_1', '5_1')")).select("diagram", F.posexplode("alexander").alias("exp", "coef"))
-    alexander = agreement.alexander_verdicts(own, agreement.polynomial_fields(_printed(spark, "ALEXANDER")))
+    jones = agreement.jones_verdicts(cube.jones_batch(_pds(spark, sf_dir)), agreement.polynomial_fields(_printed(spark, sf_dir, "JONES", fixtures.PD)))
+    own = classical.braid_invariants(derived.turned_braids(derived.dealt(spark, sf_dir, fixtures.braid_table(spark).where("diagram in ('3_1', '4_1', '5_1')"), fixtures.PD))).select("diagram", F.posexplode("alexander").alias("exp", "coef"))
+    alexander = agreement.alexander_verdicts(own, agreement.polynomial_fields(_printed(spark, sf_dir, "ALEXANDER", fixtures.PD)))
     return jones.withColumnRenamed("verdict", "jones").join(alexander.withColumnRenamed("verdict", "alexander"), "diagram", "left")
 
 

@@ -111,3 +111,51 @@ def part_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PART_MATRICES_SQL = "select p_partkey as cx, p_partkey as seed, 10 + p_size % 31 as cols, 20 + p_size % 41 as rows, (ascii(p_brand[-1:]) % 8 + 1) / 16.0 as density from part"
+
+
+# --- published objects dealt to the tables' rows -------------------------------------------------------------------
+
+KEYS = {"supplier": "s_suppkey", "customer": "c_custkey"}
+
+
+def numbered(names) -> dict[str, int]:
+    """Names with the numbers that rows are dealt by: their own, or 0, 1, ... in order."""
+    return names if isinstance(names, dict) and all(isinstance(i, int) for i in names.values()) else {n: i for i, n in enumerate(names)}
+
+
+def dealt(spark: SparkSession, sf_dir: str, rows: DataFrame, names, key: str = "diagram", table: str = "supplier") -> DataFrame:
+    """A copy of an object's rows for each row of the table that it falls to by the table's key: named object/key, with turn, the table's key."""
+    number = numbered(names)
+    each = spark.createDataFrame(list(number.items()), "__name string, __i int")
+    ids = read(spark, sf_dir, table).select(F.col(KEYS[table]).alias("turn")).withColumn("__i", (F.col("turn") % (max(number.values()) + 1)).cast("int"))
+    out = ids.join(F.broadcast(each), "__i").join(F.broadcast(rows), F.col("__name") == F.col(key))
+    return out.select(*(F.concat(key, F.lit("/"), "turn").alias(c) if c == key else F.col(c) for c in rows.columns), "turn")
+
+
+def dealt_sql(sql: str, names, key: str = "diagram", table: str = "supplier") -> str:
+    """What sql says of the objects, for each row of the table that they are dealt to."""
+    number = numbered(names)
+    rows = ", ".join(f"('{n}', {i})" for n, i in number.items())
+    return f"""with given as ({sql}) select given.* replace (given.{key} || '/' || {KEYS[table]} as {key})
+  from given join (values {rows}) deal(name, i) on deal.name = given.{key} join {table} on {KEYS[table]} % {max(number.values()) + 1} = deal.i"""
+
+
+def _rotated(a: str, by: str) -> str:
+    return f"concat(slice({a}, 1 + cast({by} as int), size({a})), slice({a}, 1, cast({by} as int)))"
+
+
+def turned_diagrams(dealt_pds: DataFrame) -> DataFrame:
+    """(diagram, pd): the same knot, its crossings listed from another one on, its arcs numbered from another one on."""
+    moved = F.expr("transform(pd, c -> transform(c, v -> cast((v - 1 + turn) % (2 * size(pd)) + 1 as int)))")
+    return dealt_pds.withColumn("pd", F.when(F.size("pd") > 0, moved).otherwise(F.col("pd"))).select("diagram", F.when(F.size("pd") > 0, F.expr(_rotated("pd", "turn % size(pd)"))).otherwise(F.col("pd")).alias("pd"))
+
+
+def turned_braids(dealt_braids: DataFrame) -> DataFrame:
+    """(diagram, braid): a conjugate, the word from another letter on."""
+    return dealt_braids.select("diagram", F.expr(_rotated("braid", "turn % size(braid)")).alias("braid"))
+
+
+def turned_grids(dealt_grids: DataFrame) -> DataFrame:
+    """(diagram, n, o, x): the same knot, the torus cut open at another row and column."""
+    columns = lambda c: f"transform({c}, v -> cast((v + turn div 3) % n as int))"
+    return dealt_grids.select("diagram", "n", *(F.expr(_rotated(columns(c), "turn % n")).alias(c) for c in ("o", "x")))
