@@ -37,6 +37,9 @@ def checked(pds: DataFrame) -> DataFrame:
     pd, name = F.col("pd"), F.coalesce(F.col("diagram").cast("string"), F.lit("null"))
     one = from_one(pd)
     along = F.forall(one, lambda c: F.get(c, 2) == F.get(c, 0) % (2 * F.size(one)) + 1) & F.forall(crossing_signs(one), lambda s: s.isNotNull())
+    # Each arc enters one crossing, once; of two arcs either may.
+    enter = F.flatten(F.zip_with(one, crossing_signs(one), lambda c, s: F.array(F.get(c, 0), F.when(s > 0, F.get(c, 1)).otherwise(F.get(c, 3)))))
+    along = along & ((F.size(one) == 1) | (F.size(F.array_distinct(enter)) == 2 * F.size(one)))
     wrong = F.when(pd.isNull(), "null").when(F.size(pd) > 0, F.coalesce(pd_verdict(pd), F.when(~along, "labels do not follow one strand")))
     fine = F.when(wrong.isNull(), F.when(F.size(pd) > 0, one).otherwise(pd)).otherwise(F.raise_error(F.concat(F.lit("diagram "), name, F.lit(": "), wrong)).cast("array<array<int>>").cast(pds.schema["pd"].dataType))
     return pds.withColumn("pd", fine)

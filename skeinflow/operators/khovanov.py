@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinflow.operators.algebra import PRIMES, dense_rank, f2_pivots, homology, prefix_ranks, rank_by_primes
-from skeinflow.operators.cube import cube_states, labels_of
+from skeinflow.operators.cube import cube_states, labels_of, state_histogram
 from skeinflow.operators.diagrams import seifert_structure
 
 
@@ -25,6 +25,11 @@ def chain_dimensions(pds: DataFrame) -> DataFrame:
     return s.groupBy("diagram", i.alias("i"), j.alias("j")).agg(F.sum(F.col("n") * binomial).alias("dim"))
 
 
+def unreduced_size(pds: DataFrame) -> DataFrame:
+    """(diagram, size): generators of the whole complex, two to the circles summed over states; no generator is made."""
+    return state_histogram(pds).groupBy("diagram").agg(F.sum(F.col("n") * F.expr("shiftleft(1L, circles)")).alias("size"))
+
+
 def euler_characteristic(pds: DataFrame) -> DataFrame:
     """(diagram, j, chi): the graded Euler characteristic of the chain groups, the unnormalised Jones polynomial."""
     sign = F.when(F.pmod("i", F.lit(2)) == 0, 1).otherwise(-1)
@@ -89,7 +94,7 @@ def as_complex(pds: DataFrame, lee: bool = False) -> tuple[DataFrame, DataFrame]
     return placed, bd.select("cx", "deg", "col", "row", "v", "q_col", "q_row")
 
 
-def khovanov_homology(pds: DataFrame, field: str = "f2", verify: bool = False) -> DataFrame:
+def khovanov_homology(pds: DataFrame, field: str = "f2", verify: bool = True) -> DataFrame:
     """(diagram, i, j, dim) over F2 ("f2") or the rationals ("q"); a diagram without crossings is the unknot. verify checks the boundary's square."""
     some = pds.where(F.size("pd") > 0)
     placed, bd = as_complex(some)
@@ -205,11 +210,34 @@ def complex_of(code: list[list[int]], lee: bool = False, degrees: tuple[int, int
     return i, j, np.stack([np.concatenate(e) for e in (sources, targets, signs)])
 
 
-def khovanov_of(code: list[list[int]], field: str = "f2") -> dict[tuple[int, int], int]:
-    """{(i, j): dimension}: every quantum grading by itself, F2 by bit masks, Q by what F2 leaves open and the largest rank modulo three primes."""
+def check_square(src: np.ndarray, dst: np.ndarray, sign: np.ndarray, n: int) -> None:
+    """Raise unless the signed paths of two edges between any two of n generators cancel.
+
+    Over the integers and so over every field: a random weight for each target makes the sum over paths a number for
+    each source, modulo a prime below 2**31; one that isn't zero tells of an entry, and a nonzero entry is missed with a
+    chance below 2**-30.
+    """
+    weight = np.random.default_rng().integers(1, PRIMES[0], n)
+    for _ in range(2):
+        # The boundary's transpose, twice.
+        term = sign * weight[dst]
+        weight = np.zeros(n, np.int64)
+        np.add.at(weight, src, term)
+        weight %= PRIMES[0]
+    if weight.any():
+        raise ArithmeticError("the boundary's square is not zero: not a complex")
+
+
+def khovanov_of(code: list[list[int]], field: str = "f2", verify: bool = True) -> dict[tuple[int, int], int]:
+    """{(i, j): dimension}: every quantum grading by itself, F2 by bit masks, Q by what F2 leaves open and the largest rank modulo three primes.
+
+    verify checks the boundary's square first.
+    """
     if not code:
         return {(0, 1): 1, (0, -1): 1}
     i, j, (src, dst, sign) = complex_of(code)
+    if verify:
+        check_square(src, dst, sign, len(i))
     key = i * 4096 + j
     o = np.argsort(key, kind="stable")
     cells, start, count = np.unique(key[o], return_index=True, return_counts=True)
@@ -292,12 +320,12 @@ def rasmussen_batch(pds: DataFrame) -> DataFrame:
     return pds.select("diagram", "pd").mapInPandas(work, pds.select("diagram", F.lit(0).alias("s")).schema)
 
 
-def khovanov_batch(pds: DataFrame, field: str = "f2") -> DataFrame:
+def khovanov_batch(pds: DataFrame, field: str = "f2", verify: bool = True) -> DataFrame:
     """(diagram, i, j, dim), as khovanov_homology(), without a shuffle: for many diagrams of a dozen crossings or fewer."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(d, *c, n) for d, code in zip(batch["diagram"], batch["pd"], strict=True) for c, n in khovanov_of([list(map(int, x)) for x in code], field).items()]
+            rows = [(d, *c, n) for d, code in zip(batch["diagram"], batch["pd"], strict=True) for c, n in khovanov_of([list(map(int, x)) for x in code], field, verify).items()]
             yield pd.DataFrame(rows, columns=["diagram", "i", "j", "dim"])
 
     return pds.select("diagram", "pd").mapInPandas(work, pds.select("diagram", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).cast("long").alias("dim")).schema)

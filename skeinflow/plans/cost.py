@@ -65,3 +65,8 @@ def grading_peaks(histogram: DataFrame) -> DataFrame:
 def batch_bytes(histogram: DataFrame) -> DataFrame:
     """(diagram, all_bytes, floor_bytes): every grading at once, and the largest alone."""
     return grading_peaks(histogram).groupBy("diagram").agg(F.sum("peak_bytes").alias("all_bytes"), F.max("peak_bytes").alias("floor_bytes"))
+
+
+def record_bytes(n):
+    """Bytes that a record of n states is reckoned at."""
+    return (F.lit(256) + 128 * n).cast("long")

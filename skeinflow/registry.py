@@ -527,14 +527,6 @@ def cpulist_parse(spark, sf_dir):
     return derived.dealt(spark, sf_dir, fixtures.text_table(spark, fixtures.CPULISTS), fixtures.CPULISTS, table="customer").drop("turn").select("diagram", F.explode(text.cpulist(F.col("text"))).alias("core"))
 
 
-@register(typed([("b", 3), ("a", 4)], "name, n", "varchar int"))
-def floer_roster_filter(spark, sf_dir):
-    rows = [("a", "[[1,1],[1,2],[2,2],[2,3],[3,3],[3,4],[4,4],[4,1]]", "x", "0"), ("b", "[[1,1],[1,2],[2,2],[2,3],[3,3],[3,1]]", "x", "0"), ("c", "", "x", "0"), ("d", "[[1,1],[1,2]]", "does not exist", "0")]
-    t = spark.createDataFrame(rows, "name string, grid string, hfk string, tau string")
-    keep = t.where(text.blank_as_null(F.col("grid")).isNotNull() & text.blank_as_null(F.col("hfk")).isNotNull() & text.blank_as_null(F.col("tau")).isNotNull())
-    return keep.select("name", F.expr("size(from_json(grid, 'array<array<int>>')) div 2").cast("int").alias("n")).where("n <= 8").orderBy("n", "name")
-
-
 # --- plans ---------------------------------------------------------------------------------------------------------
 
 NATION_GEN = "select c_mktsegment as cx, (c_nationkey % 4)::int as deg, count(*) as dim from customer group by 1, 2"
@@ -647,11 +639,20 @@ def route_execution(spark, sf_dir):
     return t.withColumn("route", placement.execution_route(F.col("vram"), F.lit(100), F.col("seconds"), F.lit(1.0)))
 
 
-@register(typed([("a", "pass"), ("b", "mirror"), ("c", "mismatch")], "diagram, verdict", "varchar varchar"))
+#: By diagram what the library and another tool have, as (i, j, dim): equal, mirrored, different, and missing on either side.
+TWO_TABLES = {
+    "same": ([(1, 2, 1), (0, 0, 3)], [(1, 2, 1), (0, 0, 2), (0, 0, 1)]),
+    "mirrored": ([(1, 2, 1), (0, 1, 1)], [(-1, -2, 1), (0, -1, 1)]),
+    "different": ([(1, 2, 1)], [(1, 3, 1)]),
+    "here only": ([(1, 2, 1)], []),
+    "there only": ([], [(1, 2, 1)]),
+}
+
+
+@register(typed([("same", "pass"), ("mirrored", "mirror"), ("different", "mismatch"), ("here only", "mismatch"), ("there only", "mismatch")], "diagram, verdict", "varchar varchar"), names=TWO_TABLES, table="customer")
 def verdict(spark, sf_dir):
-    s = "diagram string, i int, j int, dim long"
-    native = spark.createDataFrame([("a", 1, 2, 1), ("b", 1, 2, 1), ("b", 0, 1, 1), ("c", 1, 2, 1)], s)
-    return contract.verdicts(native, spark.createDataFrame([("a", 1, 2, 1), ("b", -1, -2, 1), ("b", 0, -1, 1), ("c", 1, 3, 1)], s))
+    sides = (spark.createDataFrame([(d, *c) for d, both in TWO_TABLES.items() for c in both[k]], "diagram string, i int, j int, dim long") for k in (0, 1))
+    return contract.verdicts(*(derived.dealt(spark, sf_dir, s, TWO_TABLES, table="customer").drop("turn") for s in sides))
 
 
 @register("""select event_type as tool, 'x' as invariant,
@@ -668,13 +669,6 @@ def median_timing(spark, sf_dir):
     return contract.median_ms(e).withColumn("ms", F.round("ms", 6))
 
 
-@register(typed([("3_1", "jones_polynomial", "[[1,1],[3,1],[4,-1]]", "spark", "pass", True), ("4_1", "jones_polynomial", "[[-2,1],[-1,-1],[0,1],[1,-1],[2,1]]", "spark", "not_available", False)], "diagram, invariant, value, method, known_answer_check, validated", "varchar varchar varchar varchar varchar boolean"))
-def compute_contract(spark, sf_dir):
-    known = spark.createDataFrame([("3_1", "[[1,1],[3,1],[4,-1]]")], "diagram string, value string")
-    return contract.compute(fixtures.pd_table(spark).where("diagram in ('3_1', '4_1')"), "jones_polynomial", known)
-
-
-
 # --- agreement with other tools ------------------------------------------------------------------------------------
 
 #: What tools print, made up for the fixtures' published values.

@@ -45,3 +45,25 @@ def ewma_stream(log: DataFrame, alpha: float = ALPHA) -> DataFrame:
         yield pd.DataFrame({"placement": [key[0]], "rate": [rate], "n": [n]})
 
     return log.groupBy("placement").applyInPandasWithState(update, "placement string, rate double, n long", "rate double, n long", "update", GroupStateTimeout.NoTimeout)
+
+
+def predicted_times(jobs: DataFrame, rates: DataFrame) -> DataFrame:
+    """jobs (placement, cost) with seconds: cost times the placement's rate; null where nothing was observed, or no cost is declared.
+
+    rates: (placement, rate), at most one row for each, as ewma_rates() has them; a placement that stands twice raises.
+    """
+    one = rates.groupBy("placement").agg(F.min("rate").alias("__rate"), F.count("*").alias("__n"))
+    twice = F.raise_error(F.concat(F.lit("two rates of "), F.col("placement"))).cast("double")
+    one = one.select(F.col("placement").alias("__placement"), F.when(F.col("__n") == 1, F.col("__rate")).otherwise(twice).alias("__rate"))
+    out = jobs.join(one, F.col("placement") == F.col("__placement"), "left")
+    return out.withColumn("seconds", F.when(F.col("cost") > 0, F.col("cost") * F.col("__rate"))).drop("__placement", "__rate")
+
+
+def predicted_stream(log: DataFrame, jobs: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """(job, placement, cost, seconds, n) for each trigger: the stream's latest rates joined with declared costs, a static table.
+
+    jobs: (job, placement, cost). A placement's jobs come again whenever its rate changes, n being the observations it
+    rests on; jobs of placements never observed do not come out of the stream: predicted_times() has them, null.
+    """
+    rate = ewma_stream(log, alpha)
+    return rate.join(jobs.where("cost > 0"), "placement").select("job", "placement", "cost", (F.col("cost") * F.col("rate")).alias("seconds"), "n")

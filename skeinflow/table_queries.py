@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import functions as F
 
-from skeinflow.operators import csc
+from skeinflow import registry
+from skeinflow.operators import classical, csc, cube, khovanov, second
+from skeinflow.plans import contract, cost, isolation
 from skeinflow.registry import register
-from skeinflow.sources import derived, seeded
+from skeinflow.sources import derived, fixtures, knot_table, oracle, seeded
+from skeinflow.streaming import calibration
 
 # --- complexes in compressed form ----------------------------------------------------------------------------------
 
@@ -67,3 +73,203 @@ def seeded_matrix_ranks(spark, sf_dir):
     m = derived.part_matrices(spark, sf_dir)
     c = csc.from_entries(seeded.shapes(m), seeded.seeded_entries(m))
     return csc.tier_ranks(c.where("deg = 0"), COMPARED)
+
+
+# --- integers without bounds ---------------------------------------------------------------------------------------
+
+
+@register("""with recursive l(n, a, b) as (select 0, 2::hugeint, 1::hugeint union all select n + 1, b, a + b from l where n < 140)
+select c_custkey as diagram, (a - 2)::varchar as determinant, a - 2 > 9223372036854775807 as beyond from customer join l on l.n = 2 * (30 + c_custkey % 30)""")
+def long_braid_determinants(spark, sf_dir):
+    """Closures of (1, -2)^k: determinants are Lucas numbers less two, most of them beyond 64 bits."""
+    word = F.flatten(F.array_repeat(F.array(F.lit(1), F.lit(-2)), F.lit(30) + (F.col("c_custkey") % 30).cast("int")))
+    braids = derived.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("diagram"), word.alias("braid"))
+    out = classical.braid_determinants(braids)
+    return out.withColumn("beyond", classical.compared_integers(F.col("determinant"), F.lit("9223372036854775807")) > 0)
+
+
+@register("""select 'T(2,' || n || ')/' || s_suppkey as diagram, ((n - 1) // 2 + k)::int as exp, (case when k = 0 then 1 when k % 2 = 0 then 1 else -1 end)::varchar as coef
+from range(25, 62, 4) a(n), range(0, 70) b(k), supplier where k <= n and k <> 1 and s_suppkey % 10 = (n - 25) // 4""")
+def jones_of_many_crossings(spark, sf_dir):
+    """Torus knots of 25 crossings and more, which no list of states reaches."""
+    pds = {f"T(2,{n})": fixtures.torus_pd(n) for n in range(25, 62, 4)}
+    return second.jones_frontier_batch(derived.turned_diagrams(derived.dealt(spark, sf_dir, fixtures.pd_table(spark, pds), list(pds))))
+
+
+# --- the result contract -------------------------------------------------------------------------------------------
+
+
+def _cells(rows: list) -> str:
+    return json.dumps(sorted(map(list, rows)), separators=(",", ":"))
+
+
+_BRAID = {d: (det, sig, alex) for d, _, det, sig, alex in registry.BRAID_VALUES}
+_KH, _KHQ = ({d: _cells([(*c, cells.count(c)) for c in set(cells)]) for d, cells in table.items()} for table in (registry.KHOVANOV, registry.KHOVANOV_Q))
+#: By invariant: published values as the contract's text, whose objects they are, and whether a second algorithm checks them.
+CONTRACT = {
+    "determinant": ({d: str(x[0]) for d, x in _BRAID.items()}, "braid", True),
+    "signature": ({d: str(x[1]) for d, x in _BRAID.items()}, "braid", True),
+    "alexander_polynomial": ({d: json.dumps(x[2], separators=(",", ":")) for d, x in _BRAID.items()}, "braid", True),
+    "jones_polynomial": ({d: _cells([(low + i, c) for i, c in enumerate(cs) if c]) for d, (low, cs) in registry.JONES.items()}, "pd", True),
+    "khovanov_homology": (_KH, "pd", True),
+    "rational_khovanov_homology": (_KHQ, "pd", True),
+    "rasmussen_s": ({"3_1": "-2", "4_1": "0", "5_1": "-4", "5_2": "-2"}, "pd", True),
+    "hfk_hat": ({d: _cells([r[1:] for r in registry.HFK if r[0] == d]) for d in fixtures.GRIDS}, "grid", True),
+    "seifert_genus": ({"staircase3": "0", "staircase4": "0", "trefoil": "1", "trefoil mirror": "1", "figure-eight": "1"}, "grid", False),
+    "tau": ({"staircase3": "0", "staircase4": "0", "trefoil": "1", "trefoil mirror": "-1", "figure-eight": "0"}, "grid", False),
+}
+
+
+def _contract(invariant: str):
+    """compute() over objects dealt to suppliers. The value is known for every other object: the others rest on the second algorithm."""
+    answers, kind, second_one = CONTRACT[invariant]
+    names = list(answers)
+    rows = [(d, invariant, v, contract.METHODS[invariant][1], "spark", "pass" if i % 2 == 0 else "not_available", "pass" if second_one else "not_available", "pass" if "khovanov" in invariant else "not_applicable", i % 2 == 0 or second_one) for i, (d, v) in enumerate(answers.items())]
+    columns = "diagram, invariant, value, method, backend, known_answer_check, cross_backend_check, d_squared_check, validated"
+
+    @register(registry.typed(rows, columns, "varchar " * 8 + "boolean"), f"compute_{invariant}", names=names)
+    def query(spark, sf_dir):
+        made = {"braid": fixtures.braid_table, "pd": fixtures.pd_table, "grid": fixtures.grid_table}[kind](spark).where(F.col("diagram").isin(names))
+        turned = {"braid": derived.turned_braids, "pd": derived.turned_diagrams, "grid": derived.turned_grids}[kind](derived.dealt(spark, sf_dir, made, names))
+        known = derived.dealt(spark, sf_dir, spark.createDataFrame([(d, v) for d, v in list(answers.items())[::2]], "diagram string, value string"), names).drop("turn")
+        # A known answer that stands twice with one value is one.
+        got = contract.compute(turned, invariant, known.union(known), validate=second_one)
+        return got.select(*columns.split(", "))
+
+
+for _name in CONTRACT:
+    _contract(_name)
+
+
+# --- failures, reports, predictions --------------------------------------------------------------------------------
+
+#: Every hundredth customer's diagram is broken, in one of these ways.
+BROKEN = [([[1, 2, 3]], "each of 2n labels occurs twice, without gaps, from 0 or 1"), ([[1, 5, 2, 4], [3, 1, 4, 7], [5, 3, 7, 2]], "each of 2n labels occurs twice, without gaps, from 0 or 1"), ([[1, 3, 2, 4], [3, 1, 4, 2]], "labels do not follow one strand")]
+BROKEN_SQL = f"""c as (select c_custkey, case when c_custkey % 100 = 0 then {len(fixtures.PD)} + c_custkey // 100 % {len(BROKEN)} else c_custkey % {len(fixtures.PD)} end as kind from customer)"""
+
+
+def _attempted(spark, sf_dir):
+    kinds = [*fixtures.PD.values(), *(code for code, _ in BROKEN)]
+    pds = spark.createDataFrame(list(enumerate(kinds)), "kind int, pd array<array<int>>")
+    kind = F.when(F.col("c_custkey") % 100 == 0, len(fixtures.PD) + F.floor(F.col("c_custkey") / 100) % len(BROKEN)).otherwise(F.col("c_custkey") % len(fixtures.PD)).cast("int")
+    objects = derived.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("diagram"), kind.alias("kind")).join(F.broadcast(pds), "kind")
+    return isolation.attempted(objects, "jones_polynomial")
+
+
+_JONES_ROWS = registry.values([(i, low + k, str(c)) for i, (d, (low, cs)) in enumerate((d, registry.JONES[d]) for d in fixtures.PD) for k, c in enumerate(cs) if c], "kind, exp, coef")
+_ERRORS = registry.values([(len(fixtures.PD) + i, f"ValueError: {text}") for i, (_, text) in enumerate(BROKEN)], "kind, error")
+
+
+@register(f"with {BROKEN_SQL} select c_custkey as diagram, exp::int as exp, coef, null::varchar as error from c join {_JONES_ROWS} j using (kind) union all select c_custkey, null, null, error from c join {_ERRORS} e using (kind)")
+def isolated_failures(spark, sf_dir):
+    return _attempted(spark, sf_dir)
+
+
+@register(f"""with {BROKEN_SQL}, n as (select count(*) filter (j.kind is not null) as good, count(*) filter (e.kind is not null) as bad, sum(coalesce(length(error), 0)) as chars from c left join {_JONES_ROWS} j using (kind) left join {_ERRORS} e using (kind))
+select unnest(['rows', 'results', 'failures', 'refused', 'broken', 'error_chars']) as metric, unnest([good + bad, good, bad, bad, 0, chars])::bigint as value from n""")
+def run_report(spark, sf_dir):
+    """What one pass over the diagrams counted on its way, beside writing its rows."""
+    derived.checkpoint_dir(spark)
+    report = isolation.reported(_attempted(spark, sf_dir))
+    report.rows.write.parquet(f"{spark.sparkContext.getCheckpointDir()}/run-{uuid.uuid4().hex}")
+    return report.as_table()
+
+
+#: Nations and suppliers as jobs, linked where a supplier is of a nation; a component for each nation. Some suppliers fail.
+FAILED = "s_acctbal < -900"
+
+
+@register(f"""with lost as (select distinct s_nationkey as k from supplier where {FAILED})
+select 's' || s_suppkey as job, case when {FAILED} then 'failed' when k is not null then 'abandoned' else 'open' end as status from supplier left join lost on k = s_nationkey
+union all select distinct 'n' || s_nationkey, case when k is not null then 'abandoned' else 'open' end from supplier left join lost on k = s_nationkey""")
+def abandoned_components(spark, sf_dir):
+    s = derived.read(spark, sf_dir, "supplier")
+    needs = s.select(F.concat(F.lit("s"), "s_suppkey").alias("job"), F.concat(F.lit("n"), "s_nationkey").alias("dep"))
+    return isolation.abandoned(needs, s.where(FAILED).select(F.concat(F.lit("s"), "s_suppkey").alias("job")))
+
+
+@register("""with x as (select event_type as placement, value / (1 + event_id % 7) as x, row_number() over (partition by event_type order by ts) as k, count(*) over (partition by event_type) as n from events),
+r as (select placement, sum(x * pow(0.7, n - k) * case when k = 1 then 1 else 0.3 end) as rate from x group by 1),
+j as (select p_partkey as job, case when p_partkey % 6 = 5 then 'never seen' else (select list(distinct event_type order by event_type) from events)[1 + p_partkey % 5] end as placement, p_size - 1 as cost from part)
+select job, placement, cost::double as cost, round(case when cost > 0 then cost * rate end, 6) as seconds from j left join r using (placement)""")
+def predicted_times(spark, sf_dir):
+    """Seconds that parts would take as jobs, by the rates that the events' log has; none where nothing was observed or costs nothing."""
+    e = derived.read(spark, sf_dir, "events")
+    log = e.select("ts", F.col("event_type").alias("placement"), (1 + F.col("event_id") % 7).alias("cost"), F.col("value").alias("seconds"))
+    kinds = e.agg(F.sort_array(F.collect_set("event_type")).alias("kinds"))
+    placement = F.when(F.col("p_partkey") % 6 == 5, "never seen").otherwise(F.get("kinds", (F.col("p_partkey") % 5).cast("int")))
+    jobs = derived.read(spark, sf_dir, "part").join(F.broadcast(kinds)).select(F.col("p_partkey").alias("job"), placement.alias("placement"), (F.col("p_size") - 1).cast("double").alias("cost"))
+    return calibration.predicted_times(jobs, calibration.ewma_rates(log)).withColumn("seconds", F.round("seconds", 6))
+
+
+# --- knot tables in files ------------------------------------------------------------------------------------------
+
+_TEXTS = {d: str(code).replace(" ", "") for d, code in fixtures.PD.items()}
+_KNOTS = [(d, _TEXTS[d], det, {"3_1": "1", "4_1": "0", "5_1": "2", "5_2": ""}[d]) for d, det in (("3_1", "3"), ("4_1", "5"), ("5_1", "5"), ("5_2", "7"))]
+KNOTS_SQL = f"""knots as (select '11n_' || s_suppkey as name, pd_notation, determinant, nullif(genus, '') as three_genus, s_suppkey from supplier
+  join (values {', '.join(f"({i}, '{p}', '{det}', '{g}')" for i, (_, p, det, g) in enumerate(_KNOTS))}) k(i, pd_notation, determinant, genus) on s_suppkey % {len(_KNOTS)} = i)"""
+
+
+def _knots(spark, sf_dir):
+    """A table of knots for the suppliers, written to the shared folder in several files and read by the data source; one row describes the columns."""
+    kinds = spark.createDataFrame([(i, p, det, g, "[[1,1],[1,2],[2,2],[2,3],[3,3],[3,1]]" if i % 2 else "", "{0,1}") for i, (_, p, det, g) in enumerate(_KNOTS)], "i int, pd_notation string, determinant string, three_genus string, grid_notation string, hfk_polynomial_vector string")
+    s = derived.read(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % len(_KNOTS)).cast("int").alias("i"))
+    rows = s.join(F.broadcast(kinds), "i").select(F.concat(F.lit("11n_"), "s_suppkey").alias("name"), "pd_notation", "determinant", "three_genus", "grid_notation", "hfk_polynomial_vector", (F.col("s_suppkey") % 3).cast("string").alias("ozsvath_szabo_tau_invariant"))
+    head = spark.createDataFrame([("Name", "PD notation", "Determinant", "Genus", "Grid", "HFK", "Tau")], rows.schema.simpleString()[7:-1].replace(":", " "))
+    derived.checkpoint_dir(spark)
+    return knot_table.knot_table(spark, knot_table.written(rows.union(head), f"{spark.sparkContext.getCheckpointDir()}/knots-{uuid.uuid4().hex}"), 1 << 16)
+
+
+@register(f"with {KNOTS_SQL} select name, pd_notation, determinant, three_genus from knots")
+def knot_table_rows(spark, sf_dir):
+    return oracle.known_rows(_knots(spark, sf_dir)).select("name", "pd_notation", "determinant", "three_genus")
+
+
+@register(f"with {KNOTS_SQL} select 'K11n' || s_suppkey as diagram, determinant::int as determinant, low::int as low, coeffs::varchar as coeffs from knots join {registry.values([(i, low, str(cs)) for i, (low, cs) in enumerate(registry.JONES[d] for d, *_ in _KNOTS)], 'i, low, coeffs')} j on s_suppkey % {len(_KNOTS)} = i")
+def knot_table_lookup(spark, sf_dir):
+    """Every supplier's knot by its name in another notation, and the Jones polynomial of the code that the table has."""
+    names = derived.read(spark, sf_dir, "supplier").select(F.concat(F.lit("K11n"), "s_suppkey").alias("diagram"))
+    found = oracle.looked_up(_knots(spark, sf_dir), names)
+    jones = cube.canonical(cube.jones_batch(oracle.pd_codes(found)))
+    text = F.concat(F.lit("["), F.array_join("coeffs", ", "), F.lit("]"))
+    return found.select("diagram", F.col("determinant").cast("int").alias("determinant")).join(jones, "diagram").select("diagram", "determinant", "low", text.alias("coeffs"))
+
+
+@register(f"with {KNOTS_SQL} select name, determinant from knots where name in ('11n_2', '11n_3', '11n_7', 'no such')")
+def knot_table_filter(spark, sf_dir):
+    """Names that the scan itself picks."""
+    return _knots(spark, sf_dir).where("name in ('11n_2', '11n_3', '11n_7', 'no such')").select("name", "determinant")
+
+
+@register(f"with {KNOTS_SQL} select name, 3 as n from knots where s_suppkey % 2 = 1 and three_genus is not null")
+def floer_roster_filter(spark, sf_dir):
+    return oracle.floer_roster(_knots(spark, sf_dir), 3)
+
+
+# --- sizes and sections --------------------------------------------------------------------------------------------
+
+
+@register(f"select diagram, sum(n * (1::bigint << circles))::bigint as size from {registry.values(registry.HISTOGRAM, 'diagram, ones, circles, n')} group by 1", names=fixtures.PD)
+def unreduced_size(spark, sf_dir):
+    return khovanov.unreduced_size(registry._pds(spark, sf_dir))
+
+
+@register("select p_partkey as diagram, (256 + 128 * p_size)::bigint as bytes from part")
+def record_bytes(spark, sf_dir):
+    return derived.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("diagram"), cost.record_bytes(F.col("p_size")).alias("bytes"))
+
+
+@register("""with r as (select distinct event_type as tool, user_id % 20 as invariant from events where value > 99),
+s as (select n_nationkey % 20 as invariant, n_regionkey as section from nation) select distinct section, tool from r join s using (invariant)""")
+def section_columns(spark, sf_dir):
+    """Tools with a result of any invariant of a section: of the largest events, and nations by region."""
+    e = derived.read(spark, sf_dir, "events").select(F.col("event_type").alias("tool"), (F.col("user_id") % 20).alias("invariant"), F.when(F.col("value") > 99, F.col("value")).alias("value"))
+    sections = derived.read(spark, sf_dir, "nation").select((F.col("n_nationkey") % 20).alias("invariant"), F.col("n_regionkey").alias("section"))
+    return contract.section_columns(e, sections)
+
+
+@register(f"select * from (values {', '.join(f"('{n}', {str(n != 'compiled').lower()})" for n in csc.TIERS)}) t(tier, available), (select count(*) as parts from part)")
+def tiers_for_parts(spark, sf_dir):
+    """Which kernels there are for the parts' matrices."""
+    tiers = spark.createDataFrame([t[:2] for t in csc.available_tiers()], "tier string, available boolean")
+    return tiers.crossJoin(F.broadcast(derived.part_matrices(spark, sf_dir).agg(F.count("*").alias("parts"))))
