@@ -6,11 +6,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinflow.llm.base import own, quoted, staged
 from skeinflow.llm.kernels import mix
+from skeinflow.llm.merkle import positions
 
 U = np.uint64
 #: Words of a block, slots of an output shard on average, share of all words that is taken, uses of a word at most.
@@ -18,6 +19,8 @@ BLOCK, SLOTS, SHARE, REPEATS = 128, 8192, 1.5, 2
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Slots of a source that a task draws shards for at once; documents of all for a bucket of running sums, and buckets at least.
 RANGE, RUN, BUCKETS = 1 << 16, 1 << 16, 1024
+#: A bucket with so many times RUN rows is looked into for repeated rows.
+HOT = 4
 #: Sources that are broadcast at most; more are joined by a shuffle.
 MOST_BROADCAST = 100_000
 SLOT = "shard long, slot long, no long, block long"
@@ -135,7 +138,8 @@ def placed(docs: DataFrame, text: str = "text", source: str = "source", ident: s
 
     Order is by hash: documents are dealt to buckets of some RUN documents of all, so that running sums within a
     source's bucket and over the buckets' totals give offsets without one source's rows ever meeting in one task. Rows
-    that are alike in id and text are interchangeable.
+    that are alike in id and text are interchangeable; where one is repeated so often that it would fill a bucket, its
+    copies are numbered and dealt on by number.
     """
     size, at = names
     inner = own(docs.withColumns({size: F.lit(0), at: F.lit(0)}), "__key", "__text", "__bucket", "__source", "__of", "__before", "__in")
@@ -145,7 +149,13 @@ def placed(docs: DataFrame, text: str = "text", source: str = "source", ident: s
     out = docs.withColumns({size: words, key: F.xxhash64(F.col(quoted(ident)), F.lit(7)), same: F.xxhash64(F.col(quoted(text)))})
     out = out.withColumn(bucket, F.pmod(F.xxhash64(key, same), F.lit(buckets)).cast("long"))
     s = F.col(quoted(source))
-    sums = staged(out.groupBy(s.alias("s"), F.col(bucket).alias("b")).agg(F.sum(size).alias("n")), "sums")
+    added = lambda rows: staged(rows.groupBy(s.alias("s"), F.col(bucket).alias("b")).agg(F.sum(size).alias("n"), F.count("*").alias("rows")), "sums")
+    sums = added(out)
+    hot = sums.where(F.col("rows") > HOT * RUN).select(F.col("s").alias(s2), F.col("b").alias(b2))
+    if hot.limit(1).count():
+        out = _dealt_on(out, hot, s, key, same, bucket, s2, b2, buckets)
+        sums = added(out)
+    sums = sums.drop("rows")
     total = staged(sums.groupBy("s", F.floor(F.col("b") / 1024).alias("g")).agg(F.sum("n").alias("n")), "groups")
     # Buckets in groups, so that no window holds more than a thousand rows of a source but for the groups themselves.
     group = total.select("s", "g", F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
@@ -157,6 +167,20 @@ def placed(docs: DataFrame, text: str = "text", source: str = "source", ident: s
     return out.withColumn(at, F.col(before) + F.col(within)).select(*map(quoted, docs.columns), size, at)
 
 
+def _dealt_on(out: DataFrame, hot: DataFrame, s: Column, key: str, same: str, bucket: str, s2: str, b2: str, buckets: int) -> DataFrame:
+    """out with other buckets for rows that are repeated more than RUN times: by key, text and a copy's number, RUN copies to a bucket."""
+    full = out.join(hot, s.eqNullSafe(F.col(s2)) & (F.col(bucket) == F.col(b2)), "left_semi")
+    # Alike rows of one source: a row for each task and kind is sent, not one for each copy.
+    twins = full.groupBy(s.alias(s2), F.col(key).alias(b2), F.col(same).alias("__same_as")).count().where(F.col("count") > RUN).drop("count")
+    twins = staged(twins, "twins")
+    alike = s.eqNullSafe(F.col(s2)) & (F.col(key) == F.col(b2)) & (F.col(same) == F.col("__same_as"))
+    kind, row = own(out, "__kind", "__row")
+    copies = staged(out.join(twins, alike, "left_semi"), "copies").withColumn(kind, F.xxhash64(s, key, same)).withColumn(row, F.monotonically_increasing_id())
+    numbered = positions(copies.withColumnRenamed(kind, "__kind_of"), "__kind_of", [row])
+    moved = numbered.withColumn(bucket, F.pmod(F.xxhash64(key, same, F.floor(F.col("pos") / RUN)), F.lit(buckets)).cast("long"))
+    return out.join(twins, alike, "left_anti").unionByName(moved.select(*map(quoted, out.columns)))
+
+
 def mix_plan(rows: DataFrame, source: str, size: str, weights: Sequence[float], share: float, seed: int = 0, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(sources, slots) for rows of placed(): sources (s, no, n, target), and the mix itself, a row for each
 

@@ -430,16 +430,16 @@ def apart(spans: Column) -> Column:
 
 
 def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs (without the text) with base_spans and spans: arrays of struct(kind, start, stop), by kind, then start; a taken name gets a _.
+    """docs (without the text) with base_spans, spans and unseen_spans: arrays of struct(kind, start, stop), by kind, then start; a taken name gets a _.
 
     Base spans are exact. The others stand where patterns of high confidence point to, and have the kind that these are
     confident of, or "id". Patterns are induced around seeds: base spans, and credentials that are given to a name. Those
     with several seeds are counted over all texts; of those that seeds are not too small a part of, whatever stands in
     the slots, words or runs of words, with digits or not and of any length, is scored with the seeds as a graph. Seeds
-    that are no base spans come out only where a confident pattern points to them. Whole texts are searched; null is
-    empty. Rows with equal texts have equal spans; an empty table gives no rows, and one without seeds no spans.
+    that are no base spans come out only where a confident pattern points to them; unseen_spans are those of spans that no
+    seed pattern matches, which contexts alone have found. Whole texts are searched; null is empty. Rows with equal texts have equal spans; an empty table gives no rows, and one without seeds no spans.
     """
-    base, spans, found, ident, other, new_name = own(docs, "base_spans", "spans", "__found", "__id", "__other", "__new")
+    base, spans, unseen, found, ident, other, new_name = own(docs, "base_spans", "spans", "unseen_spans", "__found", "__id", "__other", "__new")
     docs = docs.withColumn(ident, F.md5(F.coalesce(F.col(quoted(text)), F.lit(""))))
     rows = staged(with_places(docs, text, found), "places")
     texts = docs.select(F.col(ident).alias("id"), F.col(quoted(text)).alias("text"))
@@ -474,7 +474,9 @@ def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     out = rows.join(staged(new, "found"), F.col(ident) == F.col(other), "left")
     plain = lambda a: F.transform(a, lambda p: F.struct(p["kind"].alias("kind"), p["start"].alias("start"), p["stop"].alias("stop")))
     basic = F.array_sort(plain(F.filter(found, lambda p: p["kind"] < UNKNOWN)))
-    out = out.withColumns({base: basic, spans: F.array_sort(F.concat(basic, F.coalesce(new_name, F.slice(basic, 1, 0))))})
+    added = F.coalesce(new_name, F.slice(basic, 1, 0))
+    seed = lambda p: F.exists(found, lambda q: (q["start"] == p["start"]) & (q["stop"] == p["stop"]))
+    out = out.withColumns({base: basic, spans: F.array_sort(F.concat(basic, added)), unseen: F.array_sort(F.filter(added, lambda p: ~seed(p)))})
     return out.drop(ident, other, new_name, found)
 
 
@@ -484,10 +486,49 @@ def as_text(spans: Column) -> Column:
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each document; null is empty, copies have equal spans. n_found counts what the method adds to the base spans."""
+    """A row for each document; null is empty, copies have equal spans. n_found counts what the method adds to the base spans, n_unseen those of them that no seed pattern matches."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = find_personal_data(docs)
     count = lambda k: F.size(F.filter("base_spans", lambda p: p["kind"] == k)).cast("long")
     counts = [count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:UNKNOWN])]
     found = (F.size("spans") - F.size("base_spans")).cast("long").alias("n_found")
-    return out.select("doc_id", *counts, F.sha2(as_text(F.col("base_spans")), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"), found)
+    return out.select("doc_id", *counts, F.sha2(as_text(F.col("base_spans")), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"), found, F.size("unseen_spans").cast("long").alias("n_unseen"))
+
+
+#: What stands around planted identifiers.
+BEFORE, AFTER = "kontaktstelle: ", " erreichbar"
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, start, stop): documents with an address, for three ids of five, or an identifier of another form, for one, in one context at their end.
+
+    No seed pattern matches the identifiers: words of letters alone, letters and digits, groups of digits, and an address
+    without its sign. start and stop are theirs, null where there is none.
+    """
+    d, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    number = d.cast("string")
+    forms = (
+        F.concat(F.lit("anna.b"), number, F.lit("-at-post")),
+        F.concat(F.lit("QX"), number),
+        F.concat(F.lit("020 "), 1000 + d % 9000, F.lit(" "), 100 + d % 900),
+        F.concat(F.lit("nummer-"), F.translate(number, "0123456789", "abcdefghij")),
+        F.concat(F.lit("GB"), 10 + d % 90, F.lit(" NWBK "), 1000 + d % 9000),
+    )
+    other = F.get(F.array(*forms), (F.floor(d / 5) % len(forms)).cast("int"))
+    value = F.when(d % 5 < 3, F.concat(F.lit("user"), number, F.lit("@mail"), d % 7, F.lit(".example.org"))).when(d % 5 == 3, other)
+    start = F.when(d % 5 == 3, F.length(text) + 1 + len(BEFORE))
+    whole = F.when(value.isNull(), text).otherwise(F.concat(text, F.lit("\n" + BEFORE), value, F.lit(AFTER)))
+    return docs.select("doc_id", whole.alias("text"), start.alias("start"), (start + F.length(other)).alias("stop"))
+
+
+def planted_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what planted() adds: whether an unseen identifier is there, is found exactly, and how many others came out that no seed pattern matches."""
+    docs = planted(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = find_personal_data(docs)
+    hit = F.exists("unseen_spans", lambda p: (p["start"] == F.col("start")) & (p["stop"] == F.col("stop")))
+    out = out.withColumn("found", F.coalesce(hit, F.lit(False)))
+    return out.select("doc_id", F.col("start").isNotNull().alias("planted"), "found", (F.size("unseen_spans") - F.col("found").cast("int")).cast("long").alias("others"))
+
+
+#: All that is planted is to be found, and nothing else.
+PLANTED = "select doc_id, doc_id % 5 = 3 as planted, doc_id % 5 = 3 as found, 0::bigint as others from documents"

@@ -70,7 +70,8 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
                     acc += np.bincount(b * DIMS + places[a, j], signs[a, j], BUCKETS * DIMS)
             any_ = True
         if any_:
-            parts = acc.astype(np.int64).clip(-(2**31), 2**31 - 1).astype(np.int32).reshape(BLOCKS, -1)
+            # Whole numbers: of four bytes if they fit, else doubles, which hold them up to 2**53.
+            parts = (acc.astype(np.int32) if np.abs(acc).max() < 2**31 else acc).reshape(BLOCKS, -1)
             yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["block", "sums"])
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +79,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
         for batch in batches:
             for raw in batch.column("sums"):
                 raw = raw.as_py()
-                # Sums of one task are integers of 32 bits, sums of several doubles.
+                # Sums of one task are integers of 32 bits if they fit, others doubles.
                 acc += np.frombuffer(raw, np.int32 if len(raw) == 4 * len(acc) else float)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([acc.tobytes()], pa.binary())], ["block", "sums"])
 
@@ -162,7 +163,7 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 0, epochs: int = 40, rate: flo
     for epoch in range(epochs):
         step = rate * (1 + np.cos(np.pi * epoch / epochs)) / 2
         for at in range(0, len(train), size):
-            rows = train[at : at + size] if at else rng.permutation(train)[:size]
+            rows = train[at : at + size]
             a = z[rows] @ parts[0] + parts[1]
             h = np.maximum(a, 0)
             g = (1 / (1 + np.exp(-np.clip(h @ parts[2] + parts[3], -40, 40))) - y[rows]) / len(rows)

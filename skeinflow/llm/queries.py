@@ -13,6 +13,7 @@ QUERIES = {
     "op5_extendible_hash_shards": sharding.op5_extendible_hash_shards,
     "shards_of_128_kb": sharding.shards_of_128_kb,
     "op6_personal_data": pii.op6_personal_data,
+    "planted_identifiers": pii.planted_identifiers,
     "op7_host_quality": quality_rules.op7_host_quality,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
@@ -28,6 +29,7 @@ ORACLES = {
     "op4_decontaminate": decontaminate.ORACLE,
     "op5_extendible_hash_shards": sharding.oracle(),
     "shards_of_128_kb": sharding.oracle(128 << 10),
+    "planted_identifiers": pii.PLANTED,
     "op7_host_quality": quality_rules.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
     "op9_ngram_jaccard": ngram_join.ORACLE,

@@ -541,6 +541,68 @@ def test_large_regions_are_split_by_spark(spark, monkeypatch, rounds):
 # --- 10 ------------------------------------------------------------------------------------------------------------
 
 
+def plain_words(text):
+    """Runs of letters and non-ASCII, of digits, and of other signs, within what spaces part."""
+    import re
+
+    return re.findall(r"[A-Za-z\u0080-\U0010FFFF]+|[0-9]+|[^A-Za-z0-9\x20\x09-\x0D\u0080-\U0010FFFF]+", text or "")
+
+
+def bucket_of(word):
+    raw = np.frombuffer(word.encode(), np.uint8)
+    return int(kernels.span_hashes(raw, np.array([0]), np.array([len(raw)]))[0] % np.uint64(quality_classifier.BUCKETS))
+
+
+def plain_vectors(texts):
+    """{bucket: unit vector}: for each word the index vectors of the two words on either side, added up word by word."""
+    places, signs = quality_classifier.index_vectors()
+    out = {}
+    for t in texts:
+        w = [bucket_of(x) for x in plain_words(t)]
+        for i, b in enumerate(w):
+            v = out.setdefault(b, np.zeros(quality_classifier.DIMS))
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(w):
+                    for p, s in zip(places[w[j]], signs[w[j]], strict=True):
+                        v[p] += s
+    return {b: v / np.linalg.norm(v) if v.any() else v for b, v in out.items()}
+
+
+def test_word_vectors_and_pooling_by_hand(spark, docs):
+    texts = [*corpus(), "a1b2, c!! d", "...", "é1é", "x"]
+    rows = documents(spark, texts)
+    got = quality_classifier.word_vectors(rows.repartition(3))
+    want = plain_vectors(texts)
+    assert {int(b) for b in np.flatnonzero(got.any(1))} == {b for b, v in want.items() if v.any()}
+    assert all(np.allclose(got[b], v, atol=1e-6) for b, v in want.items())
+    features = quality_classifier.pooled(pa.array(texts), got)
+    for t, x in zip(texts, features, strict=True):
+        v = [want[bucket_of(w)] for w in plain_words(t)]
+        n, d = len(v), quality_classifier.DIMS
+        assert np.isclose(x[2 * d + 3], np.log1p(n))
+        if not n:
+            assert not x.any()
+            continue
+        mean = sum(v) / n
+        spread = (sum((u - mean) ** 2 for u in v) / n) ** 0.5
+        alike = [sum(a @ b for a, b in zip(v, v[k:], strict=False)) / max(n - k, 1) for k in (1, 2)]
+        assert np.allclose(x, [*mean, *spread, *alike, np.linalg.norm(mean), np.log1p(n)], atol=2e-4), t
+
+
+def test_network_learns_all_rows():
+    """Rows of one half are of label 1: every slice is learnt from, the first one too."""
+    rng = np.random.default_rng(0)
+    y = np.arange(600) % 2
+    x = rng.normal(0, 1, (600, quality_classifier.FEATURES)) + 3 * y[:, None] * (np.arange(quality_classifier.FEATURES) < 3)
+    net = quality_classifier.fit(x, y)
+    p = net.score(x)
+    assert ((p >= 0.5) == y).mean() > 0.95 and 0.2 <= net.temperature <= 10
+    # Calibrated: the mean score of a group is near its share of label 1.
+    for low, high in ((0, 0.3), (0.7, 1.01)):
+        some = (p >= low) & (p < high)
+        assert abs(p[some].mean() - y[some].mean()) < 0.1
+
+
 def test_targets():
     assert mixing.targets([100, 100, 100], [3, 1, 2]) == [200, 250 / 3, 500 / 3]
     assert mixing.targets([10, 1000], [3, 1]) == [20, 1495]
@@ -567,6 +629,49 @@ def test_draws_and_permutations():
             assert ((n - slots / shards) ** 2 / (slots / shards)).sum() < 3 * shards
 
 
+M64 = (1 << 64) - 1
+
+
+def mixed_bits(h):
+    """splitmix64's finalizer over Python's integers."""
+    h ^= h >> 30
+    h = h * 0xBF58476D1CE4E5B9 & M64
+    h ^= h >> 27
+    h = h * 0x94D049BB133111EB & M64
+    return h ^ h >> 31
+
+
+def plain_key(*parts):
+    h = 0
+    for x in parts:
+        h = mixed_bits((h + x + 0x9E3779B97F4A7C15) & M64)
+    return h
+
+
+def plain_permutation(j, n, key):
+    """Six Feistel rounds over an even number of bits, again while the result is not below n."""
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    while True:
+        left, right = j >> half, j & (1 << half) - 1
+        for step in range(6):
+            left, right = right, left ^ mixed_bits((right + key + step * 0x9E3779B97F4A7C15) & M64) & (1 << half) - 1
+        j = left << half | right
+        if j < n:
+            return j
+
+
+def plain_targets(sizes, weights, share):
+    """Water filling by bisection: the level at which weight times level, cut at twice the size, sums to the share."""
+    total, low, high = min(share * sum(sizes), 2 * sum(sizes)), 0.0, 4.0 * sum(sizes) + 1
+    for _ in range(200):
+        level = (low + high) / 2
+        if sum(min(2 * n, w * level) for n, w in zip(sizes, weights, strict=True)) < total:
+            low = level
+        else:
+            high = level
+    return [min(2 * n, w * high) for n, w in zip(sizes, weights, strict=True)]
+
+
 def plain_mix(docs, block, share=1.5):
     """{doc: words taken, repeats counted}, by lists: documents laid end to end in their source's order, blocks counted off."""
     sizes, order = {}, {}
@@ -575,20 +680,53 @@ def plain_mix(docs, block, share=1.5):
         sizes[source] = sizes.get(source, 0) + n
         order.setdefault(source, []).append((at, i, n))
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    goal = mixing.targets([sizes[s] for s in names], [mixing.WEIGHTS[i % 3] for i in range(len(names))], share)
+    goal = plain_targets([sizes[s] for s in names], [(3, 1, 2)[i % 3] for i in range(len(names))], share)
     out = dict.fromkeys(docs, 0)
     for no, (s, g) in enumerate(zip(names, goal, strict=True)):
         line = [i for _, i, n in sorted(order[s], key=lambda x: (x[0], x[2])) for _ in range(n)]
         blocks = -(-len(line) // block)
-        passes = int(g // len(line)) if line else 0
+        passes = int((g + 1e-6) // len(line)) if line else 0
         slots = passes * blocks + (min(blocks, round((g - passes * len(line)) / block)) if line else 0)
         for j in range(slots):
-            b = int(mixing.permuted(np.array([j % blocks]), blocks, mixing.key_of(mixing.key_of(0, no), j // blocks))[0])
+            b = plain_permutation(j % blocks, blocks, plain_key(plain_key(0, no), j // blocks))
             for i in line[b * block : (b + 1) * block]:
                 out[i] += 1
     return out, dict(zip(names, goal, strict=True)), sizes
 
 
+def test_order_lays_documents_end_to_end(spark, docs):
+    """Each source's documents tile its words, whatever the order; the order is by hash, and the same for any partitions."""
+    at = {}
+    for r in mixing.placed(docs, names=("size", "at")).collect():
+        at.setdefault(r.source, []).append((r["at"], r["at"] + r["size"]))
+    for spans in at.values():
+        full = sorted(x for x in spans if x[0] < x[1])
+        assert full[0][0] == 0 and all(a[1] == b[0] for a, b in zip(full, full[1:], strict=False))
+
+
+def test_repeated_rows_are_dealt_on(spark, monkeypatch):
+    """One row, a third of all and more: its copies go to many buckets, and still tile the source."""
+    monkeypatch.setattr(mixing, "RUN", 8)
+    monkeypatch.setattr(mixing, "BUCKETS", 16)
+    rows = [(1, "a b c", "s")] * 300 + [(1, "a b c", None)] * 100 + [(i, "x " * (i % 5), "s" if i % 3 else "t") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("__kind", F.lit("taken")).withColumn("pos", F.lit(1))
+    out = mixing.placed(docs, names=("size", "at"))
+    assert out.columns == [*docs.columns, "size", "at"]
+    spans, whole = {}, out.collect()
+    assert sorted((r.doc_id, r.text, r.source or "") for r in whole) == sorted((i, t, s or "") for i, t, s in rows)
+    for r in whole:
+        if r["size"]:
+            spans.setdefault(r.source, []).append((r["at"], r["at"] + r["size"]))
+    for x in spans.values():
+        x.sort()
+        assert x[0][0] == 0 and all(a[1] == b[0] for a, b in zip(x, x[1:], strict=False))
+    # Copies are apart from each other: others stand between them.
+    mine = [r["at"] for r in whole if r.source == "s" and r.text == "a b c"]
+    assert max(mine) - min(mine) > 3 * 300
+    again = mixing.placed(docs.repartition(7), names=("size", "at")).collect()
+    assert sorted((r.source or "", r["at"], r.doc_id, r["size"]) for r in again if r["size"]) == sorted((r.source or "", r["at"], r.doc_id, r["size"]) for r in whole if r["size"])
+
+
 def test_mixture_takes_what_the_plain_form_takes(spark, docs):
     at = {r.doc_id: r["at"] for r in mixing.placed(docs, names=("size", "at")).collect()}
     want, goal, sizes = plain_mix({r.doc_id: (r.text, r.source, at[r.doc_id]) for r in docs.collect()}, 16)

@@ -77,3 +77,23 @@ def test_slots_of_any_form(spark):
     out = {r.doc_id: r.spans for r in pii.find_personal_data(documents(spark, texts)).collect()}
     assert [[texts[i][s.start : s.stop] for s in out[i]] for i in range(60, 60 + len(VALUES))] == [[v] for v in VALUES]
     assert all(len(out[i]) == 1 for i in range(60)) and not any(out[i] for i in range(80 + len(VALUES), len(texts)))
+
+
+def test_planted_identifiers(spark, tmp_path):
+    """Identifiers that no seed pattern matches, in the seeds' context: all are found, and what is found is split from seeds."""
+    import random as r
+
+    rng = r.Random(5)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta."]) for _ in range(rng.randrange(30))) for _ in range(120)] + [None, "", 'token = "a1b2c3d4e5f6a7b8"']
+    docs = documents(spark, texts)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = pii.planted(docs).collect()
+    for x in rows:
+        if x.start is not None:
+            value = x.text[x.start : x.stop]
+            assert x.text[: x.start].endswith(pii.BEFORE) and x.text[x.stop :] == pii.AFTER and not pii.base_spans(value) and not pii.secrets(x.text[-80:])
+    got = {x.doc_id: x for x in pii.planted_identifiers(spark, str(tmp_path)).collect()}
+    assert all((x.planted, x.found, x.others) == (i % 5 == 3, i % 5 == 3, 0) for i, x in got.items()) and len(got) == len(texts)
+    assert sum(x.planted for x in got.values()) > 20
+    plain = {x.doc_id: x for x in pii.op6_personal_data(spark, str(tmp_path)).collect()}
+    assert all(x.n_unseen <= x.n_found for x in plain.values())
