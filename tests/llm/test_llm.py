@@ -589,6 +589,15 @@ def test_word_vectors_and_pooling_by_hand(spark, docs):
         assert np.allclose(x, [*mean, *spread, *alike, np.linalg.norm(mean), np.log1p(n)], atol=2e-4), t
 
 
+@pytest.mark.parametrize("n", [20, 20_000])
+def test_sums_of_any_size(spark, n):
+    """A word that stands beside another often enough leaves the short forms; nothing is cut off."""
+    docs = documents(spark, ["p q " * n])
+    v = quality_classifier.word_vectors(docs)
+    p, q = plain_vectors(["p q " * 8])[bucket_of("p")], v[bucket_of("p")]
+    assert np.allclose(np.linalg.norm(q), 1, atol=1e-5) and abs(p @ q) > 0.98
+
+
 def test_network_learns_all_rows():
     """Rows of one half are of label 1: every slice is learnt from, the first one too."""
     rng = np.random.default_rng(0)
