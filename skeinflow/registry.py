@@ -563,9 +563,9 @@ def route_backend(spark, sf_dir):
 @register(f"""with recursive {STATES_SQL}, h as (select diagram, a, m, count(*) as cols from states group by all),
 b as (select diagram, a, m, cols, coalesce((select t.cols from h t where t.diagram = h.diagram and t.a = h.a and t.m = h.m - 1), 0) as rows from h),
 p as (select diagram, a, max(case when rows = 0 then 0 else (cols + least(cols, rows)) * ((rows + 63) // 64) * 8 end) as peak from b group by 1, 2)
-select diagram, sum(peak)::bigint as all_bytes, max(peak)::bigint as floor_bytes from p group by 1""")
+select diagram, sum(peak)::bigint as all_bytes, max(peak)::bigint as floor_bytes from p group by 1""", names=fixtures.GRIDS)
 def grading_peaks(spark, sf_dir):
-    return cost.batch_bytes(grid.grading_histogram(_grids(spark)))
+    return cost.batch_bytes(grid.grading_histogram(_grids(spark, sf_dir)))
 
 
 PATHS = [("fits", 0, "cpu_pinned", 2, 50, 0), ("device", 0, "gpu", 1, 10, 100), ("device", 1, "cpu_unpinned", 4, 10, 0), ("wide", 0, "cpu_pinned", 3, 10, 0), ("big", 0, "cpu_unpinned", 1, 2048, 0), ("big", 1, "cpu_pinned", 1, 2048, 0)]
