@@ -126,3 +126,23 @@ def test_order_complexes(spark):
     assert algebra.complex_verdicts(gen, bd, "q").where("verdict is not null").count() == 0
     want = {(r.cx, r.deg): r.betti for r in algebra.homology(gen, bd.where("deg < 9"), "f2").collect()}
     assert {(r.cx, r.deg): r.betti for r in csc.homology(csc.from_entries(gen, csc.odd_entries(bd))).collect()} == want
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
+def test_sorted_groups(size):
+    import pyarrow as pa
+
+    from skeinflow.functions.batches import sorted_groups
+
+    a, b = [None, None, None, "p", "p", "q", "q", "q"], [1, 1, 2, 2, None, None, 3, 3]
+    whole = pa.RecordBatch.from_pydict({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.int32()), "i": list(range(8))})
+    batches = [whole.slice(0, 0), *(whole.slice(k, size) for k in range(0, 8, size))]
+    assert [g.column("i").to_pylist() for g in sorted_groups(iter(batches), ["a", "b"])] == [[0, 1], [2], [3], [4], [5], [6, 7]]
+    assert list(sorted_groups(iter([]), ["a"])) == []
+
+
+def test_ranks_of_null_and_many_maps(spark):
+    rows = [(None, 0, 0, 0, 1), (None, 0, 1, 0, 1), (None, 1, 0, 0, 2), ("a", 0, 0, 0, 1)] + [(f"c{i:04d}", 0, k, k % 2, 1) for i in range(2500) for k in range(3)]
+    bd = spark.createDataFrame(rows, "cx string, deg int, col long, row long, v long")
+    got = {(r.cx, r.deg): r["rank"] for r in algebra.ranks(bd).collect()}
+    assert len(got) == 2503 and got[None, 0] == 1 and got[None, 1] == 0 and got["a", 0] == 1 and got["c0007", 0] == 2
