@@ -14,6 +14,10 @@ from skeinflow.operators.cube import cube_states, labels_of, state_histogram
 from skeinflow.operators.diagrams import seifert_structure
 
 
+#: Crossings beyond which generators have no number: a state and its signs are one 64-bit key.
+MOST_KERNEL = 20
+
+
 def chain_dimensions(pds: DataFrame) -> DataFrame:
     """(diagram, i, j, dim) of the chain groups: binomials for each state, without listing generators."""
     s = cube_states(pds).select("diagram", F.bit_count("state").alias("ones"), F.size(F.array_distinct("labels")).alias("m"))
@@ -94,12 +98,36 @@ def as_complex(pds: DataFrame, lee: bool = False) -> tuple[DataFrame, DataFrame]
     return placed, bd.select("cx", "deg", "col", "row", "v", "q_col", "q_row")
 
 
+def square_gaps(bd: DataFrame) -> DataFrame:
+    """(cx) of complexes whose boundary's square has an entry, over the integers and so over every field.
+
+    Each target two degrees up gets a random weight modulo a prime below 2^31; the weights' sums over all paths of two
+    steps are zero for a complex. An entry is missed with a chance below 2^-30. Rows meet once, no pair of steps is made.
+    """
+    p, seed = PRIMES[0], int(np.random.default_rng().integers(1 << 62))
+    rest = lambda x: F.pmod(x, F.lit(p))
+    up = bd.groupBy("cx", (F.col("deg") - 1).alias("deg"), F.col("col").alias("row")).agg(rest(F.sum(F.col("v") * rest(F.xxhash64("row", F.lit(seed))))).alias("w"))
+    sums = bd.join(up, ["cx", "deg", "row"]).groupBy("cx", "deg", "col").agg(rest(F.sum(F.col("v") * F.col("w"))).alias("s"))
+    return sums.where("s <> 0").select("cx").distinct()
+
+
 def khovanov_homology(pds: DataFrame, field: str = "f2", verify: bool = True) -> DataFrame:
-    """(diagram, i, j, dim) over F2 ("f2") or the rationals ("q"); a diagram without crossings is the unknot. verify checks the boundary's square."""
-    some = pds.where(F.size("pd") > 0)
-    placed, bd = as_complex(some)
-    gen = placed.groupBy("cx", "deg").agg(F.count("*").alias("dim"))
-    h = homology(gen.withColumn("cx", F.to_json("cx")), bd.withColumn("cx", F.to_json("cx")), "q_modular" if field == "q" else field, verify)
+    """(diagram, i, j, dim) over F2 ("f2") or the rationals ("q"); a diagram without crossings is the unknot. verify checks the boundary's square.
+
+    Generators go by their state and signs in one number, so that a rank needs no places: dimensions come from binomials,
+    the boundary from one join of states. The square is checked by random weights, see square_gaps().
+    """
+    many = F.raise_error(F.lit(f"more than {MOST_KERNEL} crossings: a generator is no 64-bit number")).cast("array<array<int>>").cast(pds.schema["pd"].dataType)
+    some = pds.where(F.size("pd") > 0).withColumn("pd", F.when(F.size("pd") > MOST_KERNEL, many).otherwise(F.col("pd")))
+    cx = F.to_json(F.struct("diagram", "j")).alias("cx")
+    gen = chain_dimensions(some).select(cx, F.col("i").alias("deg"), "dim")
+    number = lambda state, minus: F.shiftleft(state, 2 * MOST_KERNEL).bitwiseOR(F.col(minus))
+    bd = boundary(some).select(cx, F.col("i").alias("deg"), number("state", "minus").alias("col"), number("to_state", "to_minus").alias("row"), F.col("v").cast("long").alias("v"))
+    if verify:
+        bad = square_gaps(bd).withColumn("bad", F.lit(True))
+        wrong = F.raise_error(F.concat(F.lit("the boundary's square is not zero: "), "cx")).cast("long")
+        gen = gen.join(bad, "cx", "left").select("cx", "deg", F.when(F.col("bad"), wrong).otherwise(F.col("dim")).alias("dim"))
+    h = homology(gen, bd, "q_modular" if field == "q" else field, False)
     c = F.from_json("cx", "diagram string, j int")
     trivial = pds.where(F.size("pd") == 0).select("diagram", F.lit(0).alias("i"), F.explode(F.array(F.lit(-1), F.lit(1))).alias("j"), F.lit(1).cast("long").alias("dim"))
     return h.select(c["diagram"].alias("diagram"), F.col("deg").alias("i"), c["j"].alias("j"), F.col("betti").alias("dim")).union(trivial)
@@ -152,10 +180,6 @@ def rasmussen_s(pds: DataFrame) -> DataFrame:
 # --- the batch kernel: a diagram's whole complex in one worker, for many small diagrams -----------------------------
 
 
-#: Crossings beyond which the kernel refuses: a state and its signs are one 64-bit key.
-MOST_KERNEL = 20
-
-
 def complex_of(code: list[list[int]], lee: bool = False, degrees: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j) of all generators, and edges (source, target, sign), as arrays; with degrees only of these (first, last).
 

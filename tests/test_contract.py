@@ -154,6 +154,19 @@ def test_square_is_checked():
             khovanov.check_square(src, dst, wrong, len(i))
 
 
+def test_square_is_checked_by_tables(spark):
+    gen, bd = fixtures.complex_tables(spark)
+    assert {r.cx for r in khovanov.square_gaps(bd).collect()} == {"not a complex", "acyclic"}  # over the integers 1 + 1 is no zero
+    gen, bd = fixtures.complex_tables(spark, fixtures.COMPLEXES_Q)
+    assert khovanov.square_gaps(bd).count() == 0
+    t = fixtures.pd_table(spark)
+    same = lambda df: sorted(map(tuple, df.collect()))
+    assert same(khovanov.khovanov_homology(t)) == same(khovanov.khovanov_batch(t))
+    assert same(khovanov.khovanov_homology(t, "q", verify=False)) == same(khovanov.khovanov_batch(t, "q"))
+    with pytest.raises(Exception, match="crossings"):
+        khovanov.khovanov_homology(fixtures.pd_table(spark, {"large": fixtures.torus_pd(21)})).collect()
+
+
 def test_repeated_entries_are_added(spark):
     bd = spark.createDataFrame([("a", 0, 0, 0, 1), ("a", 0, 0, 0, 1), ("a", 0, 1, 0, 2), ("a", 0, 1, 0, -1)], "cx string, deg int, col long, row long, v long")
     for field, rank in (("f2", 1), ("f2_bits", 1), ("f2_sets", 1), ("q", 1), ("q_modular", 1)):
