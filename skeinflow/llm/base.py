@@ -55,11 +55,49 @@ def owner(name: str) -> Iterator[None]:
         _OWNER.pop()
 
 
+#: Spark deletes a query's shuffle files when the query ends, not when the driver's heap is next collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def cleaned_up(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries that run within go as each one ends."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: lineage ends here, and a lost executor costs one read."""
+    """df written as Parquet to the shared folder and read back: lineage ends here, and a lost executor costs one read.
+
+    The shuffles on the way to it end with it.
+    """
     path = shared_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with cleaned_up(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session is already gone
+        pass
+
+
+def drop_staged(*frames: DataFrame) -> None:
+    """Delete what staged() returned, as soon as nothing that is still to run reads it."""
+    for df in frames:
+        path = getattr(df, "_staged_at", None)
+        for entry in [e for e in _STAGED if e[1] == path]:
+            _STAGED.remove(entry)
+            _delete(entry[0], path)
 
 
 def release(spark: SparkSession | None = None, name: str | None = None) -> None:
@@ -68,11 +106,7 @@ def release(spark: SparkSession | None = None, name: str | None = None) -> None:
         s, path, of = entry
         if (spark is None or s is spark) and (name is None or of == name):
             _STAGED.remove(entry)
-            try:
-                at = s.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-            except Exception:  # the session is already gone
-                pass
+            _delete(s, path)
 
 
 atexit.register(release)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skeinflow.llm.base import own, quoted, staged
+from skeinflow.llm.base import drop_staged, own, quoted, staged
 from skeinflow.llm.components import connected_components
 from skeinflow.llm.kernels import Words, mix, pieces, ranges, trim, windows, word_key
 from skeinflow.llm.sketches import bits_for, maybe_repeated, merged, partial_rows
@@ -510,7 +510,8 @@ def region_links(members: DataFrame, percent: int = PERCENT, most: int = REGION_
         out = out.union(rows.where("a is not null").select("a", "b"))
         rows = rows.where("a is null")
         shell = staged(rows.where(F.col("d") > eps - 1e-9).groupBy("root").agg(F.min("d").alias("least")), "shell")
-        members = staged(rows.join(shell, "root").where(F.col("d") >= F.col("least") - eps - 1e-9).select("root", "sid", "elements"), "members")
+        before, members = members, staged(rows.join(shell, "root").where(F.col("d") >= F.col("least") - eps - 1e-9).select("root", "sid", "elements"), "members")
+        drop_staged(before, sizes, shell)
     return out if out is not None else members.sparkSession.createDataFrame([], LINK)
 
 
@@ -574,17 +575,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id",
     secret = word_key()
     may = staged(not_alone(docs.select(F.col(quoted(text)).alias("t")), sets_of_texts("t", k, secret), percent, buckets, (100 - percent) / 50), "may")
     bitmaps, bits = _members(may)
+    drop_staged(may)
     rows = staged(_with_sets(docs, text, [n, sid, key, elements], spark.sparkContext.broadcast(bitmaps), bits, k, secret, keep_text), "sets")
     sets = rows.where(F.col(elements).isNotNull()).select(F.col(key).alias("node"), F.col(sid).alias("sid"), F.col(elements).alias("elements"))
     # Copies of a set from several pieces are one from here on, so their shingles count once.
-    sets = staged(sets.dropDuplicates(["node", "sid"]), "distinct")
-    may = staged(not_alone(sets.select("node", "elements"), sets_as_given, percent, buckets), "may")
+    distinct = staged(sets.dropDuplicates(["node", "sid"]), "distinct")
+    may = staged(not_alone(distinct.select("node", "elements"), sets_as_given, percent, buckets), "may")
     # Keys are broadcast if their number, counted, allows it: then no set is shuffled to meet them.
-    sets = staged(sets.join(F.broadcast(may) if may.count() <= MOST_BROADCAST else may, "node", "left_semi"), "sets")
+    sets = staged(distinct.join(F.broadcast(may) if may.count() <= MOST_BROADCAST else may, "node", "left_semi"), "sets")
+    drop_staged(distinct, may)
     classes = staged(connected_components(candidate_edges(sets, percent, buckets, common_shingles(sets)).distinct()), "classes")
     few = classes.count() <= MOST_BROADCAST
     members = staged(sets.join(F.broadcast(classes) if few else classes, "node").select("root", "sid", "elements"), "members")
+    drop_staged(sets, classes)
     links = connected_components(region_links(members, percent))
+    drop_staged(members)
     least = rows.where(F.col(n) > 0).select(F.col(sid).alias("s"), F.col(quoted(ident)).alias("i")).groupBy("s").agg(F.min("i").alias("m"))
     named = staged(least.join(links, F.col("s") == F.col("node"), "left").select("s", "m", F.coalesce("root", "s").alias("r")), "named")
     whole = named.groupBy("r").agg(F.min("m").alias("c"))
