@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skeinflow.functions.once import once, tasks
 from skeinflow.operators.packed import first_independent, leads_by_tables, pack, sparse_rank
 from skeinflow.sources.derived import checkpoint_dir
 
@@ -153,13 +154,22 @@ def _empty(states: np.ndarray, lo: int, hi: int, avoid: list[list[int]]) -> np.n
     return ok
 
 
-def _blocks(grids: DataFrame, parts: int = 64) -> DataFrame:
-    """Ranks 0 ... n! - 1 of each grid, in spans that are dealt out; what is no grid, or too large, raises."""
+def checked_grids(grids: DataFrame) -> DataFrame:
+    """(diagram, n, o, x); what is no grid, or too large, raises."""
     wrong = F.coalesce(grid_verdict(F.col("n"), F.col("o"), F.col("x")), F.when(F.col("n") > MOST_ROWS, F.concat(F.lit("too many states: n = "), F.col("n").cast("string"))))
     n = F.when(wrong.isNull(), F.col("n")).otherwise(F.raise_error(F.concat(F.lit("grid "), F.coalesce(F.col("diagram").cast("string"), F.lit("null")), F.lit(": "), wrong)).cast("int"))
-    g = grids.select("diagram", n.alias("n"), "o", "x").withColumn("all", F.factorial("n"))
+    return grids.select("diagram", n.alias("n"), "o", "x")
+
+
+def _once(grids: DataFrame, f) -> DataFrame:
+    return once(checked_grids(grids), ["n", "o", "x"], f)
+
+
+def _blocks(grids: DataFrame, parts: int = 64) -> DataFrame:
+    """Ranks 0 ... n! - 1 of each grid, in spans that are dealt out by number; what is no grid, or too large, raises."""
+    g = checked_grids(grids).withColumn("all", F.factorial("n"))
     step = F.greatest(F.lit(512).cast("long"), F.ceil(F.col("all") / parts))
-    return g.select("diagram", "n", "o", "x", "all", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1, step)).alias("first"), step.alias("step")).repartition("diagram", "first")
+    return g.select("diagram", "n", "o", "x", "all", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1, step)).alias("first"), step.alias("step")).repartition(tasks(grids), "diagram", "first")
 
 
 def grid_states(grids: DataFrame, targets: str | None = None) -> DataFrame:
@@ -234,8 +244,8 @@ def _columns(indptr: pa.ListScalar, targets: pa.ListScalar) -> tuple[np.ndarray,
 
 
 def grading_histogram(grids: DataFrame) -> DataFrame:
-    """(diagram, m, a, n): partial sums where states are made."""
-    return grid_states(grids).groupBy("diagram", "m", "a").agg(F.count("*").alias("n"))
+    """(diagram, m, a, n): partial sums where states are made. Equal grids are worked out once."""
+    return _once(grids, lambda g: grid_states(g).groupBy("diagram", "m", "a").agg(F.count("*").alias("n")))
 
 
 def alexander_euler(grids: DataFrame) -> DataFrame:
@@ -245,7 +255,11 @@ def alexander_euler(grids: DataFrame) -> DataFrame:
 
 
 def grid_boundary(grids: DataFrame, kind: str = "hat") -> DataFrame:
-    """(diagram, m, a, rank, target, m_to, a_to): M falls by one; A stays ("hat") or may fall ("filtered")."""
+    """(diagram, m, a, rank, target, m_to, a_to): M falls by one; A stays ("hat") or may fall ("filtered"). Equal grids are worked out once."""
+    return _once(grids, lambda g: _grid_boundary(g, kind))
+
+
+def _grid_boundary(grids: DataFrame, kind: str) -> DataFrame:
     s = grid_states(grids, kind)
     e = s.select("diagram", "m", "a", "rank", F.explode("targets").alias("target"))
     t = grid_states(grids).select("diagram", F.col("rank").alias("target"), F.col("m").alias("m_to"), F.col("a").alias("a_to"))
@@ -255,8 +269,13 @@ def grid_boundary(grids: DataFrame, kind: str = "hat") -> DataFrame:
 def grid_poincare(grids: DataFrame) -> DataFrame:
     """(diagram, m, a, dim): homology of the hat differential. It keeps A and lowers M by one, so that each grading has one map out and one in.
 
-    A task has one grading's map as compressed columns; targets need no places of their own to count a rank.
+    A task has one grading's map as compressed columns; targets need no places of their own to count a rank. Equal grids
+    are worked out once.
     """
+    return _once(grids, _grid_poincare)
+
+
+def _grid_poincare(grids: DataFrame) -> DataFrame:
     spans = F.array_sort(F.collect_list(F.struct("ranks", "indptr", "targets")))
     maps = grid_maps(grids, "hat").groupBy("diagram", "m", "a").agg(F.sum("n").alias("n"), spans.alias("s")).select("diagram", "m", "a", "n", "s.indptr", "s.targets")
 
@@ -315,8 +334,13 @@ def tau(grids: DataFrame) -> DataFrame:
     """(diagram, tau): the least A at which the filtered complex has a cycle in degree 0 that is no boundary.
 
     Two maps, each in a task of its own: out of degree 0, with its states by (A, rank), the columns independent of those
-    before them tell the cycles of every level at once; into it, an echelon form's leading rows tell the boundaries.
+    before them tell the cycles of every level at once; into it, an echelon form's leading rows tell the boundaries. Equal
+    grids are worked out once.
     """
+    return _once(grids, _tau)
+
+
+def _tau(grids: DataFrame) -> DataFrame:
     checkpoint_dir(grids.sparkSession)
     s = grid_maps(grids, "filtered").where("m in (0, 1)").checkpoint()
     spans = F.array_sort(F.collect_list(F.struct("m", "a", "ranks", "indptr", "targets")))
