@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinflow import VERSION
+from skeinflow.functions.once import once
 
 #: What compute() knows; names that other texts use for them.
 INVARIANTS = ("determinant", "signature", "alexander_polynomial", "jones_polynomial", "khovanov_homology", "rational_khovanov_homology", "rasmussen_s", "hfk_hat", "seifert_genus", "tau")
@@ -76,7 +77,7 @@ def compute(diagrams: DataFrame, invariant: str, known: DataFrame | None = None,
 
 
 def cross_checked(diagrams: DataFrame, got: DataFrame, name: str) -> DataFrame:
-    """(diagram, agrees boolean or null) of results (diagram, value), by an algorithm of its own for each diagram."""
+    """(diagram, agrees boolean or null) of results (diagram, value), by an algorithm of its own for each object; equal ones with equal values once."""
     from skeinflow.operators import grid, khovanov, second
 
     if name in ("determinant", "signature", "alexander_polynomial"):
@@ -101,7 +102,7 @@ def cross_checked(diagrams: DataFrame, got: DataFrame, name: str) -> DataFrame:
                         out.append(None if confirmed is None else confirmed and same)
                 yield pd.DataFrame({"diagram": batch["diagram"], "agrees": pd.Series(out, dtype=object)})
 
-        return both.mapInPandas(agrees, got.select("diagram", F.lit(None).cast("boolean").alias("agrees")).schema)
+        return once(both, ["braid", "value"], lambda d: d.mapInPandas(agrees, d.select("diagram", F.lit(None).cast("boolean").alias("agrees")).schema))
     if name in ("jones_polynomial", "khovanov_homology", "rational_khovanov_homology"):
         both = got.join(diagrams.select("diagram", "pd"), "diagram")
 
@@ -124,7 +125,7 @@ def cross_checked(diagrams: DataFrame, got: DataFrame, name: str) -> DataFrame:
                     out.append({j: c for j, c in want.items() if c} == {j: c for j, c in have.items() if c})
                 yield pd.DataFrame({"diagram": batch["diagram"], "agrees": out})
 
-        return both.mapInPandas(agrees, got.select("diagram", F.lit(None).cast("boolean").alias("agrees")).schema)
+        return once(both, ["pd", "value"], lambda d: d.mapInPandas(agrees, d.select("diagram", F.lit(None).cast("boolean").alias("agrees")).schema))
     if name == "rasmussen_s":
         other = khovanov.rasmussen_s(diagrams).select("diagram", F.col("s").cast("string").alias("other"))
         return got.join(other, "diagram", "left").select("diagram", (F.col("value") == F.col("other")).alias("agrees"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skeinflow.functions.once import once
 from skeinflow.plans.placement import lineage_components
 
 #: Characters of an error's text that are kept.
@@ -63,7 +64,8 @@ def attempted(objects: DataFrame, invariant: str) -> DataFrame:
     """(diagram, the invariant's fields, error): the rows of each object, or one with its error and no values.
 
     Whatever a kernel raises stays with its object: null and malformed ones, those too large, and ones that turn out not
-    to be what the kernel is for. All other objects come out as they would without it; the job does not fail.
+    to be what the kernel is for. All other objects come out as they would without it; the job does not fail. Equal objects
+    are worked out once.
     """
     from skeinflow.operators.second import plain
 
@@ -83,8 +85,8 @@ def attempted(objects: DataFrame, invariant: str) -> DataFrame:
                     rows.append((d, *[None] * len(names), f"{type(e).__name__}: {e}"[:MOST_TEXT]))
             yield pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(["diagram", *names, "error"])})
 
-    schema = T.StructType([objects.schema["diagram"], *T._parse_datatype_string(fields).fields, T.StructField("error", T.StringType())])
-    return objects.select("diagram", column).mapInPandas(work, schema)
+    schema = lambda d: T.StructType([d.schema["diagram"], *T._parse_datatype_string(fields).fields, T.StructField("error", T.StringType())])
+    return once(objects, [column], lambda d: d.mapInPandas(work, schema(d)))
 
 
 def abandoned(needs: DataFrame, failed: DataFrame) -> DataFrame:
