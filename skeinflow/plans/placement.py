@@ -67,17 +67,22 @@ def ready_jobs(jobs: DataFrame, needs: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def lineage_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): undirected components of (job, dep), by least labels until nothing changes; checkpoints cut the lineage."""
+    """(node, root): undirected components of (job, dep), root the least node; checkpoints cut the lineage.
+
+    Each round every node goes to its least neighbour, and on to that one's; edges are drawn between what is left, once
+    each, so that rounds get smaller. A null end is no node.
+    """
     checkpoint_dir(edges.sparkSession)
-    both = edges.select(F.col("job").alias("a"), F.col("dep").alias("b")).union(edges.select("dep", "job")).distinct().checkpoint()
-    label = both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")).checkpoint()
+    e = edges.select(F.col("job").alias("a"), F.col("dep").alias("b"))
+    both = lambda e: e.select(F.col("a").alias("node"), F.col("b").alias("m")).union(e.select("b", "a")).where("node is not null")
+    label = None
     for _ in range(rounds):
-        near = both.join(label.toDF("b", "r"), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("r"))
-        new = label.join(near, "node").select("node", F.least("root", "r").alias("root"))
-        jumped = new.join(new.toDF("up", "upper"), F.col("root") == F.col("up")).select("node", F.col("upper").alias("root")).checkpoint()
-        changed = jumped.join(label.toDF("node", "old"), "node").where("root <> old").limit(1).count()
-        label = jumped
-        if not changed:
+        near = both(e).groupBy("node").agg(F.min("m").alias("m")).select("node", F.least("node", "m").alias("root")).checkpoint()
+        up = near.join(near.toDF("up", "upper"), F.col("root") == F.col("up")).select("node", F.col("upper").alias("root")).checkpoint()
+        label = up if label is None else label.join(up.toDF("old", "new"), F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")).checkpoint()
+        moved = e.join(up.toDF("a", "x"), "a").join(up.toDF("b", "y"), "b").where("x <> y")
+        e = moved.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().checkpoint()
+        if e.isEmpty():
             return label
     raise RuntimeError("components did not settle")
 

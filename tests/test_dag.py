@@ -37,3 +37,23 @@ def test_ready_of_every_row(spark, tmp_path):
     want = {j for e in edges() for j in e if j not in done and all(dep in done for job, dep in edges() if job == j)}
     got = [r.job for r in registry.queries()["dag_ready"](spark, tables(spark, tmp_path)).collect()]
     assert sorted(got) == sorted(want) and {"s1", "s4", "s6", "p3"} <= want
+
+
+def test_rounds_get_smaller(spark, monkeypatch):
+    """Edges are drawn between what is left: a star of stars is two rounds, and every checkpoint but the labels' shrinks."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from skeinflow.plans import placement
+
+    sizes, plain = [], DataFrame.checkpoint
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda self, *x: (out := plain(self, *x), sizes.append((out.columns, out.count())))[0])
+    edges = [(f"n{i % 5}", f"s{i}") for i in range(50)] + [(f"s{i}", f"p{i * 7 % 40}") for i in range(200) if i < 50] + [("p3", "p3"), ("lone", None)]
+    got = {r.node: r.root for r in placement.lineage_components(spark.createDataFrame(edges, "job string, dep string")).collect()}
+    drawn = [n for c, n in sizes if c == ["a", "b"]]
+    assert drawn == sorted(drawn, reverse=True) and drawn[-1] == 0 and drawn[0] < 100
+    want = {x: x for e in edges for x in e if x}
+    while any(a and b and want[a] != want[b] for a, b in edges):
+        for a, b in edges:
+            if a and b:
+                want[a] = want[b] = min(want[a], want[b])
+    assert got == want
