@@ -9,19 +9,21 @@ slices, without entries too, so that an empty map has a shape.
 from __future__ import annotations
 
 import importlib.util
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinflow.operators.algebra import f2_rank, f2_rank_sets
-from skeinflow.operators.packed import pack, sparse_rank, tables_rank, words_rank
+from skeinflow.operators.packed import Map, pack, ranks_of_many, sparse_rank, stacked_sparse_ranks, stacked_tables_ranks, stacked_words_ranks, tables_rank, words_rank
 
 #: Columns of a slice at most; dimensions of four bytes.
 SLICE, MOST = 1 << 12, (1 << 31) - 1
+#: Entries and columns of the small maps that are worked on together.
+PORTION = 1 << 20
 INDEX, FIELDS = "<i4", ("cx", "deg", "first", "cols", "rows", "indptr", "indices")
 
 
@@ -32,15 +34,19 @@ def packed_columns(columns: DataFrame) -> DataFrame:
     return columns.select("cx", "deg", F.size("columns").alias("cols"), ends.alias("indptr"), F.flatten("columns").alias("indices"))
 
 
+def dimension(dim: Column) -> Column:
+    """A dimension as long; one below 1 or beyond four bytes raises."""
+    dim = dim.cast("long")
+    return F.when((dim < 1) | (dim > MOST), F.raise_error(F.concat(F.lit("a dimension is at least 1 and below 2**31: "), dim.cast("string")))).otherwise(dim)
+
+
 def from_entries(gen: DataFrame, entries: DataFrame) -> DataFrame:
     """The compressed form of entries (cx, deg, col, row); repeated ones count once.
 
     An entry beyond the dimensions, or a dimension below 1 or beyond four bytes, raises. A column stands whole in a slice,
     and a slice is one row: of SLICE columns at most, however large the map.
     """
-    size = gen.select("cx", F.col("deg").cast("int").alias("deg"), F.col("dim").cast("long").alias("dim"))
-    bad = (F.col("dim") < 1) | (F.col("dim") > MOST)
-    size = size.withColumn("dim", F.when(bad, F.raise_error(F.concat(F.lit("a dimension is at least 1 and below 2**31: "), F.col("dim").cast("string")))).otherwise(F.col("dim")))
+    size = gen.select("cx", F.col("deg").cast("int").alias("deg"), dimension(F.col("dim")).alias("dim"))
     above = size.select("cx", (F.col("deg") - 1).alias("deg"), F.col("dim").alias("rows"))
     slices = size.join(above, ["cx", "deg"], "left").select("cx", "deg", "dim", F.coalesce("rows", F.lit(0)).alias("rows"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("dim") - 1, F.lit(SLICE).cast("long"))).alias("first"))
     e = entries.select("cx", F.col("deg").cast("int").alias("deg"), F.col("col").cast("long").alias("col"), F.col("row").cast("long").alias("row"))
@@ -65,6 +71,14 @@ def from_entries(gen: DataFrame, entries: DataFrame) -> DataFrame:
     return sliced.mapInArrow(make, sliced.withColumns({"indptr": empty, "indices": empty}).schema)
 
 
+def binaries(values: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Integers as binary values of so many each, one after another."""
+    ends = np.concatenate(([0], np.cumsum(size * 4)))
+    if ends[-1] > MOST:
+        raise ValueError("a batch of slices is beyond 2**31 bytes")
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values.astype(INDEX))])
+
+
 def odd_entries(bd: DataFrame) -> DataFrame:
     """Entries of a boundary table with values, modulo 2: repeated ones are added."""
     return bd.groupBy("cx", "deg", "col", "row").agg(F.sum("v").alias("v")).where("pmod(v, 2) = 1").drop("v")
@@ -160,6 +174,16 @@ def kernel_of(tier: str) -> Callable[[np.ndarray, np.ndarray, int], int]:
     return kernel
 
 
+#: Tiers that work on stacks of small maps.
+STACKED = {"words": stacked_words_ranks, "tables": stacked_tables_ranks, "sparse": stacked_sparse_ranks}
+
+
+def many_of(tier: str) -> Callable[[list[Map]], list[int]]:
+    """The ranks of many maps by a tier: small maps of like size take the same steps together, where the tier has such a form."""
+    kernel, stacked = kernel_of(tier), STACKED.get(tier)
+    return (lambda maps: ranks_of_many(maps, stacked, kernel)) if stacked else lambda maps: [kernel(*m) if len(m[1]) else 0 for m in maps]
+
+
 def ranks(csc: DataFrame, tier: str = BEST) -> DataFrame:
     """(cx, deg, rank) of each map, its slices put together in one task; a map without entries has rank 0."""
     kernel = kernel_of(tier)
@@ -194,19 +218,31 @@ def homology(csc: DataFrame, tier: str = BEST) -> DataFrame:
     return out.withColumn("betti", F.when(F.col("betti") < 0, F.raise_error(F.lit("a negative dimension: not a complex"))).otherwise(F.col("betti"))).where("betti <> 0")
 
 
+def _portions(maps: Iterable[Map]) -> Iterator[list[Map]]:
+    held, size = [], 0
+    for m in maps:
+        held.append(m)
+        size += len(m[0]) + len(m[1])
+        if size > PORTION:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def tier_ranks(csc: DataFrame, tiers: tuple[str, ...]) -> DataFrame:
     """(cx, deg, a column of ranks for each tier), every map read once: the comparison of kernels."""
-    kernels = {t: kernel_of(t) for t in tiers}
+    kernels = {t: many_of(t) for t in tiers}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if any(batch.column("first").to_pylist()) or SLICE in batch.column("cols").to_pylist():
+                raise ValueError("maps of one slice are compared")
+            maps = ((np.frombuffer(p.as_buffer(), INDEX), np.frombuffer(x.as_buffer(), INDEX), n) for p, x, n in zip(batch.column("indptr"), batch.column("indices"), batch.column("rows").to_pylist(), strict=True))
             out: dict[str, list[int]] = {t: [] for t in kernels}
-            for i in range(batch.num_rows):
-                if batch.column("first")[i].as_py() or batch.column("cols")[i].as_py() == SLICE:
-                    raise ValueError("maps of one slice are compared")
-                p, x = (np.frombuffer(batch.column(c)[i].as_py(), INDEX) for c in ("indptr", "indices"))
-                for t, kernel in kernels.items():
-                    out[t].append(kernel(p, x, batch.column("rows")[i].as_py()))
+            for portion in _portions(maps):
+                for t, many in kernels.items():
+                    out[t] += many(portion)
             yield pa.RecordBatch.from_arrays([batch.column("cx"), batch.column("deg"), *(pa.array(v, pa.int64()) for v in out.values())], ["cx", "deg", *out])
 
     return csc.mapInArrow(each, csc.select("cx", "deg", *(F.lit(0).cast("long").alias(t) for t in tiers)).schema)
