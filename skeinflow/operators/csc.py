@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import importlib.util
 from collections.abc import Callable, Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -22,8 +23,8 @@ from skeinflow.operators.packed import Map, pack, ranks_of_many, sparse_rank, st
 
 #: Columns of a slice at most; dimensions of four bytes.
 SLICE, MOST = 1 << 12, (1 << 31) - 1
-#: Entries and columns of the small maps that are worked on together.
-PORTION = 1 << 20
+#: Entries and columns of the small maps that are worked on together; complexes of simplices that are made together.
+PORTION, SPANNED = 1 << 20, 1 << 11
 INDEX, FIELDS = "<i4", ("cx", "deg", "first", "cols", "rows", "indptr", "indices")
 
 
@@ -79,6 +80,52 @@ def binaries(values: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values.astype(INDEX))])
 
 
+def from_simplices(sets: DataFrame) -> DataFrame:
+    """The compressed cochain complexes modulo 2, up to triangles, of (cx, sets array<int>): what sets of vertices span, as bit masks.
+
+    Simplices of each degree are numbered by their vertices in order. Vertices are at most 31, and a complex is made whole in
+    one task: each of its maps is one slice, and no entry is shuffled. A null cx equals none, as in joins, so that its maps
+    go nowhere.
+    """
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, SPANNED):
+                yield from _spanned(batch.slice(k, SPANNED))
+
+    zero, empty = F.lit(0).cast("long"), F.lit(None).cast("binary")
+    some = sets.where(F.exists("sets", lambda v: v != 0))
+    return some.mapInArrow(make, sets.select("cx", F.lit(0).alias("deg"), *(zero.alias(c) for c in ("first", "cols", "rows")), empty.alias("indptr"), empty.alias("indices")).schema)
+
+
+def _spanned(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The slices of each degree of a batch of complexes."""
+    sets, cx = batch.column("sets"), batch.column("cx")
+    masks, known = sets.flatten().to_numpy(), cx.is_valid().to_numpy(zero_copy_only=False)
+    begin = np.concatenate(([0], np.cumsum(sets.value_lengths().to_numpy())))[:-1]
+    vertices = [1 << i for i in range(31) if np.bitwise_or.reduce(masks) >> i & 1]
+    faces = [np.array([sum(c) for c in combinations(vertices, d + 1)], masks.dtype) for d in range(3)]
+    there = [np.logical_or.reduceat((masks[:, None] & f) == f, begin, axis=0) for f in faces]
+    dims = [t.sum(1) for t in there] + [np.zeros(batch.num_rows, np.int64)]
+    for deg in range(3):
+        ends, above, hit = np.zeros((batch.num_rows, len(faces[deg]) + 1), np.int64), np.zeros(0, np.int64), np.zeros((batch.num_rows, 0), bool)
+        if deg < 2:
+            # Pairs of a face and what it is a face of, in the order of the face; ends are the pairs of each face and those before.
+            below, above = np.nonzero((faces[deg][:, None] & faces[deg + 1]) == faces[deg][:, None])
+            hit = there[deg + 1][:, above] & known[:, None]
+            counts = np.concatenate((ends[:, :1], np.cumsum(hit, axis=1)), axis=1)
+            ends = counts[:, np.searchsorted(below, np.arange(len(faces[deg]) + 1))]
+            above = (np.cumsum(there[deg + 1], axis=1) - 1)[:, above][hit]
+        have = dims[deg] > 0
+        if not have.any():
+            continue
+        # A face that is not there has no pairs.
+        shown = np.concatenate((have[:, None], there[deg]), axis=1)
+        n = int(have.sum())
+        numbers = [np.full(n, deg, np.int32), np.zeros(n, np.int64), dims[deg][have], (dims[deg + 1] * known)[have]]
+        yield pa.RecordBatch.from_arrays([cx.filter(pa.array(have)), *map(pa.array, numbers), binaries(ends[shown], dims[deg][have] + 1), binaries(above, hit.sum(1)[have])], [*FIELDS])
+
+
 def odd_entries(bd: DataFrame) -> DataFrame:
     """Entries of a boundary table with values, modulo 2: repeated ones are added."""
     return bd.groupBy("cx", "deg", "col", "row").agg(F.sum("v").alias("v")).where("pmod(v, 2) = 1").drop("v")
@@ -184,50 +231,64 @@ def many_of(tier: str) -> Callable[[list[Map]], list[int]]:
     return (lambda maps: ranks_of_many(maps, stacked, kernel)) if stacked else lambda maps: [kernel(*m) if len(m[1]) else 0 for m in maps]
 
 
-def ranks(csc: DataFrame, tier: str = BEST) -> DataFrame:
-    """(cx, deg, rank) of each map, its slices put together in one task; a map without entries has rank 0."""
-    kernel = kernel_of(tier)
-    slices = F.array_sort(F.collect_list(F.struct("first", "indptr", "indices", "rows")))
-    maps = csc.groupBy("cx", "deg").agg(slices.alias("s")).select("cx", "deg", F.get("s.rows", 0).alias("rows"), "s.indptr", "s.indices")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [_ranked(kernel, *(batch.column(c)[i] for c in ("indptr", "indices")), batch.column("rows")[i].as_py()) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("cx"), batch.column("deg"), pa.array(out, pa.int64())], ["cx", "deg", "rank"])
-
-    return maps.mapInArrow(work, csc.select("cx", "deg", F.lit(0).cast("long").alias("rank")).schema)
+def _portions(maps: Iterable[Map]) -> Iterator[list[Map]]:
+    held, size = [], 0
+    for m in maps:
+        held.append(m)
+        size += len(m[0]) + len(m[1])
+        if size > PORTION:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
-def _ranked(kernel: Callable, indptr: pa.ListScalar, indices: pa.ListScalar, rows: int) -> int:
-    """The rank of one map, by its slices in order."""
+def _map_of(indptr: list, indices: list, rows: int) -> Map:
+    """A map by its slices in order."""
+    if len(indptr) == 1:
+        return np.frombuffer(indptr[0].as_buffer(), INDEX), np.frombuffer(indices[0].as_buffer(), INDEX), rows
     ptr, idx, total = [np.zeros(1, np.int64)], [], 0
     for p, x in zip(indptr, indices, strict=True):
         p = np.frombuffer(p.as_buffer(), INDEX).astype(np.int64)
         ptr.append(p[1:] + total)
         total += int(p[-1])
         idx.append(np.frombuffer(x.as_buffer(), INDEX))
-    return kernel(np.concatenate(ptr), np.concatenate(idx), rows) if total else 0
+    return np.concatenate(ptr), np.concatenate(idx), rows
 
 
-def homology(csc: DataFrame, tier: str = BEST) -> DataFrame:
-    """(cx, deg, betti), zeros dropped, of compressed maps alone; a negative dimension raises."""
-    dims = csc.groupBy("cx", "deg").agg(F.sum("cols").alias("n"))
-    r = ranks(csc, tier)
-    both = dims.union(r.select("cx", "deg", -F.col("rank"))).union(r.select("cx", F.col("deg") + 1, -F.col("rank")))
-    out = both.groupBy("cx", "deg").agg(F.sum("n").alias("betti"))
-    return out.withColumn("betti", F.when(F.col("betti") < 0, F.raise_error(F.lit("a negative dimension: not a complex"))).otherwise(F.col("betti"))).where("betti <> 0")
+def _sized_ranks(csc: DataFrame, tier: str, sliced: bool) -> DataFrame:
+    """(cx, deg, cols, rank) of each map."""
+    many = many_of(tier)
+    if sliced:
+        slices = F.array_sort(F.collect_list(F.struct("first", "indptr", "indices", "rows")))
+        maps = csc.groupBy("cx", "deg").agg(F.sum("cols").alias("cols"), slices.alias("s")).select("cx", "deg", "cols", F.get("s.rows", 0).alias("rows"), "s.indptr", "s.indices")
+    else:
+        more = F.raise_error(F.lit("a map has more than one slice"))
+        maps = csc.select("cx", "deg", "cols", F.when(F.col("first") != 0, more).otherwise(F.col("rows")).alias("rows"), F.array("indptr").alias("indptr"), F.array("indices").alias("indices"))
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = (_map_of(*m) for m in zip(*(batch.column(c) for c in ("indptr", "indices")), batch.column("rows").to_pylist(), strict=True))
+            out = [r for portion in _portions(each) for r in many(portion)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cx", "deg", "cols")), pa.array(out, pa.int64())], ["cx", "deg", "cols", "rank"])
 
-def _portions(maps: Iterable[Map]) -> Iterator[list[Map]]:
-    held, size = [], 0
-    for m in maps:
-        held.append(m)
-        size += len(m[0]) + len(m[1])
-        if size > PORTION:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+    return maps.mapInArrow(work, csc.select("cx", "deg", F.lit(0).cast("long").alias("cols"), F.lit(0).cast("long").alias("rank")).schema)
+
+
+def ranks(csc: DataFrame, tier: str = BEST, sliced: bool = True) -> DataFrame:
+    """(cx, deg, rank) of each map, its slices put together in one task; a map without entries has rank 0.
+
+    Unless maps are sliced, each one's only slice is worked on where it is, and a second one raises.
+    """
+    return _sized_ranks(csc, tier, sliced).select("cx", "deg", "rank")
+
+
+def homology(csc: DataFrame, tier: str = BEST, sliced: bool = True) -> DataFrame:
+    """(cx, deg, betti), zeros dropped, of compressed maps alone, each read once; a negative dimension raises."""
+    lost = F.array(F.struct("deg", (F.col("cols") - F.col("rank")).alias("n")), F.struct((F.col("deg") + 1).alias("deg"), (-F.col("rank")).alias("n")))
+    both = _sized_ranks(csc, tier, sliced).select("cx", F.explode(lost).alias("x")).select("cx", "x.*")
+    out = both.groupBy("cx", "deg").agg(F.sum("n").alias("betti"))
+    return out.withColumn("betti", F.when(F.col("betti") < 0, F.raise_error(F.lit("a negative dimension: not a complex"))).otherwise(F.col("betti"))).where("betti <> 0")
 
 
 def tier_ranks(csc: DataFrame, tiers: tuple[str, ...]) -> DataFrame:

@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinflow.functions.once import tasks
+
 LETTER = "(1 + l_suppkey % 3) * case when l_returnflag = 'N' then -1 else 1 end"
 ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 
@@ -97,6 +99,18 @@ def order_complexes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return gen, first.union(second)
 
 
+def order_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cx, sets array<int>): the sets of vertices that a customer's orders span, each once, as bit masks; vertices are remainders, which may be negative.
+
+    Lines meet by order before they meet the order's customer, and a customer's sets are dealt to tasks by number.
+    """
+    lines, orders, supplier = (read(spark, sf_dir, t) for t in ("lineitem", "orders", "supplier"))
+    bit = F.expr(f"shiftleft(1, cast(s_nationkey % {VERTICES} + {VERTICES - 1} as int))")
+    masks = lines.join(supplier, lines.l_suppkey == supplier.s_suppkey).groupBy("l_orderkey").agg(F.bit_or(bit).alias("mask")).where("mask is not null")
+    sets = orders.select("o_orderkey", F.col("o_custkey").alias("cx")).join(masks, F.col("o_orderkey") == F.col("l_orderkey"))
+    return sets.select("cx", "mask").repartition(tasks(sets), "cx").groupBy("cx").agg(F.collect_set("mask").alias("sets"))
+
+
 #: Tables v, e and t (cx, and the simplex's vertices) as SQL.
 SIMPLICES_SQL = f"""o as (select distinct o_custkey as cx, o_orderkey, s_nationkey % {VERTICES} as v from lineitem join orders on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey),
   v as (select distinct cx, v as a from o), e as (select distinct x.cx, x.v as a, y.v as b from o x join o y on x.o_orderkey = y.o_orderkey and x.v < y.v),
