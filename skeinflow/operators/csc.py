@@ -146,20 +146,37 @@ def verdict_of(indptr: np.ndarray, indices: np.ndarray, cols: int, rows: int) ->
     return None
 
 
+def _verdicts(batch: pa.RecordBatch) -> pa.Array:
+    out = []
+    for indptr, indices, cols, rows in zip(*(batch.column(c).to_pylist() for c in ("indptr", "indices", "cols", "rows")), strict=True):
+        whole = indptr is not None and indices is not None and len(indptr) % 4 == len(indices) % 4 == 0
+        out.append(verdict_of(np.frombuffer(indptr, INDEX), np.frombuffer(indices, INDEX), cols, rows) if whole else "not integers of four bytes")
+    return pa.array(out, pa.string())
+
+
 def verdicts(csc: DataFrame) -> DataFrame:
     """(cx, deg, first, verdict) of slices from anywhere: null where indptr and indices fit the shape."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for indptr, indices, cols, rows in zip(*(batch.column(c).to_pylist() for c in ("indptr", "indices", "cols", "rows")), strict=True):
-                whole = indptr is not None and indices is not None and len(indptr) % 4 == len(indices) % 4 == 0
-                out.append(verdict_of(np.frombuffer(indptr, INDEX), np.frombuffer(indices, INDEX), cols, rows) if whole else "not integers of four bytes")
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cx", "deg", "first")), pa.array(out, pa.string())], ["cx", "deg", "first", "verdict"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cx", "deg", "first")), _verdicts(batch)], ["cx", "deg", "first", "verdict"])
 
     return csc.mapInArrow(look, csc.select("cx", "deg", "first", F.lit(None).cast("string").alias("verdict")).schema)
 
 
+def map_shapes(csc: DataFrame) -> DataFrame:
+    """(cx, deg, cols, rows, entries, verdict) of each map: slices are looked at where they are, only their counts are shuffled."""
+    kept = ["cx", "deg", "cols", "rows", "bytes"]
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), _verdicts(batch)], [*kept, "verdict"])
+
+    c = csc.withColumn("bytes", F.octet_length("indices").cast("long"))
+    looked = c.mapInArrow(look, c.select(*kept, F.lit(None).cast("string").alias("verdict")).schema)
+    return looked.groupBy("cx", "deg").agg(F.sum("cols").alias("cols"), F.max("rows").alias("rows"), (F.sum("bytes") / 4).cast("long").alias("entries"), F.min("verdict").alias("verdict"))
+
+
 def nnz(csc: DataFrame) -> DataFrame:
     """(cx, deg, entries): by the bytes alone, no map is read."""
     return csc.groupBy("cx", "deg").agg(F.sum(F.octet_length("indices") / 4).cast("long").alias("entries"))
